@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, tokenfile
+from . import licenses, mixing, packing, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,20 @@ def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op4_tokenfile": op4_tokenfile,
+    "op6_warc": op6_warc,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
