@@ -109,18 +109,18 @@ def super_minhash(row: np.ndarray, element: np.ndarray, n_rows: int, places: int
 
 
 def _sketch_schema(id_type: str) -> str:
-    return f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>, signature binary"
+    return f"row_no long, doc_id {id_type}, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, signature) of rows (doc_id, text); without shingles digest and the rest are null.
+    """(row_no, doc_id, n_shingles, digest, bands, signature) of rows (row_no, doc_id, text); without shingles digest and the rest are null.
 
     digest names the set (16 bytes of its hashes' blake2b), bands holds a hash per band, signature a byte per place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), 1 << 20):
+            for part in slices(batch.column(2), 1 << 20):
                 row, value = shingles(part.data, part.offsets, settings.words)
                 n = np.bincount(row, minlength=len(part))
                 ends = np.cumsum(n)
@@ -135,9 +135,9 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) * settings.bands).astype(np.int32)), pa.array(key.view(np.int64).reshape(-1)))
                 short = mixed(signature).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(part.first, len(part)), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), bands,
+                    batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), bands,
                     pa.array([None if e else short[i * settings.places : (i + 1) * settings.places] for i, e in enumerate(empty)], pa.binary()),
-                ], names=["doc_id", "n_shingles", "digest", "bands", "signature"])
+                ], names=["row_no", "doc_id", "n_shingles", "digest", "bands", "signature"])
 
     return docs.mapInArrow(run, _sketch_schema(docs.schema["doc_id"].dataType.simpleString()))
 
@@ -206,12 +206,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
 
     component_id is the smallest doc_id that links reach, kept marks it. class_id is the smallest doc_id of the same set. Null, empty and wordless texts have no shingles and are linked with
     nothing. Of repeated rows of one doc_id every one is returned, and kept where the component has that id. Rows of null doc_id come after all
-    others. An empty table gives an empty result.
+    others. docs must give its rows in the same order whenever it is read, as a stored table does. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     plain = document_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row_no", row_id())
-    rows = stored(sketches(plain.select(F.col("row_no").alias("doc_id"), "text"), settings).withColumnRenamed("doc_id", "row_no"), f"{folder}/sketches")
+    rows = stored(sketches(plain.select("row_no", "doc_id", "text"), settings), f"{folder}/sketches")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("row_no").alias("class"))
     # of each class one row stands for all; the others' signatures are the same
     heads = stored(rows.join(classes, rows["row_no"] == classes["class"], "left_semi").withColumnRenamed("row_no", "class"), f"{folder}/heads")
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     groups = components(links.union(more), f"{folder}/all-groups") if more.limit(1).count() else groups
 
     named = member.join(groups, "class", "left").select("row_no", "class", F.coalesce("root", "class").alias("root"))
-    ids = plain.select("row_no", "doc_id").join(rows.select("row_no", "n_shingles"), "row_no").join(named, "row_no", "left").withColumn("root", F.coalesce("root", "row_no")).withColumn("class", F.coalesce("class", "row_no"))
+    ids = rows.select("row_no", "doc_id", "n_shingles").join(named, "row_no", "left").withColumn("root", F.coalesce("root", "row_no")).withColumn("class", F.coalesce("class", "row_no"))
     ids = stored(ids, f"{folder}/ids")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least_of_class = ids.groupBy("class").agg(F.min("doc_id").alias("class_id"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, licenses, minhash, mixing, packing, tokenfile, toxicity, warc
+from . import ann, langid, licenses, minhash, mixing, packing, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +30,18 @@ def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -50,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
     "op4_tokenfile": op4_tokenfile,
+    "op5_ann": op5_ann,
     "op6_warc": op6_warc,
+    "op7_topk": op7_topk,
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
