@@ -28,11 +28,11 @@ class Settings:
     lists, ratio: a query reads so many lists at most, within (1 + ratio) times the smallest distance."""
 
     sample: int = 40_000
-    list_size: int = 96
+    list_size: int = 160
     most_centroids: int = 8192
     replicas: int = 4
     boundary: float = 0.12
-    lists: int = 96
+    lists: int = 128
     ratio: float = 0.6
     degree: int = 24
     block: int = 1024

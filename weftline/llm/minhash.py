@@ -202,9 +202,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
-    """(doc_id, n_shingles, component_id, kept, class_id, row_no) for every row.
+    """(doc_id, n_shingles, component_id, kept, class_id, row_no, root) for every row.
 
-    component_id is the smallest doc_id that links reach, kept marks it. class_id is the smallest doc_id of the same set. Null, empty and wordless texts have no shingles and are linked with
+    component_id is the smallest doc_id that links reach, kept marks it. class_id is the smallest doc_id of the same set;
+    row_no numbers the rows, root is the smallest row_no of the component. Null, empty and wordless texts have no shingles and are linked with
     nothing. Of repeated rows of one doc_id every one is returned, and kept where the component has that id. Rows of null doc_id come after all
     others. docs must give its rows in the same order whenever it is read, as a stored table does. An empty table gives an empty result.
     """
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     ids = stored(ids, f"{folder}/ids")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least_of_class = ids.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return ids.join(least, "root").join(least_of_class, "class").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id", "row_no")
+    return ids.join(least, "root").join(least_of_class, "class").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id", "row_no", "root")
 
 
 def _agreement(x: str, y: str, settings: Settings) -> str:

@@ -19,7 +19,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=4)).drop("row_no")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=4)).drop("row_no", "root")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
