@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import media, paths
+from ..sources.tables import materialized
 
 REPLAYED_WITHOUT_BODY = (204, 205, 301, 302, 303, 307, 308)
 BODY_STATES = ("pending", "stored", "unavailable", "not-captured", "not-applicable")
@@ -90,27 +91,24 @@ def rendered_pages(routes: DataFrame, documents: DataFrame, bodies: DataFrame) -
     return pages.withColumn("route", F.explode(F.array_union(F.array("id"), F.coalesce("alias_route_ids", F.array().cast("array<string>"))))).select(F.col("route").alias("route_id"), F.col("id").alias("owner_route_id"), "route_url", "content_hash", "size")
 
 
-def closure(links: DataFrame, resources: DataFrame, *, depth: int = 32) -> DataFrame:
-    """What URLs lead to over alias and redirect links: (url, resource, hops), resource null where the chain ends or turns in a circle.
+def closure(links: DataFrame, resources: DataFrame, *, depth: int = 64) -> DataFrame:
+    """What URLs lead to over alias and redirect links: (url, resource, hops), null where the chain ends elsewhere or turns in a circle.
 
-    links: (url, target, kind); of two links of a URL the alias goes first. A URL that is a resource itself leads to itself.
+    links: (url, target, kind); of two links of a URL the alias goes first. A URL that is a resource leads to itself. Each round
+    doubles the hops that are followed, so chains of depth hops take log2(depth) joins.
     """
     order = Window.partitionBy("url").orderBy(F.when(F.col("kind") == "alias", 0).otherwise(1), "target")
-    link = links.withColumn("n", F.row_number().over(order)).where("n = 1").select("url", "target")
-    known = resources.select(F.col("url").alias("at"), F.lit(True).alias("known"))
-    reached = link.select("url").union(resources.select("url")).distinct().select("url", F.col("url").alias("at"), F.array("url").alias("seen"), F.lit(0).alias("hops"))
-    done = None
-    for hop in range(depth):
-        marked = reached.join(known, "at", "left")
-        ended = marked.where("known").select("url", F.col("at").alias("resource"), "hops")
-        done = ended if done is None else done.unionByName(ended)
-        step = link.select(F.col("url").alias("at"), "target")
-        reached = marked.where("known is null").join(step, "at").where(~F.array_contains("seen", F.col("target"))).select("url", F.col("target").alias("at"), F.array_append("seen", F.col("target")).alias("seen"), (F.col("hops") + 1).alias("hops"))
-        reached = reached.checkpoint() if (hop + 1) % 8 == 0 and reached.sparkSession.conf.get("spark.checkpoint.dir", None) else reached
-        if hop % 4 == 3 and reached.isEmpty():
-            break
-    every = link.select("url").union(resources.select("url")).distinct()
-    return every.join(done, "url", "left")
+    known = resources.select("url").distinct()
+    link = links.withColumn("n", F.row_number().over(order)).where("n = 1").select("url", "target").join(known, "url", "left_anti")
+    every = link.select("url").union(link.select("target")).union(known).distinct()
+    step = every.join(link, "url", "left").select("url", F.coalesce("target", "url").alias("at"), F.col("target").isNotNull().cast("long").alias("hops"))
+    for _ in range((depth - 1).bit_length()):
+        step = materialized(step)
+        onward = step.select(F.col("url").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"))
+        step = step.join(onward, "at").select("url", F.col("further").alias("at"), (F.col("hops") + F.col("more")).alias("hops"))
+    asked = links.select("url").union(known).distinct()
+    ends = step.join(known.select(F.col("url").alias("resource")), F.col("at") == F.col("resource")).select("url", "resource", "hops")
+    return asked.join(ends, "url", "left")
 
 
 def violations(families: dict[str, DataFrame], provenances: tuple[str, ...]) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph
+from . import archive, graph, traffic
 
-_MODULES = (graph,)
+_MODULES = (graph, traffic, archive)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
