@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, graph, traffic
+from . import archive, content, graph, traffic
 
-_MODULES = (graph, traffic, archive)
+_MODULES = (graph, traffic, archive, content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
