@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import document_columns, slices, stored
+from .shared import document_columns, fresh, slices, stored
 
 ORDER = 3
 #: Bounds of what is learned: labelled documents of each language (in the mean) and states.
@@ -139,15 +139,16 @@ def _tabulated(languages: list[str], contexts: list[tuple[int, int]], counts) ->
     return Trees(languages, step, cost)
 
 
-def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text", extra: bool = False) -> DataFrame:
+def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """All columns of docs, lang_pred and score (0 to 1, the share of the predicted language when codes of an eighth of the bits count
-    as probabilities); with extra also bits_per_byte under the predicted language.
+    as probabilities), called as ``into`` says; a third name also gets the bits a byte under the predicted language. Columns of these names are replaced.
 
     A text that is null or has no letter is UNKNOWN with score 0; without learned languages every text is.
     """
     model = docs.sparkSession.sparkContext.broadcast(trees)
-    flagged = docs.withColumn("_letter", F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)))
-    fields = [*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField("bits_per_byte", DoubleType())] if extra else [])]
+    docs = docs.drop(*into)
+    flagged = docs.withColumn(fresh(docs.columns, "letter"), F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False)))
+    fields = [*docs.schema.fields, *[StructField(n, k) for n, k in zip(into, (StringType(), DoubleType(), DoubleType()), strict=False)]]
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +168,7 @@ def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text", extra: bo
                 rate[own] = least / np.maximum(np.diff(part.offsets), 1)
             silent = ~np.asarray(batch.column(len(names)).to_numpy(zero_copy_only=False), bool)
             which[silent], score[silent] = len(trees.languages), 0.0
-            more = [pa.array(rate)] if extra else []
+            more = [pa.array(rate)] if len(into) > 2 else []
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(known[which], pa.string()), pa.array(score), *more], names=[f.name for f in fields])
 
     return flagged.mapInArrow(run, StructType(fields))

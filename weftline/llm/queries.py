@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = "0123456789!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_SHA1 = "sha1(coalesce(html, ''))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  -ln((CAST('0x' || substr(md5('17:' || doc_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) / coalesce(greatest(CAST(length(translate(text, '{_PLAIN}', '')) AS DOUBLE) / greatest(length(text), 1), 0.05), 0.05) AS key FROM documents),
+s0 AS (SELECT source, sum(size) AS source_size, 2.0 * sum(size) AS most, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+s1 AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS n FROM s0 WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s2 AS (SELECT *, (SELECT arg_min(level, n) FROM s1 WHERE most > level * weight) AS open_level FROM s1),
+t AS (SELECT source, source_size, CASE WHEN most <= level * weight THEN most ELSE open_level * weight END AS target FROM s2),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+c AS (SELECT d.*, u.source_size, u.target, u.epochs, u.target - u.epochs * u.source_size AS budget, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
+e AS (SELECT *, upto <= budget AND budget > 0 AS prefix, budget - sum(CASE WHEN upto <= budget AND budget > 0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+f AS (SELECT source, arg_min(doc_id, (abs(size - gap), key)) AS last_id FROM e WHERE NOT prefix AND abs(size - gap) < gap GROUP BY source)
+SELECT e.doc_id, e.size, CAST(e.source_size AS BIGINT) AS source_size, e.target, CAST((e.epochs + CASE WHEN prefix OR e.doc_id = f.last_id THEN 1 ELSE 0 END) * size AS BIGINT) AS taken, e.source FROM e LEFT JOIN f ON e.source IS NOT DISTINCT FROM f.source""",
+    "op2_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || '  '] ELSE [] END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS k FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN len(sh) > 0 THEN array_to_string(list_sort(sh), chr(10)) ELSE CAST(doc_id AS VARCHAR) END) AS class_id FROM s)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept, class_id FROM s JOIN c ON c.doc_id = s.doc_id JOIN cl ON cl.doc_id = s.doc_id""",
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, {_SHA1} AS h FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1) FOR j IN range(0, 4)], '') FOR i IN range(0, 8)], '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to FROM b""",
+    "op7_topk": """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS z FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.z, c.z) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
+}

@@ -46,6 +46,14 @@ def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Slice:
     """Some rows of a string or binary Arrow array as one flat byte array.
 

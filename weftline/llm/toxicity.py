@@ -146,7 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", into: str = "score") -> DataFrame:
-    """All columns of docs and the score of each whole text (0 to 1); null and empty texts score as a text without terms."""
+    """All columns of docs and the score of each whole text (0 to 1); null and empty texts score as a text without terms.
+
+    A column that is called as the score is replaced.
+    """
+    docs = docs.drop(into)
     model = docs.sparkSession.sparkContext.broadcast(machine)
     names = docs.columns
     from pyspark.sql.types import DoubleType, StructField, StructType
