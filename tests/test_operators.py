@@ -1,0 +1,147 @@
+"""Operators against sequential restatements on random and planted cases."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.functions import media, paths, privacy
+from weftline.operators import catalog, crawl, graph, replay, storage, validate
+
+REPLAY = "request_id string, position long, client string, method string, url string, content_type string, body_hash string, unsupported string"
+RECORDED = "exchange_id string, sequence long, method string, url string, content_type string, body_hash string"
+
+
+def test_matching_forms_agree(spark):
+    rng = random.Random(3)
+    urls = [f"https://h{i}.test/p{i}" for i in range(4)]
+    asked = [(f"q{i:03}", i, f"c{rng.randrange(2)}", rng.choice(["GET", "POST"]), rng.choice(urls), "", None, "" if rng.random() < 0.9 else "sse") for i in range(120)]
+    recorded = [(f"e{i:03}", rng.randrange(30), rng.choice(["GET", "POST"]), rng.choice(urls), "", None) for i in range(40)]
+    q, e = spark.createDataFrame(asked, REPLAY), spark.createDataFrame(recorded, RECORDED)
+    window = {tuple(r) for r in replay.match_in_order(q, e, client="client").select("request_id", "exchange_id", "reason_code").collect()}
+    walked = {tuple(r) for r in replay.match_by_path(q, e, "https://runtime.test").select("request_id", "exchange_id", "reason_code").collect()}
+    assert window == walked
+    assert {r[2] for r in window} >= {"", "ambiguous", "sse"}
+
+
+def test_path_matching(spark):
+    q = spark.createDataFrame([("q1", 1, "c", "GET", "https://run.test/a/?x", "", None, ""), ("q2", 2, "c", "GET", "https://run.test/b", "", None, ""), ("q3", 3, "c", "GET", "https://other.test/a?x", "", None, "")], REPLAY)
+    e = spark.createDataFrame([("e1", 1, "GET", "https://one.test/a?x", "", None), ("e2", 1, "GET", "https://one.test/b", "", None), ("e3", 2, "GET", "https://two.test/b", "", None)], RECORDED)
+    assert {tuple(r) for r in replay.match_by_path(q, e, "https://run.test").collect()} == {("q1", "e1", ""), ("q2", None, "ambiguous"), ("q3", None, "not-found")}
+
+
+def _ladder(rows, policy):
+    taken, pages, states, out = set(), 0, 0, []
+    for n, (position, url, _base) in enumerate(rows, 1):
+        if n > policy.max_candidates + 1:
+            break
+        kind = "history" if url.startswith("#") else "document"
+        key = (kind, url)
+        if n > policy.max_candidates:
+            reason = "candidate-budget"
+        elif not url:
+            reason = "empty-url"
+        elif url.startswith("https://x"):
+            reason = "cross-origin"
+        elif key in taken:
+            reason = "duplicate-route"
+        elif pages >= policy.max_pages:
+            reason = "page-budget"
+        elif kind == "history" and states >= policy.max_history_states:
+            reason = "state-budget"
+        else:
+            reason = "same-origin-anchor"
+            taken.add(key)
+            pages += 1
+            states += kind == "history"
+        out.append((position, reason))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crawl_ladder(spark, seed):
+    rng = random.Random(seed)
+    policy = crawl.Policy(max_pages=6, max_candidates=40, max_history_states=2)
+    rows = [(i, rng.choice(["", "https://x.test/", *(f"#s{k}" for k in range(4)), *(f"/p{k}" for k in range(8))]), "https://h.test/home") for i in range(60)]
+    c = spark.createDataFrame([(1, "https://h.test/", base, i, url, None, None, False, False) for i, url, base in rows], "crawl int, seed_url string, base_url string, position int, url string, element_kind string, target string, download boolean, form_action boolean")
+    assert sorted((r["position"], r["reason"]) for r in crawl.decide(c, policy).collect()) == _ladder(rows, policy)
+
+
+def test_crawl_budgets_that_run_out(spark):
+    c = spark.createDataFrame([(1, "https://h.test/", None, i, f"/p{i % 3}", None, None, False, False, i * 50, 0) for i in range(5)], "crawl int, seed_url string, base_url string, position int, url string, element_kind string, target string, download boolean, form_action boolean, captured_bytes long, elapsed_ms long")
+    assert [r["reason"] for r in crawl.decide(c, crawl.Policy(max_bytes=100)).orderBy("position").collect()] == ["same-origin-anchor", "same-origin-anchor", "byte-budget", "duplicate-route", "duplicate-route"]
+
+
+def test_closure(spark):
+    links = spark.createDataFrame([("a", "b", "redirect"), ("b", "c", "redirect"), ("x", "y", "redirect"), ("y", "x", "redirect"), ("d", "e", "redirect"), ("m", "c", "alias"), ("m", "x", "redirect")], "url string, target string, kind string")
+    got = {(r["url"], r["resource"], r["hops"]) for r in graph.closure(links, spark.createDataFrame([("c",)], "url string")).collect()}
+    assert got == {("a", "c", 2), ("b", "c", 1), ("c", "c", 0), ("x", None, None), ("y", None, None), ("d", None, None), ("m", "c", 1)}
+
+
+def test_graph_rules(spark):
+    requests = spark.createDataFrame([("r1", "observed", "t1"), ("r1", "guessed", None), (None, "observed", None)], "id string, provenance string, target_id string")
+    targets = spark.createDataFrame([], "id string, provenance string")
+    bodies = spark.createDataFrame([("b1", "sha256:xyz", -1)], "id string, content_hash string, size long")
+    routes = spark.createDataFrame([("o1", "skipped", None, "jump")], "id string, state string, decision_reason string, transition_kind string")
+    got = sorted((r["rule"], r["id"]) for r in graph.violations({"requests": requests, "targets": targets, "bodies": bodies, "routes": routes}, ("observed",)).collect() if r["id"])
+    assert got == [("content-hash-form", "b1"), ("dangling-target-id", "r1"), ("duplicate-id", "r1"), ("negative-size", "b1"), ("skipped-without-reason", "o1"), ("transition-kind", "o1"), ("unknown-provenance", "r1")]
+
+
+def test_snapshot_null_body_and_empty_body_differ(spark):
+    row = spark.createDataFrame([(None,), ("",)], "b string").select(paths.content_hash(F.col("b")).alias("h")).collect()
+    assert [r["h"] for r in row] == [None, paths.EMPTY_HASH]
+
+
+def test_catalog(spark):
+    rows = [(1, "https://a.test/x.css", "text/css", "h1", 10, False, None), (2, "https://a.test/y.css", "text/css", "h1", 10, False, None), (3, "https://a.test/d/x.css", "text/css", "h1", 10, False, None), (4, "https://a.test/x.css#f", "text/css", "h2", 5, False, None), (5, "https://a.test/x.js.map", "", "h3", 7, False, None), (6, "https://b.test/i.png", "image/png", "h4", 3, False, None), (7, "https://c.test/j.png", "image/png", "h4", 3, False, None)]
+    judged = catalog.catalog(spark.createDataFrame(rows, "position int, url string, mime_type string, content_hash string, size long, route_page boolean, route_id string")).orderBy("position").collect()
+    assert [r["outcome"] for r in judged] == ["kept", "duplicate", "kept", "repeated", "source-map", "kept", "duplicate"]
+
+
+def test_sizes_and_paths(spark):
+    row = spark.range(1).select(
+        media.body_size(F.lit("aGk="), F.lit(True)).alias("b64"), media.body_size(F.lit("é"), F.lit(False)).alias("utf8"), media.format_bytes(F.lit(1536)).alias("kb"), media.format_bytes(F.lit(5)).alias("b"),
+        paths.archive_path(F.lit("https://h.test/a%20b/c?page=2&ref=x"), F.lit("text/html")).alias("path"), paths.short_hash(F.lit("?page=2&ref=x")).alias("hash"), paths.is_safe_path(F.lit("a/../b")).alias("safe"),
+    ).first()
+    assert (row["b64"], row["utf8"], row["kb"], row["b"], row["safe"]) == (2, 2, "1.5 KB", "5 B", False)
+    assert (row["path"], row["hash"]) == ("assets/h.test/a b/c.ggleqc.html", "ggleqc")
+
+
+def test_chunks_round_trip_and_gaps(spark):
+    bodies = spark.createDataFrame([("a", b"0123456789"), ("b", b"")], "storage_key string, body binary")
+    chunks = storage.body_chunks(bodies, 4)
+    counts = spark.createDataFrame([("a", 3), ("b", 0)], "storage_key string, chunk_count int")
+    whole = {r["storage_key"]: (bytes(r["body"]), r["complete"]) for r in storage.read_bodies(chunks, counts).collect()}
+    assert whole == {"a": (b"0123456789", True), "b": (b"", True)}
+    assert not storage.read_bodies(chunks.where("index <> 1"), counts).where("storage_key = 'a'").first()["complete"]
+
+
+def test_verdicts(spark):
+    none = spark.createDataFrame([], "category string, code string, severity string, path string, url string, message string")
+    info = spark.createDataFrame([("a", "c", "info", None, None, "")], none.schema)
+    error = spark.createDataFrame([("a", "c", "error", None, None, ""), ("b", "c", "warning", None, None, "")], none.schema)
+    assert [validate.finalize(d).first()["status"] for d in (none, info, error, error.where("severity = 'warning'"))] == ["ready", "ready", "failed", "partial"]
+    assert validate.finalize(error, cancelled=True).first()["status"] == "cancelled"
+    assert validate.finalize(error).first()["categories"] == "a=1,b=1"
+
+
+@pytest.mark.parametrize(("text", "category"), [
+    ("-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "private-key"), ("eyJabcdefgh.eyJabcdefgh.abcdefgh1", "jwt-token"), ("authorization: Bearer abcdefgh.1", "authorization-token"), ("ghp_abcdefghijklmnopqrst", "api-key"), ('password = "abcdefghijkl"', "generic-secret"),
+    ("the token of my appreciation", None), ("password: short", None), ("basic words", None), ("secret garden = lovely", None),
+])
+def test_detectors(spark, text, category):
+    row = spark.createDataFrame([(text,)], "t string").select(privacy.findings(F.col("t"), F.lit("t")).alias("f"), privacy.redacted(F.col("t")).alias("r"), privacy.sanitized_text(F.col("t"))["text"].alias("p")).first()
+    assert [f["category"] for f in row["f"]] == ([category] if category else [])
+    assert row["r"] == row["p"]
+    assert (privacy.REDACTED in row["r"]) == bool(category)
+
+
+def test_urls_and_bodies_without_secrets():
+    found: list = []
+    assert privacy.clean_url("https://u:p@h.test/x?token=abc&a=1&code=short#access_token=1", "url", found) == "https://%5BREDACTED%5D:%5BREDACTED%5D@h.test/x?token=%5BREDACTED%5D&a=1&code=short"
+    assert [f[0] for f in found] == ["url-credential", "url-credential", "url-parameter", "url-fragment"]
+    assert privacy.clean_body('{"a":{"password":"x"},"l":["ok"]}', "application/json", "b", []) == ('{"a":{"password":"[REDACTED]"},"l":["ok"]}', True)
+    assert privacy.clean_body("token: abcdefgh12345", "text/plain", "b", []) == (privacy.REDACTED, False)
+    assert privacy.clean_body(None, None, "b", []) == (None, True)

@@ -55,7 +55,7 @@ def redirect_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def redirect_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Page p redirects to page p / 2 unless it is a resource (p divisible by 5); page 1 and 0 turn in a circle unless 0 is a resource."""
-    pages = capture.table(spark, sf, "pages").select("page_id", urls.normalized(F.col("url")).alias("url"))
+    pages = capture.table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://p.test/"), "page_id").alias("url"))
     target = pages.select(F.col("page_id").alias("to"), F.col("url").alias("target"))
     links = pages.where("page_id % 5 <> 0").join(target, F.floor(F.col("page_id") / 2) == F.col("to")).select("url", "target", F.lit("redirect").alias("kind"))
     return graph.closure(links, pages.where("page_id % 5 = 0").select("url")).select("url", "resource", "hops")
@@ -108,7 +108,7 @@ ORACLE_SQL = {
     "record_counts": with_(RESPONSES, "SELECT 'requests' AS family, count(*) AS n FROM requests UNION ALL SELECT 'responses', count(*) FROM responses UNION ALL SELECT 'bodies', count(DISTINCT body_id) FROM responses UNION ALL SELECT 'api_exchanges', count(*) FROM exchanges"),
     "request_variants": with_(REQUESTS, "SELECT normalized_url AS url, count(*) AS n, '[' || string_agg('\"' || concat_ws('|', id, method, coalesce(request_body_hash, '-'), provenance) || '\"', ',' ORDER BY sequence) || ']' AS variants FROM requests GROUP BY 1 HAVING count(*) > 1"),
     "redirect_pairs": with_(REDIRECTS, "SELECT id AS request_id, predecessor_id, predecessor_url, original_url, normalized_url FROM redirects"),
-    "redirect_closure": f"WITH RECURSIVE p AS (SELECT page_id, {NORMAL.format('url')} AS url FROM pages), walk AS (SELECT page_id AS start, page_id AS here, 0 AS hops FROM p UNION ALL SELECT start, here // 2, hops + 1 FROM walk WHERE here % 5 <> 0 AND here > 1) SELECT a.url, b.url AS resource, w.hops FROM p a LEFT JOIN (SELECT * FROM (SELECT start, CASE WHEN here % 5 <> 0 AND here = 1 THEN 0 ELSE here END AS here, CASE WHEN here % 5 <> 0 AND here = 1 THEN hops + 1 ELSE hops END AS hops FROM walk WHERE here % 5 = 0 OR here = 1)) w ON w.start = a.page_id LEFT JOIN p b ON b.page_id = w.here",
+    "redirect_closure": f"WITH RECURSIVE p AS (SELECT page_id, 'https://p.test/' || page_id AS url FROM pages), walk AS (SELECT page_id AS start, page_id AS here, 0 AS hops FROM p UNION ALL SELECT start, here // 2, hops + 1 FROM walk WHERE here % 5 <> 0 AND here > 1) SELECT a.url, b.url AS resource, w.hops FROM p a LEFT JOIN (SELECT * FROM (SELECT start, CASE WHEN here % 5 <> 0 AND here = 1 THEN 0 ELSE here END AS here, CASE WHEN here % 5 <> 0 AND here = 1 THEN hops + 1 ELSE hops END AS hops FROM walk WHERE here % 5 = 0 OR here = 1)) w ON w.start = a.page_id LEFT JOIN p b ON b.page_id = w.here",
     "body_aliases": with_(RESPONSES, "SELECT body_id, any_value(content_hash) AS content_hash, any_value(size) AS size, count(*) AS n_responses, count(DISTINCT normalized_url) AS n_urls, min(sequence) AS first_sequence FROM responses WHERE body_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
     "rendered_pages": "WITH p AS (SELECT page_id, url, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size FROM pages WHERE page_id % 4 <> 0) SELECT 'route-' || page_id AS route_id, 'route-' || page_id AS owner_route_id, url AS route_url, content_hash, size FROM p UNION ALL SELECT 'alias-' || page_id, 'route-' || page_id, url, content_hash, size FROM p WHERE page_id % 10 = 1",
     "graph_violations": with_(RESPONSES, ", a AS (SELECT CASE WHEN event_id % 101 = 0 THEN 'request-' || sequence ELSE id END AS id, provenance, CASE WHEN event_id % 89 = 0 THEN 'body-lost-' || sequence ELSE body_id END AS body_id, CASE WHEN event_id % 83 = 0 THEN 'partial' ELSE body_state END AS body_state FROM responses), ids AS (SELECT id, 'requests' AS family FROM requests UNION ALL SELECT id, 'responses' FROM a UNION ALL SELECT DISTINCT body_id, 'bodies' FROM responses WHERE body_id IS NOT NULL) SELECT 'duplicate-id' AS rule, min(family) AS family, id, CAST(count(*) AS VARCHAR) AS detail FROM ids GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown-provenance', 'requests', id, 'guessed' FROM requests WHERE event_id % 97 = 0 UNION ALL SELECT 'dangling-body-id', 'responses', id, body_id FROM a WHERE body_id LIKE 'body-lost-%' UNION ALL SELECT 'body-state', 'responses', id, body_state FROM a WHERE body_state = 'partial'"),
