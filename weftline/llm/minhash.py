@@ -7,8 +7,8 @@ element needs to be followed beyond the largest value that its document's signat
 
 Documents of equal sets are one class. Signatures of classes are cut into bands; classes that agree in a band are candidates. In each
 bucket all are held against the bucket's smallest class first, on their full sets; linked classes are grouped by union-find. Then
-what still shares a bucket without sharing a group is held against each other, until no pair is left untested. So a group of
-thousands of near copies costs a few comparisons for each member, and no pair of a bucket is lost.
+classes that still share a bucket without sharing a group are held against each other as far as the rarest elements of their sets
+leave it possible, which is exact. So a group of thousands of near copies costs a few comparisons for each member, and no link is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACES, SpanHasher, document_columns, lowered, mixed, row_id, shared_dir, slices, stored, word_spans
@@ -29,9 +29,7 @@ from .shared import SPACES, SpanHasher, document_columns, lowered, mixed, row_id
 class Settings:
     """words in a shingle; links at intersection / union >= percent / 100; bands of rows_in_band places each.
 
-    A pair at the threshold of 0.8 agrees in none of 24 bands of 4 with a chance below 4 in a million; classes whose
-    signatures agree in fewer than least_agreeing of all places (over seven standard deviations below the threshold) aren't held
-    against each other in the second round.
+    A pair at the threshold of 0.8 agrees in none of 24 bands of 4 with a chance below 4 in a million.
     """
 
     words: int = 5
@@ -43,11 +41,6 @@ class Settings:
     def places(self) -> int:
         return self.bands * self.rows_in_band
 
-    @property
-    def least_agreeing(self) -> int:
-        j = self.percent / 100
-        return max(1, int(self.places * j - 7 * (self.places * j * (1 - j)) ** 0.5))
-
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles (row, hash) in ascending order of both; a row of fewer words has their whole sequence as one."""
@@ -109,13 +102,13 @@ def super_minhash(row: np.ndarray, element: np.ndarray, n_rows: int, places: int
 
 
 def _sketch_schema(id_type: str) -> str:
-    return f"row_no long, doc_id {id_type}, n_shingles long, digest binary, bands array<long>, signature binary"
+    return f"row_no long, doc_id {id_type}, n_shingles long, digest binary, bands array<long>"
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(row_no, doc_id, n_shingles, digest, bands, signature) of rows (row_no, doc_id, text); without shingles digest and the rest are null.
+    """(row_no, doc_id, n_shingles, digest, bands) of rows (row_no, doc_id, text); without shingles digest and the rest are null.
 
-    digest names the set (16 bytes of its hashes' blake2b), bands holds a hash per band, signature a byte per place.
+    digest names the set (16 bytes of its hashes' blake2b), bands holds a hash per band.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +124,9 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                 key = np.broadcast_to(np.arange(1, settings.bands + 1, dtype=np.uint64), band.shape[:2]).copy()
                 for k in range(settings.rows_in_band):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + band[:, :, k])
-                empty = n == 0
                 bands = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) * settings.bands).astype(np.int32)), pa.array(key.view(np.int64).reshape(-1)))
-                short = mixed(signature).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(part.first, len(part)), batch.column(1).slice(part.first, len(part)), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), bands,
-                    pa.array([None if e else short[i * settings.places : (i + 1) * settings.places] for i, e in enumerate(empty)], pa.binary()),
-                ], names=["row_no", "doc_id", "n_shingles", "digest", "bands", "signature"])
+                own = slice(part.first, part.first + len(part))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[own], batch.column(1)[own], pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), bands], names=["row_no", "doc_id", "n_shingles", "digest", "bands"])
 
     return docs.mapInArrow(run, _sketch_schema(docs.schema["doc_id"].dataType.simpleString()))
 
@@ -176,6 +165,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return pairs.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _prefix_candidates(open_sets: DataFrame, settings: Settings, folder: str) -> DataFrame:
+    """Pairs (a, b) of classes of different groups whose sets may still be similar enough, of rows (class, root, set).
+
+    With elements in one order, rare ones first, sets that are similar enough share one of their first few, and from the place of the
+    first that they share on enough must be left. So what many documents share makes no pairs, and no similar pair is lost.
+    """
+    percent = settings.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray([len(x.as_buffer()) // 8 for x in batch.column(2)], np.int64)
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
+            row = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(lengths, lengths)), pa.array(flat)], names=["class", "root", "n", "element"])
+
+    elements = open_sets.select("class", "root", "set").mapInArrow(run, "class long, root long, n long, element long")
+    spread = elements.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
+    ranked = elements.join(spread, "element", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "element"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = stored(ranked.withColumn("place", place).where((F.col("place") <= most) & (F.col("low") < F.col("high"))).select("class", "root", "n", "element", "place"), f"{folder}/prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    fits = F.lit(100) * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    shared = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
+    enough = shared * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & fits & enough)
+    return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(class, root) for all classes of edges (a, b): the smallest class that each can reach.
 
@@ -218,9 +236,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     heads = stored(rows.join(classes, rows["row_no"] == classes["class"], "left_semi").withColumnRenamed("row_no", "class"), f"{folder}/heads")
     member = rows.select("row_no", "digest").where("digest is not null").join(heads.select("digest", "class"), "digest").select("row_no", "class")
 
-    buckets = heads.select("class", "n_shingles", "signature", F.explode("bands").alias("band"))
+    buckets = heads.select("class", "n_shingles", F.explode("bands").alias("band"))
     firsts = buckets.groupBy("band").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    shared = stored(buckets.join(firsts, "band").select("band", "a", F.col("class").alias("b"), "n_shingles", "signature"), f"{folder}/buckets")
+    shared = stored(buckets.join(firsts, "band").select("band", "a", F.col("class").alias("b"), "n_shingles"), f"{folder}/buckets")
     sizes = heads.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"))
     fits = (F.lit(100) * F.least("n_a", "n_shingles") >= settings.percent * F.greatest("n_a", "n_shingles"))
     stars = stored(shared.where("a < b").select("a", "b", "n_shingles").distinct().join(sizes, "a").where(fits).select("a", "b"), f"{folder}/stars")
@@ -230,13 +248,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     links = stored(_verified(stars, sets, settings), f"{folder}/links")
     groups = components(links, f"{folder}/groups")
 
-    grouped = shared.drop("a").withColumnRenamed("b", "class").join(groups, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    grouped = shared.select("band", F.col("b").alias("class")).join(groups, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed_buckets = grouped.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    open_rows = stored(grouped.join(mixed_buckets, "band"), f"{folder}/open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    near = F.lit(100) * F.least("x.n_shingles", "y.n_shingles") >= settings.percent * F.greatest("x.n_shingles", "y.n_shingles")
-    agreeing = F.expr(f"{_agreement('x.signature', 'y.signature', settings)} >= {settings.least_agreeing}")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & near & agreeing).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    open_classes = stored(grouped.join(mixed_buckets, "band").select("class", "root").distinct(), f"{folder}/open")
+    rest = _prefix_candidates(open_classes.join(sets, "class"), settings, folder)
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
     more = stored(_verified(rest, sets, settings), f"{folder}/more")
     groups = components(links.union(more), f"{folder}/all-groups") if more.limit(1).count() else groups
@@ -247,8 +262,3 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least_of_class = ids.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return ids.join(least, "root").join(least_of_class, "class").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id", "row_no", "root")
-
-
-def _agreement(x: str, y: str, settings: Settings) -> str:
-    """SQL for the number of equal bytes of two signatures."""
-    return f"aggregate(sequence(1, {settings.places}), 0, (n, i) -> n + int(substring({x}, i, 1) = substring({y}, i, 1)))"
