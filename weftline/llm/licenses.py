@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import document_columns, row_id
+from .shared import document_columns, row_id, stored
 
 #: Phrases and labels that every scan reports wherever the words stand one after another.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -133,8 +133,18 @@ def detections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kept is false for a detection inside another of at least its priority (of equal spans the higher priority, then the
     earlier rule, stays).
     """
+    return _found(_worded(docs, id_col, text_col))
+
+
+def _worded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row_no, doc_id, n_words, words), stored; words only where an anchor occurs, which few texts have."""
     plain = document_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row_no", row_id())
-    return _found(plain.select("row_no", "doc_id", words_text(F.col("text")).alias("words")))
+    # exploded so that the words are made once for a row and not in each of the conditions on them
+    worded = plain.select("row_no", "doc_id", F.explode(F.array(words_text(F.col("text")))).alias("words"))
+    n_words = F.when(F.length("words") <= 2, F.lit(0).cast("long")).otherwise(spaces(F.col("words")) - 1)
+    keywords = sorted({r[2] for r in signature_rules()})
+    gate = functools.reduce(operator.or_, [F.contains(F.col("words"), F.lit(f" {a} ")) for a in anchors(keywords)])
+    return stored(worded.select("row_no", "doc_id", n_words.alias("n_words"), F.when(gate, F.col("words")).alias("words")))
 
 
 def _found(worded: DataFrame) -> DataFrame:
@@ -142,9 +152,8 @@ def _found(worded: DataFrame) -> DataFrame:
     rules = signature_rules()
     keywords = sorted({r[2] for r in rules})
     padded = F.col("words")
-    gate = functools.reduce(operator.or_, [F.contains(padded, F.lit(f" {a} ")) for a in anchors(keywords)])
     present = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" "))))
-    gated = worded.where(gate).withColumn("keyword", F.explode(present))
+    gated = worded.where("words is not null").withColumn("keyword", F.explode(present)).drop("n_words")
     tried = gated.join(F.broadcast(rule_table(spark)), "keyword")  # a fixed few hundred rules
     pattern = F.concat(F.lit("(?<= )(?:"), F.col("pattern"), F.lit(")(?= )"))
     # what stands before, between and after the matches, counted in words, gives each match its place
@@ -177,8 +186,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     a kept detection, 0 without any. Null and empty texts have no words. Repeated rows are scanned each. An empty table gives an empty
     result.
     """
-    plain = document_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row_no", row_id())
-    worded = plain.select("row_no", "doc_id", words_text(F.col("text")).alias("words"))
+    worded = _worded(docs, id_col, text_col)
     found = _found(worded)
     base = F.col("base")
     by_doc = found.groupBy("row_no").agg(
@@ -186,5 +194,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("kept"), F.col("label")))), ",").alias("labels"), F.max(F.when(F.col("kept"), F.col("confidence"))).alias("score"),
     )
-    counted = worded.select("row_no", "doc_id", F.when(F.length("words") <= 2, F.lit(0).cast("long")).otherwise(spaces(F.col("words")) - 1).alias("n_words"))
-    return counted.join(by_doc, "row_no", "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return worded.join(by_doc, "row_no", "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
