@@ -5,7 +5,8 @@ of the stretches, one after another, are the ids of the text:
 
 1. after a letter, before an ASCII character that is no letter;
 2. after ASCII punctuation, before ASCII white space;
-3. after a tab, line feed or carriage return, before a letter.
+3. after a lone tab, line feed or carriage return, before a letter. Of longer runs of white space the split takes off the last
+   character only if something follows, so a run must not be the end of a stretch.
 
 Letters here are a-z, A-Z and the letters of U+00C0 to U+00FF; any other character never has a cut beside it unless a
 rule names it, so texts in other scripts are merely cut less often.
@@ -54,7 +55,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         inner = cut[1:n]
         inner |= ends_letter[:-1] & (_PLAIN_ASCII & ~_ALPHA)[second]
         inner |= _PUNCTUATION[data[:-1]] & _SPACE[second]
-        inner |= _BREAK[data[:-1]] & begins_letter[1:]
+        lone = _BREAK[data[:-1]] & begins_letter[1:]
+        lone[1:] &= ((data[:-2] > 0x20) & (data[:-2] < 0x7F)) | ends_letter[:-2]
+        inner |= lone
     cut[offsets[:-1]] = True
     cut[n] = False
     return np.flatnonzero(cut)
