@@ -84,9 +84,9 @@ def signature_rules() -> list[tuple[int, str, str, str, int, float, bool]]:
     rules = [(label, phrase, phrase, 10, 0.8, True) for phrase, label in BASE.items()]
     for name, (label, keyword, pattern, versions) in _VERSIONED.items():
         rules.append((label, keyword, pattern, 10, 0.6 if " " not in name else 0.8, False))
-        rules.append((f"{label}-or-later", keyword, f"{pattern}.{{0,40}}?{_OR_LATER}", 40, 0.95, False))
+        rules.append((f"{label}-or-later", keyword, f"{pattern}.{{0,40}}?{_OR_LATER}", 25, 0.95, False))
         for version in versions:
-            rules.append((f"{label}-{version.replace(' ', '.')}", keyword, f"{pattern}{_VERSION} {version}", 30 + len(version), 0.98, False))
+            rules.append((f"{label}-{version.replace(' ', '.')}", keyword, f"{pattern}{_VERSION} v?{version}", 30 + len(version), 0.98, False))
     rules += [(label, keyword, pattern, 20, 0.9, False) for label, (keyword, pattern) in _PLAIN.items()]
     for kind in _CC_KINDS:
         words = " ".join(_CC_WORDS[p] for p in kind.split())
