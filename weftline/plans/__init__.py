@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, content, graph, traffic
+from . import archive, content, graph, reports, traffic
 
-_MODULES = (graph, traffic, archive, content)
+_MODULES = (graph, traffic, archive, content, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
