@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = Non
     """
     spark = docs.sparkSession
     plain = document_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    raw = f"{path}/raw"
+    raw = shared_dir(spark)
     _raw_blocks(plain, tokenizer_path or tokens.default_path()).write.option("compression", "zstd").parquet(raw)
     blocks = spark.read.parquet(raw)
 
