@@ -6,7 +6,7 @@ place by place. Values of one element are spread over the places instead of bein
 element needs to be followed beyond the largest value that its document's signature still holds.
 
 Documents of equal sets are one class. Signatures of classes are cut into bands; classes that agree in a band are candidates. In each
-bucket all are held against the bucket's smallest class first, on their full sets; linked classes are grouped by union-find. Then
+bucket all are held against one of them on their full sets, in a few rounds; linked classes are grouped by union-find each time. Then
 classes that still share a bucket without sharing a group are held against each other as far as the rarest elements of their sets
 leave it possible, which is exact. So a group of thousands of near copies costs a few comparisons for each member, and no link is lost.
 """
@@ -22,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, SpanHasher, document_columns, lowered, mixed, row_id, shared_dir, slices, stored, word_spans
+from .shared import SPACES, SpanHasher, document_columns, lowered, mixed, row_id, sendable, shared_dir, slices, stored, word_spans
+
+
+#: So often the classes of a bucket are held against one of them: first against the smallest, then against others by a hash.
+STAR_ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -142,7 +146,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
                 raw = value.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array([raw[8 * a : 8 * b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], names=["class", "set"])
 
-    return docs.join(wanted, docs["row_no"] == wanted["class"], "left_semi").select("row_no", "text").mapInArrow(run, "class long, set binary")
+    return docs.join(sendable(wanted), docs["row_no"] == wanted["class"], "left_semi").select("row_no", "text").mapInArrow(run, "class long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -165,11 +169,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return pairs.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+CELLS = 64
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a set's elements by cell; null where one doesn't fit a short."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+        counts = [np.bincount(((x >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.astype(np.int16) if c.max() < 1 << 15 else None for c in counts], pa.list_(pa.int16()))], names=["class", "cells"])
+
+
 def _prefix_candidates(open_sets: DataFrame, settings: Settings, folder: str) -> DataFrame:
     """Pairs (a, b) of classes of different groups whose sets may still be similar enough, of rows (class, root, set).
 
     With elements in one order, rare ones first, sets that are similar enough share one of their first few, and from the place of the
-    first that they share on enough must be left. So what many documents share makes no pairs, and no similar pair is lost.
+    first that they share on enough must be left. Beside that, elements are counted in CELLS cells by their hash: no more are shared
+    than the smaller counts add up to. So what many documents share makes few pairs, and no similar pair is lost.
     """
     percent = settings.percent
 
@@ -186,11 +202,15 @@ def _prefix_candidates(open_sets: DataFrame, settings: Settings, folder: str) ->
     place = F.row_number().over(Window.partitionBy("class").orderBy("df", "element"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = stored(ranked.withColumn("place", place).where((F.col("place") <= most) & (F.col("low") < F.col("high"))).select("class", "root", "n", "element", "place"), f"{folder}/prefixes")
+    cells = stored(open_sets.select("class", "set").mapInArrow(_cells, "class long, cells array<short>"), f"{folder}/cells")
+    first = first.join(sendable(cells, 50_000), "class")
     x, y = first.alias("x"), first.alias("y")
     fits = F.lit(100) * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     shared = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1
     enough = shared * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & fits & enough)
+    meet = F.aggregate(F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n.cast("int"))
+    common = F.coalesce(meet * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n")), F.lit(True))
+    pairs = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & fits & enough & common)
     return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
@@ -237,22 +257,29 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     member = rows.select("row_no", "digest").where("digest is not null").join(heads.select("digest", "class"), "digest").select("row_no", "class")
 
     buckets = heads.select("class", "n_shingles", F.explode("bands").alias("band"))
-    firsts = buckets.groupBy("band").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    shared = stored(buckets.join(firsts, "band").select("band", "a", F.col("class").alias("b"), "n_shingles"), f"{folder}/buckets")
-    sizes = heads.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"))
-    fits = (F.lit(100) * F.least("n_a", "n_shingles") >= settings.percent * F.greatest("n_a", "n_shingles"))
-    stars = stored(shared.where("a < b").select("a", "b", "n_shingles").distinct().join(sizes, "a").where(fits).select("a", "b"), f"{folder}/stars")
-    # every class that shares a bucket may be asked for its set in either round
-    wanted = shared.select(F.col("b").alias("class")).distinct()
+    crowded = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    shared = stored(buckets.join(crowded, "band").select("band", "class", "n_shingles"), f"{folder}/buckets")
+    # every class that shares a bucket may be asked for its set in any round
+    wanted = stored(shared.select("class").distinct(), f"{folder}/wanted")
     sets = stored(_full_sets(plain, wanted, settings), f"{folder}/sets")
-    links = stored(_verified(stars, sets, settings), f"{folder}/links")
-    groups = components(links, f"{folder}/groups")
 
-    grouped = shared.select("band", F.col("b").alias("class")).join(groups, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    grouped, tested, links = shared.withColumn("root", F.col("class")), None, None
+    for turn in range(STAR_ROUNDS):
+        order = F.col("class") if turn == 0 else F.xxhash64("class", F.lit(turn))
+        head = F.min_by(F.struct("class", "root", "n_shingles"), order).alias("head")
+        leaders = grouped.groupBy("band").agg(head, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "head")
+        fits = F.lit(100) * F.least("head.n_shingles", "n_shingles") >= settings.percent * F.greatest("head.n_shingles", "n_shingles")
+        pairs = grouped.join(leaders, "band").where((F.col("root") != F.col("head.root")) & fits).select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b")).distinct()
+        stars = stored(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, f"{folder}/stars-{turn}")
+        found = stored(_verified(stars, sets, settings), f"{folder}/links-{turn}")
+        tested, links = (tested.union(stars), links.union(found)) if turn else (stars, found)
+        groups = components(links, f"{folder}/groups-{turn}")
+        grouped = stored(shared.join(groups, "class", "left").select("band", "class", "n_shingles", F.coalesce("root", "class").alias("root")), f"{folder}/grouped-{turn}")
+
     mixed_buckets = grouped.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     open_classes = stored(grouped.join(mixed_buckets, "band").select("class", "root").distinct(), f"{folder}/open")
     rest = _prefix_candidates(open_classes.join(sets, "class"), settings, folder)
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), f"{folder}/rest")
+    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), f"{folder}/rest")
     more = stored(_verified(rest, sets, settings), f"{folder}/more")
     groups = components(links.union(more), f"{folder}/all-groups") if more.limit(1).count() else groups
 

@@ -36,13 +36,25 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sendable(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows, marked to be sent to all tasks if it has at most most_rows rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def row_id() -> Column:
     """A number for each row of a stored table, used to tell repeated rows apart."""
     return F.monotonically_increasing_id()
 
 
+#: Rows that go to Python at once at most; texts may be long, and a task holds several copies of a batch.
+BATCH_ROWS = 1024
+
+
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of the caller can't clash."""
+    """Only the named columns, so that further columns of the caller can't clash; the session's Arrow batches become small enough for texts."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
