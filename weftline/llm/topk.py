@@ -3,8 +3,8 @@
 The components of the vectors are split into PARTS, and a score is the sum of one partial score per part. Every (block of vectors, part) is a
 list holder that computes the partial scores of a block of queries.
 
-1. Each holder gives its k best partial scores and its lowest. Of each query, what was seen plus the lowest of the parts that
-   weren't gives lower bounds of totals; the k-th best bound is a total that the k best reach.
+1. Each holder gives its k best partial scores and its lowest. The vectors of these lists are scored in full; the k-th best of them is a
+   total that the k best of all reach.
 2. A total that reaches it has in some part a share of at least the part's lowest plus an equal share of what the bound is above the sum of
    the lowest. This cutoff goes to every holder, which gives all that reaches it.
 3. Vectors whose upper bound (cutoffs for parts not seen) reaches the k-th best lower bound are scored in full.
@@ -113,8 +113,8 @@ def search(vectors: DataFrame, queries_where, *, k: int = 10, id_col: str = "vec
     first = stored(_holders(lists, _query_blocks(no_cutoff), groups).mapInArrow(lambda b: _partial(b, k, 1), _PARTIALS))
     lowest = first.where("vec_id is null").groupBy("query_id", "part").agg(F.min("partial").alias("low"))
     lows = lowest.groupBy("query_id").agg(F.sum("low").alias("sum_low"))
-    seen = first.where("vec_id is not null").join(lowest, ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("partial") - F.col("low")).alias("above"))
-    bound = _kth(seen.join(lows, "query_id").withColumn("lower", F.col("above") + F.col("sum_low")), k, "reached")
+    gathered = _exact(first.where("vec_id is not null").select("query_id", "vec_id").distinct(), parts, query_parts)
+    bound = _kth(gathered.withColumnRenamed("score", "lower"), k, "reached")
     # what isn't known to be k good totals has no cutoff
     cut = lowest.join(lows, "query_id").join(bound, "query_id", "left").withColumn("cutoff", F.when(F.col("reached").isNotNull(), F.col("low") + (F.col("reached") - F.col("sum_low")).cast("double") / PARTS))
     cut = stored(cut.select("query_id", "part", "low", "sum_low", "cutoff"))
@@ -130,9 +130,7 @@ def search(vectors: DataFrame, queries_where, *, k: int = 10, id_col: str = "vec
     open_ = met.join(tops, "query_id").join(needed, "query_id", "left").where(F.col("needed").isNull() | (upper >= F.col("needed")))
 
     complete = open_.where(F.col("n") == PARTS).select("query_id", "vec_id", F.col("lower").alias("score"))
-    missing = open_.where(F.col("n") < PARTS).select("query_id", "vec_id")
-    q = query_parts.select(F.col("vec_id").alias("query_id"), "part", F.col("v").alias("q"))
-    resolved = missing.join(parts, "vec_id").join(q, ["query_id", "part"]).select("query_id", "vec_id", "q", "v").mapInArrow(_scored, "query_id long, vec_id long, partial long").groupBy("query_id", "vec_id").agg(F.sum("partial").alias("score"))
+    resolved = _exact(open_.where(F.col("n") < PARTS).select("query_id", "vec_id"), parts, query_parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return complete.unionByName(resolved).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -151,10 +149,22 @@ def _kth(bounds: DataFrame, k: int, into: str) -> DataFrame:
     return bounds.select("query_id", "lower").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("lower").alias(into))
 
 
+def _exact(pairs: DataFrame, parts: DataFrame, query_parts: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of pairs, over all parts."""
+    q = query_parts.select(F.col("vec_id").alias("query_id"), "part", F.col("v").alias("q"))
+    both = pairs.join(parts, "vec_id").join(q, ["query_id", "part"])
+    return both.select("query_id", "vec_id", "q", "v").mapInArrow(_scored, "query_id long, vec_id long, partial long").groupBy("query_id", "vec_id").agg(F.sum("partial").alias("score"))
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for q, v in zip(batch.column(2), batch.column(3), strict=True):
-            q, v = np.frombuffer(q.as_buffer(), "<f8")[None, :], np.frombuffer(v.as_buffer(), "<f8")[None, :]
-            out.append(_long(products(q, v)[0, 0]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["query_id", "vec_id", "partial"])
+        q, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        out, sizes = np.zeros(batch.num_rows, np.int64), np.array([len(x) for x in q])
+        for size in np.unique(sizes):  # parts may differ by one component
+            own = np.flatnonzero(sizes == size)
+            x, y = (np.frombuffer(b"".join([m[i] for i in own]), "<f8").reshape(len(own), -1) for m in (q, v))
+            if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * max(x.shape[1], 1) < _EXACT:
+                out[own] = np.einsum("nd,nd->n", x, y).astype(np.int64)
+            else:
+                out[own] = [_long(products(a[None, :], b[None, :])[0, 0]) for a, b in zip(x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["query_id", "vec_id", "partial"])
