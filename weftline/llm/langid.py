@@ -66,7 +66,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.asarray(batch.column(0).to_pylist(), object)
         out = []
-        for part in slices(batch.column(1), 4 << 20):
+        for part in slices(batch.column(1), 1 << 20):
             lang = langs[part.first : part.first + len(part)]
             position = np.arange(len(part.data)) - np.repeat(part.offsets[:-1], np.diff(part.offsets))
             names, which = np.unique(lang.astype(str), return_inverse=True)
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, trees: Trees, *, text_col: str = "text", into: tup
         known = np.array([*trees.languages, UNKNOWN], object)
         for batch in batches:
             which, score, rate = np.empty(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for part in slices(batch.column(names.index(text_col)), 1 << 20):
+            for part in slices(batch.column(names.index(text_col))):
                 own = slice(part.first, part.first + len(part))
                 if not trees.languages:
                     which[own] = 0

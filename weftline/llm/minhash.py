@@ -71,7 +71,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return rows[new], value[new]
 
 
-def super_minhash(row: np.ndarray, element: np.ndarray, n_rows: int, places: int, step: int = 1 << 17) -> np.ndarray:
+def super_minhash(row: np.ndarray, element: np.ndarray, n_rows: int, places: int, step: int = 1 << 15) -> np.ndarray:
     """Signatures (n_rows x places) of sets given as (row, element); 64-bit values: the rank j, then 56 bits of u[j].
 
     A row without elements has the largest value everywhere.
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(2), 1 << 20):
+            for part in slices(batch.column(2)):
                 row, value = shingles(part.data, part.offsets, settings.words)
                 n = np.bincount(row, minlength=len(part))
                 ends = np.cumsum(n)
@@ -140,7 +140,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), 1 << 20):
+            for part in slices(batch.column(1)):
                 row, value = shingles(part.data, part.offsets, settings.words)
                 ends = np.searchsorted(row, np.arange(len(part)), "right").tolist()
                 raw = value.astype("<u8").tobytes()

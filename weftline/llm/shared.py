@@ -49,6 +49,9 @@ def row_id() -> Column:
 #: Rows that go to Python at once at most; texts may be long, and a task holds several copies of a batch.
 BATCH_ROWS = 1024
 
+#: Bytes of text that a task works on at once; numbers for each byte and word take about a hundred times this.
+SLICE_BYTES = 256 << 10
+
 
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller can't clash; the session's Arrow batches become small enough for texts."""
@@ -83,7 +86,7 @@ class Slice:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def slices(array: pa.Array, max_bytes: int = 2 << 20) -> Iterator[Slice]:
+def slices(array: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cuts an Arrow string array into slices of about max_bytes; a longer row is a slice of its own."""
     wide = pa.large_binary()
     array = array.cast(pa.large_string()).cast(wide) if not pa.types.is_binary(array.type) else array.cast(wide)
