@@ -83,6 +83,17 @@ def test_ann_recall_with_many_lists(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_ann_recall_without_structure(spark):
+    v = np.random.default_rng(10).normal(size=(20_000, 32)).astype(np.float32)
+    settings = ann.Settings(list_size=5)
+    assert len(ann.balanced_centroids(v.astype(float), 4000)) > 4000  # far more lists than settings.lists
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    want, got = nearest(np.arange(20_000), v.astype(float), 10), by_query(ann.search(df, IS_QUERY, settings))
+    hits = sum(len({x for x, _ in got[q]} & {x for x, _ in want[q]}) for q in want)
+    print(f"recall {hits / (10 * len(want))}")
+    assert hits >= 0.9 * 10 * len(want)
+
+
 def test_graph_finds_nearest_centroids():
     rng = np.random.default_rng(7)
     graph = ann.centroid_graph(rng.normal(size=(4000, 8)), 512, 16)

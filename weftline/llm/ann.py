@@ -4,13 +4,14 @@ A bounded sample is split again and again into halves of equal size; the means o
 held in memory with links to their neighbours, and the nearest to a vector are found by walking that graph. Every
 vector goes to the posting list of its nearest centroid and, near a boundary, of others whose distance is hardly larger; a list of many
 vectors is several blocks, so none is a task of its own. A query reads the lists of the nearest centroids as far as their
-distance stays within a ratio of the smallest, and scores what they hold exactly.
+distance stays within a ratio of the smallest, and scores what they hold exactly. How many it reads at most is found on the table
+itself: it is raised until a sample of the queries, held against all vectors, finds enough of its nearest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from .vectors import as_bytes, blocks, candidates, matrix, usable
 class Settings:
     """sample: rows that centroids are made from at most; list_size: vectors a list is meant to hold, which sets the number of
     centroids up to most_centroids; replicas, boundary: a vector goes to so many lists at most, within (1 + boundary) times the smallest distance;
-    lists, ratio: a query reads so many lists at most, within (1 + ratio) times the smallest distance."""
+    lists, ratio: a query reads so many lists at most, within (1 + ratio) times the smallest distance, as long as a sample of
+    measured queries finds recall of its nearest with that; more are read where it doesn't."""
 
     sample: int = 40_000
     list_size: int = 160
@@ -34,6 +36,8 @@ class Settings:
     boundary: float = 0.12
     lists: int = 128
     ratio: float = 0.6
+    recall: float = 0.95
+    measured: int = 128
     degree: int = 24
     block: int = 1024
 
@@ -52,6 +56,11 @@ class CentroidGraph:
         k = min(k, total)
         beam = min(total, max(k, beam))
         norms = (self.centroids**2).sum(1)
+        if 4 * beam >= total:  # a walk would come by most of them
+            square = norms - 2 * vectors @ self.centroids.T
+            number = np.argsort(square, axis=1, kind="stable")[:, :k]
+            square = np.take_along_axis(square, number, 1) + (vectors**2).sum(1)[:, None]
+            return number, np.sqrt(np.maximum(square, 0))
         known = np.zeros((n, total), bool)
         line = np.arange(n)[:, None]
         number = np.broadcast_to(self.entries, (n, len(self.entries)))
@@ -117,7 +126,19 @@ def centroid_graph(sample: np.ndarray, n: int, degree: int, *, seed: int = 5) ->
         square = norms[None, :] - 2 * centroids[lo : lo + 1024] @ centroids.T
         near.append(np.argpartition(square, min(degree, total - 1), axis=1)[:, : min(degree + 1, total)])
     far = random.integers(0, total, (total, 2))  # a few links across, so that every part is reached
-    return CentroidGraph(centroids, np.concatenate([np.concatenate(near), far], 1), np.sort(random.choice(total, min(total, max(32, int(4 * total**0.5))), replace=False)))
+    entries = random.choice(total, min(total, max(32, int(4 * total**0.5))), replace=False)
+    return CentroidGraph(centroids, np.concatenate([np.concatenate(near), far], 1), np.union1d(entries, spread_entries(centroids, (len(entries) + 1) // 2)))
+
+
+def spread_entries(centroids: np.ndarray, n: int) -> np.ndarray:
+    """n centroids, each the farthest from those before it, so that walks also begin in small groups that lie apart."""
+    norms = (centroids**2).sum(1)
+    chosen, apart = [0], np.full(len(centroids), np.inf, np.float32)
+    while len(chosen) < n:
+        apart = np.minimum(apart, norms - 2 * centroids @ centroids[chosen[-1]] + norms[chosen[-1]])
+        apart[chosen] = -np.inf
+        chosen.append(int(apart.argmax()))
+    return np.sort(np.array(chosen))
 
 
 def _assigned(vectors: DataFrame, graph, settings: Settings) -> DataFrame:  # noqa: ANN001
@@ -142,6 +163,59 @@ def _assigned(vectors: DataFrame, graph, settings: Settings) -> DataFrame:  # no
     return vectors.select("vec_id", "v").mapInArrow(run, "list long, vec_id long, v binary")
 
 
+def _near_enough(distance: np.ndarray, ratio: float) -> np.ndarray:
+    """Which lists a query reads, of ascending distances; where lists lie on the query itself the smallest is no scale: the fourth is used."""
+    return distance <= (1 + ratio) * distance[:, min(3, distance.shape[1] - 1)][:, None]
+
+
+def _nearest_of_all(vectors: DataFrame, ids: np.ndarray, v: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, v): the k nearest of all vectors to each of a few queries."""
+    asked = vectors.sparkSession.sparkContext.broadcast((ids, v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = asked.value
+        for batch in batches:
+            theirs, x = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f8").reshape(batch.num_rows, -1)
+            for own, q in zip(ids, queries, strict=True):
+                score = np.sqrt(((x - q) ** 2).sum(1))
+                score[theirs == own] = np.inf
+                few = np.lexsort((theirs, score))[:k]
+                few = few[np.isfinite(score[few])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(few), own)), batch.column(0).take(pa.array(few)), batch.column(1).take(pa.array(few)), pa.array(score[few])], names=["query_id", "vec_id", "v", "score"])
+
+    found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, v binary, score double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("n", best).where(F.col("n") <= k).select("query_id", "vec_id", "v")
+
+
+def _measured(queries: DataFrame, vectors: DataFrame, graph, settings: Settings, k: int) -> Settings:  # noqa: ANN001
+    """The settings, with as many more lists as a sample of the queries needs to find recall of its k nearest; at last all lists, which hold every vector."""
+    total = len(graph.value.centroids)
+    asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.measured).toPandas()
+    if asked.empty:
+        return settings
+    ids, v = asked["vec_id"].to_numpy(), np.frombuffer(b"".join(asked["v"]), "<f8").reshape(len(asked), -1)
+    nearest = _nearest_of_all(vectors, ids, v, k)
+    homes = _assigned(nearest.select("vec_id", "v").distinct(), graph, settings).select("vec_id", "list")
+    wanted = nearest.select("query_id", "vec_id").join(homes, "vec_id").toPandas()
+    if wanted.empty:
+        return settings
+    number, distance = graph.value.search(v.astype(np.float32), total, total)
+    at = np.argsort(number, axis=1)  # the place of each list in a query's order
+    line = wanted["query_id"].map({q: n for n, q in enumerate(ids)}).to_numpy()
+    wanted["place"] = at[line, wanted["list"].to_numpy()]
+    wanted["near"] = _near_enough(distance, settings.ratio)[line, wanted["place"].to_numpy()]
+    n = len(wanted[["query_id", "vec_id"]].drop_duplicates())
+    lists = settings.lists
+    while True:
+        seen = wanted[wanted["near"] & (wanted["place"] < lists)]
+        if len(seen[["query_id", "vec_id"]].drop_duplicates()) >= settings.recall * n:
+            return replace(settings, lists=lists)
+        if lists >= total:
+            return replace(settings, lists=total, ratio=np.inf)
+        lists *= 2
+
+
 def _read_lists(queries: DataFrame, graph, settings: Settings) -> DataFrame:  # noqa: ANN001
     """(list, vec_id, v): each query with the lists it reads."""
 
@@ -151,10 +225,10 @@ def _read_lists(queries: DataFrame, graph, settings: Settings) -> DataFrame:  #
                 part = batch.slice(lo, 256)
                 v = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f8").reshape(part.num_rows, -1).astype(np.float32)
                 number, distance = graph.value.search(v, settings.lists, 2 * settings.lists)
-                # where lists lie on the query itself the smallest distance is no scale: the fourth is used
-                scale = distance[:, min(3, distance.shape[1] - 1)]
-                row, at = np.nonzero(distance <= (1 + settings.ratio) * scale[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(number[row, at].astype(np.int64)), *(part.column(c).take(pa.array(row)) for c in (0, 1))], names=["list", "vec_id", "v"])
+                rows, places = np.nonzero(_near_enough(distance, settings.ratio))
+                for first in range(0, len(rows), 1 << 14):
+                    row, at = rows[first : first + (1 << 14)], places[first : first + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([pa.array(number[row, at].astype(np.int64)), *(part.column(c).take(pa.array(row)) for c in (0, 1))], names=["list", "vec_id", "v"])
 
     return queries.select("vec_id", "v").mapInArrow(run, "list long, vec_id long, v binary")
 
@@ -193,8 +267,10 @@ def search(vectors: DataFrame, queries_where, settings: Settings = Settings(), *
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.frombuffer(b"".join(rows["v"]), "<f8").reshape(len(rows), -1)
     graph = spark.sparkContext.broadcast(centroid_graph(sample, min(settings.most_centroids, -(-n // settings.list_size)), settings.degree))
-    lists = blocks(_assigned(candidates(good, k), graph, settings), ["list"], settings.block)
-    asked = blocks(_read_lists(good.where(queries_where), graph, settings), ["list"], 256)
+    others, queries = candidates(good, k), good.where(queries_where)
+    settings = _measured(queries, others, graph, settings, k)
+    lists = blocks(_assigned(others, graph, settings), ["list"], settings.block)
+    asked = blocks(_read_lists(queries, graph, settings), ["list"], 256)
     pairs = asked.select("list", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")).join(lists, "list").select("q_ids", "q_vs", "ids", "vs")
     found = pairs.mapInArrow(lambda batches: _nearest_in_blocks(batches, k), "query_id long, vec_id long, score double")
     # a vector may have been found in several lists
