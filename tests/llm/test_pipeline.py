@@ -69,6 +69,13 @@ def test_columns_with_clashing_names(spark, labelled):
         assert {r[0] for r in out.select("score").collect()} <= {7}
 
 
+@pytest.mark.parametrize("stage", [pipeline.one_of_each_group, pipeline.mixed])
+def test_joined_rows_are_numbered_once(spark, labelled, stage):
+    """Numbers made in the plan that joins them would differ from those of an earlier read with other splits."""
+    plan = stage(spark, spark.read.parquet(f"{labelled}/documents.parquet"), labelled)._jdf.queryExecution().analyzed().toString()
+    assert "monotonically_increasing_id" not in plan
+
+
 def test_run(spark, sf):
     out = pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

@@ -186,6 +186,13 @@ def test_warc_smallest_size_that_is_deduplicated(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_rows_are_numbered_once(spark, tmp_path, monkeypatch):
+    plans, write = [], warc.write_warc
+    monkeypatch.setattr(warc, "write_warc", lambda rows, path: plans.append(rows._jdf.queryExecution().analyzed().toString()) or write(rows, path))
+    warc.archive(spark.createDataFrame([(1, None, "x", None, None)], PAGES), f"file://{tmp_path}/w")
+    assert "monotonically_increasing_id" not in plans[0]
+
+
 def test_files_no_manifest_names_are_ignored(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.archive(spark.createDataFrame([(1, None, "x", None, None)], PAGES), path)

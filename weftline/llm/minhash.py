@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, SpanHasher, document_columns, lowered, mixed, row_id, sendable, shared_dir, slices, stored, word_spans
+from .shared import SPACES, SpanHasher, document_columns, lowered, mixed, numbered, sendable, shared_dir, slices, stored, word_spans
 
 
 #: So often the classes of a bucket are held against one of them: first against the smallest, then against others by a hash.
@@ -239,17 +239,20 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         roots = stored(flat.join(hooks, "class", "left").select("class", F.coalesce("hook", "root").alias("root")), f"{folder}/roots-{turn}")
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:  # noqa: B008
     """(doc_id, n_shingles, component_id, kept, class_id, row_no, root) for every row.
 
     component_id is the smallest doc_id that links reach, kept marks it. class_id is the smallest doc_id of the same set;
     row_no numbers the rows, root is the smallest row_no of the component. Null, empty and wordless texts have no shingles and are linked with
     nothing. Of repeated rows of one doc_id every one is returned, and kept where the component has that id. Rows of null doc_id come after all
-    others. docs must give its rows in the same order whenever it is read, as a stored table does. An empty table gives an empty result.
+    others. row_col: a column of docs with a number for each row, stored in it; without it docs is stored once with numbers. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    plain = document_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("row_no", row_id())
+    if row_col:
+        plain = document_columns(docs, id_col, text_col, row_col).toDF("doc_id", "text", "row_no")
+    else:
+        plain = numbered(document_columns(docs, id_col, text_col).toDF("doc_id", "text"), path=f"{folder}/rows")
     rows = stored(sketches(plain.select("row_no", "doc_id", "text"), settings), f"{folder}/sketches")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("row_no").alias("class"))
     # of each class one row stands for all; the others' signatures are the same

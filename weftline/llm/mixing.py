@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float) -
 
 def mix(
     docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, row_col: str | None = None,
 ) -> DataFrame:
     """How often a mix takes each document: row (doc_id, source, size, source_size, target, epochs, copies, taken).
 
@@ -71,12 +71,12 @@ def mix(
     budget; of those left, the one whose size comes nearest to what is missing is taken too. Ties of the key go by doc_id, null last; repeated rows are
     documents of their own. Null and empty texts have size 0, are in every whole epoch and never hold up a budget;
     a source whose documents are all empty has target 0. Null sources are one source, the last.
-    An empty table gives an empty result.
+    row_col: a column with a number for each row, stored in docs, to be given as row_no. An empty table gives an empty result.
     """
     text = F.col(text_col)
-    plain = document_columns(docs, id_col, text_col, source_col)
+    plain = document_columns(docs, id_col, text_col, source_col, *([row_col] if row_col else []))
     key = -F.log(uniform(F.col(id_col), seed)) / text_quality(text)
-    narrow = stored(plain.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"), row_id().alias("row_no")))
+    narrow = stored(plain.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"), (F.col(row_col) if row_col else row_id()).alias("row_no")))
     # 1 - exp(-key) rises with the key from 0 to 1
     slotted = narrow.withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key"))) * slots), F.lit(slots - 1)).cast("int"))
 

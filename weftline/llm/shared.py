@@ -36,13 +36,21 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "row_no", path: str | None = None) -> DataFrame:
+    """df with a number for each row, written with it: another read of an input may be split otherwise, and so numbered otherwise."""
+    spark = df.sparkSession
+    path, df = path or shared_dir(spark), df.withColumn(name, row_id())
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sendable(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A stored table of narrow rows, marked to be sent to all tasks if it has at most most_rows rows; a larger one is joined by shuffling."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def row_id() -> Column:
-    """A number for each row of a stored table, used to tell repeated rows apart."""
+    """A number for each row within one read, used to tell repeated rows apart; only a number that is stored may be joined on."""
     return F.monotonically_increasing_id()
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import document_columns, row_id, shared_dir, stored
+from .shared import document_columns, numbered, shared_dir, stored
 
 CHUNK = 1 << 18
 #: Fixed values of the format.
@@ -213,11 +213,10 @@ def archive(pages: DataFrame, path: str, *, least_bytes: int = 0, id_col: str =
     """Writes a record for each row, later ones of equal payload as revisits; returns the manifest.
 
     Payloads are strings (written in UTF-8) or binary; null is empty. Repeated rows are records of their own. A record without url has
-    no WARC-Target-URI; white space in a url is left out. An empty table writes no archive. pages must give its rows in the same order whenever it is read,
-    as a stored table does.
+    no WARC-Target-URI; white space in a url is left out. An empty table writes no archive. pages is read once and stored with a number for each row.
     """
     plain = document_columns(pages, id_col, url_col, payload_col).toDF("record_id", "url", "payload")
-    plain = plain.select(row_id().alias("row_no"), F.col("record_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
+    plain = numbered(plain.select(F.col("record_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload")))
     keys = plain.select("row_no", "record_id")
     digests = digested(payload_chunks(plain.select("row_no", "payload"), chunk=chunk)).join(keys, "row_no")
     types = stored(classified(digests, least_bytes))
