@@ -406,6 +406,15 @@ def test_licenses_whole_table(docs, known):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
+def test_license_notices(spark):
+    end = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = [f"the terms of the GNU {name} {end.format(v)}" for name, v in (("General Public License", "2"), ("Lesser General Public License", "2.1"), ("Affero General Public License", "3"))]
+    texts.append("GNU General Public License as published by the Free Software Foundation, version 2")
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i][0] - {"gpl"} for i in range(4)] == [{"gpl-2", "gpl-or-later"}, {"lgpl-2.1", "lgpl-or-later"}, {"agpl-3", "agpl-or-later"}, {"gpl-2"}]
+    assert {s for _, s in got.values()} == {0.98}
+
+
 def test_license_rules(spark):
     texts = ["Licensed under the Apache License, Version 2.0 (the", "GNU Lesser General Public License v2.1 or any later version", "mit license MIT LICENSE x mit license", "CC BY-NC-SA 4.0", "SPDX-License-Identifier: Apache-2.0", "nothing here", "may mit license" + " pad" * 3000 + " cc by"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -23,6 +23,10 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 _VERSION = "(?: (?:version|v|ver))?"
 _OR_LATER = "(?: or(?: at your option)? any later version| or later| or newer)"
 
+#: Between name and version in the notices that the GNU licenses ask for.
+_NOTICE = "(?: as published by the free software foundation(?: inc)?)(?: either)? (?:version|v|ver)"
+_IN_NOTICES = ("gpl", "lgpl", "agpl")
+
 #: Families with versions: name -> (label, keyword, pattern of the name, versions).
 _VERSIONED = {
     "gnu general public license": ("gpl", "general public license", "(?:gnu )?general public license", ("1 0", "2 0", "3 0", "1", "2", "3")),
@@ -97,6 +101,11 @@ def signature_rules() -> list[tuple[int, str, str, str, int, float, bool]]:
             rules.append((f"{label}-{version.replace(' ', '.')}", f"cc {kind}", f"cc {kind} {version}", 40 + len(kind), 0.98, False))
             rules.append((f"{label}-{version.replace(' ', '.')}", "creative commons", f"creative commons {words}{_VERSION}(?: license)? {version}", 40 + len(kind), 0.98, False))
     rules += [(f"spdx-{i.replace(' ', '-')}", "spdx license identifier", f"spdx license identifier {i}", 50 + len(i), 1.0, False) for i in _SPDX]
+    for label, keyword, pattern, versions in _VERSIONED.values():
+        if label in _IN_NOTICES:
+            notice = f"{pattern}{_NOTICE}"
+            rules.append((f"{label}-or-later", keyword, f"{notice} v?[0-9](?: [0-9])?(?: of the license)?{_OR_LATER}", 25, 0.95, False))
+            rules += [(f"{label}-{v.replace(' ', '.')}", keyword, f"{notice} v?{v}(?: of the license)?", 30 + len(v), 0.98, False) for v in versions]
     return [(n, *rule) for n, rule in enumerate(rules)]
 
 
