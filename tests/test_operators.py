@@ -80,6 +80,18 @@ def test_closure(spark):
     assert got == {("a", "c", 2), ("b", "c", 1), ("c", "c", 0), ("x", None, None), ("y", None, None), ("d", None, None), ("m", "c", 1)}
 
 
+def test_long_chains(spark):
+    """Three hundred redirects to a resource, beside a circle of as many."""
+    rows = [(f"p{i}", f"p{i + 1}", "redirect") for i in range(300)] + [(f"c{i}", f"c{(i + 1) % 300}", "redirect") for i in range(300)]
+    got = {r["url"]: (r["resource"], r["hops"]) for r in graph.closure(spark.createDataFrame(rows, "url string, target string, kind string"), spark.createDataFrame([("p300",)], "url string")).collect()}
+    assert got == {f"p{i}": ("p300", 300 - i) for i in range(301)} | {f"c{i}": (None, None) for i in range(300)}
+
+
+def test_deep_pagination(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(70)], "source string, target string")
+    assert {(r["url"], r["depth"]) for r in crawl.reachable(spark.createDataFrame([("0",)], "url string"), links).collect()} == {(str(i), i) for i in range(71)}
+
+
 def test_graph_rules(spark):
     requests = spark.createDataFrame([("r1", "observed", "t1"), ("r1", "guessed", None), (None, "observed", None)], "id string, provenance string, target_id string")
     targets = spark.createDataFrame([], "id string, provenance string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -68,14 +69,16 @@ def decide(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:  # no
     return judged.select("crawl", "position", "route_url", "transition_kind", F.when(F.col("reason") == "same-origin-anchor", "accepted").otherwise("skipped").alias("state"), "reason")
 
 
-def reachable(seeds: DataFrame, links: DataFrame, *, rounds: int = 64) -> DataFrame:
+def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(url, depth): what seeds (url) reach over links (source, target), by breadth; each round is stored, and the loop ends when one finds nothing."""
     found = materialized(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     newest = found
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         step = newest.join(links, newest["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
         newest = materialized(step.join(found, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
             break
         found = found.unionByName(newest)
+        if depth % 16 == 0:
+            found = materialized(found)  # plans stay small however deep links go
     return found

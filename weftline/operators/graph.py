@@ -91,21 +91,23 @@ def rendered_pages(routes: DataFrame, documents: DataFrame, bodies: DataFrame) -
     return pages.withColumn("route", F.explode(F.array_union(F.array("id"), F.coalesce("alias_route_ids", F.array().cast("array<string>"))))).select(F.col("route").alias("route_id"), F.col("id").alias("owner_route_id"), "route_url", "content_hash", "size")
 
 
-def closure(links: DataFrame, resources: DataFrame, *, depth: int = 64) -> DataFrame:
+def closure(links: DataFrame, resources: DataFrame) -> DataFrame:
     """What URLs lead to over alias and redirect links: (url, resource, hops), null where the chain ends elsewhere or turns in a circle.
 
     links: (url, target, kind); of two links of a URL the alias goes first. A URL that is a resource leads to itself. Each round
-    doubles the hops that are followed, so chains of depth hops take log2(depth) joins.
+    doubles the hops that are followed until every chain has ended; what goes on after as many hops as there are links turns in a circle.
     """
     order = Window.partitionBy("url").orderBy(F.when(F.col("kind") == "alias", 0).otherwise(1), "target")
     known = resources.select("url").distinct()
     link = links.withColumn("n", F.row_number().over(order)).where("n = 1").select("url", "target").join(known, "url", "left_anti")
     every = link.select("url").union(link.select("target")).union(known).distinct()
     step = every.join(link, "url", "left").select("url", F.coalesce("target", "url").alias("at"), F.col("target").isNotNull().cast("long").alias("hops"))
-    for _ in range((depth - 1).bit_length()):
-        step = materialized(step)
+    most, followed = link.count(), 1
+    step = materialized(step.withColumn("more", F.col("hops")))
+    while followed < most and not step.where("more > 0").isEmpty():
         onward = step.select(F.col("url").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"))
-        step = step.join(onward, "at").select("url", F.col("further").alias("at"), (F.col("hops") + F.col("more")).alias("hops"))
+        step = materialized(step.drop("more").join(onward, "at").select("url", F.col("further").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), "more"))
+        followed *= 2
     asked = links.select("url").union(known).distinct()
     ends = step.join(known.select(F.col("url").alias("resource")), F.col("at") == F.col("resource")).select("url", "resource", "hops")
     return asked.join(ends, "url", "left")
