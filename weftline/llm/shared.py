@@ -54,8 +54,8 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
-#: Rows that go to Python at once at most; texts may be long, and a task holds several copies of a batch.
-BATCH_ROWS = 1024
+#: Rows and bytes that go to Python at once at most; texts may be long, and a task holds several copies of a batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 #: Bytes of text that a task works on at once; numbers for each byte and word take about a hundred times this.
 SLICE_BYTES = 256 << 10
@@ -63,12 +63,18 @@ SLICE_BYTES = 256 << 10
 
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller can't clash; the session's Arrow batches become small enough for texts."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf = docs.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < _number(conf.get(f"spark.sql.execution.arrow.{name}", "0")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def _number(size: str) -> int:
+    """A size as Spark writes it, without units or in bytes; 0 for other units."""
+    return int(size.removesuffix("b")) if size.removesuffix("b").isdigit() else 0
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, with underscores in front until no column is called so."""
     taken = {c.lower() for c in columns}

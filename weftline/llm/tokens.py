@@ -73,10 +73,12 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes slices of rows; what it has encoded before it looks up by the hash of the bytes.
 
-    The table has a fixed number of places, so memory is bounded; a stretch that lost its place is encoded again.
+    The table has a fixed number of places and the pool of ids a size beyond which all is forgotten, so memory is bounded; a stretch that
+    lost its place is encoded again. Frequent stretches are soon back, so a small table does.
     """
 
-    PLACES = 1 << 22
+    #: Places of the table, a power of two, and ids in the pool (a slice of many new ones may need more, once).
+    PLACES, POOL = 1 << 18, 1 << 21
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,7 +94,7 @@ class Encoder:
         self.keys = np.zeros(self.PLACES, np.uint64)
         self.begin = np.zeros(self.PLACES, np.uint32)
         self.count = np.zeros(self.PLACES, np.uint16)
-        self.pool = np.zeros(1 << 20, np.uint32)
+        self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def _new(self, stretch: bytes) -> list[int]:
@@ -109,12 +111,12 @@ class Encoder:
             return np.full(n_rows, END_ID, np.uint32), np.arange(n_rows + 1)
         ends = np.append(starts[1:], len(rows.data))
         hashes = SpanHasher(rows.data).spans(starts, ends) | np.uint64(1)
-        place = (hashes >> np.uint64(42)).astype(np.int64)  # 22 bits
+        place = (hashes >> np.uint64(65 - self.PLACES.bit_length())).astype(np.int64)  # the highest bits
         begin, count = self.begin[place].astype(np.int64), self.count[place].astype(np.int64)
         missed = np.flatnonzero(self.keys[place] != hashes)
         if len(missed):
             new, first, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            if self.used > 1 << 26:
+            if self.used > self.POOL:
                 self._forget()
                 return self.encode(rows)
             blob = rows.data.tobytes()
