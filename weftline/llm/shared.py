@@ -65,7 +65,7 @@ def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller can't clash; the session's Arrow batches become small enough for texts."""
     conf = docs.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < _number(conf.get(f"spark.sql.execution.arrow.{name}", "0")) <= most:
+        if not 0 < _number(conf.get(f"spark.sql.execution.arrow.{name}")) <= most:
             conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
