@@ -78,7 +78,7 @@ class Encoder:
     """
 
     #: Places of the table, a power of two, and ids in the pool (a slice of many new ones may need more, once).
-    PLACES, POOL = 1 << 18, 1 << 21
+    PLACES, POOL = 1 << 20, 1 << 22
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
