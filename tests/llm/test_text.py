@@ -357,17 +357,51 @@ def test_language_odd_rows(odd, none):
     assert {r["lang_pred"] for r in langid.predict(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_toxicity_learns_pairs():
+def two_words(n, label):
+    """Texts of twelve common words, each of two words at random among them, and label(first, second)."""
     rng = np.random.default_rng(5)
-    rows, labels = [], []
-    for _ in range(3000):
+    texts = []
+    for i in range(n):
         insult, group = (rng.random(2) < 0.5).tolist()
-        rows.append(np.array([1] * insult + [2] * group + [int(x) for x in set(rng.integers(3, 30, 4).tolist())]))
-        labels.append(float(insult and group))
-    machine = toxicity.fit(rows, np.array(labels), np.arange(29))
-    at = lambda places: 1 / (1 + np.exp(-machine.logits(np.zeros(len(places), np.int64), np.array(places) - 1, 1)[0]))
-    assert at([1, 2]) > 0.9
-    assert max(at([1]), at([2]), at([5])) < 0.2
+        words = [f"filler{k}" for k in rng.integers(0, 200, 12)] + ["wretch"] * insult + ["townsfolk"] * group
+        texts.append((i, " ".join(rng.permutation(words)), int(label(insult, group))))
+    return texts
+
+
+@pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a and b], ids=["either", "both"])
+def test_toxicity_learns_pairs(spark, label):
+    """Of exactly one of two words neither tells anything by itself."""
+    rows = two_words(4000, label)
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(table, table).where("held_out").collect()}
+    assert sum(got[i] == want for i, _, want in rows if i in got) >= 0.95 * len(got) > 600
+
+
+def test_toxicity_logits_by_brute_force():
+    rng = np.random.default_rng(6)
+    machine = toxicity.Machine(0.3, np.where(rng.random(toxicity.BUCKETS) < 0.5, rng.integers(1, 50, toxicity.BUCKETS), 0).astype(np.int32), np.append(0, rng.normal(size=49)), np.concatenate([np.zeros((1, 3)), rng.normal(size=(49, 3))]))
+    texts = ["one two three four", "", "five five SIX sevenths", " ".join(f"w{i}" for i in range(60))]
+    import pyarrow as pa
+
+    (part,) = slices(pa.array(texts))
+    row, bucket = toxicity.hashed_terms(part.data, part.offsets)
+    got = machine.logits(row, bucket, len(texts))
+    for i in range(len(texts)):
+        own = [p for p in machine.place[bucket[row == i]].tolist() if p]
+        pairs = sum(float(machine.factors[a] @ machine.factors[b]) for n, a in enumerate(own) for b in own[:n])
+        assert math.isclose(got[i], 0.3 + sum(machine.weights[p] for p in own) + pairs / max(len(own), 1), rel_tol=1e-9)
+
+
+def test_toxicity_of_rare_labels(spark):
+    """One document in a hundred is toxic; the sample is balanced and the scores are not."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join([f"filler{k}" for k in rng.integers(0, 300, 15)] + ["knave"] * (i % 100 == 0)), int(i % 100 == 0)) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(table, table, training_rows=400)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table, machine).collect()}
+    toxic, clean = ([got[i] for i, _, want in rows if want == t] for t in (1, 0))
+    assert min(toxic) > max(clean)
+    assert abs(sum(got.values()) - 60) < 40  # the scores know that few are
 
 
 def test_toxicity_held_out(spark, known, sf):
