@@ -134,9 +134,9 @@ def test_searches_of_odd_rows(spark):
     good = [(0, [1.0, 2.0, 3.0, 4.0], "", 0, 0), (100, [1.0, 2.0, 3.0, 4.0], "", 0, 0), (7, [-1.0, 0.5, 0.25, 1.0], "", 0, 0), (7, [-1.0, 0.5, 0.25, 1.0], "", 0, 0)]
     df = spark.createDataFrame([*good, *ODD], VECTORS)
     near = by_query(ann.search(df, IS_QUERY))
-    assert {q: [x for x, _ in found] for q, found in near.items()} == {0: [100, 7], 100: [0, 7]}
+    assert {q: [x for x, _ in found] for q, found in near.items()} == {0: [100, 7, 7], 100: [0, 7, 7]}
     best = by_query(topk.search(df, IS_QUERY))
-    assert [x for x, _ in best[0]] == [100, 7, 905]
+    assert [x for x, _ in best[0]] == [100, 7, 7, 905]
     assert set(best) == {0, 100}  # 900 has no vector
     none = spark.createDataFrame([], VECTORS)
     assert ann.search(none, IS_QUERY).count() == topk.search(none, IS_QUERY).count() == 0
@@ -144,6 +144,43 @@ def test_searches_of_odd_rows(spark):
     assert ann.search(alone, IS_QUERY).count() == topk.search(alone, IS_QUERY).count() == 0
 
 
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    """Twenty ids, two different vectors each: both rows of a query's id are queries, and each is a candidate for the other."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(40, 4)).round(2).astype(np.float32).astype(float)
+    ids = np.repeat(np.arange(20) * 10, 2)
+    df = spark.createDataFrame([(int(i), x.tolist(), "", 1, 0) for i, x in zip(ids, v, strict=True)], VECTORS)
+    z = np.floor(1024 * v).astype(int)
+    want_top, want_near = [], []
+    for i in np.flatnonzero(ids % 100 == 0):
+        others = [j for j in range(40) if j != i]
+        top = sorted((-int(z[i] @ z[j]), int(ids[j])) for j in others)[:10]
+        near = sorted((float(np.sqrt(((v[i] - v[j]) ** 2).sum())), int(ids[j])) for j in others)[:10]
+        want_top += [(int(ids[i]), n + 1, x, -s) for n, (s, x) in enumerate(top)]
+        want_near += [(int(ids[i]), n + 1, x, s) for n, (s, x) in enumerate(near)]
+    assert sorted(tuple(r) for r in topk.search(df, IS_QUERY).collect()) == sorted(want_top)
+    got = sorted(tuple(r) for r in ann.search(df, IS_QUERY).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want_near)]
+
+
+def test_topk_of_huge_components(spark):
+    """Products far beyond a long are ranked exactly; only the shown score ends there. Components that no column can hold keep a vector out."""
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-(2.0**40), 0.0]), (4, [1.0, 1.0]), (5, [1e306, 0.0]), (6, [2.0**46, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.search(df, IS_QUERY).orderBy("rank").collect()]
+    most = (1 << 63) - 1
+    assert got == [(1, most), (2, most), (4, 1024 * 1024 * (2**40 + 1)), (3, -most - 1)]
+
+
+def test_ann_searches_everything_where_lists_hold_too_few(spark):
+    """Lists of one vector, of which a query reads one."""
+    v = np.random.default_rng(12).normal(size=(300, 3)).astype(np.float32)
+    df = spark.createDataFrame(rows_of(v), VECTORS)
+    settings = ann.Settings(list_size=1, lists=1, replicas=1, recall=0.0)
+    want, got = nearest(np.arange(300), v.astype(float), 10), by_query(ann.search(df, IS_QUERY, settings))
+    assert {q: [x for x, _ in found] for q, found in got.items()} == {q: [x for x, _ in found] for q, found in want.items()}
+
+
 PAGES = "page_id long, url string, html string, payload binary, row_no string"
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .vectors import as_bytes, blocks, candidates, matrix, usable
+from .vectors import as_bytes, blocks, candidates, matrix, named, usable
 
 
 @dataclass(frozen=True)
@@ -252,28 +252,48 @@ def _nearest_in_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
 
+def _all_against(queries: DataFrame, vectors: DataFrame, settings: Settings, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of each block of vectors to each query, by reading all of them."""
+    groups = max(1, vectors.count() // (16 * settings.block))
+    dealt = vectors.withColumn("list", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+    spread = queries.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    asked = blocks(spread, ["list"], 256).select("list", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+    pairs = asked.join(blocks(dealt, ["list"], settings.block), "list").select("q_ids", "q_vs", "ids", "vs")
+    return pairs.mapInArrow(lambda batches: _nearest_in_blocks(batches, k), "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, queries_where, settings: Settings = Settings(), *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:  # noqa: ANN001, B008
     """(query_id, rank, vec_id, score) of the k nearest vectors found by Euclidean distance, ties to smaller ids.
 
-    queries_where: the condition (on vec_id) for a row to be a query; the query itself is no candidate. Vectors that are null, zero or hold null,
-    NaN or infinite components take no part, nor do those of unusual length; rows of one id are one vector. An empty table
-    gives an empty result.
+    queries_where: the condition (on the id column) for a row to be a query; the query's own row is no candidate. Vectors that are null, zero or hold null,
+    NaN or infinite components take no part, nor do rows without id and vectors of unusual length. Rows of one id are vectors of their own: each may be found and,
+    as a query, has k ranks. Where the lists that a query reads hold fewer than k candidates, all vectors are searched for it.
+    An empty table gives an empty result.
+
+    How many lists are read rises until measured queries find settings.recall of their nearest (at last all lists are), so recall is what is bounded, not the work.
     """
     spark = vectors.sparkSession
-    good = stored(as_bytes(usable(vectors, id_col=id_col, vector_col=vector_col, zeros=False)))
+    rows_taking_part = usable(vectors, queries_where, id_col=id_col, vector_col=vector_col, zeros=False)
+    good = stored(as_bytes(rows_taking_part.drop("id")))
     n = good.count()
     rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toPandas()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.frombuffer(b"".join(rows["v"]), "<f8").reshape(len(rows), -1)
     graph = spark.sparkContext.broadcast(centroid_graph(sample, min(settings.most_centroids, -(-n // settings.list_size)), settings.degree))
-    others, queries = candidates(good, k), good.where(queries_where)
+    others, queries = stored(candidates(good, k).select("vec_id", "v")), good.where("asked").select("vec_id", "v")
+    there = others.count()
     settings = _measured(queries, others, graph, settings, k)
     lists = blocks(_assigned(others, graph, settings), ["list"], settings.block)
     asked = blocks(_read_lists(queries, graph, settings), ["list"], 256)
     pairs = asked.select("list", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")).join(lists, "list").select("q_ids", "q_vs", "ids", "vs")
     found = pairs.mapInArrow(lambda batches: _nearest_in_blocks(batches, k), "query_id long, vec_id long, score double")
     # a vector may have been found in several lists
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = stored(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    counted = queries.select(F.col("vec_id").alias("query_id"), "v").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    # a query is among the candidates or, as one of many equal vectors, isn't; either way so many others are there
+    short = stored(counted.where(F.coalesce("n", F.lit(0)) < min(k, there - 1)).select(F.col("query_id").alias("vec_id"), "v"))
+    if not short.isEmpty():
+        best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_all_against(short, others, settings, k))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return named(best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k), rows_taking_part)

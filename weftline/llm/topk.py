@@ -13,19 +13,23 @@ list holder that computes the partial scores of a block of queries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .vectors import blocks, candidates, matrix, usable
+from .vectors import blocks, candidates, matrix, named, usable
 
 PARTS = 2
 BLOCK, QUERY_BLOCK = 4096, 256
 SCALE = 1024
 _EXACT = float(1 << 53)
+#: Larger components (of floor(SCALE x)) have products that no column holds; sums of the products of 4096 smaller ones fit 37 digits.
+MOST = float(1 << 55)
+_WIDE = "decimal(38,0)"
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -59,7 +63,7 @@ def _holders(lists: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
     return spread.select("part", "group", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), "cutoffs").join(dealt, ["part", "group"]).select("part", "q_ids", "q_vs", "cutoffs", "ids", "vs")
 
 
-def _partial(batches: Iterator[pa.RecordBatch], k: int, phase: int) -> Iterator[pa.RecordBatch]:
+def _partial(batches: Iterator[pa.RecordBatch], k: int, phase: int, wide: bool) -> Iterator[pa.RecordBatch]:
     """Phase 1: the k best of each block, and the lowest with vec_id null. Phase 2: all that reach the query's cutoff."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -72,7 +76,8 @@ def _partial(batches: Iterator[pa.RecordBatch], k: int, phase: int) -> Iterator[
                 if not len(others):
                     continue
                 if phase == 2:
-                    few = others[line[others] >= cutoffs[j].as_py()]
+                    least = cutoffs[j].as_py()
+                    few = others if least is None else others[line[others] >= int(least)]
                 else:
                     few = others if len(others) <= k else others[np.argpartition(-line[others], k - 1)[:k]]
                     low.append((own[j], int(line[others].min())))
@@ -83,63 +88,78 @@ def _partial(batches: Iterator[pa.RecordBatch], k: int, phase: int) -> Iterator[
                 continue
             ids = np.concatenate([*query, np.array([x[0] for x in low], np.int64)])
             vec = pa.array(np.concatenate([*vector, np.zeros(len(low), np.int64)]), mask=np.arange(len(ids)) >= len(ids) - len(low))
-            scored = [_long(x) for y in value for x in y] if scores.dtype == object else np.concatenate(value).astype(np.int64)
-            all_scores = pa.array(np.concatenate([np.asarray(scored, np.int64), np.array([_long(x[1]) for x in low], np.int64)]))
+            lows = [x[1] for x in low]
+            if scores.dtype == object:
+                kind = pa.decimal128(38, 0) if wide else pa.int64()
+                all_scores = pa.array([Decimal(x) if wide else x for x in [*(x for y in value for x in y), *lows]], kind)
+            else:
+                all_scores = pa.array(np.concatenate([*value, np.array(lows, np.float64)]).astype(np.int64))
+                all_scores = all_scores.cast(pa.decimal128(38, 0)) if wide else all_scores
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), batch.column(0)[i].as_py(), np.int32)), vec, all_scores], names=["query_id", "part", "vec_id", "partial"])
 
 
-def _long(x: int) -> int:
-    return max(-(1 << 61), min(int(x), 1 << 61))
-
-
-_PARTIALS = "query_id long, part int, vec_id long, partial long"
+def _half(x: Column, kind: str) -> Column:
+    """x / PARTS rounded down, of whole x >= 0, without doubles."""
+    rest = x % F.lit(PARTS).cast(kind)
+    if kind == "long":
+        return F.call_function("div", x - rest, F.lit(PARTS).cast("long"))
+    return ((x - rest) * F.lit(Decimal("0.5"))).cast(kind)
 
 
 def search(vectors: DataFrame, queries_where, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:  # noqa: ANN001
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(1024 x), exactly, ties to smaller ids.
 
-    queries_where: the condition (on vec_id) for a row to be a query; the query itself is no candidate. Vectors that are null or hold
-    null, NaN or infinite components take no part, nor do those of unusual length; rows of one id are one vector. Partial scores beyond 2 ** 61
-    count as 2 ** 61. An empty table gives an empty result.
+    queries_where: the condition (on the id column) for a row to be a query; the query's own row is no candidate. Vectors that are null or hold
+    null, NaN or infinite components take no part, nor do rows without id, vectors of unusual length and those with a component of floor(1024 x) beyond
+    2 ** 55. Rows of one id are vectors of their own: each may be found and, as a query, has k ranks. Ranks are by the exact products; only the score
+    column, a long, ends at its largest and smallest number. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    good = stored(usable(vectors, id_col=id_col, vector_col=vector_col, zeros=True))
+    fits = F.forall(F.col(vector_col), lambda x: F.abs(F.floor(F.greatest(F.lit(-1e300), F.least(F.lit(1e300), x.cast("double"))) * SCALE)) <= MOST)
+    good = usable(vectors.where(fits), queries_where, id_col=id_col, vector_col=vector_col, zeros=True)
+    most, size = good.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
+    kind = "long" if (SCALE * (most or 0) + 1) ** 2 * (size or 1) < _EXACT else _WIDE
+    schema = f"query_id long, part int, vec_id long, partial {kind}"
     parts = stored(_integers(candidates(good, k)))
     lists = stored(blocks(parts, ["part"], BLOCK))
-    query_parts = stored(_integers(good.where(queries_where)))
+    query_parts = stored(_integers(good.where("asked")))
     groups = max(1, min(lists.count() // PARTS, 2 * spark.sparkContext.defaultParallelism))
 
-    no_cutoff = query_parts.withColumn("cutoff", F.lit(None).cast("double"))
-    first = stored(_holders(lists, _query_blocks(no_cutoff), groups).mapInArrow(lambda b: _partial(b, k, 1), _PARTIALS))
+    no_cutoff = query_parts.withColumn("cutoff", F.lit(None).cast(kind))
+    first = stored(_holders(lists, _query_blocks(no_cutoff), groups).mapInArrow(lambda b: _partial(b, k, 1, kind == _WIDE), schema))
     lowest = first.where("vec_id is null").groupBy("query_id", "part").agg(F.min("partial").alias("low"))
-    lows = lowest.groupBy("query_id").agg(F.sum("low").alias("sum_low"))
-    gathered = _exact(first.where("vec_id is not null").select("query_id", "vec_id").distinct(), parts, query_parts)
+    lows = lowest.groupBy("query_id").agg(F.sum("low").cast(kind).alias("sum_low"))
+    gathered = _exact(first.where("vec_id is not null").select("query_id", "vec_id").distinct(), parts, query_parts, kind)
     bound = _kth(gathered.withColumnRenamed("score", "lower"), k, "reached")
     # what isn't known to be k good totals has no cutoff
-    cut = lowest.join(lows, "query_id").join(bound, "query_id", "left").withColumn("cutoff", F.when(F.col("reached").isNotNull(), F.col("low") + (F.col("reached") - F.col("sum_low")).cast("double") / PARTS))
+    share = (F.col("low") + _half((F.col("reached") - F.col("sum_low")).cast(kind), kind)).cast(kind)
+    cut = lowest.join(lows, "query_id").join(bound, "query_id", "left").withColumn("cutoff", F.when(F.col("reached").isNotNull(), share))
     cut = stored(cut.select("query_id", "part", "low", "sum_low", "cutoff"))
 
     asked = query_parts.join(cut.select(F.col("query_id").alias("vec_id"), "part", "cutoff"), ["vec_id", "part"])
-    second = stored(_holders(lists, _query_blocks(asked), groups).mapInArrow(lambda b: _partial(b, k, 2), _PARTIALS))
-    least = second.join(cut, ["query_id", "part"]).withColumn("over_low", F.col("partial") - F.col("low"))
-    tops = cut.groupBy("query_id").agg(F.sum(F.ceil(F.coalesce("cutoff", F.col("low")))).alias("sum_cut"))
-    met = least.groupBy("query_id", "vec_id").agg(F.sum("over_low").alias("above"), F.first("sum_low").alias("sum_low"), F.sum(F.col("partial") - F.ceil(F.coalesce("cutoff", F.col("low")))).alias("over_cut"), F.count(F.lit(1)).alias("n"))
-    met = stored(met.withColumn("lower", F.col("above") + F.col("sum_low")))
+    second = stored(_holders(lists, _query_blocks(asked), groups).mapInArrow(lambda b: _partial(b, k, 2, kind == _WIDE), schema))
+    floor = F.coalesce("cutoff", F.col("low"))
+    least = second.join(cut, ["query_id", "part"]).withColumn("over_low", (F.col("partial") - F.col("low")).cast(kind)).withColumn("over", (F.col("partial") - floor).cast(kind))
+    tops = cut.groupBy("query_id").agg(F.sum(floor).cast(kind).alias("sum_cut"))
+    met = least.groupBy("query_id", "vec_id").agg(F.sum("over_low").cast(kind).alias("above"), F.first("sum_low").alias("sum_low"), F.sum("over").cast(kind).alias("over_cut"), F.count(F.lit(1)).alias("n"))
+    met = stored(met.withColumn("lower", (F.col("above") + F.col("sum_low")).cast(kind)))
     needed = _kth(met, k, "needed")
     upper = F.col("over_cut") + F.col("sum_cut")
     open_ = met.join(tops, "query_id").join(needed, "query_id", "left").where(F.col("needed").isNull() | (upper >= F.col("needed")))
 
     complete = open_.where(F.col("n") == PARTS).select("query_id", "vec_id", F.col("lower").alias("score"))
-    resolved = _exact(open_.where(F.col("n") < PARTS).select("query_id", "vec_id"), parts, query_parts)
+    resolved = _exact(open_.where(F.col("n") < PARTS).select("query_id", "vec_id"), parts, query_parts, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return complete.unionByName(resolved).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = complete.unionByName(resolved).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    ends = [F.lit(n).cast(kind) for n in (-(1 << 63), (1 << 63) - 1)]
+    return named(ranked.withColumn("score", F.greatest(ends[0], F.least(ends[1], F.col("score"))).cast("long")), good)
 
 
 def _query_blocks(queries: DataFrame) -> DataFrame:
     """Blocks (part, block, ids, vs, cutoffs) of rows (vec_id, part, v, cutoff); without a cutoff everything reaches it."""
     n = queries.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     block = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / QUERY_BLOCK)).cast("long")
-    packed = queries.join(n, "part").withColumn("block", block).groupBy("part", "block").agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), "v", F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff"))).alias("rows"))
+    packed = queries.join(n, "part").withColumn("block", block).groupBy("part", "block").agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), "v", F.col("cutoff").alias("cutoff"))).alias("rows"))
     return packed.select("part", F.col("rows.id").alias("ids"), F.col("rows.v").alias("vs"), F.col("rows.cutoff").alias("cutoffs"))
 
 
@@ -149,22 +169,23 @@ def _kth(bounds: DataFrame, k: int, into: str) -> DataFrame:
     return bounds.select("query_id", "lower").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("lower").alias(into))
 
 
-def _exact(pairs: DataFrame, parts: DataFrame, query_parts: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame, parts: DataFrame, query_parts: DataFrame, kind: str) -> DataFrame:
     """(query_id, vec_id, score) of pairs, over all parts."""
     q = query_parts.select(F.col("vec_id").alias("query_id"), "part", F.col("v").alias("q"))
     both = pairs.join(parts, "vec_id").join(q, ["query_id", "part"])
-    return both.select("query_id", "vec_id", "q", "v").mapInArrow(_scored, "query_id long, vec_id long, partial long").groupBy("query_id", "vec_id").agg(F.sum("partial").alias("score"))
+    scored = both.select("query_id", "vec_id", "q", "v").mapInArrow(lambda b: _scored(b, kind == _WIDE), f"query_id long, vec_id long, partial {kind}")
+    return scored.groupBy("query_id", "vec_id").agg(F.sum("partial").cast(kind).alias("score"))
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         q, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        out, sizes = np.zeros(batch.num_rows, np.int64), np.array([len(x) for x in q])
+        out, sizes = np.zeros(batch.num_rows, object if wide else np.int64), np.array([len(x) for x in q])
         for size in np.unique(sizes):  # parts may differ by one component
             own = np.flatnonzero(sizes == size)
             x, y = (np.frombuffer(b"".join([m[i] for i in own]), "<f8").reshape(len(own), -1) for m in (q, v))
-            if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * max(x.shape[1], 1) < _EXACT:
+            if not wide:
                 out[own] = np.einsum("nd,nd->n", x, y).astype(np.int64)
             else:
-                out[own] = [_long(products(a[None, :], b[None, :])[0, 0]) for a, b in zip(x, y, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["query_id", "vec_id", "partial"])
+                out[own] = [Decimal(int(products(a[None, :], b[None, :])[0, 0])) for a, b in zip(x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.decimal128(38, 0)) if wide else pa.array(out)], names=["query_id", "vec_id", "partial"])

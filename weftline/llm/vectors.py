@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import document_columns
+from .shared import document_columns, numbered
 
 
 def finite(vector: Column) -> Column:
@@ -18,22 +18,34 @@ def finite(vector: Column) -> Column:
     return F.coalesce(good & (F.size(vector) > 0), F.lit(False))
 
 
-def usable(vectors: DataFrame, *, id_col: str, vector_col: str, zeros: bool) -> DataFrame:
-    """(vec_id, v array<double>): vectors that take part, one for each id.
+def usable(vectors: DataFrame, queries_where: Column | str, *, id_col: str, vector_col: str, zeros: bool) -> DataFrame:
+    """(vec_id, id, asked, v array<double>), stored: the rows that take part. id is the caller's, asked tells the queries, and vec_id numbers the rows
+    in the order of their ids, so that rows of one id are told apart and ties go as the ids say.
 
     Rows without id or with an unusable vector are left out, so are vectors of another length than most have (of two equally
-    frequent lengths the larger counts). Repeated rows of an id are one vector, the smallest.
+    frequent lengths the larger counts), as no distance or product is defined for them.
     """
-    v = F.col("v")
-    plain = document_columns(vectors, id_col, vector_col).toDF("vec_id", "v").withColumn("v", v.cast("array<double>"))
-    good = plain.where(F.col("vec_id").isNotNull() & finite(v) & (F.lit(True) if zeros else F.exists(v, lambda x: x != 0)))
+    v, id_ = F.col("v"), F.col(id_col)
+    plain = document_columns(vectors, id_col, vector_col)
+    asked = F.coalesce(F.expr(queries_where) if isinstance(queries_where, str) else queries_where, F.lit(False))
+    plain = plain.select(id_.cast("long").alias("id"), asked.alias("asked"), F.col(vector_col).cast("array<double>").alias("v"))
+    good = plain.where(F.col("id").isNotNull() & finite(v) & (F.lit(True) if zeros else F.exists(v, lambda x: x != 0)))
     lengths = good.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"))
     usual = lengths.orderBy(F.desc("n"), F.desc("length")).limit(1).select("length")
-    return good.join(F.broadcast(usual), F.size("v") == F.col("length"), "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    # numbers made of sorted rows rise with them
+    return numbered(good.join(F.broadcast(usual), F.size("v") == F.col("length"), "left_semi").orderBy("id", "v"), "vec_id")
+
+
+def named(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, rank, vec_id, score) by ids, of found rows by row numbers."""
+    ids = rows.select("vec_id", "id")
+    by_vector = found.join(ids, "vec_id").withColumnRenamed("id", "found_id")
+    by_query = by_vector.join(ids.select(F.col("vec_id").alias("query_id"), F.col("id").alias("own_id")), "query_id")
+    return by_query.select(F.col("own_id").alias("query_id"), "rank", F.col("found_id").alias("vec_id"), "score")
 
 
 def candidates(vectors: DataFrame, k: int) -> DataFrame:
-    """Without the rows that can't be among any query's k best: of equal vectors all but the k + 1 smallest ids.
+    """Without the rows that can't be among any query's k best: of equal vectors all but the k + 1 first.
 
     Equal vectors have equal scores and ties go to smaller ids, so this changes no result.
     """
