@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences by exact-complement hashing.
 
 Packing needs only how many pieces there are of each length, a table of as many rows as a sequence has tokens
-whatever the corpus. On it the plan is made: single lengths, pairs and triples of available lengths are
-looked up by their sum, a combination that fills a gap exactly is used as often as its counts allow, and what has no
+whatever the corpus. On it the plan is made: an index holds the single lengths, pairs and triples of available lengths by
+their sums, a combination that fills a gap exactly is used as often as its counts allow, and what has no
 exact complement is filled by best fit. The plan is a list of patterns with multiplicities; each piece finds its place in
 it by its rank among the pieces of its length.
 """
@@ -19,39 +19,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import document_columns, row_id, stored
+from .shared import document_columns, numbered, stored
 
-#: Pieces of one length are ranked in so many parts, so that a length that many pieces share is not one task.
-RANK_PARTS = 256
+#: Pieces of one length are ranked in parts of about so many, so that a length that many pieces share is not one task.
+RANK_ROWS = 1 << 17
 
 
-def _single(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    return (gap,) if gap < len(free) and free[gap] > 0 else None
+class SumIndex:
+    """Single lengths, pairs and triples of lengths by their sums; what counts no longer allow is taken out when it is met.
 
+    pairs[s] holds the longer lengths a of pairs a + (s - a), triples[s] the longest of triples, ascending, so that the longest stands at the end. Triples are listed
+    for a sum when it is first asked for, from the pairs of what is left beside each length.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.lengths = sorted(counts)
+        self.pairs: dict[int, list[int]] = {}
+        for a in self.lengths:
+            for b in self.lengths:
+                if b > a or a + b > capacity:
+                    break
+                self.pairs.setdefault(a + b, []).append(a)
+        self.triples: dict[int, list[int]] = {}
+
+    def single(self, gap: int, free: np.ndarray) -> tuple[int, ...] | None:
+        return (gap,) if free[gap] > 0 else None
+
+    def pair(self, gap: int, free: np.ndarray, most: int | None = None) -> tuple[int, ...] | None:
+        """The pair of this sum with the longest length (of at most ``most``) that is free."""
+        for a in reversed(self.pairs.get(gap, ())):
+            b = gap - a
+            if (most is None or a <= most) and free[a] > 0 and free[b] > (a == b):
+                return a, b
+        return None
 
-def _pair(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    """The pair a >= b with a + b = gap that holds the longest available a."""
-    low = (gap + 1) // 2
-    if gap < 2:
+    def triple(self, gap: int, free: np.ndarray) -> tuple[int, ...] | None:
+        if gap not in self.triples:
+            self.triples[gap] = [a for a in self.lengths if a < gap <= 3 * a and gap - a in self.pairs]
+        for a in reversed(self.triples[gap]):
+            if free[a] > 0:
+                free[a] -= 1
+                rest = self.pair(gap - a, free, most=a)
+                free[a] += 1
+                if rest:
+                    return a, *rest
         return None
-    a = np.arange(low, gap)
-    good = (free[a] > 0) & (free[gap - a] > 0)
-    if gap % 2 == 0 and free[gap // 2] < 2:
-        good[0] = False
-    found = np.flatnonzero(good)
-    return (int(a[found[-1]]), int(gap - a[found[-1]])) if len(found) else None
-
-
-def _triple(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    for a in np.flatnonzero(free[: max(gap - 1, 0)] > 0)[::-1]:
-        if 3 * a < gap:
-            return None
-        free[a] -= 1
-        rest = _pair(gap - int(a), free)
-        free[a] += 1
-        if rest and rest[0] <= a:
-            return (int(a), *rest)
-    return None
+
+    def spent(self, gaps: list[int], length: int) -> None:
+        """Takes a length without pieces out of the lists of these sums."""
+        for gap in gaps:
+            for index in (self.pairs, self.triples):
+                if length in (own := index.get(gap, [])):
+                    own.remove(length)
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -59,7 +78,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     free = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
-    plan = []
+    plan, index = [], SumIndex({x: n for x, n in counts.items() if n > 0}, capacity)
     while len(lengths := np.flatnonzero(free)):
         pattern, gap, left = [], capacity, free.copy()
         x = int(lengths[-1])
@@ -69,7 +88,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
             gap -= x
             if not gap:
                 break
-            exact = _single(gap, left) or _pair(gap, left) or _triple(gap, left)
+            exact = index.single(gap, left) or index.pair(gap, left) or index.triple(gap, left)
             if exact:
                 pattern += exact
                 break
@@ -81,6 +100,8 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         times = min(int(free[x]) // n for x, n in uses.items())
         for x, n in uses.items():
             free[x] -= times * n
+            if not free[x]:
+                index.spent([x + y for y in index.lengths if x + y <= capacity], x)
         plan.append((tuple(sorted(pattern, reverse=True)), times))
     return plan
 
@@ -105,7 +126,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     """
     spark = pieces.sparkSession
     length = F.col(length_col)
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("row_no"), F.lit(RANK_PARTS)).cast("int"))
+    parts = max(256, -(-pieces.count() // RANK_ROWS))
+    parted = pieces.withColumn("part", F.pmod(F.xxhash64("row_no"), F.lit(parts)).cast("int"))
     by_part = stored(parted.groupBy(length.alias("length_"), "part").agg(F.count(F.lit(1)).alias("n")))
     counts = {r[0]: r[1] for r in by_part.groupBy("length_").agg(F.sum("n")).collect()}  # at most capacity rows
     places = spark.createDataFrame(_places(packing_plan(counts, capacity)), "length_ int, low long, past long, each int, sequence long, place long")
@@ -150,5 +172,5 @@ def pack_documents(docs: DataFrame, *, capacity: int = 1024, tokenizer_path: str
     Row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset). A null or empty text is the end id
     alone. Repeated rows are documents of their own. An empty table gives an empty result.
     """
-    pieces = stored(token_pieces(docs, capacity, tokenizer_path or tokens.default_path(), id_col, text_col))
-    return pack(pieces.withColumn("row_no", row_id()), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces = numbered(token_pieces(docs, capacity, tokenizer_path or tokens.default_path(), id_col, text_col))
+    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
