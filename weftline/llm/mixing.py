@@ -33,9 +33,10 @@ def text_quality(text: Column) -> Column:
     return F.coalesce(F.greatest(share, F.lit(0.05)), F.lit(0.05)).cast("double")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) from the first 48 bits of md5(seed:key); the same in every run."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 12)
+def uniform(key: Column, seed: int, row_no: Column) -> Column:
+    """A number in (0, 1) from the first 48 bits of md5(seed:key); the same in every run. Rows without key draw by their number each."""
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("row "), row_no.cast("string")))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -69,14 +70,15 @@ def mix(
 
     size counts words of the text, ``taken`` is copies x size. Documents are taken by their keys while they fit the
     budget; of those left, the one whose size comes nearest to what is missing is taken too. Ties of the key go by doc_id, null last; repeated rows are
-    documents of their own. Null and empty texts have size 0, are in every whole epoch and never hold up a budget;
+    documents of their own. Rows without id draw by their number, so reruns agree on them only as far as the table is read in the same pieces. Null and empty texts have size 0, are in every whole epoch and never hold up a budget;
     a source whose documents are all empty has target 0. Null sources are one source, the last.
     row_col: a column with a number for each row, stored in docs, to be given as row_no. An empty table gives an empty result.
     """
     text = F.col(text_col)
     plain = document_columns(docs, id_col, text_col, source_col, *([row_col] if row_col else []))
-    key = -F.log(uniform(F.col(id_col), seed)) / text_quality(text)
-    narrow = stored(plain.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"), (F.col(row_col) if row_col else row_id()).alias("row_no")))
+    number = F.col(row_col) if row_col else row_id()
+    key = -F.log(uniform(F.col(id_col), seed, number)) / text_quality(text)
+    narrow = stored(plain.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"), number.alias("row_no")))
     # 1 - exp(-key) rises with the key from 0 to 1
     slotted = narrow.withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key"))) * slots), F.lit(slots - 1)).cast("int"))
 
