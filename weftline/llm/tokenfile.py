@@ -3,11 +3,12 @@
 Format, version 1. A token file is a folder of two Parquet tables.
 
 ``codebook``: (token_id int, code_length int), one row for each id that occurs. Codes are canonical: sorted by
-(code_length, token_id), numbered from 0, shifted left whenever the length grows. No code is longer than MAX_BITS.
+(code_length, token_id), numbered from 0, shifted left whenever the length grows. No code is longer than MAX_BITS, or than
+one bit more than numbers of so many different ids need.
 
 ``blocks``: a row for each block of consecutive documents, at least BLOCK_TOKENS ids but for the last of a part:
 part int (range of documents, ascending), block int (ascending in the part), part_start long (ids before it in the part),
-doc_ids binary (int64 LE each), doc_tokens binary (uint32 LE each), checkpoints binary (uint32 LE: the bit at which
+n_null int (so many first documents have no id), doc_ids binary (int64 LE each, 0 for none), doc_tokens binary (uint32 LE each), checkpoints binary (uint32 LE: the bit at which
 every EVERY-th id of the block begins, so lanes decode independently), payload binary (codes, first bit highest).
 
 Blocks hold what they need to be decoded besides the codebook, so any block can be read alone, and Spark commits each
@@ -134,26 +135,28 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         part, block, start = TaskContext.get().partitionId(), 0, 0
         keys: list[np.ndarray] = []
+        nulls = 0
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, start, held
+            nonlocal block, start, held, nulls
             flat, n = np.concatenate(ids), np.concatenate(counts)
-            row = [[part], [block], [start], [np.concatenate(keys).astype("<i8").tobytes()], [n.astype("<u4").tobytes()], [flat.astype("<u4" if flat.max() > 0xFFFF else "<u2").tobytes()]]
-            block, start, held = block + 1, start + len(flat), 0
+            row = [[part], [block], [start], [nulls], [np.concatenate(keys).astype("<i8").tobytes()], [n.astype("<u4").tobytes()], [flat.astype("<u4" if flat.max() > 0xFFFF else "<u2").tobytes()]]
+            block, start, held, nulls = block + 1, start + len(flat), 0, 0
             keys.clear(), counts.clear(), ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "part_start", "doc_ids", "doc_tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "part_start", "n_null", "doc_ids", "doc_tokens", "ids"])
 
         for batch in batches:
-            key = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            key, unnamed = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for rows, flat, begins in tokens.encoded(batch.column(1), tokenizer_path):
                 first = 0
                 while first < len(rows):  # cut at the document that fills the block
                     last = int(np.searchsorted(begins, begins[first] + BLOCK_TOKENS - held, "left"))
                     last = min(max(last, first + 1), len(rows))
                     keys.append(key[rows.first + first : rows.first + last])
+                    nulls += int(unnamed[rows.first + first : rows.first + last].sum())
                     counts.append(np.diff(begins[first : last + 1]))
                     ids.append(flat[begins[first] : begins[last]])
                     held += int(begins[last] - begins[first])
@@ -164,11 +167,7 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             yield flush()
 
     ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ranged.mapInArrow(encode, "part int, block int, part_start long, doc_ids binary, doc_tokens binary, ids binary")
-
-
-#: Stands for a null doc_id in files.
-NO_ID = -(1 << 63)
+    return ranged.mapInArrow(encode, "part int, block int, part_start long, n_null int, doc_ids binary, doc_tokens binary, ids binary")
 
 
 def _plain_ids(row_ids: bytes, row_tokens: bytes) -> np.ndarray:
@@ -201,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = Non
     # one row for each id of the vocabulary at most
     counted = blocks.select("ids", "doc_tokens").mapInArrow(count, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n")).orderBy("token_id").toPandas()
     ids, n = counted["token_id"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
-    lengths = code_lengths(n) if len(n) else n
+    lengths = code_lengths(n, max(MAX_BITS, len(n).bit_length() + 1)) if len(n) else n
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist(), strict=True)), "token_id int, code_length int").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast((ids, lengths))
 
@@ -212,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = Non
             coded = [codes.encode(_plain_ids(i, n)) for i, n in zip(batch.column("ids").to_pylist(), batch.column("doc_tokens").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([c.tobytes() for _, c in coded], pa.binary()), pa.array([p for p, _ in coded], pa.binary())], names=[*names, "checkpoints", "payload"])
 
-    blocks.mapInArrow(code, "part int, block int, part_start long, doc_ids binary, doc_tokens binary, checkpoints binary, payload binary").write.parquet(f"{path}/blocks")
+    blocks.mapInArrow(code, "part int, block int, part_start long, n_null int, doc_ids binary, doc_tokens binary, checkpoints binary, payload binary").write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
@@ -235,7 +234,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
                     data = memoryview(flat.astype("<u4")).cast("B")
                     crc = [zlib.crc32(data[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                     keys = np.frombuffer(column["doc_ids"][r], "<i8")
-                    out = [pa.array(keys, mask=keys == NO_ID), pa.array(np.full(len(n), column["part"][r], np.int32)), pa.array(column["part_start"][r] + ends - n), pa.array(n), pa.array(crc, pa.int64())]
+                    out = [pa.array(keys, mask=np.arange(len(keys)) < column["n_null"][r]), pa.array(np.full(len(n), column["part"][r], np.int32)), pa.array(column["part_start"][r] + ends - n), pa.array(n), pa.array(crc, pa.int64())]
                     if with_ids:
                         out.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(out, names=["doc_id", "part", "in_part", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
