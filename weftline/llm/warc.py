@@ -33,9 +33,10 @@ def base32(sha1: bytes) -> str:
 
 def payload_chunks(pages: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of rows (row_no, payload binary): (row_no, chunk, last, data), an empty payload is one empty chunk."""
-    n = F.greatest(F.ceil(F.octet_length("payload") / chunk), F.lit(1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
-    return pages.select(*[c for c in pages.columns if c != "payload"], n.alias("n_chunks"), F.posexplode(cut).alias("chunk", "data")).withColumn("last", F.col("chunk") == F.col("n_chunks") - 1).drop("n_chunks")
+    last = F.greatest(F.ceil(F.octet_length("payload") / chunk), F.lit(1)).cast("int") - 1
+    numbers = pages.withColumn("last_chunk", last).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last_chunk"))))
+    # numbers first, then a piece for each: no row ever holds more than its payload and one chunk
+    return numbers.withColumn("data", F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk))).withColumn("last", F.col("chunk") == F.col("last_chunk")).drop("payload", "last_chunk")
 
 
 def digested(chunks: DataFrame) -> DataFrame:
@@ -77,9 +78,11 @@ def _record_urn(row: int) -> str:
 
 
 def _open(path: str):  # noqa: ANN202
+    """The file system of a path and the path in it; object stores go by other names in Hadoop."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest}")
 
 
 def write_warc(records: DataFrame, path: str) -> DataFrame:
@@ -172,8 +175,8 @@ def _records(stream, chunk: int) -> Iterator[tuple[dict, int, bytes, bool]]:  #
             member, inflate, number, held = _Member(), zlib.decompressobj(31), 0, b""
 
 
-def read_warc(spark: SparkSession, path: str, *, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of all records of the archives at path, one task for some files.
+def read_warc(spark: SparkSession, path: str, *, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
+    """The chunk table of all records of the archives at path, one task for some files; without data each record has only the row of its last chunk.
 
     Columns: row_no, record_id, record_type, refers_to, refers_urn, record_urn, header_digest, chunk, last, data, and carried from chunk to chunk:
     so_far (payload bytes up to the end of the chunk) and digest (base32 SHA-1 of them).
@@ -191,7 +194,9 @@ def read_warc(spark: SparkSession, path: str, *, chunk: int = CHUNK) -> DataFram
                         state.update(data)
                         so_far += len(data)
                         key, refers, row = fields.get("X-Record-Key"), fields.get("X-Refers-To-Key"), int(fields["X-Row"])
-                        rows.append((row, key and int(key), fields["WARC-Type"], refers and int(refers), fields.get("WARC-Refers-To"), fields["WARC-Record-ID"], fields["WARC-Payload-Digest"][5:], number, last, data, so_far, base32(state.digest())))
+                        if not (with_data or last):
+                            continue
+                        rows.append((row, key and int(key), fields["WARC-Type"], refers and int(refers), fields.get("WARC-Refers-To"), fields["WARC-Record-ID"], fields["WARC-Payload-Digest"][5:], number, last, data if with_data else None, so_far, base32(state.digest())))
                         held += len(data)
                         if held >= 4 << 20 or len(rows) >= 4096:
                             yield _batch(rows)
@@ -230,7 +235,7 @@ def read_back(spark: SparkSession, path: str, *, chunk: int = CHUNK) -> DataFram
 
     A response's figures come from its bytes; a revisit's from the response that it refers to.
     """
-    ends = stored(read_warc(spark, path, chunk=chunk).where("last").drop("data"))
+    ends = stored(read_warc(spark, path, chunk=chunk, with_data=False).drop("data"))
     responses = ends.where("record_type = 'response'").select("record_id", F.col("so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     referred = ends.where("record_type = 'response'").select(F.col("record_urn").alias("refers_urn"), F.col("so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
     revisits = ends.where("record_type = 'revisit'").join(referred, "refers_urn").select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -238,6 +243,7 @@ def read_back(spark: SparkSession, path: str, *, chunk: int = CHUNK) -> DataFram
 
 
 def archive_and_read(pages: DataFrame, *, path: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Writes the archives below path (a new shared folder without one) and reads them back: (record_id, payload_bytes, payload_digest, record_type, refers_to)."""
     path = path or shared_dir(pages.sparkSession)
     archive(pages, path, least_bytes=least_bytes, id_col=id_col, url_col=url_col, payload_col=payload_col)
     return read_back(pages.sparkSession, path)
