@@ -218,7 +218,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """(class, root) for all classes of edges (a, b): the smallest class that each can reach.
 
     Union-find by rounds: every root hooks to the smallest root that an edge of its tree leads to, then paths are halved until all
-    point at roots. A round at least halves the trees of a component that still have neighbours; each is written to folder.
+    point at roots. In a round every tree but those smaller than all their neighbours joins another; each round is written to folder.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
     roots = stored(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("root")), f"{folder}/roots-0")
@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, id_col:
     named = member.join(groups, "class", "left").select("row_no", "class", F.coalesce("root", "class").alias("root"))
     ids = rows.select("row_no", "doc_id", "n_shingles").join(named, "row_no", "left").withColumn("root", F.coalesce("root", "row_no")).withColumn("class", F.coalesce("class", "row_no"))
     ids = stored(ids, f"{folder}/ids")
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    least_of_class = ids.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    # stored, so that the joins shuffle rows and results apart and a group of many rows may be split among tasks
+    least = stored(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), f"{folder}/least")
+    least_of_class = stored(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), f"{folder}/least-of-class")
     return ids.join(least, "root").join(least_of_class, "class").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id", "row_no", "root")
