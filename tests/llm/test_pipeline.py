@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from weftline.llm import minhash, queries
+from weftline.llm import minhash, queries, tokens
 from weftline.llm.shared import stored
 
 from ..oracle import database, difference
@@ -55,6 +57,17 @@ def test_stages(spark, labelled):
     assert pieces.where("piece = 0").count() == mix.count()
 
 
+def test_foreign_documents_go(spark, labelled):
+    """A language in Latin letters that the corpus doesn't name is rejected; a short foreign note and codes among known words are not."""
+    docs = spark.read.parquet(f"{labelled}/documents.parquet")
+    foreign = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować."
+    own = next(r["text"] for r in docs.where("doc_id = 1").collect())
+    more = spark.createDataFrame([(2001, foreign), (2002, "Żółw"), (2003, own + " token = 9dd3c80004c73dc9e548fee51b23b527 +1 (706) 555-3138 " * 2), (2004, own.upper())], "doc_id long, text string")
+    table = stored(docs.unionByName(more, allowMissingColumns=True))
+    left = {r[0] for r in table.select("doc_id").subtract(pipeline.in_a_language(spark, table, labelled).select("doc_id")).collect()}
+    assert left == {1003, 1004, 1005, 2001}
+
+
 def test_stages_of_nothing(spark, labelled):
     docs = spark.read.parquet(f"{labelled}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
@@ -77,9 +90,30 @@ def test_joined_rows_are_numbered_once(spark, labelled, stage):
 
 
 def test_run(spark, sf):
+    from tokenizers import Tokenizer
+
     out = pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    tokenizer.encode_special_tokens = True
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    pieces, by_sequence = Counter(), {}
+    for r in out.collect():
+        pieces[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by_sequence.values():  # gapless from 0
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+        assert sum(n for _, n in own) <= 1024
+    copies = {d: n for (d, piece, *_), n in pieces.items() if piece == 0}
+    want = Counter()
+    for d, n in copies.items():
+        ids = [*tokenizer.encode(texts[d] or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[d, k, a, b - a, zlib.crc32(np.asarray(ids[a:b], "<u4").tobytes())] = n
+    assert pieces == want
+    assert len(by_sequence) <= 1.03 * sum(n for own in by_sequence.values() for _, n in own) / 1024 + 1
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

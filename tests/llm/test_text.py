@@ -95,6 +95,13 @@ def test_mixing_follows_keys(spark):
     assert chosen[1] > chosen[0]  # heavier documents come first more often
 
 
+def test_mixing_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(i if i % 2 else None, "w " * 10, "s") for i in range(2000)], "doc_id long, text string, source string")
+    taken = Counter(r["doc_id"] is None for r in mixing.mix(docs, share=0.5).collect() if r["copies"])
+    assert abs(taken[True] - 500) < 90
+    assert abs(taken[False] - 500) < 90
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count()
@@ -278,6 +285,22 @@ def test_plans_use_every_piece():
     assert packing.packing_plan({}, 10) == []
 
 
+def test_index_of_sums():
+    rng = np.random.default_rng(8)
+    lengths = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 60), 14, replace=False), rng.integers(1, 3, 14), strict=True)}
+    free = np.zeros(64, np.int64)
+    for x, n in lengths.items():
+        free[x] = n
+    index = packing.SumIndex(lengths, 63)
+    has = lambda combination: all(lengths.get(x, 0) >= n for x, n in Counter(combination).items())
+    for gap in range(1, 64):
+        pairs = [(a, gap - a) for a in range(gap - 1, 0, -1) if 2 * a >= gap and has((a, gap - a))]
+        triples = [(a, b, gap - a - b) for a in range(gap, 0, -1) for b in range(min(a, gap - a - 1), 0, -1) if b >= gap - a - b and has((a, b, gap - a - b))]
+        assert index.single(gap, free) == ((gap,) if has((gap,)) else None)
+        assert index.pair(gap, free) == (pairs[0] if pairs else None)
+        assert index.triple(gap, free) == (triples[0] if triples else None)
+
+
 def test_packing_odd_rows(odd, none):
     got = packing.pack_documents(odd).collect()
     assert sum(r["piece"] == 0 for r in got) == odd.count()
@@ -303,6 +326,21 @@ def test_token_file_odd_rows(spark, odd, none, tokenizer, tmp_path):
     assert tokenfile.token_file(none, path=f"file://{tmp_path}/t").count() == 0
 
 
+def test_token_file_of_extreme_ids(spark):
+    rows = [(None, "a b"), (-(1 << 63), "c"), ((1 << 63) - 1, ""), (None, None)]
+    got = tokenfile.token_file(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, -(1 << 63), (1 << 63) - 1]
+
+
+def test_codes_of_large_vocabularies():
+    n = 100_000
+    rng = np.random.default_rng(9)
+    lengths = tokenfile.code_lengths(rng.integers(1, 5, n), n.bit_length() + 1)
+    ids = rng.integers(0, n, 500)
+    book = tokenfile.Codebook(np.arange(n), lengths)
+    assert book.decode([(*book.encode(ids), len(ids))])[0].tolist() == ids.tolist()
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(4)
     for n, bits in ((2, 3), (9, 4), (300, 16), (300, 9)):
@@ -340,7 +378,8 @@ def test_language_code_lengths(spark):
     p = np.exp2(-trees.cost.astype(float)).reshape(2, -1, 256)
     assert np.allclose(p.sum(2), 1, atol=1e-3)
     text = b"abra pocus"
-    bits = trees.bits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    at = trees.walk(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    bits = trees.bits(at, np.array([0, len(text)]))[0]
     for k in range(2):
         state, want = 0, 0.0
         for b in text:
@@ -349,6 +388,60 @@ def test_language_code_lengths(spark):
         assert math.isclose(bits[k], want, rel_tol=1e-6)
 
 
+def test_language_by_another_coder(spark):
+    """Code lengths against prediction by partial matching as its definition says it, from counts of whole texts."""
+    texts = {"x": ["abracadabra bra", "Cabra, abra!", "été"], "y": ["hocus pocus", "pocus abra hocus", "ça"]}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)], "doc_id long, text string, lang string")
+    trees = langid.train(docs, states=100_000)
+    low = lambda t: t.translate(LOW).encode()
+    counts = {lang: {} for lang in texts}
+    for lang, own in texts.items():
+        for t in map(low, own):
+            for i in range(len(t)):
+                for k in range(min(i, langid.ORDER) + 1):
+                    counts[lang].setdefault(t[i - k : i], Counter())[t[i]] += 1
+    contexts = {t[i - k : i] for own in texts.values() for t in map(low, own) for i in range(len(t) + 1) for k in range(min(i, langid.ORDER) + 1)}
+
+    def p(lang, context, byte):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        seen = counts[lang].get(context)
+        if not seen:
+            return p(lang, shorter, byte)
+        left = 1 - sum(p(lang, shorter, b) for b in seen)
+        escape = len(seen) / (seen.total() + len(seen))
+        return seen[byte] / seen.total() * (1 - escape) if byte in seen else escape * p(lang, shorter, byte) / left
+
+    for text in ("abra hocus", "Été ça?", "zzz"):
+        t = low(text)
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(t)])
+        got = trees.bits(trees.walk(data, offsets), offsets)[0]
+        for k, lang in enumerate(trees.languages):
+            want, context = 0.0, b""
+            for byte in t:
+                want -= math.log2(p(lang, context, byte))
+                context = (context + bytes([byte]))[-langid.ORDER :]
+                while context not in contexts:
+                    context = context[1:]
+            assert math.isclose(got[k], want, rel_tol=1e-4)
+
+
+def test_strange_texts(spark, docs, known):
+    """A Latin-script language that nobody taught stands out by its letters; figures, capitals and short texts don't."""
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    swahili = "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu. Kila mtu anastahili kuwa na haki zote."
+    trees = langid.with_usual(docs, langid.train(docs))
+    own = next(r["text"] for r in known.values() if r["lang"] == "en" and r["text"] and len(r["text"]) > 300)
+    more = spark.createDataFrame([(-1, polish), (-2, swahili), (-3, own.upper() + " 0123456789abcdef " * 9), (-4, "日本"), (-5, None)], "doc_id long, text string")
+    found = langid.identify(docs.select("doc_id", "text").union(more), trees, into=("lang", "score", "times"))
+    times = {r["doc_id"]: r["times"] for r in found.collect()}
+    assert min(times[-1], times[-2]) > 2.5
+    assert times[-3] < 2
+    assert times[-4] == times[-5] == 0
+    assert max(t for i, t in times.items() if i >= 0) < 2.25
+
+
 def test_language_odd_rows(odd, none):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(odd).collect()}
     assert [got[i] for i in (0, 1, 2, 11)] == ["und"] * 4
@@ -463,6 +556,32 @@ def test_license_rules(spark):
     assert len(licenses.signature_rules()) > 200
 
 
+def labelled(text):
+    """Labels and score of a text by trying every rule at every place and every pair of what they find."""
+    w = LICENSE_WORD.findall((text or "").translate(LOW))
+    line = " " + " ".join(w) + " "
+    found = []
+    for rule, label, keyword, pattern, priority, confidence, base in licenses.signature_rules():
+        if f" {keyword} " in line:
+            for m in re.finditer(f"(?<= )(?:{pattern})(?= )", line):
+                first = line[: m.start()].count(" ") - 1
+                found.append((first, first + m[0].count(" "), priority, rule, label, confidence, base))
+
+    def hidden(a):
+        return any(b is not a and b[0] <= a[0] and b[1] >= a[1] and b[2] >= a[2] and (b[:2] != a[:2] or (b[2], -b[3]) > (a[2], -a[3])) for b in found)
+
+    kept = [a for a in found if a[6] or not hidden(a)]
+    return ",".join(sorted({a[4] for a in kept})), max((a[5] for a in kept), default=0.0)
+
+
+def test_license_labels_by_brute_force(spark, docs, known):
+    texts = {r["doc_id"]: r["text"] for r in known.values()}
+    texts |= dict(enumerate(["GNU GPL v2 or later, the MIT License; cc by-sa 3.0", "BSD 3-Clause License. Apache License 2.0. GNU General Public License version 3 or any later version", "mpl 2.0 mpl 1.1 cc0 1.0 Creative Commons Attribution NonCommercial 4.0", "redistribution and use in source and binary forms with or without modification"], -10))
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(table).collect()}
+    assert got == {i: labelled(t) for i, t in texts.items()}
+
+
 def test_licenses_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in licenses.scan(odd).collect()}
     assert [(got[i]["n_words"], got[i]["labels"]) for i in (0, 1, 2)] == [(0, "")] * 3

@@ -11,6 +11,7 @@ from . import ann, langid, licenses, minhash, mixing, packing, tokenfile, topk,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
