@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a capture keeps and how types are named.
 KEPT_TYPES = ("text/html", "text/css", "application/javascript", "text/javascript", "application/x-javascript", "application/manifest+json", "application/json", "application/octet-stream", "model/", "image/", "font/", "application/font", "application/x-font", "audio/", "video/", "application/wasm")
@@ -86,6 +90,37 @@ def format_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, text(1024, " KB")).otherwise(text(1024 * 1024, " MB"))
 
 
+def scaled_bytes(n: Column) -> Column:
+    """B to TB by powers of 1024, with one decimal but for bytes; nothing and less are 0 B."""
+    n = F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long")
+    shown = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        size = 1024**power
+        tenths = F.floor((n % size * 20 + size) / (2 * size)) + F.floor(n / size) * 10
+        shown = F.when(n >= size, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(shown)
+    return shown
+
+
+def header_map(headers: Column) -> Column:
+    """Headers (array of name, value) as a map; of a repeated name the last counts."""
+    names = F.array_distinct(F.transform(headers, lambda h: F.coalesce(h["name"], F.lit(""))))
+    last = lambda name: F.element_at(F.filter(headers, lambda h: F.coalesce(h["name"], F.lit("")) == name), -1)["value"]
+    return F.coalesce(F.map_from_arrays(names, F.transform(names, lambda n: F.coalesce(last(n), F.lit("")))), F.create_map().cast("map<string,string>"))
+
+
+@F.pandas_udf(T.LongType())
+def deflated_size(bodies: pd.Series) -> pd.Series:
+    """Bytes that raw DEFLATE of level 6 makes of each body; null stays null."""
+
+    def size(body: bytes | None) -> int | None:
+        if body is None:
+            return None
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        return len(packer.compress(body)) + len(packer.flush())
+
+    return pd.Series([size(b) for b in bodies], dtype="Int64")
+
+
 def estimated_size(path: Column, mime: Column, size: Column) -> Column:
     """Compressed size by ratio: 0.99 of what is compressed already, 0.52 of text, 0.82 of the rest; in whole hundredths, rounded up."""
     hint = F.lower(F.concat(F.coalesce(mime, F.lit("")), F.lit("/"), path))

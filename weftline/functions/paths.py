@@ -15,11 +15,20 @@ def content_hash(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
-def short_hash(text: Column) -> Column:
-    """32 bits of h = 33 h xor unit from 5381, in base 36; equal to the UTF-16 form but for characters beyond U+FFFF."""
+def _hash(text: Column) -> Column:
+    """32 bits of h = 33 h xor unit from 5381; equal to the UTF-16 form but for characters beyond U+FFFF."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    h = F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseAND(F.lit(4294967295)).bitwiseXOR(c))
-    return F.lower(F.conv(h.cast("string"), 10, 36))
+    return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseAND(F.lit(4294967295)).bitwiseXOR(c))
+
+
+def short_hash(text: Column) -> Column:
+    """The hash in base 36."""
+    return F.lower(F.conv(_hash(text).cast("string"), 10, 36))
+
+
+def fingerprint(html: Column) -> Column:
+    """By which states of a page are told apart: the hash of its first 50,000 characters, in decimal figures."""
+    return _hash(F.substring(F.coalesce(html, F.lit("")), 1, 50_000)).cast("string")
 
 
 def safe_segment(segment: Column) -> Column:

@@ -6,6 +6,7 @@ Findings never hold the secret, only a bucket of its length.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import re
@@ -17,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import whatwg
+
 REDACTED = "[REDACTED]"
 
 # Detectors in the order in which they run, each on what the one before left; names and parameters that hold secrets.
@@ -30,6 +33,10 @@ DETECTORS = (
 SENSITIVE_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token", "x-csrf-token", "x-xsrf-token", "apikey", "api-key", "token")
 SENSITIVE_NAMES = r"(?:^|[_\-.])(access[_-]?token|auth|authorization|api[_-]?key|client[_-]?secret|credential|csrf|cvv|cvc|password|passwd|passcode|pin|refresh[_-]?token|secret|session|sessionid|token|xsrf)(?:$|[_\-.])"
 SENSITIVE_PARAMETERS = ("token", "access_token", "id_token", "refresh_token", "auth", "authorization", "key", "api_key", "apikey", "secret", "password", "passwd", "pwd", "session", "sessionid", "code", "client_secret", "csrf", "xsrf")
+PRIVATE_FIELD_TYPES = ("password", "file", "hidden")
+PRIVATE_AUTOCOMPLETE = r"(?:^|\s)(?:cc-|current-password|new-password|one-time-code|webauthn)"
+PRIVATE_FIELD_NAMES = r"(?i)(?:^|[_\-.\s])(?:access[_-]?token|api[_-]?key|auth|card(?:holder|number)?|client[_-]?secret|credential|csrf|cvc|cvv|password|passcode|pin|refresh[_-]?token|secret|session(?:id)?|token|xsrf)(?:$|[_\-.\s])"
+PRIVATE_ATTRIBUTES = ("data-private", "data-sensitive")
 URL_CATEGORIES = ("url-parameter", "url-credential", "url-fragment")
 
 
@@ -48,19 +55,38 @@ def is_sensitive_parameter(name: Column, value: Column) -> Column:
     return ~short & (own.isin(*SENSITIVE_PARAMETERS) | is_sensitive_name(own))
 
 
+#: What a text must hold, lowered, for a detector to be worth running; detectors are slow and most texts hold none of these.
+_HINTS = (("private key-----",), ("eyj",), ("bearer", "basic"), ("akia", "gh", "xox", "sk-", "sk_", "pk_"), ("key", "secret", "credential", "password", "token", "session"))
+
+
+def _scanned(text: Column, location: Column) -> Column:
+    """(text, found): what each detector leaves of what the one before left, and all that they found; each step is made once."""
+    low = F.lower(text)
+    none = F.array().cast("array<struct<category:string,location:string,confidence:string,masked:string>>")
+    state = F.struct(text.alias("text"), none.alias("found"))
+    for (category, confidence, pattern), hints in zip(DETECTORS, _HINTS, strict=True):
+        hinted = functools.reduce(lambda x, y: x | y, [F.contains(low, F.lit(h)) for h in hints])
+        state = F.get(F.transform(F.array(state), _step(category, confidence, pattern, hinted, location)), F.lit(0))
+    return state
+
+
+def _step(category: str, confidence: str, pattern: str, hinted: Column, location: Column) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), 0), _finder(category, confidence, location))
+        after = F.struct(F.regexp_replace(s["text"], pattern, REDACTED).alias("text"), F.concat(s["found"], matches).alias("found"))
+        return F.when(hinted, after).otherwise(s)
+
+    return step
+
+
 def redacted(text: Column) -> Column:
     """Text with what the detectors find replaced."""
-    return functools.reduce(lambda t, d: F.regexp_replace(t, d[2], REDACTED), DETECTORS, text)
+    return _scanned(text, F.lit(""))["text"]
 
 
 def findings(text: Column, location: Column) -> Column:
     """Array of (category, location, confidence, masked): what each detector finds in what the one before left."""
-    found, left = [], text
-    for category, confidence, pattern in DETECTORS:
-        matches = F.coalesce(F.regexp_extract_all(left, F.lit(pattern), 0), F.array().cast("array<string>"))
-        found.append(F.transform(matches, _finder(category, confidence, location)))
-        left = F.regexp_replace(left, pattern, REDACTED)
-    return F.concat(*found)
+    return F.coalesce(_scanned(text, location)["found"], F.array().cast("array<struct<category:string,location:string,confidence:string,masked:string>>"))
 
 
 def _finder(category: str, confidence: str, location: Column) -> Callable[[Column], Column]:
@@ -72,14 +98,13 @@ def _finding_column(category: str, confidence: str, location: Column, match: Col
     return F.struct(F.lit(category).alias("category"), location.alias("location"), F.lit(confidence).alias("confidence"), masked.alias("masked"))
 
 
-def sanitized_headers(headers: Column) -> Column:
-    """A header map whose sensitive values are redacted whole, the others where detectors find something."""
-    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_HEADERS) | is_sensitive_name(k), REDACTED).otherwise(redacted(v)))
-
-
-def header_findings(headers: Column, location: str = "headers") -> Column:
-    own = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]).isin(*SENSITIVE_HEADERS) | is_sensitive_name(e["key"]))
-    return F.transform(own, lambda e: F.struct(F.lit("header-secret").alias("category"), F.concat(F.lit(f"{location}."), e["key"]).alias("location"), F.lit("high").alias("confidence"), F.concat(F.lit("<redacted:"), length_bucket(F.length(e["value"])), F.lit(" chars>")).alias("masked")))
+def is_sensitive_field(kind: Column, autocomplete: Column, names: Column, attributes: Column) -> Column:
+    """Whether a form field is private: by its type, its autocomplete, its names (name, id, label, joined by blanks) or a marking attribute (array of names)."""
+    said = F.lower(F.coalesce(autocomplete, F.lit("")))
+    return (
+        F.lower(F.coalesce(kind, F.lit(""))).isin(*PRIVATE_FIELD_TYPES) | F.rlike(said, F.lit(PRIVATE_AUTOCOMPLETE)) | F.rlike(F.coalesce(names, F.lit("")), F.lit(PRIVATE_FIELD_NAMES))
+        | F.arrays_overlap(F.coalesce(attributes, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in PRIVATE_ATTRIBUTES]))
+    )
 
 
 # Helpers of tasks ------------------------------------------------------------------------------------------------
@@ -89,6 +114,7 @@ _NAMES = re.compile(SENSITIVE_NAMES)
 _IN_TEXT = re.compile(r"https?://[^\s<>\"']+", re.I)
 _PARAMETER = re.compile(r"([?&#])([^=&#\s]+)=([^&#\s]*)")
 _URL = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*://)(?:([^/?#@]*)@)?([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$")
+_WEB = re.compile(r"https?://", re.I)
 _SECRET_FRAGMENT = re.compile(r"(?:access_token|id_token|token|code|secret|session)=", re.I)
 
 Found = list[tuple[str, str, str, str]]
@@ -118,6 +144,8 @@ def _scan(text: str, location: str, found: Found) -> str:
 
 def clean_url(url: str, location: str, found: Found) -> str:
     """A URL without credentials, secret parameters and secret fragments; of what is no URL, parameters and detectors' finds are replaced."""
+    with contextlib.suppress(ValueError):
+        url = whatwg.parsed(url) if _WEB.match(url or "") else url
     m = _URL.match(url or "")
     if not m:
         def one(p: re.Match) -> str:
@@ -133,7 +161,7 @@ def clean_url(url: str, location: str, found: Found) -> str:
         for part, value in (("username", name), ("password", password)):
             if value:
                 found.append(_finding("url-credential", f"{location}.{part}", "high", value))
-        user = "%5BREDACTED%5D" + (":%5BREDACTED%5D" if password else "")
+        user = "%5BREDACTED%5D" * bool(name) + ":%5BREDACTED%5D" * bool(password)
     pairs = parse_qsl((query or "")[1:], keep_blank_values=True)
     secret = [(k, v) for k, v in pairs if _sensitive_parameter(k, v)]
     if secret:
@@ -157,6 +185,18 @@ def clean_text(text: str, location: str, found: Found) -> str:
     return _scan(_IN_TEXT.sub(lambda m: clean_url(m[0], f"{location}.url", found), text or ""), location, found)
 
 
+def clean_headers(headers: dict[str, str], location: str, found: Found) -> dict[str, str]:
+    """Headers whose sensitive values are replaced whole, and the others as any text."""
+    out = {}
+    for name, value in headers.items():
+        if name.lower() in SENSITIVE_HEADERS or _sensitive_name(name):
+            found.append(_finding("header-secret", f"{location}.{name}", "high", value))
+            out[name] = REDACTED
+        else:
+            out[name] = clean_text("" if value is None else value, f"{location}.{name}", found)
+    return out
+
+
 def _clean_json(value: object, location: str, found: Found, *, urls: bool = False, fields: str = "body-field") -> object:
     if isinstance(value, list):
         return [_clean_json(v, f"{location}[{i}]", found, urls=urls, fields=fields) for i, v in enumerate(value)]
@@ -229,6 +269,16 @@ def _metadata_row(text: str | None) -> tuple:
         return clean_text(text, "metadata", found), found
 
 
+@F.pandas_udf(_row(headers=T.MapType(T.StringType(), T.StringType())))
+def sanitized_headers(headers: pd.Series) -> pd.DataFrame:
+    """(headers, findings) of header maps."""
+    rows = []
+    for h in headers:
+        found: Found = []
+        rows.append((None if h is None else clean_headers(dict(h), "headers", found), found))
+    return pd.DataFrame(rows, columns=["headers", "findings"])
+
+
 @F.pandas_udf(_row(url=T.StringType()))
 def sanitized_url(urls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_url_row(u) for u in urls], columns=["url", "findings"])

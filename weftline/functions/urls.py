@@ -5,8 +5,12 @@ What is not normal goes through ``whatwg.normalized`` first.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import whatwg
 
 
 def normalized(url: Column) -> Column:
@@ -61,24 +65,21 @@ def resource_key(url: Column) -> Column:
     return F.concat(pathname(url), search(url))
 
 
-def document_url(url: Column) -> Column:
-    return normalized(url)
-
-
 def route_key(url: Column, transition: Column) -> Column:
     return F.concat(transition, F.lit(":"), F.when(transition == "history", url).otherwise(normalized(url)))
 
 
-def resolved(raw: Column, base: Column) -> Column:
-    """An absolute, protocol-relative, root-relative, query or fragment reference against a normal base; null for others."""
-    absolute = F.rlike(raw, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:"))
-    return (
-        F.when(absolute, raw)
-        .when(F.startswith(raw, F.lit("//")), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), raw))
-        .when(F.startswith(raw, F.lit("/")), F.concat(origin(base), raw))
-        .when(F.startswith(raw, F.lit("?")), F.concat(origin(base), pathname(base), raw))
-        .when(F.startswith(raw, F.lit("#")), F.concat(normalized(base), raw))
-    )
+@F.pandas_udf(T.StringType())
+def resolved(raw: pd.Series, base: pd.Series) -> pd.Series:
+    """The URL that a reference means beside its base, relative ones and dot segments included; null for what is no URL."""
+
+    def one(value: str | None, beside: str | None) -> str | None:
+        try:
+            return None if value is None else whatwg.parsed(value, beside)
+        except ValueError:
+            return None
+
+    return pd.Series([one(v, b) for v, b in zip(raw, base, strict=True)], dtype=object)
 
 
 def reference_kind(raw: Column) -> Column:

@@ -64,7 +64,9 @@ def snapshot_bodies(snapshots: DataFrame, resources: DataFrame) -> DataFrame:
     """
     held = resources.where("content_hash is not null").groupBy("content_hash").agg(F.max_by("local_path", "position").alias("resource_path"))
     first = Window.partitionBy("content_hash").orderBy("position")
-    s = snapshots.join(held, "content_hash", "left").withColumn("first_path", F.first("local_path").over(first)).withColumn("n", F.row_number().over(first))
+    joined = snapshots.join(held, "content_hash", "left")
+    ranked = joined.where("content_hash is not null").withColumn("first_path", F.first("local_path").over(first)).withColumn("n", F.row_number().over(first))
+    s = ranked.unionByName(joined.where("content_hash is null").withColumn("first_path", F.col("local_path")).withColumn("n", F.lit(1)))
     hashed = F.col("content_hash").isNotNull()
     path = F.when(hashed & F.col("resource_path").isNotNull(), F.concat(F.lit("/"), F.col("resource_path"))).when(hashed, F.col("first_path")).otherwise(F.col("local_path"))
     written = ~hashed | (F.col("resource_path").isNull() & (F.col("n") == 1))
@@ -96,3 +98,20 @@ def exclusions(*lists: DataFrame) -> DataFrame:
     for other in lists[1:]:
         every = every.unionByName(other)
     return every.groupBy("kind", "url", "reason").agg(F.min("bytes").alias("bytes"))
+
+
+def optimization_summary(judged: DataFrame, excluded: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """One row of what the archive saves: bytes of resources and of snapshots (size, written), aliases, and bytes of distinct exclusions."""
+    apis = snapshots.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("api_logical_bytes"), F.coalesce(F.sum(F.when(F.col("written"), F.col("size"))), F.lit(0)).alias("api_physical_bytes"), F.count_if(~F.col("written")).alias("duplicate_api_bodies"))
+    left = exclusions(excluded).agg(F.count(F.lit(1)).alias("exclusions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("excluded_bytes_reported"))
+    stats = catalog_stats(judged).drop("excluded_bytes")
+    total = stats.join(judged.agg(F.count_if(F.col("outcome") == "duplicate").alias("alias_count"))).join(apis).join(left)  # one row each
+    logical, physical = F.col("logical_bytes") + F.col("api_logical_bytes"), F.col("physical_bytes") + F.col("api_physical_bytes")
+    return total.select(logical.alias("logical_bytes"), physical.alias("physical_bytes"), F.greatest(F.lit(0), logical - physical).alias("bytes_saved"), "deduplicated_bytes", "duplicate_bodies", "alias_count", "duplicate_api_bodies", "exclusions", "excluded_bytes_reported")
+
+
+def deflated(files: DataFrame) -> DataFrame:
+    """As estimate, with the bodies of files (path, body binary) really deflated."""
+    sized = files.select("path", F.octet_length("body").cast("long").alias("size"), media.deflated_size(F.col("body")).alias("packed"))
+    totals = sized.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("physical_bytes"), F.coalesce(F.sum("packed"), F.lit(0)).alias("packed"), F.coalesce(F.sum(92 + 2 * F.octet_length("path")), F.lit(0)).alias("overhead"))
+    return totals.select("file_count", "physical_bytes", (F.col("packed") + F.col("overhead") + 22).alias("estimated_archive_bytes"), F.greatest(F.lit(0), F.col("physical_bytes") - F.col("packed")).alias("estimated_bytes_saved"))

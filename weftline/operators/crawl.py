@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def decide(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:  # no
     c = c.withColumn("n", F.row_number().over(order)).where(F.col("n") <= policy.max_candidates + 1)
     raw = F.coalesce("url", F.lit(""))
     base = F.coalesce("base_url", "seed_url")
-    c = c.withColumn("route_url", urls.resolved(raw, base))
+    c = c.withColumn("route_url", urls.resolved(raw, base)).withColumn("seed_url", urls.resolved("seed_url", "seed_url"))
+    base = urls.resolved(base, F.col("seed_url"))
     history = (urls.fragment(F.col("route_url")) != "") & (urls.normalized(F.col("route_url")) == urls.normalized(base))
     c = c.withColumn("transition_kind", F.coalesce("transition_kind", F.when(history, "history").otherwise("document")))
     c = c.withColumn("key", urls.route_key(F.col("route_url"), F.col("transition_kind")))
@@ -69,6 +71,51 @@ def decide(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:  # no
     return judged.select("crawl", "position", "route_url", "transition_kind", F.when(F.col("reason") == "same-origin-anchor", "accepted").otherwise("skipped").alias("state"), "reason")
 
 
+def completed(accepted: DataFrame, results: DataFrame) -> DataFrame:
+    """(crawl, position, state, reason, alias_of) of accepted routes (crawl, position, route_url, transition_kind) after their visits.
+
+    results: (crawl, position, final_url, canonical_url), absolute. Routes are visited in the order of position. A visited route answers for its own, its final and
+    its canonical URL: another accepted route of such a key is skipped, before its visit or after it. A crawl accepts no more routes than
+    its policy has pages, so its walk is short.
+    """
+    rows = accepted.select("crawl", "position", "route_url", "transition_kind").join(results.select("crawl", "position", "final_url", "canonical_url"), ["crawl", "position"], "left")
+    kind = rows.schema
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        routes = list(group.sort_values("position").itertuples(index=False))
+        key = lambda url, kind: (kind, url if kind == "history" else url.partition("#")[0])
+        owner = {key(r.route_url, r.transition_kind): n for n, r in enumerate(routes)}
+        state = {n: ("accepted", "same-origin-anchor", None) for n in range(len(routes))}
+        for n, r in enumerate(routes):
+            if state[n][0] == "skipped":
+                continue
+            state[n] = ("captured", "rendered-captured", None)
+            for url in dict.fromkeys(u for u in (r.route_url, r.final_url, r.canonical_url) if isinstance(u, str) and u):
+                other = owner.get(key(url, r.transition_kind), n)
+                if other != n:
+                    state[other] = ("skipped", "canonical-alias" if url == r.canonical_url else "redirect-alias", r.position)
+                owner[key(url, r.transition_kind)] = n
+        return pd.DataFrame([(r.crawl, r.position, *state[n]) for n, r in enumerate(routes)], columns=["crawl", "position", "state", "reason", "alias_of"])
+
+    types = {f: kind[f].dataType.simpleString() for f in ("crawl", "position")}
+    return rows.groupBy("crawl").applyInPandas(walk, f"crawl {types['crawl']}, position {types['position']}, state string, reason string, alias_of {types['position']}")
+
+
+MAX_RESOURCES, MAX_PAGES = 400, 40
+
+
+def frontier(found: DataFrame, held: DataFrame, max_resources: int = MAX_RESOURCES, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(capture, url, kind, position, queued) of URLs that were found (capture, url, kind page or resource, position) and aren't held (capture, url).
+
+    Each URL once, where it stands first. Pages beyond max_pages of a capture aren't queued, nor is anything once max_resources are; queued tells.
+    """
+    first = found.withColumn("url", urls.normalized(F.col("url"))).groupBy("capture", "url").agg(F.min_by(F.struct("kind", "position"), "position").alias("first")).select("capture", "url", "first.*")
+    new = first.join(held.select("capture", urls.normalized(F.col("url")).alias("url")).distinct(), ["capture", "url"], "left_anti")
+    so_far = Window.partitionBy("capture").orderBy("position", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = (F.col("kind") != "page") | (F.sum((F.col("kind") == "page").cast("int")).over(so_far) <= max_pages)
+    return new.withColumn("fits", fits).withColumn("queued", F.col("fits") & (F.sum(F.col("fits").cast("int")).over(so_far) <= max_resources)).drop("fits")
+
+
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(url, depth): what seeds (url) reach over links (source, target), by breadth; each round is stored, and the loop ends when one finds nothing."""
     found = materialized(seeds.select("url").distinct().withColumn("depth", F.lit(0)))

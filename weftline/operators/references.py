@@ -8,40 +8,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markup, whatwg
+from ..functions import gltf, markup, media, paths, urls, whatwg
+from ..sources.tables import materialized
+
+#: Comments of scripts and style sheets that name their source maps.
+SOURCE_MAP_COMMENT = r"(?i)(?://[#@]\s*sourceMappingURL=[^\r\n]*|/\*[#@]\s*sourceMappingURL=[^*]*\*/)"
 
 _FOUND = "owner string, base_url string, n int, syntax string, role string, raw_value string, resolved_url string, normalized_url string, kind string, policy string, start int, end int, quote string, tag string, attribute string, fault string"
 
 
-def discover(texts: DataFrame, syntax: str) -> DataFrame:
-    """References of texts (owner, base_url, text) in order; a text that breaks off has the row of its fault (n = -1) beside what was found before."""
-    read = markup.READERS[syntax]
+def discover(texts: DataFrame, syntax: str | None = None) -> DataFrame:
+    """References of texts (owner, base_url, text[, syntax, where each has its own]) in order; a text that breaks off has only the row of its fault (n = -1)."""
+    if syntax:
+        texts = texts.withColumn("syntax", F.lit(syntax))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for owner, base, text in batch[["owner", "base_url", "text"]].itertuples(index=False):
-                n, fault = 0, None
+            for owner, base, text, kind in batch[["owner", "base_url", "text", "syntax"]].itertuples(index=False):
                 try:
-                    for r in read(text or ""):
-                        try:
-                            kind, url, normal = whatwg.reference(r.raw, base) or ("", None, None)
-                        except ValueError:
-                            kind, url, normal = "invalid", None, None
-                        rows.append((owner, base, n, r.syntax, r.role, r.raw, url, normal or None, kind, r.policy, r.start, r.end, r.quote, r.tag, r.attribute, None))
-                        n += 1
+                    rows += [_row(owner, base, n, r) for n, r in enumerate(markup.READERS[kind](text or ""))]
                 except ValueError as e:
-                    fault = str(e)
-                if fault:
-                    rows.append((owner, base, -1, syntax, "", "", None, None, "", "", 0, 0, "", "", "", fault))
+                    rows.append((owner, base, -1, kind, "", "", None, None, "", "", 0, 0, "", "", "", str(e)))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _FOUND.split(", ")])
 
-    return texts.select("owner", "base_url", "text").mapInPandas(run, _FOUND)
+    return texts.select("owner", "base_url", "text", "syntax").mapInPandas(run, _FOUND)
+
+
+def _row(owner: str, base: str, n: int, r: markup.Reference) -> tuple:
+    try:
+        kind, url, normal = whatwg.reference(r.raw, base) or ("", None, None)
+    except ValueError:
+        kind, url, normal = "invalid", None, None
+    return owner, base, n, r.syntax, r.role, r.raw, url, normal or None, kind, r.policy, r.start, r.end, r.quote, r.tag, r.attribute, None
+
+
+def fetchable(found: DataFrame) -> DataFrame:
+    """References that a capture would fetch: network ones that aren't mere navigation."""
+    return found.where((F.col("n") >= 0) & (F.col("kind") == "network") & (F.col("role") != "navigation"))
+
+
+def faults(found: DataFrame, phase: str = "resource-discovery") -> DataFrame:
+    """Diagnostics of the texts that broke off: (owner, code, severity, phase, message)."""
+    return found.where("n = -1").select("owner", F.concat(F.lit("resource-parser-"), "syntax", F.lit("-failed")).alias("code"), F.lit("warning").alias("severity"), F.lit(phase).alias("phase"), F.col("fault").alias("message"))
 
 
 def resolve(found: DataFrame, resources: DataFrame) -> DataFrame:
-    """Adds disposition, reason and replacement; resources: (url, local_path), with redirects and aliases followed already."""
-    known = resources.select(F.col("url").alias("normalized_url"), "local_path").dropDuplicates(["normalized_url"])
+    """Adds disposition, reason and replacement; resources: (url, local_path[, position]), with redirects and aliases followed already.
+
+    Of resources of one URL the last by position counts, without positions the greatest path.
+    """
+    last = F.max_by("local_path", "position") if "position" in resources.columns else F.max("local_path")
+    known = resources.groupBy(F.col("url").alias("normalized_url")).agg(last.alias("local_path"))
     r = found.join(known, "normalized_url", "left")
     fragment = F.regexp_extract("resolved_url", "(#.*)$", 1)
     local = F.concat(F.when(F.startswith("local_path", F.lit("/")), "").otherwise("/"), "local_path", fragment)
@@ -87,6 +105,50 @@ def diagnostics(resolved: DataFrame) -> DataFrame:
     return resolved.where(F.col("disposition").isin("blocked", "unresolved")).select("owner", F.col("reason").alias("code"), severity.alias("severity"), F.concat_ws(" ", "syntax", "raw_value", F.lit("was"), "disposition").alias("message"))
 
 
+def rewritten_kind(mime: Column, url: Column) -> Column:
+    """How a text is rewritten, by its type and the ending of its URL; null for texts that stay."""
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    return (
+        F.when(F.startswith(kind, F.lit("text/html")), "html").when(F.startswith(kind, F.lit("text/css")), "css").when(F.startswith(kind, F.lit("image/svg+xml")), "svg")
+        .when(media.is_gltf_url(url) | F.contains(kind, F.lit("model/gltf+json")), "gltf")
+        .when(F.rlike(kind, F.lit("(?:java|ecma)script")) | F.rlike(F.lower(url), F.lit(r"\.(?:js|mjs)(?:$|[?#])")), "javascript")
+    )
+
+
+def rewrite_resources(resources: DataFrame, known: DataFrame, bootstrap: str = "") -> tuple[DataFrame, DataFrame]:
+    """Every resource (owner, url, mime_type, text, route_page) with its references led to ``known`` (url, local_path[, position]), and what went wrong.
+
+    Returns (owner, kind, text, artifact_hash, replaced) and diagnostics (owner, code, severity, phase, message). A text that breaks off stays as it is and
+    is reported; others aren't touched by it. Comments that name source maps go from scripts and style sheets. Route pages get the bootstrap.
+    Texts of other kinds stay as they are, without an artifact.
+    """
+    r = resources.withColumn("kind", rewritten_kind(F.col("mime_type"), F.col("url")))
+    marked = r.where(F.col("kind").isin("html", "css", "svg", "javascript")).select("owner", F.col("url").alias("base_url"), "text", F.col("kind").alias("syntax"))
+    found = materialized(discover(marked))
+    resolved = resolve(found, known)
+    changed = rewrite(marked, resolved).unionByName(rewritten_gltf(r.where("kind = 'gltf'").select("owner", F.col("url").alias("base_url"), "text"), known))
+    done = r.select("owner", "kind", "route_page", F.col("text").alias("before")).join(changed, "owner", "left")
+    done = done.join(found.where("n = -1").select("owner", F.lit(True).alias("broken")), "owner", "left")
+    text = F.coalesce("text", "before")
+    plain = F.when(F.col("kind").isin("css", "javascript") & F.col("broken").isNull(), F.regexp_replace(text, SOURCE_MAP_COMMENT, "")).when(F.col("kind") == "html", without_foreign(text)).otherwise(text)
+    started = F.when(F.col("route_page") & (F.col("kind") == "html"), with_bootstrap(plain, bootstrap)).otherwise(plain)
+    out = done.select("owner", "kind", started.alias("text"), F.when(F.col("kind").isNotNull() & (F.col("broken").isNull() | (F.col("kind") == "html")), paths.content_hash(plain)).alias("artifact_hash"), F.coalesce("replaced", F.lit(0)).alias("replaced"))
+    wrong = diagnostics(resolved).withColumn("phase", F.lit("resource-rewrite")).unionByName(
+        faults(found, "resource-rewrite").withColumn("code", F.when(F.col("code") == "resource-parser-html-failed", "resource-parser-html-rewrite-failed").otherwise("resource-parser-rewrite-failed"))
+    )
+    return out, wrong
+
+
+def rewritten_gltf(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(owner, text, replaced): glTF documents (owner, base_url, text) whose files are led to known ones; what is no JSON stays as it is."""
+    named = F.posexplode(gltf.uris(F.col("text"))).alias("n", "raw")
+    files = texts.select("owner", "base_url", named).where(~F.rlike("raw", F.lit("(?i)^(?:data:|blob:|javascript:|mailto:|tel:|#)")))
+    files = files.withColumn("url", urls.normalized(urls.resolved(F.col("raw"), F.col("base_url"))))
+    last = F.max_by("local_path", "position") if "position" in known.columns else F.max("local_path")
+    local = files.join(known.groupBy("url").agg(last.alias("local_path")), "url").groupBy("owner").agg(F.collect_set(F.struct("raw", F.concat(F.lit("/"), "local_path").alias("to"))).alias("local"))
+    return texts.join(local, "owner", "left").select("owner", gltf.with_uris(F.col("text"), F.col("local")).alias("text"), F.coalesce(F.size("local"), F.lit(0)).alias("replaced"))
+
+
 def without_foreign(text: Column) -> Column:
     """A page without integrity attributes, policy meta tags, base tags and scripts of other hosts."""
     text = F.regexp_replace(text, r"""(?i)\s+integrity\s*=\s*(?:"[^"]*"|'[^']*')""", "")
@@ -101,3 +163,12 @@ def with_bootstrap(text: Column, bootstrap: str) -> Column:
     at = F.instr(text, found)
     placed = F.concat(F.substring(text, F.lit(1), at + F.length(found) - 1), F.lit(bootstrap), F.substring(text, at + F.length(found), F.length(text)))
     return F.when(found == "", F.concat(F.lit(bootstrap), text)).otherwise(placed)
+
+
+def with_marker(text: Column, marker: Column) -> Column:
+    """A page that tells a validator which route it is."""
+    script = F.concat(F.lit("<script>document.documentElement.dataset.validationMarker="), F.to_json(F.struct(marker.alias("m"))), F.lit(".m;</script>"))
+    head = F.regexp_extract(text, r"(?i)<head(?:\s[^>]*)?>", 0)
+    at = F.instr(text, head)
+    placed = F.concat(F.substring(text, F.lit(1), at + F.length(head) - 1), script, F.substring(text, at + F.length(head), F.length(text)))
+    return F.when(head == "", F.concat(script, text)).otherwise(placed)

@@ -106,12 +106,22 @@ def ambiguity(exchanges: DataFrame) -> DataFrame:
     return keyed.groupBy("method", "path_key", "content_type", "request_body_hash").agg(F.count_distinct("origin").alias("origins"), F.count(F.lit(1)).alias("candidates")).where("origins > 1")
 
 
-def coverage(exchanges: DataFrame, misses: DataFrame) -> DataFrame:
-    """One row: recorded, supported (no miss), coverage percent to a tenth (100 of nothing), misses by reason as JSON."""
-    marked = exchanges.join(misses.select("exchange_id", "reason_code"), "exchange_id", "left")
-    by_reason = marked.groupBy("reason_code").agg(F.count(F.lit(1)).alias("n"))
-    n, ok = F.col("recorded"), F.col("supported")
-    total = by_reason.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("recorded"), F.coalesce(F.sum(F.when(F.col("reason_code").isNull(), F.col("n"))), F.lit(0)).alias("supported"), F.array_sort(F.collect_list(F.when(F.col("reason_code").isNotNull(), F.concat_ws("=", "reason_code", F.col("n").cast("string"))))).alias("misses"))
-    return total.select("recorded", "supported", F.when(n > 0, F.floor((2000 * ok + n) / (2 * n)) / 10).otherwise(100.0).cast("double").alias("coverage"), F.array_join("misses", ",").alias("misses"))
-
+def coverage(exchanges: DataFrame, misses: DataFrame, ambiguities: DataFrame | None = None) -> DataFrame:
+    """One row: recorded, supported (no miss), locally_fulfillable (a body, or a status that needs none), coverage percent to a tenth (100 of nothing),
+    ambiguities, and misses by reason, those of ambiguities included.
 
+    exchanges: exchange_id[, body_available, status].
+    """
+    fulfilled = F.lit(None).cast("boolean")
+    if "body_available" in exchanges.columns:
+        fulfilled = F.col("body_available") | F.col("status").isin(204, 205, 301, 302, 303, 307, 308)
+    marked = exchanges.withColumn("fulfilled", fulfilled).join(misses.select("exchange_id", "reason_code"), "exchange_id", "left")
+    by_reason = marked.groupBy("reason_code").agg(F.count(F.lit(1)).alias("n"), F.count_if("fulfilled").alias("fulfilled"))
+    if ambiguities is not None:
+        by_reason = by_reason.unionByName(ambiguities.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("ambiguous").alias("reason_code"), "n", F.lit(None).cast("long").alias("fulfilled")))
+    own = F.coalesce(F.col("reason_code") != "ambiguous", F.lit(True))
+    sums = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).alias(name)
+    reasons = F.array_sort(F.collect_list(F.when(F.col("reason_code").isNotNull(), F.concat_ws("=", "reason_code", F.col("n").cast("string")))))
+    n, ok = F.col("recorded"), F.col("supported")
+    total = by_reason.agg(sums(F.when(own, F.col("n")), "recorded"), sums(F.when(F.col("reason_code").isNull(), F.col("n")), "supported"), sums("fulfilled", "locally_fulfillable"), sums(F.when(~own, F.col("n")), "ambiguities"), reasons.alias("misses"))
+    return total.select("recorded", "supported", "locally_fulfillable", F.when(n > 0, F.floor((2000 * ok + n) / (2 * n)) / 10).otherwise(100.0).cast("double").alias("coverage"), "ambiguities", F.array_join("misses", ",").alias("misses"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import privacy, urls, whatwg
+from ..functions import gltf, privacy, urls, whatwg
 
 
 def linked_edges(edges: DataFrame, refetched: DataFrame) -> DataFrame:
@@ -121,7 +118,7 @@ def form_findings(snapshots: DataFrame) -> DataFrame:
 def source_map_urls(texts: DataFrame) -> DataFrame:
     """(owner, url): source maps that comments of scripts and style sheets (owner, base_url, text) name, of the same origin."""
     named = texts.select("owner", "base_url", F.explode(F.regexp_extract_all("text", F.lit(r"[#@]\s*sourceMappingURL=([^\s'\"*]+)"), 1)).alias("raw"))
-    found = named.select("owner", "base_url", urls.normalized(F.coalesce(urls.resolved(F.col("raw"), F.col("base_url")), F.concat(urls.base_scope(F.col("base_url")), "raw"))).alias("url"))
+    found = named.select("owner", "base_url", urls.normalized(urls.resolved(F.col("raw"), F.col("base_url"))).alias("url"))
     return found.where(urls.is_http(F.col("url")) & (urls.origin(F.col("url")) == urls.origin(F.col("base_url")))).select("owner", "url").distinct()
 
 
@@ -150,23 +147,17 @@ def _absolute(raw: DataFrame) -> DataFrame:
 
 def gltf_urls(texts: DataFrame) -> DataFrame:
     """(owner, url): files that glTF documents name at any depth; data URLs and texts that aren't JSON name none."""
+    raw = texts.select("owner", "base_url", F.explode(gltf.uris(F.col("text"))).alias("raw"))
+    return _absolute(raw.where(~F.startswith(F.lower("raw"), F.lit("data:"))))
+
+
+def escaped_html(text: Column) -> Column:
+    """Text as it may stand in a page."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return F.coalesce(text, F.lit(""))
+
 
-    def walk(value: object) -> Iterator[str]:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield from [v] if k == "uri" and isinstance(v, str) else walk(v)
-        elif isinstance(value, list):
-            for v in value:
-                yield from walk(v)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for owner, base, text in batch[["owner", "base_url", "text"]].itertuples(index=False):
-                try:
-                    rows += [(owner, base, uri) for uri in walk(json.loads(text or "null")) if not uri.lower().startswith("data:")]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["owner", "base_url", "raw"])
-
-    return _absolute(texts.select("owner", "base_url", "text").mapInPandas(run, "owner string, base_url string, raw string"))
+def runtime_json(record: Column) -> Column:
+    """A record as JSON that may stand in a script and in a template of one."""
+    return F.replace(F.replace(F.to_json(record), F.lit("<"), F.lit("\\u003c")), F.lit("`"), F.lit("\\u0060"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import media, paths
 
 CHUNK_BYTES = 1 << 20
 RESERVE_BYTES = CHECK_BYTES = 16 << 20
@@ -58,3 +58,22 @@ def quota(quota_bytes: Column, usage: Column, needed: Column) -> Column:
     available = F.greatest(F.lit(0), quota_bytes - usage - RESERVE_BYTES)
     checked = needed >= CHECK_BYTES
     return F.struct(available.alias("available"), checked.alias("checked"), (~checked | (needed <= available)).alias("fits"))
+
+
+def hydrated(resources: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Resources (storage_key, body binary, mime_type, url, ...) with bodies from storage (storage_key, body) where they hold none; text where the type is text."""
+    held = bodies.groupBy("storage_key").agg(F.first("body").alias("stored_body"))
+    joined = resources.join(held, "storage_key", "left").withColumn("body", F.coalesce("body", "stored_body")).drop("stored_body")
+    return joined.withColumn("text", F.when(media.is_catalog_text(F.col("url"), F.col("mime_type")), F.decode("body", "utf-8")))
+
+
+def without_inline_bodies(missions: DataFrame) -> DataFrame:
+    """Mission records (..., bodies array of structs with a body) as they are persisted: no body stays inline."""
+    kind = missions.schema["bodies"].dataType.elementType["body"].dataType
+    return missions.withColumn("bodies", F.transform("bodies", lambda b: b.withField("body", F.lit(None).cast(kind))))
+
+
+def within_budget(bodies: DataFrame, most: int) -> DataFrame:
+    """Bodies (mission_id, sequence, size) with the bytes so far, and whether the mission still had room when each came."""
+    before = Window.partitionBy("mission_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bodies.withColumn("so_far", F.sum("size").over(before)).withColumn("kept", F.col("so_far") - F.col("size") < most)

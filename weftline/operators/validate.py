@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import paths, urls
 
 DIAGNOSTIC = ("category", "code", "severity", "path", "url", "message")
 
@@ -59,12 +59,29 @@ def input_diagnostics(*, unresolved: DataFrame | None = None, unavailable: DataF
     return functools.reduce(DataFrame.unionByName, found) if found else None
 
 
+def validation_routes(resources: DataFrame, roots: DataFrame) -> DataFrame:
+    """Routes by which pages of archives are validated: (archive, position, n, route_id, url, local_path, expected_marker).
+
+    resources: archive, position, mime_type, url, route_url, route_id, aliases, local_path; roots: archive, page_url. Of an HTML page its route, its URL and its
+    aliases are tried in that order; the root's key and keys that were there before add nothing. The first of a page has the id of its route.
+    """
+    name = F.coalesce("local_path", "url", F.lit("html"))
+    pages = resources.where(F.startswith(F.lower(F.coalesce("mime_type", F.lit(""))), F.lit("text/html"))).withColumn("expected_marker", F.coalesce("route_id", F.concat(F.lit("page:"), paths.short_hash(name))))
+    tried = F.filter(F.concat(F.array(F.coalesce("route_url", "url"), "url"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda u: F.coalesce(u, F.lit("")) != "")
+    tried = pages.select("archive", "position", "route_id", "local_path", "expected_marker", F.posexplode(tried).alias("n", "url")).where(F.rlike("url", F.lit("^[A-Za-z][A-Za-z0-9+.-]*://.")))
+    tried = tried.withColumn("key", urls.validation_key(F.col("url")))
+    roots = roots.select("archive", urls.validation_key(F.col("page_url")).alias("key"))
+    first = tried.join(roots, ["archive", "key"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("archive", "key").orderBy("position", "n"))).where("r = 1")
+    leads = F.row_number().over(Window.partitionBy("archive", "position").orderBy("n")) == 1
+    route = F.when(leads & F.col("route_id").isNotNull(), F.col("route_id")).otherwise(F.concat(F.lit("route:"), paths.short_hash(F.concat("key", F.lit("\n"), F.coalesce("local_path", F.lit("undefined"))))))
+    return first.select("archive", "position", "n", route.alias("route_id"), "url", "local_path", "expected_marker")
+
+
 def plan_routes(routes: DataFrame, max_routes: int = 40) -> DataFrame:
-    """Routes (position, route_id, url, local_path) within the budget, with defaults and normal paths; over_budget marks the rest."""
-    order = Window.orderBy("position")
-    n = F.row_number().over(order)  # routes of one archive
-    name = F.coalesce("route_id", F.concat(F.lit("route-"), F.col("n").cast("string")))
-    return routes.withColumn("n", n).select("n", name.alias("route_id"), "url", paths.archive_name(F.col("local_path")).alias("local_path"), name.alias("expected_marker"), (F.col("n") > max_routes).alias("over_budget"))
+    """Routes (archive, position, n, route_id, url, local_path, expected_marker) of each archive in order, with defaults and normal paths; over_budget marks what is beyond."""
+    rank = F.row_number().over(Window.partitionBy("archive").orderBy("position", "n"))
+    name = F.coalesce("route_id", F.concat(F.lit("route-"), F.col("place").cast("string")))
+    return routes.withColumn("place", rank).select("archive", "place", name.alias("route_id"), "url", paths.archive_name(F.col("local_path")).alias("local_path"), F.coalesce("expected_marker", name).alias("expected_marker"), (F.col("place") > max_routes).alias("over_budget"))
 
 
 def finalize(diagnostics: DataFrame, *, cancelled: bool = False) -> DataFrame:

@@ -92,10 +92,10 @@ def missing_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def script_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with scripts and integrity planted by page_id."""
+    """Whole pages with scripts and integrity planted by page_id behind them."""
     key = F.col("page_id")
     extra = F.concat(F.when(key % 3 == 0, '<script src="https://x.test/a.js"></script>').otherwise(""), F.when(key % 4 == 0, "<SCRIPT defer src='/b.js#1'></SCRIPT><script src=\"/b.js\">").otherwise(""), F.when(key % 5 == 0, '<link integrity = "sha256-x">').otherwise(""))
-    files = capture.table(spark, sf, "pages").select(F.concat(F.lit("p/"), key, F.when(key % 7 == 0, ".txt").otherwise(".html")).alias("path"), F.concat(F.lit("<p>"), extra).alias("text"))
+    files = capture.table(spark, sf, "pages").select(F.concat(F.lit("p/"), key, F.when(key % 7 == 0, ".txt").otherwise(".html")).alias("path"), F.concat("html", extra).alias("text"))
     return validate.scan_html(files).select("path", "code", "url")
 
 
@@ -112,17 +112,78 @@ def user_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Crawls of ten pages' links each, with variants planted by (page_id, position), under small budgets."""
+    """Crawls of ten pages' links each, with variants (relative ones too) planted by (page_id, position), under small budgets."""
     a = capture.anchors(spark, sf)
     key, n = F.col("page_id"), F.col("position")
     home = F.concat(F.lit("https://site"), F.floor(key / 10), F.lit(".test"))
     url = (
-        F.when((key + n) % 13 == 0, F.concat(F.lit("https://other.test"), "href")).when((key + n) % 11 == 0, F.concat(F.lit("#s"), n)).when((key + n) % 17 == 0, "").when((key + n) % 19 == 0, "mailto:a@b.test").otherwise(F.concat(F.lit("/r"), (key * 7 + n) % 29))
+        F.when((key + n) % 13 == 0, F.concat(F.lit("https://other.test"), "href")).when((key + n) % 11 == 0, F.concat(F.lit("#s"), n)).when((key + n) % 17 == 0, "").when((key + n) % 19 == 0, "mailto:a@b.test").otherwise(F.concat(F.element_at(F.array(F.lit("/r"), F.lit("r"), F.lit("./r"), F.lit("/a/../r"), F.lit("../r")), ((key + n) % 5 + 1).cast("int")), (key * 7 + n) % 29))
     )
     c = a.select(F.floor(key / 10).alias("crawl"), F.concat(home, F.lit("/")).alias("seed_url"), F.concat(home, F.lit("/r0")).alias("base_url"), (key * 1000 + n).alias("position"), url.alias("url"), F.when((key + n) % 23 == 0, "area").alias("element_kind"), F.when((key + n) % 31 == 0, "_blank").alias("target"), ((key + n) % 37 == 0).alias("download"), F.lit(False).alias("form_action"))
     return crawl.decide(c, crawl.Policy(max_pages=12, max_candidates=60, max_history_states=2)).select("crawl", "position", "state", "reason")
 
 
+def crawl_completed(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten accepted routes to a crawl; of every ten the third redirects to the fifth, and the seventh says that the second is its canonical form."""
+    p = capture.table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("crawl"), (F.col("page_id") % 10).alias("position"))
+    url = lambda n: F.concat(F.lit("https://c.test/"), n.cast("string"))
+    accepted = p.select("crawl", "position", url(F.col("position")).alias("route_url"), F.lit("document").alias("transition_kind"))
+    results = p.select("crawl", "position", F.when(F.col("position") == 3, url(F.lit(5))).alias("final_url"), F.when(F.col("position") == 7, F.concat(url(F.lit(2)), F.lit("#top"))).alias("canonical_url"))
+    return crawl.completed(accepted, results)
+
+
+def fetch_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """What ten pages' links lead to, every third as a page, beside what is held already; small limits."""
+    a = capture.anchors(spark, sf).select(F.floor(F.col("page_id") / 10).alias("capture"), F.concat(F.lit("https://f.test/"), (F.col("page_id") * 5 + F.col("position")) % 41, F.lit("#x")).alias("url"), (F.col("page_id") * 1000 + F.col("position")).alias("position"))
+    found = a.withColumn("kind", F.when(F.col("position") % 3 == 0, "page").otherwise("resource"))
+    held = a.select("capture", F.lit("https://f.test/7").alias("url"))
+    return crawl.frontier(found, held, 15, 3).select("capture", "url", "kind", "position", "queued")
+
+
+def validation_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of an archive for every hundred, each with a route of its own or none and sometimes an alias; the first page is the root."""
+    p = capture.table(spark, sf, "pages").withColumn("archive", F.floor(F.col("page_id") / 100)).withColumn("u", F.concat(F.lit("https://v.test/p"), F.col("page_id") % 97))
+    no = F.lit(None).cast("string")
+    resources = p.select("archive", F.col("page_id").alias("position"), F.when(F.col("page_id") % 6 == 5, "text/css").otherwise("Text/HTML; charset=x").alias("mime_type"), F.col("u").alias("url"), no.alias("route_url"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("route-"), "page_id")).alias("route_id"), F.when(F.col("page_id") % 4 == 0, F.array(F.concat("u", F.lit("/#a")))).alias("aliases"), F.concat(F.lit("/assets/"), "page_id", F.lit(".html")).alias("local_path"))
+    roots = p.select("archive").distinct().withColumn("page_url", F.lit("https://v.test/p0"))
+    planned = validate.plan_routes(validate.validation_routes(resources, roots), 40)
+    return planned.select("archive", "place", "url", "local_path", "over_budget", F.startswith("route_id", F.lit("route-")).alias("own_route"))
+
+
+def optimization_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = capture.exchanges(spark, sf).where("content_hash is not null").select(F.col("sequence").alias("position"), F.concat(F.lit("api-snapshots/"), "sequence", F.lit(".bin")).alias("local_path"), "content_hash", "size")
+    r = capture.table(spark, sf, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("position"), F.concat(F.lit("assets/"), "page_id", F.lit(".html")).alias("local_path"), paths.content_hash(F.col("html")).alias("content_hash"))
+    judged = catalog.catalog(_resources(spark, sf))
+    left = judged.where("outcome = 'source-map'").select(F.lit("source-map").alias("kind"), "url", F.lit("excluded-by-default").alias("reason"), F.col("size").alias("bytes"))
+    return catalog.optimization_summary(judged, left.unionByName(left), catalog.snapshot_bodies(s, r))
+
+
+def deflated_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Page bodies really deflated; what repeats shrinks to a small part."""
+    p = capture.table(spark, sf, "pages").select(F.concat(F.lit("assets/"), "page_id").alias("path"), F.repeat(F.lit("ab"), F.lit(5000)).cast("binary").alias("body"), "html")
+    return catalog.deflated(p.select("path", F.concat(F.col("html").cast("binary"), F.col("body")).alias("body"))).select("file_count", "physical_bytes", (F.col("estimated_archive_bytes") < F.col("physical_bytes") / 2).alias("halved"), (F.col("estimated_bytes_saved") > 0).alias("saved"))
+
+
+def hydrated_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of which every second holds its body in storage only."""
+    p = capture.table(spark, sf, "pages").withColumn("storage_key", F.concat(F.lit("body-"), "page_id"))
+    resources = p.select("page_id", "url", F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("text/html").alias("mime_type"), "storage_key", F.when(F.col("page_id") % 2 == 0, F.col("html").cast("binary")).alias("body"))
+    bodies = p.where("page_id % 2 = 1 and page_id % 7 <> 0").select("storage_key", F.col("html").cast("binary").alias("body"))
+    return storage.hydrated(resources, bodies).select("page_id", F.octet_length("body").cast("long").alias("size"), F.length("text").cast("long").alias("characters"))
+
+
+def mission_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Missions with the bodies of their pages, as persisted."""
+    b = capture.table(spark, sf, "pages").select((F.col("page_id") % 20).alias("mission_id"), F.struct(F.col("page_id").alias("id"), F.octet_length("html").cast("long").alias("size"), F.col("html").alias("body")).alias("b"))
+    m = storage.without_inline_bodies(b.groupBy("mission_id").agg(F.array_sort(F.collect_list("b")).alias("bodies")))
+    return m.select("mission_id", F.size("bodies").cast("long").alias("bodies"), F.aggregate("bodies", F.lit(0).cast("long"), lambda t, x: t + x["size"]).alias("size"), F.exists("bodies", lambda x: x["body"].isNotNull()).alias("inline"))
+
+
+def byte_budget(spark: SparkSession, sf: str) -> DataFrame:
+    r = capture.responses(spark, sf).where("size is not null")
+    return storage.within_budget(r.select("id", "mission_id", "sequence", "size"), 300_000).select("id", "so_far", "kept")
+
+
 def crawl_reachable(spark: SparkSession, sf: str) -> DataFrame:
     """From page 1 over the links p -> 2p + 1 and p -> 3p + 2, modulo the number of pages."""
     p = capture.table(spark, sf, "pages").select("page_id")
@@ -164,7 +225,7 @@ def quota_status(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "q.available", "q.checked", "q.fits")
 
 
-QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
+QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
 
 _PATH_SQL = f"s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m), ap AS (SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS path FROM h)"
 _ANCHOR_SQL = "a0 AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, i - 1 AS n, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"
@@ -192,7 +253,31 @@ ORACLE_SQL = {
     "resource_route_map": f"WITH k AS (SELECT {pathname('url')} || {search('url')} AS path_key, {origin('url')} AS origin, page_id, '/assets/' || page_id AS local_path FROM pages), e AS (SELECT * FROM k UNION ALL SELECT path_key, 'https://mirror.test', page_id, '/assets/mirror' FROM k WHERE page_id % 3 = 0) SELECT path_key, arg_max(local_path, page_id) AS local_path FROM e GROUP BY 1 HAVING count(DISTINCT origin) = 1",
     "exclusion_union": f"WITH {_RESOURCES_SQL} SELECT 'source-map' AS kind, url, 'excluded-by-default' AS reason, min(size) AS bytes FROM judged WHERE outcome = 'source-map' GROUP BY url",
     "missing_files": f"WITH {_PATH_SQL} SELECT DISTINCT path, CASE WHEN page_id % 2 = 0 THEN 'error' ELSE 'warning' END AS severity FROM ap WHERE path NOT IN (SELECT path FROM ap WHERE page_id % 9 <> 0)",
-    "script_scan": "WITH f AS (SELECT page_id AS k, 'p/' || page_id || '.html' AS path FROM pages WHERE page_id % 7 <> 0) SELECT path, 'stale-subresource-integrity' AS code, NULL AS url FROM f WHERE k % 5 = 0 UNION ALL SELECT path, 'external-executable-reference', 'https://x.test/a.js' FROM f WHERE k % 3 = 0 UNION ALL SELECT path, 'duplicate-executable-reference', '/b.js' FROM f WHERE k % 4 = 0",
+    "script_scan": """WITH f AS (SELECT 'p/' || page_id || CASE WHEN page_id % 7 = 0 THEN '.txt' ELSE '.html' END AS path, html || CASE WHEN page_id % 3 = 0 THEN '<script src="https://x.test/a.js"></script>' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN '<SCRIPT defer src=''/b.js#1''></SCRIPT><script src="/b.js">' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<link integrity = "sha256-x">' ELSE '' END AS text FROM pages),
+h AS (SELECT path, text, regexp_extract_all(text, '(?i)<script\\b([^>]*)>', 1) AS tags FROM f WHERE path LIKE '%.html'),
+s AS (SELECT path, i, trim(regexp_extract(tags[i], '(?i)\\bsrc\\s*=\\s*["'']([^"'']+)["'']', 1)) AS src FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM h))
+SELECT path, 'stale-subresource-integrity' AS code, NULL AS url FROM h WHERE regexp_matches(text, '(?i)\\bintegrity\\s*=\\s*["''][^"'']+["'']')
+UNION ALL SELECT path, 'external-executable-reference', src FROM s WHERE regexp_matches(src, '(?i)^(https?:)?//')
+UNION ALL (SELECT path, 'duplicate-executable-reference', src FROM s WHERE src <> '' QUALIFY row_number() OVER (PARTITION BY path, regexp_replace(src, '#.*$', '') ORDER BY i) > 1)""",
+    "crawl_completed": "SELECT page_id // 10 AS crawl, page_id % 10 AS position, CASE WHEN page_id % 10 IN (2, 5) AND page_id // 10 * 10 + CASE page_id % 10 WHEN 2 THEN 7 ELSE 3 END < (SELECT count(*) FROM pages) THEN 'skipped' ELSE 'captured' END AS state, CASE page_id % 10 WHEN 2 THEN 'canonical-alias' WHEN 5 THEN 'redirect-alias' ELSE 'rendered-captured' END AS reason, CASE page_id % 10 WHEN 2 THEN 7 WHEN 5 THEN 3 END AS alias_of FROM pages",
+    "fetch_frontier": f"""WITH {_ANCHOR_SQL}, u AS (SELECT page_id // 10 AS capture, 'https://f.test/' || ((page_id * 5 + n) % 41) AS url, page_id * 1000 + n AS position FROM anchors),
+f AS (SELECT capture, url, min(position) AS position FROM u WHERE url <> 'https://f.test/7' GROUP BY 1, 2), k AS (SELECT *, CASE WHEN position % 3 = 0 THEN 'page' ELSE 'resource' END AS kind FROM f),
+g AS (SELECT *, kind <> 'page' OR sum(CASE WHEN kind = 'page' THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY position ROWS UNBOUNDED PRECEDING) <= 3 AS fits FROM k)
+SELECT capture, url, kind, position, fits AND sum(CASE WHEN fits THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY position ROWS UNBOUNDED PRECEDING) <= 15 AS queued FROM g""",
+    "validation_plan": """WITH p AS (SELECT page_id // 100 AS archive, page_id, '/p' || (page_id % 97) AS k FROM pages WHERE page_id % 6 <> 5),
+c AS (SELECT archive, page_id, 0 AS n, k AS key, 'https://v.test' || k AS url FROM p UNION ALL SELECT archive, page_id, 2, k || '#a', 'https://v.test' || k || '/#a' FROM p WHERE page_id % 4 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY archive, key ORDER BY page_id, n) AS r FROM c WHERE key <> '/p0'),
+o AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY page_id, n) AS place, row_number() OVER (PARTITION BY archive, page_id ORDER BY n) AS lead FROM f WHERE r = 1)
+SELECT archive, CAST(place AS INTEGER) AS place, url, 'assets/' || page_id || '.html' AS local_path, place > 40 AS over_budget, lead = 1 AND page_id % 2 = 0 AS own_route FROM o""",
+    "optimization_summary": with_(RESPONSES, f""", {_RESOURCES_SQL}, r AS (SELECT DISTINCT 'sha256:' || sha256(html) AS content_hash FROM pages WHERE page_id % 2 = 0),
+ s AS (SELECT x.size, r.content_hash IS NULL AND row_number() OVER (PARTITION BY x.content_hash ORDER BY x.sequence) = 1 AS written FROM exchanges x LEFT JOIN r ON r.content_hash = x.content_hash WHERE x.content_hash IS NOT NULL),
+ a AS (SELECT sum(size) AS l, coalesce(sum(size) FILTER (WHERE written), 0) AS w, count(*) FILTER (WHERE NOT written) AS d FROM s),
+ j AS (SELECT sum(size) FILTER (WHERE outcome <> 'repeated') AS l, sum(size) FILTER (WHERE outcome = 'kept') AS k, coalesce(sum(size) FILTER (WHERE outcome = 'duplicate'), 0) AS dd, count(*) FILTER (WHERE outcome = 'duplicate') AS n, count(DISTINCT url) FILTER (WHERE outcome = 'source-map') AS e FROM judged)
+ SELECT j.l + a.l AS logical_bytes, j.k + a.w AS physical_bytes, j.l + a.l - j.k - a.w AS bytes_saved, dd AS deduplicated_bytes, j.n AS duplicate_bodies, j.n AS alias_count, a.d AS duplicate_api_bodies, e AS exclusions, 3 * e AS excluded_bytes_reported FROM j, a"""),
+    "deflated_archive": "SELECT count(*) AS file_count, sum(strlen(html) + 10000) AS physical_bytes, true AS halved, true AS saved FROM pages",
+    "hydrated_bodies": "SELECT page_id, CASE WHEN page_id % 2 = 0 OR page_id % 7 <> 0 THEN CAST(strlen(html) AS BIGINT) END AS size, CASE WHEN (page_id % 2 = 0 OR page_id % 7 <> 0) AND page_id % 5 <> 0 THEN length(html) END AS characters FROM pages",
+    "mission_records": "SELECT page_id % 20 AS mission_id, count(*) AS bodies, CAST(sum(strlen(html)) AS BIGINT) AS size, false AS inline FROM pages GROUP BY 1",
+    "byte_budget": with_(RESPONSES, "SELECT id, sum(size) OVER w AS so_far, sum(size) OVER w - size < 300000 AS kept FROM responses WHERE size IS NOT NULL WINDOW w AS (PARTITION BY mission_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)"),
     "validation_status": "WITH n AS (SELECT count(*) FILTER (WHERE page_id % 10 = 0) + count(*) FILTER (WHERE page_id % 8 = 0) AS c, count(*) FILTER (WHERE page_id % 25 = 0) AS v FROM pages) SELECT 'partial' AS status, c + v AS issue_count, 0 AS info_count, 'capture-miss=' || c || ',privacy-risk=' || v AS categories FROM n",
     "user_status": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ready' WHEN page_id % 5 >= 3 AND page_id % 7 >= 4 AND page_id % 2 = 0 THEN 'partial' WHEN page_id % 3 = 1 THEN 'failed' ELSE 'partial' END AS status FROM pages",
     "route_decisions": f"WITH {_DECIDE_SQL}",

@@ -140,7 +140,8 @@ def replay_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
 def replay_coverage(spark: SparkSession, sf: str) -> DataFrame:
     from .graph import replay_misses
 
-    return replay.coverage(capture.exchanges(spark, sf).select("exchange_id"), replay_misses(spark, sf))
+    x = capture.exchanges(spark, sf).select("exchange_id", F.col("body_id").isNotNull().alias("body_available"), "status")
+    return replay.coverage(x, replay_misses(spark, sf), replay_ambiguity(spark, sf))
 
 
 def idle_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,15 +189,18 @@ def _match_sql(client: str) -> str:
 
 _ANCHORS = "a0 AS (SELECT page_id, url AS base_url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, base_url, CAST(i - 1 AS INTEGER) AS position, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"
 _RESOLVED = f"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(base_url, '^([a-z]+:)', 1) || href WHEN href LIKE '/%' THEN {origin('base_url')} || href WHEN href LIKE '?%' THEN {origin('base_url')} || {pathname('base_url')} || href WHEN href LIKE '#%' THEN {normal('base_url')} || href END"
+_ENCODED = "array_to_string([CASE WHEN ord(c) < 128 THEN c ELSE url_encode(c) END FOR c IN string_split({0}, '')], '')"
 _TRACKERS = "|".join(media.TRACKERS)
 _URL31 = "CASE WHEN event_id % 31 = 0 THEN 'unsupported-url-scheme' WHEN event_id % 29 = 0 THEN 'invalid-request-url' WHEN event_id % 19 = 0 THEN 'websocket' WHEN event_id % 17 = 0 THEN 'sse' WHEN event_id % 13 = 0 THEN 'range-request' WHEN event_id % 11 = 0 THEN 'beacon' WHEN method = 'PUT' THEN 'unknown-mutation' WHEN method = 'POST' AND event_id % 5 = 0 THEN 'unsupported-post-content-type' ELSE '' END"
 _SEG = "[CASE WHEN s = '' THEN '_' ELSE regexp_replace(s, '[<>:\"\\\\|?*]', '_', 'g') END FOR s IN [url_decode(x) FOR x IN string_split({0}, '/') IF x <> '']]"
 
+_MIRRORED = f", x AS (SELECT method, normalized_url AS url, content_type, coalesce(request_body_hash, '{paths.EMPTY_HASH}') AS request_body_hash, user_id FROM exchanges), e AS (SELECT method, url, content_type, request_body_hash FROM x UNION ALL SELECT method, 'https://mirror.test' || {pathname('url')} || {search('url')}, content_type, request_body_hash FROM x WHERE user_id % 3 = 0)"
+
 ORACLE_SQL = {
     "normalized_urls": f"SELECT page_id, {normal('url')} AS normalized_url, regexp_matches(lower(url), '^https?://.') AS is_http, {origin('url')} AS origin, regexp_extract(url, '(#.+)$', 1) AS fragment FROM pages",
     "path_keys": f"SELECT page_id, {path_key('url')} AS path_key, {path_key('url')} || regexp_extract(url, '(#.+)$', 1) AS validation_key, {pathname('url')} || {search('url')} AS resource_key, CASE WHEN page_id % 2 = 0 THEN 'document:' || {normal('url')} ELSE 'history:' || url END AS route_key FROM pages",
-    "resolved_links": f"WITH {_ANCHORS} SELECT page_id, position, CASE WHEN href LIKE '#%' THEN 'fragment' ELSE 'network' END AS kind, {_RESOLVED} AS resolved_url FROM anchors",
-    "same_origin_links": f"WITH {_ANCHORS}, t AS (SELECT page_id, base_url, regexp_replace({_RESOLVED}, '#.*$', '') AS target FROM anchors) SELECT DISTINCT page_id, target FROM t WHERE target LIKE 'http%' AND {origin('target')} = {origin('base_url')}",
+    "resolved_links": f"WITH {_ANCHORS} SELECT page_id, position, CASE WHEN href LIKE '#%' THEN 'fragment' ELSE 'network' END AS kind, {_ENCODED.format(_RESOLVED)} AS resolved_url FROM anchors",
+    "same_origin_links": f"WITH {_ANCHORS}, t AS (SELECT page_id, base_url, regexp_replace({_ENCODED.format(_RESOLVED)}, '#.*$', '') AS target FROM anchors) SELECT DISTINCT page_id, target FROM t WHERE target LIKE 'http%' AND {origin('target')} = {origin('base_url')}",
     "short_hash": f"SELECT page_id, {views.SHORT_HASH.format('url')} AS hash FROM pages",
     "body_hashes": "SELECT page_id, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size FROM pages",
     "mime_class": f"WITH {_TYPED_SQL} SELECT page_id, {_KIND} AS type, mime_type LIKE 'text/%' OR regexp_matches(lower(mime_type), '(java|ecma)script|json|xml|gltf\\+json') OR regexp_matches(url, '\\.gltf($|[?#])') AS catalog_text, {_KIND} LIKE 'text/%' OR regexp_matches({_KIND}, '(java|ecma)script|json|xml|svg|gltf') AS optimizer_text, regexp_matches(url, '\\.gltf($|[?#])') OR contains(lower(mime_type), 'model/gltf+json') AS gltf, regexp_matches(url, '\\.map($|[?#])') AS source_map, regexp_matches({_KIND}, '^(audio|video)/') AND size >= 5000 AS large_media, {views.EXTENSION.format(_KIND)} AS extension FROM t",
@@ -209,8 +213,8 @@ ORACLE_SQL = {
     "replay_match": _match_sql(""),
     "replay_match_per_client": _match_sql("user_id, "),
     "replay_match_by_path": _match_sql("user_id, "),
-    "replay_ambiguity": with_(RESPONSES, f", x AS (SELECT method, normalized_url AS url, content_type, coalesce(request_body_hash, '{paths.EMPTY_HASH}') AS request_body_hash, user_id FROM exchanges), e AS (SELECT method, url, content_type, request_body_hash FROM x UNION ALL SELECT method, 'https://mirror.test' || {pathname('url')} || {search('url')}, content_type, request_body_hash FROM x WHERE user_id % 3 = 0) SELECT method, {path_key('url')} AS path_key, content_type, request_body_hash, count(DISTINCT {origin('url')}) AS origins, count(*) AS candidates FROM e GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT {origin('url')}) > 1"),
-    "replay_coverage": with_(RESPONSES, "SELECT count(*) AS recorded, count(*) FILTER (WHERE method <> 'PUT') AS supported, CAST(((2000 * count(*) FILTER (WHERE method <> 'PUT') + count(*)) // (2 * count(*))) / 10.0 AS DOUBLE) AS coverage, 'unknown-mutation=' || count(*) FILTER (WHERE method = 'PUT') AS misses FROM exchanges"),
+    "replay_ambiguity": with_(RESPONSES, f"{_MIRRORED} SELECT method, {path_key('url')} AS path_key, content_type, request_body_hash, count(DISTINCT {origin('url')}) AS origins, count(*) AS candidates FROM e GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT {origin('url')}) > 1"),
+    "replay_coverage": with_(RESPONSES, f"{_MIRRORED}, amb AS (SELECT 1 FROM e GROUP BY method, {path_key('url')}, content_type, request_body_hash HAVING count(DISTINCT {origin('url')}) > 1), a AS (SELECT count(*) AS n FROM amb) SELECT count(*) AS recorded, count(*) FILTER (WHERE method <> 'PUT') AS supported, count(*) FILTER (WHERE body_id IS NOT NULL) AS locally_fulfillable, CAST(((2000 * count(*) FILTER (WHERE method <> 'PUT') + count(*)) // (2 * count(*))) / 10.0 AS DOUBLE) AS coverage, any_value(a.n) AS ambiguities, 'ambiguous=' || any_value(a.n) || ',unknown-mutation=' || count(*) FILTER (WHERE method = 'PUT') AS misses FROM exchanges, a"),
     "idle_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS begins FROM events), s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT user_id, min(ts) AS started, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY user_id, burst",
     "late_bodies": with_(RESPONSES, ", c AS (SELECT mission_id, max(ts) - INTERVAL 2 DAYS AS closed FROM requests GROUP BY 1) SELECT r.mission_id, count(*) FILTER (WHERE ts + to_minutes(event_id % 50) <= closed) AS held, count(*) FILTER (WHERE ts + to_minutes(event_id % 50) > closed) AS dropped FROM responses r JOIN c ON c.mission_id = r.mission_id WHERE body_state = 'stored' GROUP BY 1"),
     "repeated_actions": "WITH b AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) AS actions FROM b WHERE before IS NULL OR before <> event_type GROUP BY 1",

@@ -66,3 +66,24 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages in order: (page_id, position, base_url, href)."""
     hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)
     return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("base_url"), F.posexplode(hrefs).alias("position", "href"))
+
+
+def child_targets(attached: DataFrame, roots: DataFrame) -> DataFrame:
+    """Targets of frames and workers (mission_id, target_id, session_id, type, url), each below the root target (mission_id, id) of its mission."""
+    return attached.join(roots.select("mission_id", F.col("id").alias("parent_target_id")), "mission_id", "left").select(
+        "mission_id", F.concat(F.lit("target-"), "target_id").alias("id"), F.coalesce("type", F.lit("worker")).alias("target_type"), "session_id", F.coalesce("url", F.lit("")).alias("original_url"), "parent_target_id", F.lit("observed").alias("provenance"),
+    )
+
+
+def cache_entries(entries: DataFrame) -> DataFrame:
+    """What a browser's caches hold (mission_id, cache_id, n, url, method, status, mime_type, body binary) as exchanges, each with its request, response and body.
+
+    Entries of other schemes and without success are left out.
+    """
+    good = entries.where(F.rlike("url", F.lit("(?i)^https?:")) & F.col("status").between(200, 299))
+    key = F.concat_ws("-", F.col("cache_id").cast("string"), F.col("n").cast("string"))
+    return good.select(
+        F.concat(F.lit("exchange-"), key).alias("exchange_id"), F.concat(F.lit("request-"), key).alias("request_id"), F.concat(F.lit("response-"), key).alias("response_id"), "mission_id", F.coalesce("method", F.lit("GET")).alias("method"),
+        F.col("url").alias("original_url"), urls.normalized(F.col("url")).alias("normalized_url"), "status", F.coalesce("mime_type", F.lit("")).alias("mime_type"), F.lit("CacheStorage").alias("resource_type"), F.lit("browser-cache").alias("classification"),
+        paths.content_hash(F.col("body")).alias("content_hash"), F.octet_length("body").cast("long").alias("size"), F.lit("observed").alias("provenance"),
+    )
