@@ -31,8 +31,8 @@ def api_snapshots(exchanges: DataFrame) -> DataFrame:
 
 
 def replay_exchanges(exchanges: DataFrame) -> DataFrame:
-    """Exchanges as they are replayed, ordered by (sequence, exchange id); an absent request body has the hash of the empty one."""
-    return exchanges.select(
+    """Exchanges as they are replayed, in the order of (sequence, exchange id); an absent request body has the hash of the empty one."""
+    return exchanges.orderBy("sequence", "exchange_id").select(
         "exchange_id", "sequence", "method", F.col("normalized_url").alias("url"), "content_type", F.coalesce("request_body_hash", F.lit(paths.EMPTY_HASH)).alias("request_body_hash"),
         F.coalesce("request_body", F.lit("")).alias("post_data"), "status", "mime_type", "content_hash", F.col("body_id").isNotNull().alias("body_available"), "provenance",
     )
@@ -119,37 +119,47 @@ def violations(families: dict[str, DataFrame], provenances: tuple[str, ...]) ->
     Ids are there and unique over all families, provenances are known, references lead to records (a null one is no reference), hashes
     have their form, sizes aren't negative, bodies are stored or inline, states are known, and skipped routes have a reason.
     """
-    found: list[DataFrame] = []
-
-    def rule(name: str, family: str, rows: DataFrame, detail: Column) -> None:
-        found.append(rows.select(F.lit(name).alias("rule"), F.lit(family).alias("family"), F.col("id").cast("string").alias("id"), detail.cast("string").alias("detail")))
-
     ids = functools.reduce(DataFrame.unionByName, [df.select("id", F.lit(name).alias("family")) for name, df in families.items()])
     repeated = ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family")).where("n > 1")
-    found.append(repeated.select(F.lit("duplicate-id").alias("rule"), "family", "id", F.col("n").cast("string").alias("detail")))
-    for name, df in families.items():
-        rule("missing-id", name, df.where(F.coalesce(F.col("id"), F.lit("")) == ""), F.lit(None))
-        if "provenance" in df.columns:
-            rule("unknown-provenance", name, df.where(~F.coalesce(F.col("provenance"), F.lit("")).isin(*provenances)), F.col("provenance"))
-    for name, column, target in (("requests", "target_id", "targets"), ("responses", "request_id", "requests"), ("responses", "body_id", "bodies"), ("documents", "response_id", "responses"), ("documents", "body_id", "bodies"), ("routes", "document_id", "documents"), ("api_exchanges", "request_id", "requests"), ("api_exchanges", "response_id", "responses")):
+    found = [repeated.select(F.lit("duplicate-id").alias("rule"), "family", "id", F.col("n").cast("string").alias("detail"))]
+    for name, df in families.items():  # all rules on single rows in one pass
+        broken = F.array(*[F.when(holds, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, holds, detail in _row_rules(name, df, provenances)])
+        rows = df.select(F.col("id").cast("string").alias("id"), F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("fault"))
+        found.append(rows.select("fault.rule", F.lit(name).alias("family"), "id", "fault.detail"))
+    for name, column, target in REFERENCES:
         if name in families and target in families and column in families[name].columns:
             goal = families[target].select(F.col("id").alias("goal")).where("goal is not null").distinct()
-            rule(f"dangling-{column.replace('_', '-')}", name, families[name].where(F.col(column).isNotNull()).join(goal, F.col(column) == F.col("goal"), "left_anti"), F.col(column))
-    if "bodies" in families:
-        b = families["bodies"]
-        rule("content-hash-form", "bodies", b.where(~F.coalesce(F.rlike("content_hash", F.lit("^sha256:[0-9a-f]{64}$")), F.lit(False))), F.col("content_hash"))
-        rule("negative-size", "bodies", b.where(F.coalesce("size", F.lit(-1)) < 0), F.col("size"))
-        if "storage_key" in b.columns and "body" in b.columns:
-            rule("body-without-bytes", "bodies", b.where(F.col("storage_key").isNull() & F.col("body").isNull()), F.lit(None))
-    if "responses" in families:
-        rule("body-state", "responses", families["responses"].where(~F.coalesce(F.col("body_state"), F.lit("")).isin(*BODY_STATES)), F.col("body_state"))
-    if "routes" in families:
-        r = families["routes"]
-        rule("transition-kind", "routes", r.where(~F.coalesce(F.col("transition_kind"), F.lit("")).isin("document", "history")), F.col("transition_kind"))
-        rule("route-state", "routes", r.where(~F.coalesce(F.col("state"), F.lit("")).isin(*ROUTE_STATES)), F.col("state"))
-        rule("skipped-without-reason", "routes", r.where((F.col("state") == "skipped") & (F.coalesce(F.col("decision_reason"), F.lit("")) == "")), F.lit(None))
+            lost = families[name].where(F.col(column).isNotNull()).join(goal, F.col(column) == F.col("goal"), "left_anti")
+            found.append(lost.select(F.lit(f"dangling-{column.replace('_', '-')}").alias("rule"), F.lit(name).alias("family"), F.col("id").cast("string").alias("id"), F.col(column).cast("string").alias("detail")))
     return functools.reduce(DataFrame.unionByName, found)
 
 
+#: Which column of which family leads to which family.
+REFERENCES = (
+    ("requests", "target_id", "targets"), ("responses", "request_id", "requests"), ("responses", "body_id", "bodies"), ("documents", "response_id", "responses"), ("documents", "body_id", "bodies"), ("routes", "document_id", "documents"),
+    ("api_exchanges", "request_id", "requests"), ("api_exchanges", "response_id", "responses"),
+)
+
+
+def _row_rules(family: str, rows: DataFrame, provenances: tuple[str, ...]) -> list[tuple[str, Column, Column]]:
+    """(rule, whether a row breaks it, detail) for the columns that the rows of a family have."""
+    none, text = F.lit(None).cast("string"), lambda name: F.coalesce(F.col(name), F.lit(""))
+    rules = [("missing-id", text("id") == "", none)]
+    if "provenance" in rows.columns:
+        rules.append(("unknown-provenance", ~text("provenance").isin(*provenances), F.col("provenance")))
+    if family == "bodies":
+        rules.append(("content-hash-form", ~F.coalesce(F.rlike("content_hash", F.lit("^sha256:[0-9a-f]{64}$")), F.lit(False)), F.col("content_hash")))
+        rules.append(("negative-size", F.coalesce("size", F.lit(-1)) < 0, F.col("size")))
+        if "storage_key" in rows.columns and "body" in rows.columns:
+            rules.append(("body-without-bytes", F.col("storage_key").isNull() & F.col("body").isNull(), none))
+    if family == "responses":
+        rules.append(("body-state", ~text("body_state").isin(*BODY_STATES), F.col("body_state")))
+    if family == "routes":
+        rules.append(("transition-kind", ~text("transition_kind").isin("document", "history"), F.col("transition_kind")))
+        rules.append(("route-state", ~text("state").isin(*ROUTE_STATES), F.col("state")))
+        rules.append(("skipped-without-reason", (F.col("state") == "skipped") & (text("decision_reason") == ""), none))
+    return rules
+
+
 def empty_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "id string, provenance string")

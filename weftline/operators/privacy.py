@@ -37,6 +37,8 @@ def sanitized_graph(families: dict[str, DataFrame]) -> tuple[dict[str, DataFrame
     for name, rows in families.items():
         kinds = rows.schema
         r = rows.withColumn("_found", F.lit(0))
+        for field in [f for f in URL_FIELDS if f in rows.columns]:
+            r = r.withColumn("_part", privacy.sanitized_url(F.col(field))).withColumn(field, F.col("_part.url")).withColumn("_found", F.col("_found") + F.coalesce(F.size("_part.findings"), F.lit(0))).drop("_part")
         if "headers" in rows.columns:
             r = r.withColumn("_part", privacy.sanitized_headers(F.col("headers"))).withColumn("headers", F.col("_part.headers")).withColumn("_found", F.col("_found") + F.size("_part.findings")).drop("_part")
         if "request_body" in rows.columns:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,46 +60,65 @@ def match_in_order(requests: DataFrame, recordings: DataFrame, *, client: str |
     return judged.unionByName(refused)
 
 
+_PATH_KEY = ["method", "path_key", "content_type", "body_hash"]
+
+
 def match_by_path(requests: DataFrame, recordings: DataFrame, runtime_origin: str) -> DataFrame:
     """As match_in_order per client, and requests to the runtime's own origin that no recording fits exactly may take one of the same path.
 
-    If such recordings come from several origins the request is ambiguous. Exact and path matches share what is consumed, so requests
-    of one (client, method, path key, content type, body hash) are walked in order; those groups hold one path's traffic of a client.
+    If recordings of the path come from several origins such a request is ambiguous; if all are of one URL it counts as a request to that URL. Only where a
+    path of one origin has several URLs do exact and path requests share recordings that can't be ranked apart: those of a client are walked in order.
     """
-    key = ["method", "path_key", "content_type", "body_hash"]
     shaped = lambda df: df.withColumn("body_hash", F.coalesce("body_hash", F.lit(paths.EMPTY_HASH))).withColumn("path_key", urls.path_key(F.col("url"))).withColumn("origin", urls.origin(F.col("url")))
     asked, held = shaped(requests.where("unsupported = ''")), shaped(recordings)
-    clients = asked.select("client", *key).distinct()
-    rows = asked.select("client", *key, "origin", "url", F.lit(1).alias("kind"), F.col("position").alias("place"), F.col("request_id").alias("id")).unionByName(
-        held.join(clients, key).select("client", *key, "origin", "url", F.lit(0).alias("kind"), F.col("sequence").alias("place"), F.col("exchange_id").alias("id"))
-    )
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "place", "id"], kind="stable")
-        records = list(group[group.kind == 0][["url", "origin", "place", "id"]].itertuples(index=False))
-        used: set[str] = set()
-        out = []
-        for r in group[group.kind == 1].itertuples(index=False):
-            exact = [x for x in records if x.url == r.url]
-            fits = exact or (records if r.origin == runtime_origin else [])
-            if not exact and len({x.origin for x in fits}) > 1:
-                out.append((r.id, None, "ambiguous"))
-                continue
-            free = [x for x in fits if x.id not in used]
-            if not fits:
-                out.append((r.id, None, "not-found"))
-            elif not free:
-                out.append((r.id, None, "repeat-exhausted"))
-            elif len(free) > 1 and free[1].place == free[0].place:
-                out.append((r.id, None, "ambiguous"))
-            else:
-                used.add(free[0].id)
-                out.append((r.id, free[0].id, ""))
-        return pd.DataFrame(out, columns=["request_id", "exchange_id", "reason_code"])
-
-    judged = rows.groupBy("client", *key).applyInPandas(walk, "request_id string, exchange_id string, reason_code string")
+    by_path = held.groupBy(*_PATH_KEY).agg(F.count_distinct("origin").alias("origins"), F.count_distinct("url").alias("n_urls"), F.min("url").alias("only_url"))
+    exact = held.select(*_PATH_KEY, "url").distinct().withColumn("exact", F.lit(True))
+    asked = asked.join(exact, [*_PATH_KEY, "url"], "left").join(by_path, _PATH_KEY, "left")
+    loose = F.col("exact").isNull() & (F.col("origin") == runtime_origin) & F.col("origins").isNotNull()
+    unsure = asked.where(loose & (F.col("origins") > 1)).select("request_id", F.lit(None).cast("string").alias("exchange_id"), F.lit("ambiguous").alias("reason_code"))
+    rest = asked.where(~(loose & (F.col("origins") > 1))).withColumn("shared", loose & (F.col("n_urls") > 1)).withColumn("url", F.when(loose & (F.col("n_urls") == 1), F.col("only_url")).otherwise(F.col("url")))
+    walked = rest.where("shared").select("client", *_PATH_KEY).distinct()
+    ranked = match_in_order(rest.join(walked, ["client", *_PATH_KEY], "left_anti"), recordings, client="client")
     refused = requests.where("unsupported <> ''").select("request_id", F.lit(None).cast("string").alias("exchange_id"), F.col("unsupported").alias("reason_code"))
-    return judged.unionByName(refused)
+    return ranked.unionByName(unsure).unionByName(_walked(rest.join(walked, ["client", *_PATH_KEY], "left_semi"), held.join(walked, _PATH_KEY))).unionByName(refused)
+
+
+def _walked(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Requests of each (client, path) in order against its recordings; rows come sorted, recordings first, and only the recordings of one path are held."""
+    kinds = asked.schema["position"].dataType.simpleString()
+    rows = asked.select("client", *_PATH_KEY, "url", F.lit(1).alias("kind"), "position", F.lit(0).cast("long").alias("sequence"), F.col("request_id").alias("id")).unionByName(
+        held.select("client", *_PATH_KEY, "url", F.lit(0).alias("kind"), F.lit(None).cast(kinds).alias("position"), F.col("sequence").cast("long").alias("sequence"), F.col("exchange_id").alias("id"))
+    )
+    key = ["client", *_PATH_KEY]
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "kind", "position", "sequence", "id").select(F.struct(*key).cast("string").alias("key"), "url", "kind", "sequence", "id")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, lists, heads, used = None, {}, {}, set()
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.key != current:
+                    current, lists, heads, used = r.key, {}, {}, set()
+                if r.kind == 0:
+                    for name in (None, r.url):  # all recordings of the path, and those of each URL
+                        lists.setdefault(name, []).append((r.sequence, r.id))
+                    continue
+                name = r.url if r.url in lists else None
+                own, at = lists[name], heads.get(name, 0)
+                while at < len(own) and own[at][1] in used:
+                    at += 1
+                heads[name] = at
+                following = next((x for x in itertools.islice(own, at + 1, None) if x[1] not in used), None) if at < len(own) else None
+                if at == len(own):
+                    out.append((r.id, None, "repeat-exhausted"))
+                elif following and following[0] == own[at][0]:
+                    out.append((r.id, None, "ambiguous"))
+                else:
+                    used.add(own[at][1])
+                    out.append((r.id, own[at][1], ""))
+            yield pd.DataFrame(out, columns=["request_id", "exchange_id", "reason_code"], dtype=object)
+
+    return ordered.mapInPandas(walk, "request_id string, exchange_id string, reason_code string")
 
 
 def ambiguity(exchanges: DataFrame) -> DataFrame:

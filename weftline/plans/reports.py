@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, reports
+from ..functions import media, paths
+from ..operators import graph, references, reports
 from ..sources import capture
-from .views import REQUESTS, RESPONSES, with_
+from .views import REQUESTS, RESPONSES, normal, origin, pathname, with_
 
 
 def edge_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +107,56 @@ def form_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return reports.form_findings(s).select("id", "json", "found", "masked")
 
 
-QUERIES = {f.__name__: f for f in (edge_targets, route_recovery, body_parity, snapshot_parity, entry_documents, merged_diagnostics, report_lists, run_stability, normal_diagnostics, persisted_bodies, latest_routes, source_maps, import_maps, gltf_files, hydration, form_snapshots)}
+def child_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """A frame or worker for each page, below the root of its mission; every tenth mission has no root."""
+    k = F.col("page_id")
+    attached = capture.table(spark, sf, "pages").select((k % 20).alias("mission_id"), k.alias("target_id"), F.concat(F.lit("s-"), k).alias("session_id"), F.when(k % 3 == 0, "iframe").alias("type"), F.when(k % 4 > 0, F.col("url")).alias("url"))
+    roots = spark.range(20).where("id % 10 <> 9").select(F.col("id").alias("mission_id"), F.concat(F.lit("root-"), "id").alias("id"))
+    return capture.child_targets(attached, roots)
+
+
+def cache_exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id")
+    entries = capture.table(spark, sf, "pages").select((k % 20).alias("mission_id"), (k % 5).alias("cache_id"), k.alias("n"), F.when(k % 9 == 0, "chrome-extension://x").otherwise(F.col("url")).alias("url"), F.lit(None).cast("string").alias("method"), (F.lit(200) + k % 4 * 50).alias("status"), F.lit("text/html").alias("mime_type"), F.col("html").cast("binary").alias("body"))
+    return capture.cache_entries(entries).select("exchange_id", "request_id", "response_id", "method", "normalized_url", "status", "content_hash", "size", "resource_type", "classification")
+
+
+def header_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers as lists with a repeated name, as maps."""
+    h = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    m = capture.table(spark, sf, "events").select("event_id", media.header_map(F.array(h("Accept", F.lit("a")), h("X-N", F.col("event_id")), h("Accept", F.col("user_id")), h("Empty", F.lit(None)))).alias("m"))
+    return m.select("event_id", F.col("m")["Accept"].alias("accept"), F.col("m")["X-N"].alias("n"), F.col("m")["Empty"].alias("empty"), F.size("m").alias("names"))
+
+
+def state_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the first letters of whole pages, without what isn't ASCII."""
+    return capture.table(spark, sf, "pages").select("page_id", paths.fingerprint(F.substring(F.regexp_replace("html", "[^\\x00-\\x7F]", ""), 1, 200)).alias("fingerprint"))
+
+
+def runtime_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages as text in a page and as JSON in a script."""
+    p = capture.table(spark, sf, "pages")
+    return p.select("page_id", F.sha2(reports.escaped_html(F.concat("html", F.lit("'"))), 256).alias("escaped"), reports.runtime_json(F.struct(F.lit("</script>`").alias("a"), "page_id")).alias("json"), F.contains(reports.runtime_json(F.struct("html")), F.lit("<")).alias("open"))
+
+
+def shown_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.octet_length("html").cast("long") * F.element_at(F.array(*[F.lit(x).cast("long") for x in (0, 1, 300, 300_000, 300_000_000)]), (F.col("page_id") % 5 + 1).cast("int"))
+    return capture.table(spark, sf, "pages").select("page_id", media.scaled_bytes(n).alias("shown"))
+
+
+def pending_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that three overlapping lists say is pending, once."""
+    p = capture.table(spark, sf, "pages").select("page_id", F.lit("page").alias("kind"))
+    return reports.distinct_diagnostics(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), p.where("page_id % 5 = 0"))
+
+
+def fetchable_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Of whole pages with an image, a link and a data URL before them, what would be fetched."""
+    t = capture.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("owner"), F.col("url").alias("base_url"), F.concat(F.lit('<img src="../i.png"><a href="/x">x</a><img src="data:,"><img src="mailto:x">'), "html").alias("text"))
+    return references.fetchable(references.discover(t, "html")).select("owner", "n", "resolved_url")
+
+
+QUERIES = {f.__name__: f for f in (edge_targets, route_recovery, body_parity, snapshot_parity, entry_documents, merged_diagnostics, report_lists, run_stability, normal_diagnostics, persisted_bodies, latest_routes, source_maps, import_maps, gltf_files, hydration, form_snapshots, child_targets, cache_exchanges, header_maps, state_fingerprints, runtime_texts, shown_sizes, pending_work, fetchable_references)}
 
 ORACLE_SQL = {
     "edge_targets": with_(RESPONSES, ", p AS (SELECT normalized_url, min(user_id) AS page_id FROM requests GROUP BY 1), f AS (SELECT normalized_url, arg_min(id, sequence) AS id FROM responses WHERE provenance = 'refetched' GROUP BY 1) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'known' ELSE f.id END AS target_evidence_id, CASE WHEN page_id % 2 <> 0 AND f.id IS NOT NULL THEN 'refetched' ELSE 'unresolved' END AS disposition FROM p LEFT JOIN f ON f.normalized_url = p.normalized_url"),
@@ -125,4 +175,12 @@ ORACLE_SQL = {
     "gltf_files": "SELECT CAST(page_id AS VARCHAR) AS owner, 'https://m.test/g/b' || page_id || '.bin' AS url FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT CAST(page_id AS VARCHAR), 'https://m.test/i.png' FROM pages WHERE page_id % 5 <> 0",
     "hydration": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<body>' || CASE WHEN page_id % 2 = 0 THEN '<script>self.$R=1</script>' ELSE '' END || '<script type=\"module\" src=\"/m.js\"></script></body>' ELSE '<body><p>' || CASE WHEN page_id % 2 = 0 THEN '<script>self.$R=1</script>' ELSE '' END || '</BODY>' END AS html FROM pages",
     "form_snapshots": "SELECT page_id AS id, '{\"redactedFields\":' || (page_id % 3) || ',\"password\":\"[REDACTED]\"}' AS json, CASE WHEN page_id % 3 > 0 THEN 2 ELSE 1 END AS found, CASE WHEN page_id % 3 > 0 THEN '<redacted:' || (page_id % 3) || ' fields>' END AS masked FROM pages",
+    "child_targets": "SELECT page_id % 20 AS mission_id, 'target-' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'iframe' ELSE 'worker' END AS target_type, 's-' || page_id AS session_id, CASE WHEN page_id % 4 > 0 THEN url ELSE '' END AS original_url, CASE WHEN page_id % 10 <> 9 THEN 'root-' || (page_id % 20) END AS parent_target_id, 'observed' AS provenance FROM pages",
+    "cache_exchanges": f"SELECT 'exchange-' || k AS exchange_id, 'request-' || k AS request_id, 'response-' || k AS response_id, 'GET' AS method, {normal('url')} AS normalized_url, 200 + page_id % 4 * 50 AS status, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size, 'CacheStorage' AS resource_type, 'browser-cache' AS classification FROM (SELECT *, (page_id % 5) || '-' || page_id AS k FROM pages) WHERE page_id % 9 <> 0 AND page_id % 4 < 2",
+    "header_maps": "SELECT event_id, CAST(user_id AS VARCHAR) AS accept, CAST(event_id AS VARCHAR) AS n, '' AS empty, 3 AS names FROM events",
+    "state_fingerprints": "SELECT page_id, CAST(list_reduce(list_prepend(5381::BIGINT, [ord(c)::BIGINT FOR c IN string_split(substr(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g'), 1, 200), '')]), lambda h, c: xor((h * 33) & 4294967295, c)) AS VARCHAR) AS fingerprint FROM pages",
+    "runtime_texts": "SELECT page_id, sha256(replace(replace(replace(replace(replace(html || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped, '{\"a\":\"\\u003c/script>\\u0060\",\"page_id\":' || page_id || '}' AS json, false AS open FROM pages",
+    "shown_sizes": "WITH n AS (SELECT page_id, strlen(html) * [0, 1, 300, 300000, 300000000][page_id % 5 + 1] AS n FROM pages), u AS (SELECT page_id, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM n), t AS (SELECT *, (n * 20 + CAST(pow(1024, k) AS BIGINT)) // (2 * CAST(pow(1024, k) AS BIGINT)) AS tenths FROM u) SELECT page_id, CASE WHEN k = 0 THEN n || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS shown FROM t",
+    "pending_work": "SELECT page_id, 'page' AS kind FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0",
+    "fetchable_references": f"SELECT CAST(page_id AS VARCHAR) AS owner, 0 AS n, {origin('url')} || CASE WHEN len(string_split({pathname('url')}, '/')) > 3 THEN array_to_string(string_split({pathname('url')}, '/')[1:len(string_split({pathname('url')}, '/')) - 2], '/') || '/' ELSE '/' END || 'i.png' AS resolved_url FROM pages",
 }
