@@ -32,6 +32,80 @@ def test_path_matching(spark):
     assert {tuple(r) for r in replay.match_by_path(q, e, "https://run.test").collect()} == {("q1", "e1", ""), ("q2", None, "ambiguous"), ("q3", None, "not-found")}
 
 
+def _paths_in_order(asked, recorded, runtime):
+    """Matching by path, request by request."""
+    used, out = {}, set()
+    for request, _, client, method, url, kind, body, unsupported in sorted(asked, key=lambda q: q[1]):
+        if unsupported:
+            out.add((request, None, unsupported))
+            continue
+        path = url.split("/", 3)[3].rstrip("/")
+        same = sorted((e for e in recorded if e[2] == method and e[3].split("/", 3)[3].rstrip("/") == path and e[4] == kind), key=lambda e: (e[1], e[0]))
+        exact = [e for e in same if e[3] == url]
+        fits = exact or (same if url.startswith(runtime) else [])
+        if not exact and len({e[3].split("/", 3)[2] for e in fits}) > 1:
+            out.add((request, None, "ambiguous"))
+            continue
+        free = [e for e in fits if e[0] not in used.setdefault(client, set())]
+        if not free:
+            out.add((request, None, "repeat-exhausted" if fits else "not-found"))
+        elif len(free) > 1 and free[0][1] == free[1][1]:
+            out.add((request, None, "ambiguous"))
+        else:
+            used[client].add(free[0][0])
+            out.add((request, free[0][0], ""))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_path_matching_against_a_walk(spark, seed):
+    """Paths of one URL, of several URLs of one origin, and of several origins."""
+    rng = random.Random(seed)
+    recorded_urls = ["https://a.test/one", "https://a.test/two", "https://a.test/two/", "https://a.test/three", "https://b.test/three", "https://b.test/four/"]
+    recorded = [(f"e{i:03}", rng.randrange(60), rng.choice(["GET", "POST"]), rng.choice(recorded_urls), "", None) for i in range(80)]
+    asked_urls = [*recorded_urls, *(f"https://run.test/{x}" for x in ("one", "two", "two/", "three", "four", "five"))]
+    asked = [(f"q{i:03}", i, f"c{rng.randrange(2)}", rng.choice(["GET", "POST"]), rng.choice(asked_urls), "", None, "" if rng.random() < 0.95 else "sse") for i in range(250)]
+    got = {tuple(r) for r in replay.match_by_path(spark.createDataFrame(asked, REPLAY), spark.createDataFrame(recorded, RECORDED), "https://run.test").select("request_id", "exchange_id", "reason_code").collect()}
+    assert got == _paths_in_order(asked, recorded, "https://run.test")
+    assert {r[2] for r in got} == {"", "ambiguous", "not-found", "repeat-exhausted", "sse"}
+
+
+CANDIDATES = "crawl int, seed_url string, base_url string, position int, url string, element_kind string, target string, download boolean, form_action boolean"
+
+
+def test_crawl_of_relative_links(spark):
+    links = ["page2.html", "../x", "./y", "/a/../z", "#part", "https://H.test:443/dir/page2.html", "mailto:a@b", "//other.test/", "http://"]
+    c = spark.createDataFrame([(1, "https://h.test/", "https://h.test/dir/home", i, url, None, None, False, False) for i, url in enumerate(links)], CANDIDATES)
+    got = [(r["route_url"], r["reason"]) for r in crawl.decide(c).orderBy("position").collect()]
+    assert got[:6] == [(f"https://h.test/{x}", "same-origin-anchor") for x in ("dir/page2.html", "x", "dir/y", "z", "dir/home#part")] + [("https://h.test/dir/page2.html", "duplicate-route")]
+    assert [reason for _, reason in got[6:]] == ["non-http", "cross-origin", "invalid-url"]
+
+
+def test_visited_routes_skip_their_aliases(spark):
+    route = lambda n, kind="document": (1, n, f"https://h.test/{n}", kind)
+    accepted = spark.createDataFrame([route(1), route(2), route(3), route(4, "history"), route(5)], "crawl int, position int, route_url string, transition_kind string")
+    results = spark.createDataFrame([(1, 1, "https://h.test/3#x", None), (1, 2, None, "https://h.test/1"), (1, 3, "https://h.test/5", None), (1, 4, "https://h.test/5", None)], "crawl int, position int, final_url string, canonical_url string")
+    got = {r["position"]: (r["state"], r["reason"], r["alias_of"]) for r in crawl.completed(accepted, results).collect()}
+    # 1 answers for 3 before its visit; 2 says that 1 was the same page; 3, skipped, says nothing of 5; 4 is no document
+    assert got == {1: ("skipped", "canonical-alias", 2), 2: ("captured", "rendered-captured", None), 3: ("skipped", "redirect-alias", 1), 4: ("captured", "rendered-captured", None), 5: ("captured", "rendered-captured", None)}
+
+
+def test_frontier(spark):
+    found = spark.createDataFrame([("c", f"https://h.test/{u}", kind, i) for i, (u, kind) in enumerate([("a", "page"), ("a#x", "resource"), ("b", "page"), ("c", "page"), ("d", "resource"), ("e", "resource"), ("held", "resource")])], "capture string, url string, kind string, position int")
+    held = spark.createDataFrame([("c", "https://h.test/held#y")], "capture string, url string")
+    got = {r["url"][-1]: (r["kind"], r["queued"]) for r in crawl.frontier(found, held, max_resources=3, max_pages=2).collect()}
+    assert got == {"a": ("page", True), "b": ("page", True), "c": ("page", False), "d": ("resource", True), "e": ("resource", False)}
+
+
+def test_headers_are_cleaned_as_texts_are(spark):
+    headers = {"Referer": "https://u:p@h.test/?token=abcd1234&q=1", "X-Note": "Bearer abcdefgh1", "Cookie": "a=b", "Accept": "text/html"}
+    row = spark.createDataFrame([(headers,), (None,)], "h map<string,string>").select(privacy.sanitized_headers(F.col("h")).alias("s")).collect()
+    assert row[0]["s"]["headers"] == {"Referer": "https://%5BREDACTED%5D:%5BREDACTED%5D@h.test/?token=%5BREDACTED%5D&q=1", "X-Note": privacy.REDACTED, "Cookie": privacy.REDACTED, "Accept": "text/html"}
+    assert sorted(f["category"] for f in row[0]["s"]["findings"]) == ["authorization-token", "header-secret", "url-credential", "url-credential", "url-parameter"]
+    assert row[1]["s"]["headers"] is None
+    assert privacy.clean_url("https://:pw@H.test/a/../b", "url", []) == "https://:%5BREDACTED%5D@h.test/b"
+
+
 def _ladder(rows, policy):
     taken, pages, states, out = set(), 0, 0, []
     for n, (position, url, _base) in enumerate(rows, 1):

@@ -93,3 +93,15 @@ def test_page_cleaning(spark):
     row = spark.createDataFrame([(page,), ("<p>",)], "t string").select(references.with_bootstrap(references.without_foreign(F.col("t")), "<B>").alias("t")).collect()
     assert row[0]["t"] == '<html><HEAD lang="x"><B><script src="/b.js"></script></head>'
     assert row[1]["t"] == "<B><p>"
+
+
+def test_a_broken_resource_is_left_alone_and_reported(spark):
+    rows = [
+        ("1", "https://h.test/a.css", "text/css", "a{b:url(/i.png)} /* open", False), ("2", "https://h.test/b.css", "text/css", "a{b:url(/i.png)} /*# sourceMappingURL=b.map */", False), ("3", "https://h.test/p", "text/html", '<head></head><img src="/i.png">', True),
+        ("4", "https://h.test/x.gltf", "", '{"a":[{"uri":"i.png"}]}', False), ("5", "https://h.test/y.gltf", "", "no json", False), ("6", "https://h.test/t", "text/plain", "url(/i.png)", False),
+    ]
+    known = spark.createDataFrame([("https://h.test/i.png", "old.png", 1), ("https://h.test/i.png", "new.png", 2)], "url string, local_path string, position int")
+    out, wrong = references.rewrite_resources(spark.createDataFrame(rows, "owner string, url string, mime_type string, text string, route_page boolean"), known, "<B>")
+    got = {r["owner"]: (r["text"], r["artifact_hash"] is not None) for r in out.collect()}
+    assert got == {"1": (rows[0][3], False), "2": ("a{b:url(/new.png)} ", True), "3": ('<head><B></head><img src="/new.png">', True), "4": ('{"a":[{"uri":"/new.png"}]}', True), "5": ("no json", True), "6": ("url(/i.png)", False)}
+    assert [(r["owner"], r["code"], r["severity"]) for r in wrong.collect()] == [("1", "resource-parser-rewrite-failed", "warning")]
