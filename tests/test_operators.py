@@ -186,6 +186,19 @@ def test_catalog(spark):
     assert [r["outcome"] for r in judged] == ["kept", "duplicate", "kept", "repeated", "source-map", "kept", "duplicate"]
 
 
+def test_names_as_they_come(spark):
+    """Paths with and without numbers, so that suffixed names meet others."""
+    rng = random.Random(5)
+    names = ["p.html", "p-2.html", "p-2-2.html", "p-3.html", "q.html", "r.html"]
+    rows = [(i, f"https://h.test/{rng.choice(names)}?", "text/html", None, 1, True, f"r{i}") for i in range(40)]
+    judged = catalog.catalog(spark.createDataFrame(rows, "position int, url string, mime_type string, content_hash string, size long, route_page boolean, route_id string")).collect()
+    used: set[str] = set()
+    for _, url, *_ in rows:
+        stem = "assets/h.test/" + url.split("/")[3].removesuffix(".html?")
+        used.add(next(x for n in range(1, 99) if (x := f"{stem}{f'-{n}' if n > 1 else ''}.html") not in used))
+        assert {r["local_path"] for r in judged if r["position"] < len(used)} == used
+
+
 def test_sizes_and_paths(spark):
     row = spark.range(1).select(
         media.body_size(F.lit("aGk="), F.lit(True)).alias("b64"), media.body_size(F.lit("é"), F.lit(False)).alias("utf8"), media.format_bytes(F.lit(1536)).alias("kb"), media.format_bytes(F.lit(5)).alias("b"),

@@ -44,6 +44,25 @@ def test_idle_periods(spark, tmp_path):
     assert sorted(r["events"] for r in spark.read.parquet(str(tmp_path / "out")).collect())[-2:] == [2, 3]
 
 
+def test_bodies_before_closing(spark, tmp_path):
+    """Bodies of closed missions count for nothing."""
+    rows = [event(s, f"r{s}", "loadingFinished") for s in (1, 5, 9)]
+    closings = spark.createDataFrame([("s", T0 + timedelta(seconds=5))], "mission_id string, closed timestamp")
+    bodies = stream_of(spark, str(tmp_path / "in"), rows).withColumnRenamed("session", "mission_id")
+    assembly.drained(assembly.before_closing(bodies, closings).select("request_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["r1", "r5"]
+
+
+def test_snapshots_go_on_where_they_ended(spark, tmp_path):
+    folders = [str(tmp_path / x) for x in ("in", "out", "ck")]
+    for n in range(2):
+        stream = stream_of(spark, folders[0], [event(n, f"r{n}", "loadingFinished")])
+        running = assembly.snapshots(stream.select("request_id"), folders[1], folders[2])
+        running.processAllAvailable()
+        running.stop()
+    assert sorted(r[0] for r in spark.read.parquet(folders[1]).collect()) == ["r0", "r1"]
+
+
 def test_zip_round_trip(spark, tmp_path):
     files = spark.createDataFrame([("one", "index.html", b"<p>\xc3\xa9"), ("one", "a/b.png", b"\x00\x01"), ("one", "../out", b"x")], "archive string, path string, bytes binary")
     (row,) = archives.zipped(files).collect()

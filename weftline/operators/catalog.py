@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,7 @@ def catalog(resources: DataFrame) -> DataFrame:
     """Judges resources (position, url, mime_type, content_hash, size, route_page, route_id) in the order of position.
 
     outcome: repeated (a URL, or of route pages a route, that was there before), source-map, duplicate (an equal body under its key), kept.
-    Kept ones have local_path; of those that share a path later ones get -2, -3. Suffixed names that meet a path of
-    another resource are told apart by the same count of their own.
+    Kept ones have local_path: the first free of its path, -2, -3 and so on, as they come.
     """
     r = resources.withColumn("url", urls.normalized(F.col("url"))).withColumn("identity", F.when(F.col("route_page"), F.concat(F.lit("route:"), F.coalesce("route_id", F.concat(F.lit("#"), F.col("position").cast("string"))))).otherwise(F.concat(F.lit("url:"), F.col("url"))))
     # a route page doesn't look its URL up, but it is found there by what comes after
@@ -28,11 +30,36 @@ def catalog(resources: DataFrame) -> DataFrame:
     outcome = F.when(F.col("repeated"), "repeated").when(F.col("is_map"), "source-map").when(F.col("duplicate"), "duplicate").otherwise("kept")
     r = r.withColumn("outcome", outcome).withColumn("base_path", F.when(F.col("outcome") == "kept", paths.archive_path(F.col("url"), F.col("mime_type"))))
     kept, rest = r.where("outcome = 'kept'"), r.where("outcome <> 'kept'").withColumn("local_path", F.lit(None).cast("string"))
+    return _named(kept).unionByName(rest).select("position", "url", "mime_type", "content_hash", "size", "route_page", "route_id", "outcome", "dedup_key", "local_path")
+
+
+def _named(kept: DataFrame) -> DataFrame:
+    """local_path of kept resources. Names can only meet within a family, paths that differ in numbers before their ending; where a family has one path,
+    its takers are ranked. Families of several are walked in order, sorted, with the names of one family in memory."""
+    kept = kept.withColumn("family", F.regexp_replace("base_path", r"(?:-[0-9]+)+(\.[^.]*)?$", "$1"))
+    several = kept.groupBy("family").agg(F.count_distinct("base_path").alias("n")).where("n > 1").select("family")
     taker = F.row_number().over(Window.partitionBy("base_path").orderBy("position"))
-    kept = kept.withColumn("wanted", paths.with_suffix(F.col("base_path"), taker))
-    again = F.row_number().over(Window.partitionBy("wanted").orderBy("position"))
-    kept = kept.withColumn("local_path", paths.with_suffix(F.col("wanted"), again)).drop("wanted")
-    return kept.unionByName(rest).select("position", "url", "mime_type", "content_hash", "size", "route_page", "route_id", "outcome", "dedup_key", "local_path")
+    ranked = kept.join(several, "family", "left_anti").withColumn("local_path", paths.with_suffix(F.col("base_path"), taker))
+    rows = kept.join(several, "family", "left_semi").repartition("family").sortWithinPartitions("family", "position", "url")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, used, following = None, set(), {}
+        for batch in batches:
+            names = []
+            for own, base in zip(batch.column("family").to_pylist(), batch.column("base_path").to_pylist(), strict=True):
+                if own != family:
+                    family, used, following = own, set(), {}
+                front, dot, ending = base.rpartition(".")
+                name, n = base, following.get(base, 2)
+                while name in used:
+                    name, n = f"{front}-{n}{dot}{ending}" if front else f"{base}-{n}", n + 1
+                used.add(name)
+                following[base] = n
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "local_path"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return ranked.unionByName(rows.mapInArrow(walk, f"{kinds}, local_path string")).drop("family")
 
 
 def catalog_stats(judged: DataFrame) -> DataFrame:
