@@ -157,18 +157,16 @@ def without_foreign(text: Column) -> Column:
     return F.regexp_replace(text, r"""(?is)<script\b(?=[^>]*\bsrc\s*=\s*["']https?:)[^>]*>.*?</script>""", "")
 
 
-def with_bootstrap(text: Column, bootstrap: str) -> Column:
+def with_bootstrap(text: Column, bootstrap: Column | str) -> Column:
     """bootstrap after the first head tag, or in front of a page without one."""
+    bootstrap = F.lit(bootstrap) if isinstance(bootstrap, str) else bootstrap
     found = F.regexp_extract(text, r"(?i)<head(?:\s[^>]*)?>", 0)
     at = F.instr(text, found)
-    placed = F.concat(F.substring(text, F.lit(1), at + F.length(found) - 1), F.lit(bootstrap), F.substring(text, at + F.length(found), F.length(text)))
-    return F.when(found == "", F.concat(F.lit(bootstrap), text)).otherwise(placed)
+    placed = F.concat(F.substring(text, F.lit(1), at + F.length(found) - 1), bootstrap, F.substring(text, at + F.length(found), F.length(text)))
+    return F.when(found == "", F.concat(bootstrap, text)).otherwise(placed)
 
 
 def with_marker(text: Column, marker: Column) -> Column:
     """A page that tells a validator which route it is."""
-    script = F.concat(F.lit("<script>document.documentElement.dataset.validationMarker="), F.to_json(F.struct(marker.alias("m"))), F.lit(".m;</script>"))
-    head = F.regexp_extract(text, r"(?i)<head(?:\s[^>]*)?>", 0)
-    at = F.instr(text, head)
-    placed = F.concat(F.substring(text, F.lit(1), at + F.length(head) - 1), script, F.substring(text, at + F.length(head), F.length(text)))
-    return F.when(head == "", F.concat(script, text)).otherwise(placed)
+    quoted = F.regexp_replace(F.to_json(F.array(marker)), r"^\[|\]$", "")
+    return with_bootstrap(text, F.concat(F.lit("<script>document.documentElement.dataset.validationMarker="), quoted, F.lit(";</script>")))

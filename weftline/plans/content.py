@@ -164,6 +164,12 @@ def rewritten_resources(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("owner", "kind", F.sha2("text", 256).alias("sha"), F.col("artifact_hash").isNotNull().alias("artifact"), "replaced")
 
 
+def marked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages with the marker of their route; every third without a head."""
+    text = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<head>"), F.lit(""))).otherwise(F.col("html"))
+    return capture.table(spark, sf, "pages").select("page_id", F.sha2(references.with_marker(text, F.concat(F.lit('page:"'), "page_id")), 256).alias("sha"))
+
+
 def rewrite_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return _rewritten(spark, sf)[1].groupBy("code", "severity", "phase").agg(F.count(F.lit(1)).alias("n"))
 
@@ -187,7 +193,7 @@ def private_fields(spark: SparkSession, sf: str) -> DataFrame:
     return capture.table(spark, sf, "pages").select("page_id", field.alias("private"))
 
 
-QUERIES = {f.__name__: f for f in (html_references, page_links, css_references, js_references, srcset_candidates, svg_references, resolved_references, reference_diagnostics, rewritten_html, secret_findings, redacted_texts, document_secrets, sanitized_headers, sanitized_urls, sanitized_bodies, sanitized_metadata, sanitized_requests, private_artifacts, rewritten_resources, rewrite_diagnostics, graph_privacy, private_fields)}
+QUERIES = {f.__name__: f for f in (html_references, page_links, css_references, js_references, srcset_candidates, svg_references, resolved_references, reference_diagnostics, rewritten_html, secret_findings, redacted_texts, document_secrets, sanitized_headers, sanitized_urls, sanitized_bodies, sanitized_metadata, sanitized_requests, private_artifacts, rewritten_resources, marked_pages, rewrite_diagnostics, graph_privacy, private_fields)}
 
 # The detectors as RE2 takes them: no look-ahead, so a run with a figure is spelled out by the place of its first figure.
 _RUN, _WORDS = "[A-Za-z0-9_~+/=-]", "[A-Za-z_~+/=-]"
@@ -244,6 +250,7 @@ UNION ALL SELECT CAST(page_id AS VARCHAR), 1, '/i' || page_id || '.png', CASE WH
     "sanitized_metadata": "SELECT event_id, '[REDACTED]' AS session, 'https://%5BREDACTED%5D:%5BREDACTED%5D@h.test/?key=%5BREDACTED%5D' AS at, 4 AS found FROM events",
     "sanitized_requests": with_(REQUESTS, "SELECT id, original_url, CAST(json(request_body) AS VARCHAR) AS request_body, request_body_hash, 0 AS redactions FROM requests"),
     "private_artifacts": f"WITH {_scan_sql('documents', 'text')} SELECT doc_id, text || ' note end. see https://a.test/?token=%5BREDACTED%5D' AS text, CAST(NULL AS VARCHAR) AS content_hash, true AS sanitized FROM t5 WHERE doc_id % 5 = 4 AND len(m1) + len(m2) + len(m3) + len(m4) + len(m5) = 0",
+    "marked_pages": """WITH m AS (SELECT page_id, html, '<script>document.documentElement.dataset.validationMarker="page:\\"' || page_id || '";</script>' AS s FROM pages) SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN s || replace(html, '<head>', '') ELSE replace(html, '<head>', '<head>' || s) END) AS sha FROM m""",
     "rewrite_diagnostics": f"""SELECT 'resource-parser-html-rewrite-failed' AS code, 'warning' AS severity, 'resource-rewrite' AS phase, count(*) AS n FROM pages WHERE page_id % 5 = 0 AND {_BROKEN} UNION ALL SELECT 'resource-parser-rewrite-failed', 'warning', 'resource-rewrite', count(*) FROM pages WHERE page_id % 5 IN (1, 2) AND {_BROKEN}
 UNION ALL SELECT 'unresolved-subresource', 'warning', 'resource-rewrite', count(*) FROM pages WHERE page_id % 5 IN (0, 1) AND NOT ({_BROKEN}) UNION ALL SELECT 'unresolved-executable', 'error', 'resource-rewrite', count(*) FROM pages WHERE page_id % 5 = 2 AND NOT ({_BROKEN})""",
     "rewritten_resources": f"""WITH r AS (SELECT CAST(page_id AS VARCHAR) AS owner, page_id % 5 AS k, {_BROKEN} AS broken, page_id % 10 = 0 AS route, html FROM pages),
