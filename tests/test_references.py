@@ -95,6 +95,17 @@ def test_page_cleaning(spark):
     assert row[1]["t"] == "<B><p>"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<script src="https://o.test/a.js"></script><script src="/b.js" integrity="x"></script><script src=/b.js></script>', '<script src="/b.js"></script>'),
+    ('<link rel="icon" href="https://o.test/i"><link rel=canonical href="https://o.test/"><link rel="stylesheet" href="/s.css">', '<link rel=canonical href="https://o.test/"><link rel="stylesheet" href="/s.css">'),
+    ('<iframe src="https://o.test/" title="t"></iframe><img src="http://o.test/i.png" alt="a"><video poster="/p.png" src=https://o.test/v>', '<iframe title="t"></iframe><img alt="a"><video poster="/p.png">'),
+    ('<script>x.src = "/c.js"; //# sourceMappingURL=x.map\n</script><script src="/c.js"></script><a href="https://o.test/">o</a>', '<script>x.src = "/c.js"; \n</script><a href="https://o.test/">o</a>'),
+    ('<!-- <base href="/"> --><BASE href="/"><meta http-equiv=Content-Security-Policy content="x"><meta charset="utf-8">', '<!-- <base href="/"> --><meta charset="utf-8">'),
+])
+def test_pages_that_stand_on_their_own(page, want):
+    assert markup.standalone_page(page) == want
+
+
 def test_a_broken_resource_is_left_alone_and_reported(spark):
     rows = [
         ("1", "https://h.test/a.css", "text/css", "a{b:url(/i.png)} /* open", False), ("2", "https://h.test/b.css", "text/css", "a{b:url(/i.png)} /*# sourceMappingURL=b.map */", False), ("3", "https://h.test/p", "text/html", '<head></head><img src="/i.png">', True),

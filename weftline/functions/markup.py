@@ -305,3 +305,55 @@ def blocked_value(role: str) -> str:
     if role in ("script", "module"):
         return "data:text/javascript,export%20{}"
     return "about:blank" if role == "frame" else "data:,"
+
+
+# Pages that stand on their own ---------------------------------------------------------------------------------------
+
+_INNER = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_ELEMENT = re.compile(rf"<!--.*?-->|<script\b(?P<script>{_INNER})>(?P<code>.*?)</script\s*>|<(?P<tag>meta|base|link|iframe|img|source|video|audio|track|object|embed|input|[a-z][a-z0-9-]*)\b(?P<inner>{_INNER})>", re.S | re.I)
+_NAMED = re.compile(r"\s+([a-z][a-z0-9:-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+_SET_SOURCE = re.compile(r"(?:\.src\s*=|setAttribute\(\s*['\"]src['\"]\s*,)\s*['\"]([^'\"]+)['\"]", re.I)
+_MAP_COMMENT = re.compile(r"//[#@]\s*sourceMappingURL=[^\r\n]*|/\*[#@]\s*sourceMappingURL=[^*]*\*/", re.I)
+_AWAY = re.compile(r"https?:", re.I)
+# Elements whose sources are taken away if they lead elsewhere, the attributes that hold them, and links that are.
+_MEDIA = {"img", "source", "video", "audio", "track", "object", "embed", "input", "iframe"}
+_MEDIA_ATTRIBUTES = ("src", "data-src", "data", "poster")
+_LINKS = re.compile(r"\b(?:stylesheet|modulepreload|preload|manifest|icon)\b")
+
+
+def _attributes(inner: str) -> dict[str, str]:
+    return {m[1].lower(): m[2].strip("\"'") for m in _NAMED.finditer(inner)}
+
+
+def _without(inner: str, names: tuple[str, ...]) -> str:
+    return _NAMED.sub(lambda m: "" if m[1].lower() in names else m[0], inner)
+
+
+def standalone_page(text: str) -> str:
+    """A page without what would reach out: integrity, policy meta tags, base, scripts and linked resources of other hosts, sources of foreign media and frames;
+    scripts that are there twice, or that an inline script loads, go too, and so do comments that name source maps."""
+    loaded = {url for m in _ELEMENT.finditer(text) if m["code"] is not None and "src" not in _attributes(m["script"]) for url in _SET_SOURCE.findall(m["code"])}
+    seen: set[str] = set()
+
+    def one(m: re.Match) -> str:
+        if m["code"] is not None:
+            own = _attributes(m["script"])
+            source = own.get("src", "")
+            if "src" not in own:
+                return f"<script{_without(m['script'], ('integrity',))}>{_MAP_COMMENT.sub('', m['code'])}</script>" if "integrity" in own or _MAP_COMMENT.search(m["code"]) else m[0]
+            if _AWAY.match(source) or source in seen or source in loaded:
+                return ""
+            seen.add(source)
+            return m[0].replace(m["script"], _without(m["script"], ("integrity",)), 1) if "integrity" in own else m[0]
+        if m["tag"] is None:
+            return m[0]
+        tag, own = m["tag"].lower(), _attributes(m["inner"])
+        if tag == "base" or (tag == "meta" and own.get("http-equiv", "").lower() == "content-security-policy"):
+            return ""
+        if tag == "link" and _AWAY.match(own.get("href", "")) and _LINKS.search(own.get("rel", "").lower()):
+            return ""
+        away = tuple(a for a in (("src",) if tag == "iframe" else _MEDIA_ATTRIBUTES) if tag in _MEDIA and _AWAY.match(own.get(a, "")))
+        gone = away + (("integrity",) if "integrity" in own else ())
+        return f"<{m['tag']}{_without(m['inner'], gone)}>" if gone else m[0]
+
+    return _ELEMENT.sub(one, text)

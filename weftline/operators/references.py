@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import gltf, markup, media, paths, urls, whatwg
 from ..sources.tables import materialized
@@ -149,12 +150,10 @@ def rewritten_gltf(texts: DataFrame, known: DataFrame) -> DataFrame:
     return texts.join(local, "owner", "left").select("owner", gltf.with_uris(F.col("text"), F.col("local")).alias("text"), F.coalesce(F.size("local"), F.lit(0)).alias("replaced"))
 
 
-def without_foreign(text: Column) -> Column:
-    """A page without integrity attributes, policy meta tags, base tags and scripts of other hosts."""
-    text = F.regexp_replace(text, r"""(?i)\s+integrity\s*=\s*(?:"[^"]*"|'[^']*')""", "")
-    text = F.regexp_replace(text, r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?content-security-policy)[^>]*>""", "")
-    text = F.regexp_replace(text, r"(?i)<base\b[^>]*>", "")
-    return F.regexp_replace(text, r"""(?is)<script\b(?=[^>]*\bsrc\s*=\s*["']https?:)[^>]*>.*?</script>""", "")
+@F.pandas_udf(T.StringType())
+def without_foreign(texts: pd.Series) -> pd.Series:
+    """Pages that reach out to nothing (see markup.standalone_page)."""
+    return pd.Series([None if t is None else markup.standalone_page(t) for t in texts], dtype=object)
 
 
 def with_bootstrap(text: Column, bootstrap: Column | str) -> Column:

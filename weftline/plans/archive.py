@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, urls
 from ..operators import catalog, crawl, storage, validate
-from ..sources import capture
+from ..sources import archives, capture
 from . import views
 from .traffic import _SEG
 from .views import RESPONSES, origin, path_key, pathname, search, with_
@@ -179,6 +179,12 @@ def mission_records(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("mission_id", F.size("bodies").cast("long").alias("bodies"), F.aggregate("bodies", F.lit(0).cast("long"), lambda t, x: t + x["size"]).alias("size"), F.exists("bodies", lambda x: x["body"].isNotNull()).alias("inline"))
 
 
+def archive_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests of archives of fifty pages each."""
+    files = capture.table(spark, sf, "pages").select(F.floor(F.col("page_id") / 50).alias("archive"), F.concat(F.lit("assets/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("bytes"))
+    return archives.manifest(files).select("archive", F.sha2("bytes", 256).alias("sha"))
+
+
 def byte_budget(spark: SparkSession, sf: str) -> DataFrame:
     r = capture.responses(spark, sf).where("size is not null")
     return storage.within_budget(r.select("id", "mission_id", "sequence", "size"), 300_000).select("id", "so_far", "kept")
@@ -225,7 +231,7 @@ def quota_status(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "q.available", "q.checked", "q.fits")
 
 
-QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
+QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
 
 _PATH_SQL = f"s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m), ap AS (SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS path FROM h)"
 _ANCHOR_SQL = "a0 AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, i - 1 AS n, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"
@@ -277,6 +283,8 @@ SELECT archive, CAST(place AS INTEGER) AS place, url, 'assets/' || page_id || '.
     "deflated_archive": "SELECT count(*) AS file_count, sum(strlen(html) + 10000) AS physical_bytes, true AS halved, true AS saved FROM pages",
     "hydrated_bodies": "SELECT page_id, CASE WHEN page_id % 2 = 0 OR page_id % 7 <> 0 THEN CAST(strlen(html) AS BIGINT) END AS size, CASE WHEN (page_id % 2 = 0 OR page_id % 7 <> 0) AND page_id % 5 <> 0 THEN length(html) END AS characters FROM pages",
     "mission_records": "SELECT page_id % 20 AS mission_id, count(*) AS bodies, CAST(sum(strlen(html)) AS BIGINT) AS size, false AS inline FROM pages GROUP BY 1",
+    "archive_manifests": """WITH f AS (SELECT page_id // 50 AS archive, 'assets/' || page_id || '.html' AS path, strlen(html) AS size, sha256(html) AS sha FROM pages)
+SELECT archive, sha256('{"schemaVersion":1,"fileCount":' || count(*) || ',"files":[' || string_agg('{"path":"' || path || '","size":' || size || ',"sha256":"' || sha || '"}', ',' ORDER BY path) || ']}') AS sha FROM f GROUP BY 1""",
     "byte_budget": with_(RESPONSES, "SELECT id, sum(size) OVER w AS so_far, sum(size) OVER w - size < 300000 AS kept FROM responses WHERE size IS NOT NULL WINDOW w AS (PARTITION BY mission_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)"),
     "validation_status": "WITH n AS (SELECT count(*) FILTER (WHERE page_id % 10 = 0) + count(*) FILTER (WHERE page_id % 8 = 0) AS c, count(*) FILTER (WHERE page_id % 25 = 0) AS v FROM pages) SELECT 'partial' AS status, c + v AS issue_count, 0 AS info_count, 'capture-miss=' || c || ',privacy-risk=' || v AS categories FROM n",
     "user_status": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ready' WHEN page_id % 5 >= 3 AND page_id % 7 >= 4 AND page_id % 2 = 0 THEN 'partial' WHEN page_id % 3 = 1 THEN 'failed' ELSE 'partial' END AS status FROM pages",

@@ -55,3 +55,10 @@ def zipped(files: DataFrame) -> DataFrame:
         return pd.DataFrame({"archive": [group["archive"].iloc[0]], "content": [out.getvalue()]})
 
     return files.select("archive", "path", "bytes").groupBy("archive").applyInPandas(run, "archive string, content binary")
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """(archive, path, bytes): a manifest.json for each archive of files (archive, path, bytes), with the size and hash of each in order; to be united with the files."""
+    entry = F.struct("path", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+    listed = files.groupBy("archive").agg(F.array_sort(F.collect_list(entry)).alias("files"))
+    return listed.select("archive", F.lit("manifest.json").alias("path"), F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.size("files").alias("fileCount"), "files")).cast("binary").alias("bytes"))
