@@ -21,8 +21,10 @@ from .shared import SpanHasher, document_columns, lowered, slices, spans_where,
 
 BUCKETS = 1 << 20
 PREFIX = 5
-#: Bounds of the sample that the machine is fitted on: labelled rows, half of them of either label, and (row, term) entries in all of them.
+#: Bounds of the sample that the machine is fitted on: labelled rows, and (row, term) entries in all of them.
 TRAINING_ROWS, TRAINING_TERMS = 20_000, 1 << 24
+#: So many rows of the rarer label are in the sample at least (if there are so many; at most half of it).
+LEAST_OF_LABEL = 1000
 #: A term is known to the machine if it stands in so many rows of the sample.
 LEAST_ROWS = 8
 FACTORS = 4
@@ -116,16 +118,20 @@ def held_out(id_col: str = "doc_id", fifth: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", training_rows: int = TRAINING_ROWS, training_terms: int = TRAINING_TERMS) -> Machine:
-    """Fits the machine on at most training_rows labelled documents, half of them of either label: those of the smallest hashes of their ids.
+    """Fits the machine on at most training_rows labelled documents: those of the smallest hashes of their ids, of each label as many as its share of all
+    labelled ids, but of the rarer one at least LEAST_OF_LABEL.
 
-    Rows without id or label are left out; of several labels of one id the largest counts, and is 1 if above 0. The bias allows for the share that each label has
-    among all labelled ids. Of texts so long that the sample would hold more than training_terms different terms of its rows, fewer are taken. Without any row of
+    Rows without id or label are left out; of several labels of one id the largest counts, and is 1 if above 0. Where the rarer label has more than its share, the bias
+    is set back to it. Of texts so long that the sample would hold more than training_terms different terms of its rows, fewer are taken. Without any row of
     either label the score is the same for all texts.
     """
     own = document_columns(labels, id_col, label_col).toDF("label_id", "label").dropna()
     own = stored(own.groupBy("label_id").agg((F.max("label") > 0).cast("int").alias("label")))
     shares = {r[0]: r[1] for r in own.groupBy("label").agg(F.count(F.lit(1))).collect()}  # two rows at most
-    first = [own.where(F.col("label") == value).orderBy(F.xxhash64("label_id"), "label_id").limit(training_rows // 2) for value in (0, 1)]
+    rare = 1 if shares.get(1, 0) <= shares.get(0, 0) else 0
+    of_rare = max(round(training_rows * shares.get(rare, 0) / max(sum(shares.values()), 1)), min(LEAST_OF_LABEL, training_rows // 2))
+    quota = {rare: of_rare, 1 - rare: training_rows - of_rare}
+    first = [own.where(F.col("label") == value).orderBy(F.xxhash64("label_id"), "label_id").limit(quota[value]) for value in (0, 1)]
     plain = document_columns(docs, id_col, text_col).toDF("doc_id", "text")
     sample = F.broadcast(first[0].union(first[1]))  # at most training_rows rows
     rows = plain.join(sample, F.col("doc_id") == F.col("label_id")).select(F.xxhash64("label_id").alias("key"), "label", "text")
