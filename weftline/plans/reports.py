@@ -78,26 +78,35 @@ def latest_routes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Scripts of whole pages as comments, with the name of a map at their end."""
     k = F.col("page_id").cast("string")
-    t = capture.table(spark, sf, "pages").select(k.alias("owner"), F.concat(F.lit("https://m.test/js/"), k, F.lit(".js")).alias("base_url"), F.concat(F.lit("x();\n//# sourceMappingURL="), F.when(F.col("page_id") % 3 == 0, "https://other.test/a.map").when(F.col("page_id") % 3 == 1, F.concat(F.lit("/maps/"), k, F.lit(".map"))).otherwise(F.concat(k, F.lit(".map")))).alias("text"))
+    name = F.when(F.col("page_id") % 3 == 0, "https://other.test/a.map").when(F.col("page_id") % 3 == 1, F.concat(F.lit("/maps/"), k, F.lit(".map"))).otherwise(F.concat(k, F.lit(".map")))
+    text = F.concat(F.lit("/* "), "html", F.lit(" */ x();\n//# sourceMappingURL="), name)
+    t = capture.table(spark, sf, "pages").select(k.alias("owner"), F.concat(F.lit("https://m.test/js/"), k, F.lit(".js")).alias("base_url"), text.alias("text"))
     return reports.source_map_urls(t)
 
 
 def import_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages with an import map behind them."""
     k = F.col("page_id").cast("string")
-    t = capture.table(spark, sf, "pages").select(k.alias("owner"), F.concat(F.lit("https://m.test/p/"), k).alias("base_url"), F.concat(F.lit('<script type="importmap">{"imports":{"a":"./a'), k, F.lit('.js","b":"/b.js","c":"bare"}}</script>')).alias("text"))
+    text = F.concat("html", F.lit('<script type="importmap">{"imports":{"a":"./a'), k, F.lit('.js","b":"/b.js","c":"bare"}}</script>'))
+    t = capture.table(spark, sf, "pages").select(k.alias("owner"), F.concat(F.lit("https://m.test/p/"), k).alias("base_url"), text.alias("text"))
     return reports.import_map_urls(t)
 
 
 def gltf_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with whole pages as a member; every fifth page as it is, which is no JSON."""
     k = F.col("page_id").cast("string")
-    t = capture.table(spark, sf, "pages").select(k.alias("owner"), F.lit("https://m.test/g/x.gltf").alias("base_url"), F.when(F.col("page_id") % 5 == 0, "not json").otherwise(F.concat(F.lit('{"buffers":[{"uri":"b'), k, F.lit('.bin"},{"uri":"data:x"}],"images":{"one":[{"uri":"../i.png"}]}}'))).alias("text"))
+    page = F.to_json(F.struct(F.col("html").alias("html")))
+    text = F.when(F.col("page_id") % 5 == 0, F.col("html")).otherwise(F.concat(F.lit('{"extras":'), page, F.lit(',"buffers":[{"uri":"b'), k, F.lit('.bin"},{"uri":"data:x"}],"images":{"one":[{"uri":"../i.png"}]}}')))
+    t = capture.table(spark, sf, "pages").select(k.alias("owner"), F.lit("https://m.test/g/x.gltf").alias("base_url"), text.alias("text"))
     return reports.gltf_urls(t)
 
 
 def hydration(spark: SparkSession, sf: str) -> DataFrame:
+    """Scripts of whole source pages, some with one planted that hydrates."""
     key = F.col("page_id")
-    source = F.when(key % 2 == 0, "<script>self.$R=1</script><script>other()</script>").otherwise("<script>other()</script>")
+    source = F.concat(F.when(key % 2 == 0, "<script>self.$R=1</script><script>other()</script>").otherwise("<script>other()</script>"), "html")
     html = F.when(key % 3 == 0, '<body><script type="module" src="/m.js"></script></body>').otherwise("<body><p></BODY>")
     return capture.table(spark, sf, "pages").select("page_id", reports.restored_hydration(html, source).alias("html"))
 

@@ -125,9 +125,10 @@ def replay_match_per_client(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replay_match_by_path(spark: SparkSession, sf: str) -> DataFrame:
-    """The general form; the runtime's origin serves no recording here, so it agrees with replay_match_per_client."""
+    """The general form; every third client asks the runtime's own origin for the paths that it recorded elsewhere."""
     asked, recorded = _replayed(spark, sf)
-    return replay.match_by_path(asked.withColumn("position", F.unix_micros(F.col("position.ts").cast("timestamp")) * 1000 + F.col("position.event_id")), recorded, "https://runtime.test")
+    asked = asked.withColumn("url", F.when(F.col("client").cast("long") % 3 == 0, F.concat(F.lit("https://runtime.test"), urls.resource_key(F.col("url")))).otherwise(F.col("url")))
+    return replay.match_by_path(asked, recorded, "https://runtime.test")
 
 
 def replay_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +213,17 @@ ORACLE_SQL = {
     "unsupported_reasons": with_(views.REQUESTS, f"SELECT id, {_URL31} AS reason FROM requests"),
     "replay_match": _match_sql(""),
     "replay_match_per_client": _match_sql("user_id, "),
-    "replay_match_by_path": _match_sql("user_id, "),
+    "replay_match_by_path": with_(RESPONSES, f""", rec AS (SELECT *, coalesce(request_body_hash, '') AS h, row_number() OVER (PARTITION BY method, normalized_url, content_type, coalesce(request_body_hash, '') ORDER BY sequence, exchange_id) AS r FROM exchanges WHERE ts < TIMESTAMP '{SPLIT}'),
+ n AS (SELECT method, normalized_url, content_type, h, count(*) AS n FROM rec GROUP BY ALL),
+ by_path AS (SELECT method, {path_key('normalized_url')} AS pk, content_type, h, count(DISTINCT {origin('normalized_url')}) AS origins, count(DISTINCT normalized_url) AS n_urls, min(normalized_url) AS only_url FROM rec GROUP BY ALL),
+ q AS (SELECT *, coalesce(request_body_hash, '') AS h, {path_key('normalized_url')} AS pk, user_id % 3 = 0 AS runtime FROM requests WHERE ts >= TIMESTAMP '{SPLIT}' AND event_type <> 'view' AND method <> 'PUT'),
+ m AS (SELECT q.* EXCLUDE (normalized_url), runtime AND coalesce(origins, 0) > 1 AS unsure, CASE WHEN NOT runtime THEN normalized_url WHEN n_urls = 1 THEN only_url ELSE 'https://runtime.test' || q.pk END AS url FROM q LEFT JOIN by_path b ON b.method = q.method AND b.pk = q.pk AND b.content_type = q.content_type AND b.h = q.h),
+ ask AS (SELECT *, row_number() OVER (PARTITION BY user_id, method, url, content_type, h ORDER BY ts, event_id) AS r FROM m WHERE NOT unsure)
+ SELECT a.id AS request_id, x.exchange_id, CASE WHEN n.n IS NULL THEN 'not-found' WHEN a.r > n.n THEN 'repeat-exhausted' ELSE '' END AS reason_code FROM ask a
+ LEFT JOIN n ON n.method = a.method AND n.normalized_url = a.url AND n.content_type = a.content_type AND n.h = a.h
+ LEFT JOIN rec x ON x.method = a.method AND x.normalized_url = a.url AND x.content_type = a.content_type AND x.h = a.h AND x.r = a.r
+ UNION ALL SELECT id, NULL, 'ambiguous' FROM m WHERE unsure
+ UNION ALL SELECT id, NULL, 'unknown-mutation' FROM requests WHERE ts >= TIMESTAMP '{SPLIT}' AND event_type <> 'view' AND method = 'PUT'"""),
     "replay_ambiguity": with_(RESPONSES, f"{_MIRRORED} SELECT method, {path_key('url')} AS path_key, content_type, request_body_hash, count(DISTINCT {origin('url')}) AS origins, count(*) AS candidates FROM e GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT {origin('url')}) > 1"),
     "replay_coverage": with_(RESPONSES, f"{_MIRRORED}, amb AS (SELECT 1 FROM e GROUP BY method, {path_key('url')}, content_type, request_body_hash HAVING count(DISTINCT {origin('url')}) > 1), a AS (SELECT count(*) AS n FROM amb) SELECT count(*) AS recorded, count(*) FILTER (WHERE method <> 'PUT') AS supported, count(*) FILTER (WHERE body_id IS NOT NULL) AS locally_fulfillable, CAST(((2000 * count(*) FILTER (WHERE method <> 'PUT') + count(*)) // (2 * count(*))) / 10.0 AS DOUBLE) AS coverage, any_value(a.n) AS ambiguities, 'ambiguous=' || any_value(a.n) || ',unknown-mutation=' || count(*) FILTER (WHERE method = 'PUT') AS misses FROM exchanges, a"),
     "idle_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS begins FROM events), s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT user_id, min(ts) AS started, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY user_id, burst",
