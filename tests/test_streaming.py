@@ -44,6 +44,14 @@ def test_idle_periods(spark, tmp_path):
     assert sorted(r["events"] for r in spark.read.parquet(str(tmp_path / "out")).collect())[-2:] == [2, 3]
 
 
+def test_events_from_json(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = ['{"session":"s","request_id":"r1","ts":"2024-01-01T00:00:00Z","event":"requestWillBeSent","url":"https://h/a","method":"GET"}', "no json", '{"event":"dataReceived"}', '{"session":"s","request_id":"r1","ts":"2024-01-01T00:00:01Z","event":"loadingFinished"}']
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    assembly.drained(assembly.exchanges(assembly.network_events(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert [(r["request_id"], r["url"], r["body_state"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r1", "https://h/a", "stored")]
+
+
 def test_bodies_before_closing(spark, tmp_path):
     """Bodies of closed missions count for nothing."""
     rows = [event(s, f"r{s}", "loadingFinished") for s in (1, 5, 9)]

@@ -18,6 +18,19 @@ def normalized(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
+@F.pandas_udf(T.StringType())
+def canonical(found: pd.Series) -> pd.Series:
+    """Any http(s) URL in its normal form without fragment: case of scheme and host, default ports, dot segments and escapes; null for what is no URL."""
+
+    def one(url: str | None) -> str | None:
+        try:
+            return None if url is None else whatwg.normalized(url)
+        except ValueError:
+            return None
+
+    return pd.Series([one(u) for u in found], dtype=object)
+
+
 def is_http(url: Column) -> Column:
     return F.coalesce(F.rlike(F.lower(url), F.lit("^https?://.")), F.lit(False))
 

@@ -186,6 +186,15 @@ def graph_privacy(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(held, "family", "left").select("family", "records", "redactions", "without_hash", "body")
 
 
+def sensitive_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters of seven names with values of up to nineteen characters."""
+    names = ("token", "Code", "key", "page", "session_id", "api-key", "ref")
+    e = F.col("event_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (e % len(names) + 1).cast("int"))
+    value = F.repeat(F.lit("x"), (e % 20).cast("int"))
+    return capture.table(spark, sf, "events").select("event_id", privacy.is_sensitive_parameter(name, value).alias("parameter"), privacy.is_sensitive_name(name).alias("name"))
+
+
 def private_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Form fields of four sorts by page_id."""
     pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("page_id") % len(x) + 1).cast("int"))
@@ -193,7 +202,7 @@ def private_fields(spark: SparkSession, sf: str) -> DataFrame:
     return capture.table(spark, sf, "pages").select("page_id", field.alias("private"))
 
 
-QUERIES = {f.__name__: f for f in (html_references, page_links, css_references, js_references, srcset_candidates, svg_references, resolved_references, reference_diagnostics, rewritten_html, secret_findings, redacted_texts, document_secrets, sanitized_headers, sanitized_urls, sanitized_bodies, sanitized_metadata, sanitized_requests, private_artifacts, rewritten_resources, marked_pages, rewrite_diagnostics, graph_privacy, private_fields)}
+QUERIES = {f.__name__: f for f in (html_references, page_links, css_references, js_references, srcset_candidates, svg_references, resolved_references, reference_diagnostics, rewritten_html, secret_findings, redacted_texts, document_secrets, sanitized_headers, sanitized_urls, sanitized_bodies, sanitized_metadata, sanitized_requests, private_artifacts, rewritten_resources, marked_pages, rewrite_diagnostics, graph_privacy, private_fields, sensitive_parameters)}
 
 # The detectors as RE2 takes them: no look-ahead, so a run with a figure is spelled out by the place of its first figure.
 _RUN, _WORDS = "[A-Za-z0-9_~+/=-]", "[A-Za-z_~+/=-]"
@@ -260,5 +269,6 @@ t AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN broken THEN '<img src="/i.png">' ||
  WHEN 3 THEN '{{"title":' || CAST(to_json({{'h': html}}) AS VARCHAR) || ',"buffers":[{{"uri":"/assets/known.css"}},{{"uri":"data:x"}}]}}' ELSE html END AS text FROM r)
 SELECT owner, CASE k WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'javascript' WHEN 3 THEN 'gltf' END AS kind, sha256(CASE WHEN k = 0 AND route THEN regexp_replace(text, '(<head>)', '\\1<script src=/b.js></script>') ELSE text END) AS sha, k IN (0, 3) OR (k IN (1, 2) AND NOT broken) AS artifact, CASE WHEN k = 3 THEN 1 WHEN broken OR k = 4 THEN 0 WHEN k = 0 THEN 1 ELSE 2 END AS replaced FROM t""",
     "graph_privacy": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE page_id % 2 = 0) AS even, count(*) FILTER (WHERE page_id % 3 = 0) AS third FROM pages), f AS (SELECT unnest(['missions', 'targets', 'bodies', 'documents', 'routes', 'dependency_edges', 'api_exchanges', 'derived_artifacts', 'diagnostics', 'responses', 'requests']) AS family) SELECT family, n AS records, CASE family WHEN 'responses' THEN 2 * n + n WHEN 'requests' THEN 3 * n + third ELSE 2 * n + even END AS redactions, CASE WHEN family = 'requests' THEN third END AS without_hash, CASE WHEN family = 'requests' THEN '{\"password\":\"[REDACTED]\"}' END AS body FROM c, f",
+    "sensitive_parameters": "SELECT event_id, CASE event_id % 7 WHEN 1 THEN event_id % 20 >= 12 WHEN 2 THEN event_id % 20 >= 12 ELSE event_id % 7 IN (0, 4, 5) END AS parameter, event_id % 7 IN (0, 4, 5) AS name FROM events",
     "private_fields": "SELECT page_id, page_id % 4 = 1 OR page_id % 3 = 2 OR page_id % 5 IN (1, 4) OR page_id % 7 = 0 AS private FROM pages",
 }

@@ -23,6 +23,13 @@ def normalized_urls(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("page_id", urls.normalized(url).alias("normalized_url"), urls.is_http(url).alias("is_http"), urls.origin(url).alias("origin"), urls.fragment(url).alias("fragment"))
 
 
+def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages' URLs in capitals, with default ports and dot segments planted; every ninth is no URL."""
+    url = F.col("url")
+    odd = F.concat(F.upper(urls.origin(url)), F.when(F.startswith(url, F.lit("https:")), ":443").otherwise(":80"), F.lit("/x/./.."), urls.resource_key(url), F.lit("#f"))
+    return _pages(spark, sf).select("page_id", urls.canonical(F.when(F.col("page_id") % 9 == 0, "no url").otherwise(odd)).alias("canonical_url"))
+
+
 def path_keys(spark: SparkSession, sf: str) -> DataFrame:
     url = F.col("url")
     return _pages(spark, sf).select("page_id", urls.path_key(url).alias("path_key"), urls.validation_key(url).alias("validation_key"), urls.resource_key(url).alias("resource_key"), urls.route_key(url, F.when(F.col("page_id") % 2 == 0, "document").otherwise("history")).alias("route_key"))
@@ -174,7 +181,7 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     return capture.table(spark, sf, "events").select("event_id", "user_id", F.max("value").over(w).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_urls, path_keys, resolved_links, same_origin_links, short_hash, body_hashes, mime_class, eligible_responses, tracker_filter, archive_paths, request_policy, byte_sizes, unsupported_reasons, replay_match, replay_match_per_client, replay_match_by_path, replay_ambiguity, replay_coverage, idle_sessions, late_bodies, repeated_actions, progress)}
+QUERIES = {f.__name__: f for f in (normalized_urls, canonical_urls, path_keys, resolved_links, same_origin_links, short_hash, body_hashes, mime_class, eligible_responses, tracker_filter, archive_paths, request_policy, byte_sizes, unsupported_reasons, replay_match, replay_match_per_client, replay_match_by_path, replay_ambiguity, replay_coverage, idle_sessions, late_bodies, repeated_actions, progress)}
 
 
 def _match_sql(client: str) -> str:
@@ -199,6 +206,7 @@ _MIRRORED = f", x AS (SELECT method, normalized_url AS url, content_type, coales
 
 ORACLE_SQL = {
     "normalized_urls": f"SELECT page_id, {normal('url')} AS normalized_url, regexp_matches(lower(url), '^https?://.') AS is_http, {origin('url')} AS origin, regexp_extract(url, '(#.+)$', 1) AS fragment FROM pages",
+    "canonical_urls": f"SELECT page_id, CASE WHEN page_id % 9 > 0 THEN {origin('url')} || {pathname('url')} || {search('url')} END AS canonical_url FROM pages",
     "path_keys": f"SELECT page_id, {path_key('url')} AS path_key, {path_key('url')} || regexp_extract(url, '(#.+)$', 1) AS validation_key, {pathname('url')} || {search('url')} AS resource_key, CASE WHEN page_id % 2 = 0 THEN 'document:' || {normal('url')} ELSE 'history:' || url END AS route_key FROM pages",
     "resolved_links": f"WITH {_ANCHORS} SELECT page_id, position, CASE WHEN href LIKE '#%' THEN 'fragment' ELSE 'network' END AS kind, {_ENCODED.format(_RESOLVED)} AS resolved_url FROM anchors",
     "same_origin_links": f"WITH {_ANCHORS}, t AS (SELECT page_id, base_url, regexp_replace({_ENCODED.format(_RESOLVED)}, '#.*$', '') AS target FROM anchors) SELECT DISTINCT page_id, target FROM t WHERE target LIKE 'http%' AND {origin('target')} = {origin('base_url')}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,6 +64,12 @@ def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 GRACE_MS = 10_000
 
 
+def network_events(spark: SparkSession, path: str, *, files_at_once: int = 100) -> DataFrame:
+    """A stream of EVENTS from JSON lines in files below path, as a recorder drops them there; lines that aren't events are left out."""
+    lines = spark.readStream.schema(EVENTS).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true").json(path)
+    return lines.where("session is not null and request_id is not null and ts is not null")
+
+
 def exchanges(events: DataFrame, *, late: str = "10 seconds") -> DataFrame:
     """Finished exchanges of a stream of EVENTS, keyed by (session, request_id); events later than ``late`` are dropped by the watermark."""
     keyed = events.withWatermark("ts", late).groupBy("session", "request_id")
