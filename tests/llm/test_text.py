@@ -202,9 +202,7 @@ def test_super_minhash_of_few_elements():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def ids_of(tokenizer, text):
@@ -215,7 +213,7 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-NASTY = ["", " ", "\n\nb", "a\n\n\tb", "a\u00a0\nb", "\nb", "é\nb", "x \nb", "  a  b ", "it's I'LL 'sup", "a\n\nb\n c\t\td", "x1y2 3.14", "été œuvre straße ÀÉ×÷", "日本語 テスト", "emoji 🎉🎉 end", "a b c", "<|endoftext|> ok", "...!!! ???", "a" * 3000, "\r\n\r\nx", "tab\tWord\nWord", "café́ ö", "don't\n'tis"]
+NASTY = ["", " ", "\n\nb", "a\n\n\tb", "a\u00a0\nb", "\nb", "é\nb", "x \nb", "  a  b ", "it's I'LL 'sup", "a\n\nb\n c\t\td", "x1y2 3.14", "été œuvre straße ÀÉ×÷", "日本語 テスト", "emoji 🎉🎉 end", "a b c", "<|endoftext|> ok", "hello <|endoftext|> world", "a<|endoftext|>b <|endoftext|><|endoftext|>\n\nc", "<|endoftext|", "<<|endoftext|>|endoftext|>", "x. <|endoftext|>", "...!!! ???", "a" * 3000, "\r\n\r\nx", "tab\tWord\nWord", "café́ ö", "don't\n'tis"]
 
 
 def test_encoder_on_nasty_texts(tokenizer):
@@ -241,6 +239,38 @@ def test_encoder_on_random_texts(tokenizer):
     check()
 
 
+def test_encoder_on_random_texts_with_added_tokens(tokenizer):
+    """Whole and broken added tokens among all that may stand beside one, also where two rows would make one up together."""
+    import pyarrow as pa
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    parts = st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<|", "|>", "a", " ", "\n", "\t", ".", "é", "b c", "1", "日"])
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.lists(parts, max_size=8).map("".join), min_size=1, max_size=4))
+    def check(texts):
+        for rows, flat, begins in tokens.encoded(pa.array(texts), tokens.default_path()):
+            for i in range(len(rows)):
+                assert flat[begins[i] : begins[i + 1]].tolist() == ids_of(tokenizer, texts[rows.first + i])
+
+    check()
+
+
+def test_added_tokens_that_mind_their_surroundings(tmp_path):
+    """Tokens that take white space with them or stand alone only: such rows go to the library as they are."""
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.add_tokens([AddedToken("<m>", lstrip=True, rstrip=True), AddedToken("word", single_word=True), AddedToken("plain")])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["a. <m> \n b", "word words sword. word", "a word\nwordy", "plainly plain", "explain this.\nb", "a\nb <m>c"]
+    for rows, flat, begins in tokens.encoded(pa.array(texts), str(tmp_path / "t.json")):
+        for i in range(len(rows)):
+            assert flat[begins[i] : begins[i + 1]].tolist() == ids_of(t, texts[rows.first + i])
+
+
 def packed_as_they_should(rows, lengths_of, capacity):
     by_sequence, by_doc = {}, {}
     for r in rows:

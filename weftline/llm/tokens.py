@@ -10,6 +10,9 @@ of the stretches, one after another, are the ids of the text:
 
 Letters here are a-z, A-Z and the letters of U+00C0 to U+00FF; any other character never has a cut beside it unless a
 rule names it, so texts in other scripts are merely cut less often.
+
+The library takes added tokens (as <|endoftext|>) out of a text before anything else. No cut goes through one, and a stretch that holds
+one goes to the library as it is; a row with an added token that minds its surroundings is one stretch.
 """
 
 from __future__ import annotations
@@ -40,8 +43,20 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where stretches begin in the flat bytes of some rows; empty rows have none."""
+def places_of(content: bytes, blob: bytes) -> np.ndarray:
+    """Where content begins in blob, overlaps included."""
+    found, at = [], blob.find(content)
+    while at >= 0:
+        found.append(at)
+        at = blob.find(content, at + 1)
+    return np.array(found, np.int64)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, whole: tuple[bytes, ...] = (), blob: bytes = b"", alone: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Where stretches begin in the flat bytes (the same as blob) of some rows; empty rows have none.
+
+    None begins inside what equals one of whole, nor in a row in which one of alone stands.
+    """
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 1:
@@ -58,6 +73,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lone = _BREAK[data[:-1]] & begins_letter[1:]
         lone[1:] &= ((data[:-2] > 0x20) & (data[:-2] < 0x7F)) | ends_letter[:-2]
         inner |= lone
+        for content in whole:
+            for at in places_of(content, blob):
+                cut[at + 1 : at + len(content)] = False
+        for content in alone:
+            rows = np.unique(np.searchsorted(offsets, places_of(content, blob), "right") - 1)
+            for a, b in zip(offsets[rows], offsets[rows + 1], strict=True):
+                cut[a:b] = False
     cut[offsets[:-1]] = True
     cut[n] = False
     return np.flatnonzero(cut)
@@ -85,7 +107,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = tuple(t.content.encode() for t in added if t.content)
+        self.alone = tuple(t.content.encode() for t in added if t.content and (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self._forget()
@@ -99,14 +123,15 @@ class Encoder:
 
     def _new(self, stretch: bytes) -> list[int]:
         word = stretch[1:] if stretch[:1] == b" " else stretch
-        if word.isalpha():  # bytes: ASCII letters only, so it is one unit of the split
+        if word.isalpha() and not any(content in stretch for content in self.added):  # bytes: ASCII letters only, so it is one unit of the split
             return [t.id for t in self.model.tokenize(stretch.decode("latin-1").translate(self.letters))]
         return self.tokenizer.encode(stretch.decode("utf-8"), add_special_tokens=False).ids
 
     def encode(self, rows: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, each row's followed by END_ID, and where each row's begin (rows + 1)."""
         n_rows = len(rows)
-        starts = stretches(rows.data, rows.offsets)
+        blob = rows.data.tobytes()
+        starts = stretches(rows.data, rows.offsets, self.added, blob, self.alone)
         if not len(starts):
             return np.full(n_rows, END_ID, np.uint32), np.arange(n_rows + 1)
         ends = np.append(starts[1:], len(rows.data))
@@ -119,7 +144,6 @@ class Encoder:
             if self.used > self.POOL:
                 self._forget()
                 return self.encode(rows)
-            blob = rows.data.tobytes()
             ids = [self._new(blob[starts[i] : ends[i]]) for i in missed[first]]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             begins = self.used + np.cumsum(counts) - counts
