@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, licenses, minhash, mixing, packing, tokenfile, tokens, toxicity
-from weftline.llm.shared import SpanHasher, slices, word_spans
+from weftline.llm.shared import SpanHasher, slices, stored, word_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_no int, score double, size string, class long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,6 +102,34 @@ def test_mixing_of_rows_without_ids(spark):
     assert abs(taken[False] - 500) < 90
 
 
+def test_mixing_of_rows_without_ids_reruns(spark, tmp_path, monkeypatch):
+    """The same files read in other pieces give the same mix; equal rows are told apart only by how many of them are taken."""
+    rows = [(None if i % 3 else i, f"{'w ' * (i % 7)}{i % 50}", "ab"[i % 2] if i % 11 else None) for i in range(6000)]
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(path)
+    mixes, bits = [], [mixing.OCCURRENCE_BITS, 3]
+    for size, few in (("128m", bits[0]), ("4k", bits[1])):
+        monkeypatch.setattr(mixing, "OCCURRENCE_BITS", few)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        mixes.append(Counter((r["doc_id"], r["size"], r["source"], r["taken"], r["copies"]) for r in mixing.mix(spark.read.parquet(path), share=0.7).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert mixes[0] == mixes[1]
+    assert len({c for (d, _, _, _, c) in mixes[0] if d is None}) == 2  # some are taken, some aren't
+
+
+def test_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "OCCURRENCE_BITS", 3)
+    rows = stored(spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(500)], "row_no long, digest string").repartition(4))
+    got = sorted(tuple(r) for r in mixing.with_occurrence(rows, "digest", "row_no", "n").select("digest", "row_no", "n").collect())
+    seen, want = Counter(), []
+    for i in range(500):
+        want.append(("ab"[i % 3 == 0], i, seen[i % 3 == 0]))
+        seen[i % 3 == 0] += 1
+    assert got == sorted(want)
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count()
