@@ -164,12 +164,27 @@ def test_rows_of_one_id_are_vectors_of_their_own(spark):
 
 
 def test_topk_of_huge_components(spark):
-    """Products far beyond a long are ranked exactly; only the shown score ends there. Components that no column can hold keep a vector out."""
-    rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-(2.0**40), 0.0]), (4, [1.0, 1.0]), (5, [1e306, 0.0]), (6, [2.0**46, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r["vec_id"], r["score"]) for r in topk.search(df, IS_QUERY).orderBy("rank").collect()]
+    """Products far beyond a long are ranked exactly; only the shown score ends there. Nothing finite is kept out."""
     most = (1 << 63) - 1
-    assert got == [(1, most), (2, most), (4, 1024 * 1024 * (2**40 + 1)), (3, -most - 1)]
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-(2.0**40), 0.0]), (4, [1.0, 1.0]), (5, [1e306, 0.0]), (6, [2.0**46, 0.0]), (7, [-1e308, 0.0]), (100, [1.7e308, -1.0]), (200, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: topk.whole_numbers(np.array(v)) for i, v in rows}
+    got = by_query(topk.search(df, IS_QUERY))
+    assert set(got) == {0, 100, 200}
+    for q, found in got.items():
+        want = sorted((-sum(a * b for a, b in zip(exact[q], exact[i], strict=True)), i) for i in exact if i != q)
+        assert found == [(i, max(-most - 1, min(most, -s))) for s, i in want]
+
+
+def test_topk_of_one_wide_vector(spark):
+    df = spark.createDataFrame([(0, [2.0**46]), (1, [1 / 1024]), (2, [2 / 1024])], "vec_id long, embedding array<double>")
+    assert by_query(topk.search(df, IS_QUERY)) == {0: [(2, 2**57), (1, 2**56)]}
+    assert by_query(topk.search(df, "vec_id = 1")) == {1: [(0, 2**56), (2, 2)]}
+
+
+def test_keys_are_in_the_order_of_numbers():
+    numbers = sorted([0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63), 2**600, -(2**600), 10**40, -(10**40), 65535, 65536])
+    assert sorted(numbers, key=topk.sort_key) == numbers
 
 
 def test_ann_searches_everything_where_lists_hold_too_few(spark):

@@ -8,6 +8,9 @@ list holder that computes the partial scores of a block of queries.
 2. A total that reaches it has in some part a share of at least the part's lowest plus an equal share of what the bound is above the sum of
    the lowest. This cutoff goes to every holder, which gives all that reaches it.
 3. Vectors whose upper bound (cutoffs for parts not seen) reaches the k-th best lower bound are scored in full.
+
+Products of components beyond 2 ** 55 fit no column of numbers. Pairs with such a vector are few or none: they are scored apart, in blocks, with
+Python's whole numbers, and ranked beside the others by the bytes of their scores.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .vectors import blocks, candidates, matrix, named, usable
+from .vectors import as_bytes, blocks, candidates, matrix, named, usable
 
 PARTS = 2
 BLOCK, QUERY_BLOCK = 4096, 256
 SCALE = 1024
 _EXACT = float(1 << 53)
-#: Larger components (of floor(SCALE x)) have products that no column holds; sums of the products of 4096 smaller ones fit 37 digits.
+#: Larger components (of floor(SCALE x)) make a vector wide; sums of the products of 4096 smaller ones fit 37 digits.
 MOST = float(1 << 55)
 _WIDE = "decimal(38,0)"
 
@@ -41,6 +44,60 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return whole(q) @ whole(v).T
 
 
+def whole_numbers(v: np.ndarray) -> list[int]:
+    """floor(SCALE x) of finite doubles, exactly; from 2 ** 60 on all doubles are whole."""
+    return [SCALE * int(x) if abs(x) >= 1 << 60 else int(np.floor(SCALE * x)) for x in v.tolist()]
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes that are in the order of whole numbers: the sign, the length, the digits; a negative one's are those of its opposite, turned over."""
+    digits = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    body = len(digits).to_bytes(4, "big") + digits
+    return b"\x01" + body if score >= 0 else b"\x00" + bytes(255 - b for b in body)
+
+
+def _shown(score: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, score))
+
+
+def _wide_best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score, key): the k best of each block of vectors for each query of a block, by Python's whole numbers."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own, theirs = batch.column(0)[i].values.to_pylist(), batch.column(2)[i].values.to_pylist()
+            queries, vectors = ([whole_numbers(line) for line in matrix(batch.column(c)[i])] for c in (1, 3))
+            out = []
+            for query, q in zip(own, queries, strict=True):
+                scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), vec) for vec, v in zip(theirs, vectors, strict=True) if vec != query)[:k]
+                out += [(query, vec, _shown(-score), sort_key(-score)) for score, vec in scored]
+            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "score", "key"), row, strict=True)) for row in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.binary())]))
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [int(x) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_shown(x) for x in scores], pa.int64()), pa.array([sort_key(x) for x in scores], pa.binary())], names=["query_id", "vec_id", "score", "key"])
+
+
+_KEYED = "query_id long, vec_id long, score long, key binary"
+
+
+def _beside_wide(ranked: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): ranked rows of pairs without wide vectors, and all pairs with one; of rows (vec_id, v, wide)."""
+    found = ranked.select("query_id", "vec_id", "score").mapInArrow(_with_keys, _KEYED)
+    for asked, held in ((queries.where("wide"), vectors), (queries.where("not wide"), vectors.where("wide"))):
+        n = held.count()
+        if n and not asked.isEmpty():
+            groups = max(1, n // BLOCK)
+            dealt = as_bytes(held.select("vec_id", "v")).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
+            spread = as_bytes(asked.select("vec_id", "v")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+            q = blocks(spread, ["group"], QUERY_BLOCK).select("group", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+            pairs = q.join(blocks(dealt, ["group"], BLOCK), "group").select("q_ids", "q_vs", "ids", "vs")
+            found = found.unionByName(pairs.mapInArrow(lambda batches: _wide_best(batches, k), _KEYED))
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).drop("key")
+
+
 def _integers(vectors: DataFrame) -> DataFrame:
     """(vec_id, part, v binary): floor(SCALE x) of the components, a row for each part."""
 
@@ -110,19 +167,20 @@ def search(vectors: DataFrame, queries_where, *, k: int = 10, id_col: str = "vec
     """(query_id, rank, vec_id, score): the k highest integer inner products of floor(1024 x), exactly, ties to smaller ids.
 
     queries_where: the condition (on the id column) for a row to be a query; the query's own row is no candidate. Vectors that are null or hold
-    null, NaN or infinite components take no part, nor do rows without id, vectors of unusual length and those with a component of floor(1024 x) beyond
-    2 ** 55. Rows of one id are vectors of their own: each may be found and, as a query, has k ranks. Ranks are by the exact products; only the score
+    null, NaN or infinite components take no part, nor do rows without id and vectors of unusual length. Rows of one id are vectors of their own: each may be found and, as a query, has k ranks. Ranks are by the exact products; only the score
     column, a long, ends at its largest and smallest number. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    fits = F.forall(F.col(vector_col), lambda x: F.abs(F.floor(F.greatest(F.lit(-1e300), F.least(F.lit(1e300), x.cast("double"))) * SCALE)) <= MOST)
-    good = usable(vectors.where(fits), queries_where, id_col=id_col, vector_col=vector_col, zeros=True)
-    most, size = good.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
+    good = usable(vectors, queries_where, id_col=id_col, vector_col=vector_col, zeros=True)
+    rows = good.withColumn("wide", F.exists("v", lambda x: F.abs(x) > MOST / SCALE))
+    some_wide = not rows.where("wide").isEmpty()
+    plain = rows.where("not wide") if some_wide else good
+    most, size = plain.agg(F.max(F.array_max(F.transform("v", F.abs))), F.max(F.size("v"))).first()
     kind = "long" if (SCALE * (most or 0) + 1) ** 2 * (size or 1) < _EXACT else _WIDE
     schema = f"query_id long, part int, vec_id long, partial {kind}"
-    parts = stored(_integers(candidates(good, k)))
+    parts = stored(_integers(candidates(plain, k)))
     lists = stored(blocks(parts, ["part"], BLOCK))
-    query_parts = stored(_integers(good.where("asked")))
+    query_parts = stored(_integers(plain.where("asked")))
     groups = max(1, min(lists.count() // PARTS, 2 * spark.sparkContext.defaultParallelism))
 
     no_cutoff = query_parts.withColumn("cutoff", F.lit(None).cast(kind))
@@ -151,6 +209,8 @@ def search(vectors: DataFrame, queries_where, *, k: int = 10, id_col: str = "vec
     resolved = _exact(open_.where(F.col("n") < PARTS).select("query_id", "vec_id"), parts, query_parts, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = complete.unionByName(resolved).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    if some_wide:
+        return named(_beside_wide(ranked, rows.where("asked"), candidates(rows, k), k), good)
     ends = [F.lit(n).cast(kind) for n in (-(1 << 63), (1 << 63) - 1)]
     return named(ranked.withColumn("score", F.greatest(ends[0], F.least(ends[1], F.col("score"))).cast("long")), good)
 

@@ -70,7 +70,7 @@ def as_bytes(vectors: DataFrame) -> DataFrame:
 def blocks(rows: DataFrame, keys: list[str], size: int, *, ids: str = "vec_id") -> DataFrame:
     """Packs rows (keys, ids, v binary) of equal keys into rows (keys, block, ids array, vs array) of about size rows each."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    split = rows.join(counts, keys) if keys else rows.crossJoin(F.broadcast(counts))
+    split = rows.join(counts, keys)
     block = F.pmod(F.xxhash64(ids), F.ceil(F.col("n") / size)).cast("long")
     packed = split.withColumn("block", block).groupBy(*keys, "block").agg(F.collect_list(F.struct(F.col(ids).alias("id"), "v")).alias("rows"))
     return packed.select(*keys, "block", F.col("rows.id").alias("ids"), F.col("rows.v").alias("vs"))
