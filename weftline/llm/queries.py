@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, minhash, mixing, packing, tokenfile, topk, toxicity, warc
+from . import ann, clusters, langid, lattice, licenses, minhash, mixing, packing, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components with its cluster after three rounds."""
+    return clusters.with_inertia(clusters.cluster(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
+def op12_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the number of its links at a cosine of 0.95 and what they reach."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings")).drop("row_no").withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
@@ -66,13 +76,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_clusters": op11_clusters,
+    "op12_lattice": op12_lattice,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = "0123456789!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHA1 = "sha1(coalesce(html, ''))"
 
+_NEAREST = """a{n} AS MATERIALIZED (SELECT p.vec_id, arg_min(c.cluster, (d.square, c.cluster)) AS cluster, min(d.square) AS distance
+  FROM p, c{n} c, LATERAL (SELECT CAST(list_sum(list_transform(list_zip(p.z, c.z), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS square) d GROUP BY p.vec_id)"""
+_MEANS = """s{n} AS (SELECT a.cluster, i, sum(p.z[i]) AS s, count(*) AS m FROM a{n} a JOIN p ON p.vec_id = a.vec_id, range(1, 65) r(i) GROUP BY a.cluster, i),
+m{n} AS (SELECT cluster, list(CAST((s - ((s % m) + m) % m) / m AS BIGINT) ORDER BY i) AS z FROM (SELECT cluster, i, CAST(s AS HUGEINT) AS s, CAST(m AS HUGEINT) AS m FROM s{n}) GROUP BY cluster),
+c{after} AS MATERIALIZED (SELECT c.cluster, coalesce(m.z, c.z) AS z FROM c{n} c LEFT JOIN m{n} m ON m.cluster = c.cluster)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_clusters": f"""
+WITH p AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, z FROM p ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{", ".join(f"{_NEAREST.format(n=n)}, {_MEANS.format(n=n, after=n + 1)}" for n in range(3))}, {_NEAREST.format(n=3)}
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.z, ',')) AS centroid_sha256 FROM a3 a JOIN c3 c ON c.cluster = a.cluster""",
+    "op12_lattice": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.z) = len(b.z) AND list_inner_product(a.z, b.z) / (sqrt(list_inner_product(a.z, a.z)) * sqrt(list_inner_product(b.z, b.z))) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept,
+  CASE WHEN v.z IS NULL THEN e.vec_id ELSE min(e.vec_id) OVER (PARTITION BY v.z) END AS class_id
+FROM embeddings e LEFT JOIN v ON v.vec_id = e.vec_id JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id""",
     "op1_mixing": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
   -ln((CAST('0x' || substr(md5('17:' || doc_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) / coalesce(greatest(CAST(length(translate(text, '{_PLAIN}', '')) AS DOUBLE) / greatest(length(text), 1), 0.05), 0.05) AS key FROM documents),

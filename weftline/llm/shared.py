@@ -52,6 +52,21 @@ def sendable(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """Inner join of a stored table with a stored one that has one row for each key, in which no key becomes a task of its own.
+
+    Keys that stand in more than one of share rows of left are share at most, so what right has of them is sent to all tasks; the rest is shuffled.
+    """
+    rows = left.count()
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > max(1, rows // share))
+    heavy = stored(counts.select(*keys))
+    if heavy.isEmpty():
+        return left.join(right, keys)
+    heavy = F.broadcast(heavy)
+    few = F.broadcast(right.join(heavy, keys, "left_semi"))
+    return left.join(few, keys).unionByName(left.join(heavy, keys, "left_anti").join(right, keys))
+
+
 def row_id() -> Column:
     """A number for each row within one read, used to tell repeated rows apart; only a number that is stored may be joined on."""
     return F.monotonically_increasing_id()
