@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, clusters, langid, lattice, licenses, minhash, mixing, packing, tokenfile, topk, toxicity, warc
+from . import ann, clusters, dialogue, langid, lattice, licenses, minhash, mixing, packing, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op12_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings")).drop("row_no").withColumnRenamed("id", "vec_id")
 
 
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged in known places, with its faults and its repair."""
+    turns = table(spark, sf_dir, "conversations")
+    return dialogue.audited(turns, dialogue.repair(dialogue.damaged(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_clusters": op11_clusters,
     "op12_lattice": op12_lattice,
+    "op13_dialogue": op13_dialogue,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
