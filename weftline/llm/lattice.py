@@ -38,7 +38,7 @@ class Settings:
     scale: float = 0.5
     looks: int = 4
     missed: float = 1e-6
-    crowd: int = 256
+    crowd: int = 64
     chance: float = 4.4e-3
     signs: int = 128
     block: int = 512
