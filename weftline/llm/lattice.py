@@ -202,34 +202,63 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return small.unionByName(large).drop("n", "parts")
 
 
+def _with_looks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """(class, size, v, looks) of classes: the cells each looks into, in bytes."""
+    for batch in batches:
+        for at, v in _by_length(batch.column(2).to_pylist()):
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x.tobytes() for x in plan.looks(units(v))], pa.binary())], names=["class", "size", "v", "looks"])
+
+
 def _grouped(dealt: DataFrame, *carried: str) -> DataFrame:
     columns = ["class", "home", "own", *carried]
     packed = dealt.groupBy("cell", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     return packed.select("cell", "i", "j", *[F.col(f"rows.{c}").alias(c) for c in columns])
 
 
-def _asked(i: int, j: int, home: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Which pairs (rows x rows, the first before the second) a group is asked about: those of its two blocks of which one is at home."""
-    pairs = np.triu(home[:, None] | home[None, :], 1)
-    return pairs if i == j else pairs & (own[:, None] != own[None, :])
+#: So many pairs are looked at together.
+PAIRS = 1 << 20
+
+
+def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups of these sizes that follow one another, about PAIRS at once; the rows of a pair in their order."""
+    ends = np.cumsum(sizes)
+    later = np.repeat(ends, sizes) - 1 - np.arange(ends[-1] if len(ends) else 0)  # rows of the group that come after each
+    upto = np.cumsum(later)
+    first = 0
+    while first < len(later):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
+        a = np.repeat(np.arange(first, last), later[first:last])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[first:last]) - later[first:last], later[first:last])
+        first = last
+
+
+def _flat(batch: pa.RecordBatch, column: int) -> pa.Array:
+    return batch.column(column).flatten()
+
+
+def _asked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of all groups of a batch: group, class, home, and the block where the group is two blocks, else a number of its own."""
+    sizes = np.diff(np.asarray(batch.column(3).offsets))
+    group = np.repeat(np.arange(batch.num_rows), sizes)
+    two = (batch.column(1).to_numpy() != batch.column(2).to_numpy())[group]
+    own = np.where(two, _flat(batch, 5).to_numpy(), -1 - np.arange(len(group)))
+    return group, _flat(batch, 3).to_numpy(), _flat(batch, 4).to_numpy(zero_copy_only=False), own
 
 
 def _likely(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
-    """(cell, class, home) of what has another in its cell with few enough different signs."""
-    bits = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+    """(cell, class, home) of what has another in its cell with few enough different signs. Of the pairs of a cell one row is at home; of a group of two blocks they are of both."""
     for batch in batches:
-        out = ([], [], [])
-        for r in range(batch.num_rows):
-            cell, i, j = (batch.column(c)[r].as_py() for c in range(3))
-            classes, home, own = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5))
-            sketch = np.frombuffer(b"".join(batch.column(6)[r].values.to_pylist()), np.uint8).reshape(len(classes), -1)
-            different = sum((bits[column[:, None] ^ column[None, :]] for column in sketch.T), np.zeros((len(classes), len(classes)), np.uint16))
-            near = _asked(i, j, home, own) & (different <= apart)
-            stay = near.any(0) | near.any(1)
-            out[0].append(np.full(int(stay.sum()), cell))
-            out[1].append(classes[stay])
-            out[2].append(home[stay])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["cell", "class", "home"])
+        group, classes, home, own = _asked(batch)
+        words = np.frombuffer(b"".join(_flat(batch, 6).to_pylist()), np.uint64).reshape(len(classes), -1)
+        stay = np.zeros(len(classes), bool)
+        for a, b in _pairs(np.bincount(group, minlength=batch.num_rows)):
+            open_ = np.flatnonzero((home[a] | home[b]) & (own[a] != own[b]))
+            a, b = a[open_], b[open_]
+            near = sum((np.bitwise_count(w[a] ^ w[b]) for w in words.T), np.zeros(len(a), np.uint16)) <= apart
+            stay[a[near]] = stay[b[near]] = True
+        at = pa.array(np.flatnonzero(stay))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(group[stay])), pa.array(classes).take(at), pa.array(home).take(at)], names=["cell", "class", "home"])
 
 
 def _before(looks_a: np.ndarray, looks_b: np.ndarray, cell: int) -> np.ndarray:
@@ -247,28 +276,30 @@ def _before(looks_a: np.ndarray, looks_b: np.ndarray, cell: int) -> np.ndarray:
 def _linked(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """(class, linked, root): how many rows each class of a group is linked with here, and the smallest class that links in the group reach from it."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            cell, i, j = (batch.column(c)[r].as_py() for c in range(3))
-            classes, home, own, sizes = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5, 6))
-            vs = batch.column(7)[r].values.to_pylist()
-            asked = _asked(i, j, home, own)
-            counts, root = np.zeros(len(classes), np.int64), np.arange(len(classes))
-            for at, v in _by_length(vs):
-                unit = units(v)
-                a, b = np.nonzero(asked[np.ix_(at, at)] & (_cosines(v) >= plan.settings.cosine))
-                met = np.unique(np.concatenate([a, b]))
-                looks = dict(zip(met.tolist(), plan.looks(unit[met]), strict=True)) if len(met) else {}
-                for lo in range(0, len(a), 1 << 12):
-                    x, y = a[lo : lo + (1 << 12)], b[lo : lo + (1 << 12)]
-                    new = ~_before(np.array([looks[k] for k in x.tolist()]), np.array([looks[k] for k in y.tolist()]), cell)
-                    x, y = at[x[new]], at[y[new]]
-                    np.add.at(counts, x, sizes[y])
-                    np.add.at(counts, y, sizes[x])
-                    root = _joined(root, x, y)
-            found = np.flatnonzero(counts)
-            least = np.full(len(classes), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, classes)
-            yield pa.RecordBatch.from_arrays([pa.array(classes[found]), pa.array(counts[found]), pa.array(least[root[found]])], names=["class", "linked", "root"])
+        group, classes, home, own = _asked(batch)
+        sizes, vs, cells_ = _flat(batch, 6).to_numpy(), _flat(batch, 7).to_pylist(), batch.column(0).to_numpy()
+        looks = np.frombuffer(b"".join(_flat(batch, 8).to_pylist()), np.int64).reshape(len(classes), plan.tables, plan.settings.looks)
+        ends = np.searchsorted(group, np.arange(batch.num_rows + 1))
+        for g, (lo, hi) in enumerate(itertools.pairwise(ends)):
+            yield _linked_in_group(classes[lo:hi], home[lo:hi], own[lo:hi], sizes[lo:hi], vs[lo:hi], looks[lo:hi], int(cells_[g]), plan.settings.cosine)
+
+
+def _linked_in_group(classes: np.ndarray, home: np.ndarray, own: np.ndarray, sizes: np.ndarray, vs: list[bytes], looks: np.ndarray, cell: int, cosine: float) -> pa.RecordBatch:
+    asked = np.triu((home[:, None] | home[None, :]) & (own[:, None] != own[None, :]), 1)
+    counts, root = np.zeros(len(classes), np.int64), np.arange(len(classes))
+    for at, v in _by_length(vs):
+        a, b = np.nonzero(asked[np.ix_(at, at)] & (_cosines(v) >= cosine))
+        for lo in range(0, len(a), 1 << 14):
+            x, y = at[a[lo : lo + (1 << 14)]], at[b[lo : lo + (1 << 14)]]
+            new = ~_before(looks[x], looks[y], cell)
+            x, y = x[new], y[new]
+            np.add.at(counts, x, sizes[y])
+            np.add.at(counts, y, sizes[x])
+            root = _joined(root, x, y)
+    found = np.flatnonzero(counts)
+    least = np.full(len(classes), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, classes)
+    return pa.RecordBatch.from_arrays([pa.array(classes[found]), pa.array(counts[found]), pa.array(least[root[found]])], names=["class", "linked", "root"])
 
 
 def _cosines(v: np.ndarray) -> np.ndarray:
@@ -309,8 +340,10 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), *, id_c
     looked = stored(classes.select("class", "v").mapInArrow(lambda b: _looked(b, plan), "cell long, class long, home boolean, sketch binary"), f"{folder}/looked")
     likely = _grouped(_dealt(looked, settings.block), "sketch").mapInArrow(lambda b: _likely(b, plan.apart), "cell long, class long, home boolean")
     likely = stored(likely.distinct(), f"{folder}/likely")
-    held = stored(join_spread(likely, classes.select("class", "size", "v"), ["class"]), f"{folder}/held")
-    found = stored(_grouped(_dealt(held, settings.block), "size", "v").mapInArrow(lambda b: _linked(b, plan), "class long, linked long, root long"), f"{folder}/linked")
+    few = classes.join(likely.select("class").distinct(), "class", "left_semi").select("class", "size", "v")
+    few = stored(few.mapInArrow(lambda b: _with_looks(b, plan), "class long, size long, v binary, looks binary"), f"{folder}/few")
+    held = stored(join_spread(likely, few, ["class"]), f"{folder}/held")
+    found = stored(_grouped(_dealt(held, settings.block), "size", "v", "looks").mapInArrow(lambda b: _linked(b, plan), "class long, linked long, root long"), f"{folder}/linked")
     roots = components(found.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")).distinct(), folder)
     links = found.groupBy("class").agg(F.sum("linked").alias("linked"))
     told = classes.select("class", "size", "class_id", "name").join(links, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
