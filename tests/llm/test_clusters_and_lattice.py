@@ -144,7 +144,7 @@ def test_e8_points_are_nearest():
 
 def test_cells_don_t_depend_on_the_batch():
     rng = np.random.default_rng(5)
-    plan = lattice.Plan.of(10_000_000, lattice.Settings())
+    plan = lattice.Plan.of(1_000_000, lattice.Settings())
     assert plan.blocks == 2
     unit = lattice.units(rng.normal(size=(300, 48)))
     whole = plan.looks(unit)
