@@ -65,6 +65,16 @@ def with_suffix(path: Column, n: Column) -> Column:
     return F.when(n > 1, marked).otherwise(path)
 
 
+def without_suffix(path: Column) -> tuple[Column, Column]:
+    """The path of which this one is a numbered name, and the number (2 or more); nulls if it is of none."""
+    dotted = F.rlike(path, F.lit(r"^.+\.[^.]*$"))
+    front = F.when(dotted, F.regexp_extract(path, r"^(.+)\.[^.]*$", 1)).otherwise(path)
+    ending = F.when(dotted, F.regexp_extract(path, r"(\.[^.]*)$", 1)).otherwise("")
+    number = F.regexp_extract(front, "^.+-([1-9][0-9]{0,17})$", 1)
+    counts = (number != "") & (number != "1")
+    return F.when(counts, F.concat(F.regexp_extract(front, "^(.+)-[0-9]+$", 1), ending)), F.when(counts, number).cast("long")
+
+
 def archive_name(path: Column) -> Column:
     """Slashes forward, none in front, percent-decoded if it can be."""
     plain = F.regexp_replace(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "^/+", "")

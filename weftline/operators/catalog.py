@@ -2,64 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media, paths, urls
+from ..sources.tables import materialized
+from . import names
 
 
-def catalog(resources: DataFrame) -> DataFrame:
-    """Judges resources (position, url, mime_type, content_hash, size, route_page, route_id) in the order of position.
+def judge(resources: DataFrame) -> DataFrame:
+    """Resources (position, url, mime_type, content_hash, size, route_page, route_id) in the order of position, with outcome and dedup_key.
 
-    outcome: repeated (a URL, or of route pages a route, that was there before), source-map, duplicate (an equal body under its key), kept.
-    Kept ones have local_path: the first free of its path, -2, -3 and so on, as they come.
+    outcome: repeated (a URL, or of route pages a route, that was there before), source-map, duplicate (an equal body under its key), kept. Each rule is one window
+    over all rows; rows that a rule doesn't ask about have a key of their own.
     """
-    r = resources.withColumn("url", urls.normalized(F.col("url"))).withColumn("identity", F.when(F.col("route_page"), F.concat(F.lit("route:"), F.coalesce("route_id", F.concat(F.lit("#"), F.col("position").cast("string"))))).otherwise(F.concat(F.lit("url:"), F.col("url"))))
+    alone = F.concat(F.lit("#"), F.col("position").cast("string"))
+    r = resources.withColumn("url", urls.normalized(F.col("url")))
+    r = r.withColumn("identity", F.when(F.col("route_page"), F.concat(F.lit("route:"), F.coalesce("route_id", alone))).otherwise(F.concat(F.lit("url:"), F.col("url"))))
     # a route page doesn't look its URL up, but it is found there by what comes after
     r = r.withColumn("by_identity", F.row_number().over(Window.partitionBy("identity").orderBy("position")))
     page_before = F.coalesce(F.max(F.col("route_page")).over(Window.partitionBy("url").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     r = r.withColumn("repeated", (F.col("by_identity") > 1) | (~F.col("route_page") & page_before))
     r = r.withColumn("is_map", ~F.col("repeated") & media.is_source_map(F.col("url"), F.col("mime_type")))
     r = r.withColumn("dedup_key", F.when(F.col("repeated") | F.col("is_map"), "").otherwise(paths.dedup_key(F.col("content_hash"), F.col("mime_type"), F.col("url"), F.col("route_page"))))
-    keyed, free = r.where("dedup_key <> ''"), r.where("dedup_key = ''").withColumn("duplicate", F.lit(False))
-    keyed = keyed.withColumn("duplicate", F.row_number().over(Window.partitionBy("dedup_key").orderBy("position")) > 1)
-    r = keyed.unionByName(free)
-    outcome = F.when(F.col("repeated"), "repeated").when(F.col("is_map"), "source-map").when(F.col("duplicate"), "duplicate").otherwise("kept")
-    r = r.withColumn("outcome", outcome).withColumn("base_path", F.when(F.col("outcome") == "kept", paths.archive_path(F.col("url"), F.col("mime_type"))))
-    kept, rest = r.where("outcome = 'kept'"), r.where("outcome <> 'kept'").withColumn("local_path", F.lit(None).cast("string"))
-    return _named(kept).unionByName(rest).select("position", "url", "mime_type", "content_hash", "size", "route_page", "route_id", "outcome", "dedup_key", "local_path")
-
-
-def _named(kept: DataFrame) -> DataFrame:
-    """local_path of kept resources. Names can only meet within a family, paths that differ in numbers before their ending; where a family has one path,
-    its takers are ranked. Families of several are walked in order, sorted, with the names of one family in memory."""
-    kept = kept.withColumn("family", F.regexp_replace("base_path", r"(?:-[0-9]+)+(\.[^.]*)?$", "$1"))
-    several = kept.groupBy("family").agg(F.count_distinct("base_path").alias("n")).where("n > 1").select("family")
-    taker = F.row_number().over(Window.partitionBy("base_path").orderBy("position"))
-    ranked = kept.join(several, "family", "left_anti").withColumn("local_path", paths.with_suffix(F.col("base_path"), taker))
-    rows = kept.join(several, "family", "left_semi").repartition("family").sortWithinPartitions("family", "position", "url")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, used, following = None, set(), {}
-        for batch in batches:
-            names = []
-            for own, base in zip(batch.column("family").to_pylist(), batch.column("base_path").to_pylist(), strict=True):
-                if own != family:
-                    family, used, following = own, set(), {}
-                front, dot, ending = base.rpartition(".")
-                name, n = base, following.get(base, 2)
-                while name in used:
-                    name, n = f"{front}-{n}{dot}{ending}" if front else f"{base}-{n}", n + 1
-                used.add(name)
-                following[base] = n
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "local_path"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ranked.unionByName(rows.mapInArrow(walk, f"{kinds}, local_path string")).drop("family")
+    keyed = F.col("dedup_key") != ""
+    first = F.row_number().over(Window.partitionBy(F.when(keyed, F.col("dedup_key")).otherwise(alone)).orderBy("position")) == 1
+    outcome = F.when(F.col("repeated"), "repeated").when(F.col("is_map"), "source-map").when(keyed & ~first, "duplicate").otherwise("kept")
+    return r.withColumn("outcome", outcome).select("position", "url", "mime_type", "content_hash", "size", "route_page", "route_id", "outcome", "dedup_key")
+
+
+def catalog(resources: DataFrame) -> DataFrame:
+    """Judged resources, kept ones with local_path: the first free of its path, -2, -3 and so on, as they come."""
+    judged = materialized(judge(resources))
+    kept = judged.where("outcome = 'kept'").withColumn("base_path", paths.archive_path(F.col("url"), F.col("mime_type")))
+    rest = judged.where("outcome <> 'kept'").withColumn("local_path", F.lit(None).cast("string"))
+    return names.named(kept).drop("base_path").unionByName(rest)
 
 
 def catalog_stats(judged: DataFrame) -> DataFrame:
@@ -73,9 +50,10 @@ def catalog_stats(judged: DataFrame) -> DataFrame:
 
 
 def aliases(judged: DataFrame) -> DataFrame:
-    """URLs of duplicates beside the kept resource that answers for them."""
-    kept = judged.where("outcome = 'kept' and dedup_key <> ''").select("dedup_key", "local_path", F.col("url").alias("kept_url"))
-    return judged.where("outcome = 'duplicate'").select("url", "dedup_key").join(kept, "dedup_key").select("url", "kept_url", "local_path")
+    """URLs of duplicates beside the kept resource that answers for them, and its local_path where resources were named; judged is a stored table."""
+    told = [c for c in ("local_path",) if c in judged.columns]
+    kept = judged.where("outcome = 'kept' and dedup_key <> ''").select("dedup_key", F.col("url").alias("kept_url"), *told)
+    return judged.where("outcome = 'duplicate'").select("url", "dedup_key").join(kept, "dedup_key").select("url", "kept_url", *told)
 
 
 def large_media(judged: DataFrame, threshold: int = media.LARGE_MEDIA_BYTES) -> DataFrame:
@@ -131,8 +109,8 @@ def optimization_summary(judged: DataFrame, excluded: DataFrame, snapshots: Data
     """One row of what the archive saves: bytes of resources and of snapshots (size, written), aliases, and bytes of distinct exclusions."""
     apis = snapshots.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("api_logical_bytes"), F.coalesce(F.sum(F.when(F.col("written"), F.col("size"))), F.lit(0)).alias("api_physical_bytes"), F.count_if(~F.col("written")).alias("duplicate_api_bodies"))
     left = exclusions(excluded).agg(F.count(F.lit(1)).alias("exclusions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("excluded_bytes_reported"))
-    stats = catalog_stats(judged).drop("excluded_bytes")
-    total = stats.join(judged.agg(F.count_if(F.col("outcome") == "duplicate").alias("alias_count"))).join(apis).join(left)  # one row each
+    stats = catalog_stats(judged).drop("excluded_bytes").withColumn("alias_count", F.col("duplicate_bodies"))  # each duplicate is an alias of what is kept
+    total = stats.join(apis).join(left)  # one row each
     logical, physical = F.col("logical_bytes") + F.col("api_logical_bytes"), F.col("physical_bytes") + F.col("api_physical_bytes")
     return total.select(logical.alias("logical_bytes"), physical.alias("physical_bytes"), F.greatest(F.lit(0), logical - physical).alias("bytes_saved"), "deduplicated_bytes", "duplicate_bodies", "alias_count", "duplicate_api_bodies", "exclusions", "excluded_bytes_reported")
 

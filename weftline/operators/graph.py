@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import media, paths
 from ..sources.tables import materialized
+from . import ranks
 
 REPLAYED_WITHOUT_BODY = (204, 205, 301, 302, 303, 307, 308)
 BODY_STATES = ("pending", "stored", "unavailable", "not-captured", "not-applicable")
@@ -113,32 +115,93 @@ def closure(links: DataFrame, resources: DataFrame) -> DataFrame:
     return asked.join(ends, "url", "left")
 
 
-def violations(families: dict[str, DataFrame], provenances: tuple[str, ...]) -> DataFrame:
-    """Broken rules of a graph: (rule, family, id, detail).
-
-    Ids are there and unique over all families, provenances are known, references lead to records (a null one is no reference), hashes
-    have their form, sizes aren't negative, bodies are stored or inline, states are known, and skipped routes have a reason.
-    """
-    ids = functools.reduce(DataFrame.unionByName, [df.select("id", F.lit(name).alias("family")) for name, df in families.items()])
-    repeated = ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family")).where("n > 1")
-    found = [repeated.select(F.lit("duplicate-id").alias("rule"), "family", "id", F.col("n").cast("string").alias("detail"))]
-    for name, df in families.items():  # all rules on single rows in one pass
-        broken = F.array(*[F.when(holds, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, holds, detail in _row_rules(name, df, provenances)])
-        rows = df.select(F.col("id").cast("string").alias("id"), F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("fault"))
-        found.append(rows.select("fault.rule", F.lit(name).alias("family"), "id", "fault.detail"))
-    for name, column, target in REFERENCES:
-        if name in families and target in families and column in families[name].columns:
-            goal = families[target].select(F.col("id").alias("goal")).where("goal is not null").distinct()
-            lost = families[name].where(F.col(column).isNotNull()).join(goal, F.col(column) == F.col("goal"), "left_anti")
-            found.append(lost.select(F.lit(f"dangling-{column.replace('_', '-')}").alias("rule"), F.lit(name).alias("family"), F.col("id").cast("string").alias("id"), F.col(column).cast("string").alias("detail")))
-    return functools.reduce(DataFrame.unionByName, found)
-
-
-#: Which column of which family leads to which family.
+#: Which column of which family leads to which family (any: to a record of whatever family). Columns of lists lead there with each entry; a dot goes into structs.
 REFERENCES = (
-    ("requests", "target_id", "targets"), ("responses", "request_id", "requests"), ("responses", "body_id", "bodies"), ("documents", "response_id", "responses"), ("documents", "body_id", "bodies"), ("routes", "document_id", "documents"),
-    ("api_exchanges", "request_id", "requests"), ("api_exchanges", "response_id", "responses"),
+    ("targets", "parent_target_id", "targets"), ("requests", "target_id", "targets"), ("requests", "source_target_id", "targets"), ("requests", "redirect_predecessor_request_id", "requests"),
+    ("requests", "redirect_successor_request_id", "requests"), ("responses", "request_id", "requests"), ("responses", "target_id", "targets"), ("responses", "source_target_id", "targets"),
+    ("responses", "body_id", "bodies"), ("responses", "redirect_successor_request_id", "requests"), ("bodies", "response_ids", "responses"), ("bodies", "acquisitions.mission_id", "missions"),
+    ("bodies", "acquisitions.response_id", "responses"), ("bodies", "acquisitions.evidence_refs", "any"), ("api_exchanges", "request_id", "requests"), ("api_exchanges", "response_id", "responses"),
+    ("documents", "target_id", "targets"), ("documents", "response_id", "responses"), ("documents", "body_id", "bodies"), ("documents", "route_id", "routes"),
+    ("routes", "discovered_from_route_id", "routes"), ("routes", "target_id", "targets"), ("routes", "document_id", "documents"), ("routes", "alias_route_ids", "routes"),
+    ("dependency_edges", "owner_evidence_id", "any"), ("dependency_edges", "target_evidence_id", "any"), ("derived_artifacts", "body_id", "bodies"), ("derived_artifacts", "input_evidence_ids", "any"),
 )
+#: What every family has beside these, and the versions a reader knows.
+COMMON_REFERENCES = (("mission_id", "missions"), ("evidence_refs", "any"))
+SCHEMA_VERSION, SNAPSHOT_VERSION = 1, 1
+
+
+def violations(families: dict[str, DataFrame], provenances: tuple[str, ...], *, graph_col: str | None = None) -> DataFrame:
+    """Broken rules of graphs: (rule, family, id, detail), and the graph where graph_col names the column of each family that tells the graphs apart.
+
+    Ids are there and unique over all families of a graph, provenances are known (also of a body's acquisitions), references lead to records of their family, evidence to any
+    record, hashes have their form, sizes aren't negative, bodies are stored or inline, states, transitions and snapshot versions are known, and skipped routes have a
+    reason. No reference is one that is null or empty; an empty entry in a list of evidence is a lost one. Columns that a family doesn't have aren't asked about.
+
+    Each family is read once, for its ids, references and faults as rows of one stored table. Of an id that many records lead to, one row is held against the ids that are
+    there; what is lost is joined back to its records, frequent ids by sending them to all tasks.
+    """
+    found = [_facts(name, df, provenances, graph_col) for name, df in families.items()]
+    facts = materialized(functools.reduce(DataFrame.unionByName, found))
+    there = facts.where("kind = 'id'").groupBy("graph", "ref").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"), F.collect_set("family").alias("families"))
+    repeated = there.where("n > 1").select("graph", F.lit("duplicate-id").alias("rule"), "family", F.col("ref").alias("id"), F.col("n").cast("string").alias("detail"))
+    wanted = facts.where("kind = 'reference'").groupBy("graph", "ref", "wants").agg(F.count(F.lit(1)).alias("asked"))
+    held = wanted.join(there.select("graph", "ref", "families"), ["graph", "ref"], "left")
+    lost = materialized(held.where(F.col("families").isNull() | ((F.col("wants") != "any") & ~F.array_contains("families", F.col("wants")))).select("graph", "ref", "wants", "asked"))
+    dangling = ranks.joined(facts.where("kind = 'reference'"), lost, ["graph", "ref", "wants"], "asked").select("graph", "rule", "family", "id", F.col("ref").alias("detail"))
+    faults = facts.where("kind = 'fault'").select("graph", "rule", "family", "id", "detail")
+    every = repeated.unionByName(dangling).unionByName(faults)
+    return every.withColumnRenamed("graph", graph_col) if graph_col else every.drop("graph")
+
+
+def header_violations(graphs: DataFrame, schema_name: str) -> DataFrame:
+    """Graphs (graph, schema_name, schema_version, minimum_reader_version) that a reader of a schema can't take: (graph, rule, detail). Of another schema nothing else is told."""
+    name, version, least = F.col("schema_name"), F.col("schema_version"), F.col("minimum_reader_version")
+    ours = F.coalesce(name == schema_name, F.lit(False))
+    rules = [("schema-name", ~ours, name), ("schema-version", ours & ~F.coalesce(version == SCHEMA_VERSION, F.lit(False)), version), ("minimum-reader-version", ours & ~F.coalesce(least <= SCHEMA_VERSION, F.lit(False)), least)]
+    broken = F.array(*[F.when(holds, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, holds, detail in rules])
+    return graphs.select("graph", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("fault")).select("graph", "fault.*")
+
+
+def _facts(family: str, rows: DataFrame, provenances: tuple[str, ...], graph_col: str | None) -> DataFrame:
+    """(graph, family, id, kind, rule, ref, wants, detail): the ids, references and faults of a family's rows, in one pass."""
+    none = F.lit(None).cast("string")
+    fact = lambda kind, rule, ref, wants, detail: F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), ref.cast("string").alias("ref"), F.lit(wants).alias("wants"), detail.cast("string").alias("detail"))
+    reference = lambda rule, target, x: fact("reference", rule, F.coalesce(x, F.lit("")), target, none)
+    lists = [F.array(F.when(F.coalesce(F.col("id"), F.lit("")) != "", fact("id", "", F.col("id"), "", none)))]
+    faults = [F.when(holds, fact("fault", rule, none, "", detail)) for rule, holds, detail in _row_rules(family, rows, provenances)]
+    lists.append(F.array(*faults))
+    mentioned = [*COMMON_REFERENCES[family == "missions" :], *((column, target) for owner, column, target in REFERENCES if owner == family)]
+    for column, target in mentioned:
+        if (refs := _references(rows, column)) is None:
+            continue
+        rule = f"dangling-{column.replace('_', '-').replace('.', '-')}"
+        told, is_list = refs
+        there = (lambda x: F.lit(True)) if is_list and target == "any" else (lambda x: F.coalesce(x, F.lit("")) != "")
+        lists.append(F.transform(F.filter(told, there), functools.partial(reference, rule, target)))
+    if family == "bodies" and "acquisitions" in rows.columns:
+        unknown = F.filter(F.coalesce("acquisitions", F.array()), lambda a: ~F.coalesce(a["provenance"], F.lit("")).isin(*provenances))
+        lists.append(F.transform(unknown, lambda a: fact("fault", "acquisition-provenance", none, "", a["provenance"])))
+    every = F.filter(F.concat(*lists), lambda x: x.isNotNull())
+    graph = F.col(graph_col).cast("string") if graph_col else F.lit("")
+    return rows.select(F.coalesce(graph, F.lit("")).alias("graph"), F.lit(family).alias("family"), F.col("id").cast("string").alias("id"), F.explode(every).alias("fact")).select("graph", "family", "id", "fact.*")
+
+
+def _references(rows: DataFrame, column: str) -> tuple[Column, bool] | None:
+    """The ids in a column as a list, and whether it holds lists; none if the rows have no such column."""
+    name, _, inner = column.partition(".")
+    if name not in rows.columns:
+        return None
+    kind = rows.schema[name].dataType
+    if inner:
+        field = next((f for f in kind.elementType.fields if f.name == inner), None)
+        if field is None:
+            return None
+        ids = F.transform(F.coalesce(name, F.array()), lambda a: a[inner])
+        listed = isinstance(field.dataType, T.ArrayType)
+        return (F.flatten(F.transform(ids, lambda x: F.coalesce(x, F.array()))) if listed else ids), listed
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(name, F.array().cast(kind)), True
+    return F.array(F.col(name).cast("string")), False
 
 
 def _row_rules(family: str, rows: DataFrame, provenances: tuple[str, ...]) -> list[tuple[str, Column, Column]]:
@@ -152,6 +215,13 @@ def _row_rules(family: str, rows: DataFrame, provenances: tuple[str, ...]) -> li
         rules.append(("negative-size", F.coalesce("size", F.lit(-1)) < 0, F.col("size")))
         if "storage_key" in rows.columns and "body" in rows.columns:
             rules.append(("body-without-bytes", F.col("storage_key").isNull() & F.col("body").isNull(), none))
+    form = lambda name: ~F.rlike(name, F.lit("^sha256:[0-9a-f]{64}$"))
+    if family == "requests" and "request_body_hash" in rows.columns:
+        rules.append(("request-body-hash-form", (text("request_body_hash") != "") & form("request_body_hash"), F.col("request_body_hash")))
+    if family == "responses" and "content_hash" in rows.columns:
+        rules.append(("content-hash-form", (text("content_hash") != "") & form("content_hash"), F.col("content_hash")))
+    if family == "documents" and "snapshot_version" in rows.columns:
+        rules.append(("snapshot-version", F.coalesce(F.col("snapshot_version") != SNAPSHOT_VERSION, F.lit(False)), F.col("snapshot_version")))
     if family == "responses":
         rules.append(("body-state", ~text("body_state").isin(*BODY_STATES), F.col("body_state")))
     if family == "routes":
@@ -159,7 +229,3 @@ def _row_rules(family: str, rows: DataFrame, provenances: tuple[str, ...]) -> li
         rules.append(("route-state", ~text("state").isin(*ROUTE_STATES), F.col("state")))
         rules.append(("skipped-without-reason", (F.col("state") == "skipped") & (text("decision_reason") == ""), none))
     return rules
-
-
-def empty_graph(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "id string, provenance string")

@@ -13,10 +13,10 @@ ACTIVE_STATES = ("starting", "capturing", "finalizing", "building")
 
 
 def body_chunks(bodies: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """(storage_key, index, bytes) of bodies (storage_key, body binary); an empty body has no chunk."""
+    """(storage_key, index, bytes) of bodies (storage_key, body binary); an empty body has no chunk. Numbers are exploded first, so no row holds all chunks of a body."""
     n = F.ceil(F.octet_length("body") / chunk).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("body"), i * chunk + 1, F.lit(chunk)))
-    return bodies.where(F.octet_length("body") > 0).select("storage_key", F.posexplode(cut).alias("index", "bytes"))
+    numbers = bodies.where(F.octet_length("body") > 0).select("storage_key", "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("index"))
+    return numbers.select("storage_key", "index", F.substring(F.col("body"), F.col("index") * chunk + 1, F.lit(chunk)).alias("bytes"))
 
 
 def committed(writes: DataFrame) -> DataFrame:

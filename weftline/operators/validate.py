@@ -15,27 +15,32 @@ DIAGNOSTIC = ("category", "code", "severity", "path", "url", "message")
 def _diagnostics(rows: DataFrame, category: str, code: Column | str, severity: Column | str, *, path: Column | None = None, url: Column | None = None, message: Column | str = "") -> DataFrame:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     none = F.lit(None).cast("string")
-    return rows.select(F.lit(category).alias("category"), text(code).alias("code"), text(severity).alias("severity"), (none if path is None else path).alias("path"), (none if url is None else url).alias("url"), text(message).alias("message"))
+    return rows.select(*_of(rows), F.lit(category).alias("category"), text(code).alias("code"), text(severity).alias("severity"), (none if path is None else path).alias("path"), (none if url is None else url).alias("url"), text(message).alias("message"))
+
+
+def _of(rows: DataFrame) -> list[str]:
+    """The archive of each row, where rows of several are told apart by a column archive."""
+    return ["archive"] if "archive" in rows.columns else []
 
 
 def missing_files(required: DataFrame, files: DataFrame) -> DataFrame:
-    """Required paths (path, critical) that no file has."""
+    """Required paths ([archive,] path, critical) that no file ([archive,] path) of the archive has."""
     wanted = required.withColumn("path", paths.archive_name(F.col("path")))
-    there = files.select(paths.archive_name(F.col("path")).alias("path")).distinct()
-    lost = wanted.join(there, "path", "left_anti")
+    there = files.select(*_of(required), paths.archive_name(F.col("path")).alias("path")).distinct()
+    lost = wanted.join(there, [*_of(required), "path"], "left_anti")
     return _diagnostics(lost, "rewrite-failure", "required-file-missing", F.when(F.col("critical"), "error").otherwise("warning"), path=F.col("path"), message=F.concat(F.lit("Required archive file is missing: "), F.col("path")))
 
 
 def scan_html(files: DataFrame) -> DataFrame:
-    """Stale integrity attributes, scripts from other hosts, and scripts that a page (path, text) loads again."""
+    """Stale integrity attributes, scripts from other hosts, and scripts that a page ([archive,] path, text) loads again."""
     html = files.where(F.rlike(F.lower("path"), F.lit(r"\.html?$")) & F.col("text").isNotNull())
     stale = html.where(F.rlike("text", F.lit(r"""(?i)\bintegrity\s*=\s*["'][^"']+["']""")))
     opens = F.regexp_extract_all("text", F.lit(r"(?i)<script\b([^>]*)>"), 1)
-    tags = html.select("path", F.posexplode(opens).alias("n", "tag"))
+    tags = html.select(*_of(files), "path", F.posexplode(opens).alias("n", "tag"))
     source = F.trim(F.regexp_extract("tag", r"""(?i)\bsrc\s*=\s*["']([^"']+)["']""", 1))
     scripts = tags.withColumn("src", source).where("src <> ''")
     outside = scripts.where(F.rlike("src", F.lit("(?i)^(https?:)?//")))
-    again = scripts.withColumn("r", F.row_number().over(Window.partitionBy("path", F.regexp_replace("src", "#.*$", "")).orderBy("n"))).where("r > 1")
+    again = scripts.withColumn("r", F.row_number().over(Window.partitionBy(*_of(files), "path", F.regexp_replace("src", "#.*$", "")).orderBy("n"))).where("r > 1")
     return (
         _diagnostics(stale, "rewrite-failure", "stale-subresource-integrity", "warning", path=F.col("path"), message="The page still has a stale integrity attribute.")
         .unionByName(_diagnostics(outside, "rewrite-failure", "external-executable-reference", "warning", path=F.col("path"), url=F.col("src"), message="The page still loads a script from another host."))
@@ -84,12 +89,22 @@ def plan_routes(routes: DataFrame, max_routes: int = 40) -> DataFrame:
     return routes.withColumn("place", rank).select("archive", "place", name.alias("route_id"), "url", paths.archive_name(F.col("local_path")).alias("local_path"), F.coalesce("expected_marker", name).alias("expected_marker"), (F.col("place") > max_routes).alias("over_budget"))
 
 
-def finalize(diagnostics: DataFrame, *, cancelled: bool = False) -> DataFrame:
-    """One row: status cancelled, failed (an error), partial (anything but info) or ready; issue, info and category counts."""
-    by_category = diagnostics.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") != "info").alias("issues"))
-    total = by_category.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), F.coalesce(F.sum("issues"), F.lit(0)).alias("issue_count"), (F.coalesce(F.sum("n"), F.lit(0)) - F.coalesce(F.sum("issues"), F.lit(0))).alias("info_count"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "category", F.col("n").cast("string")))), ",").alias("categories"))
-    status = F.when(F.lit(cancelled), "cancelled").when(F.col("errors") > 0, "failed").when(F.col("issue_count") > 0, "partial").otherwise("ready")
-    return total.select(status.alias("status"), "issue_count", "info_count", "categories")
+def finalize(diagnostics: DataFrame, *, cancelled: bool = False, archives: DataFrame | None = None) -> DataFrame:
+    """One row: status cancelled, failed (an error), partial (anything but info) or ready; issue, info and category counts.
+
+    With archives (archive) a row for each of them, of the diagnostics (archive, ...) that are its own; those without any are ready.
+    """
+    own = _of(diagnostics) if archives is not None else []
+    severity = F.col("severity")
+    by_category = diagnostics.groupBy(*own, "category").agg(F.count(F.lit(1)).alias("n"), F.count_if(severity == "error").alias("errors"), F.count_if(severity != "info").alias("issues"))
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n", "errors", "issues")]
+    categories = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "category", F.col("n").cast("string")))), ",").alias("categories")
+    total = by_category.groupBy(*own).agg(*sums, categories) if own else by_category.agg(*sums, categories)
+    if archives is not None:
+        total = archives.select("archive").distinct().join(total, "archive", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    status = F.when(F.lit(cancelled), "cancelled").when(zero("errors") > 0, "failed").when(zero("issues") > 0, "partial").otherwise("ready")
+    return total.select(*own, status.alias("status"), zero("issues").alias("issue_count"), (zero("n") - zero("issues")).alias("info_count"), F.coalesce("categories", F.lit("")).alias("categories"))
 
 
 def user_status(validation: Column, saved_pages: Column, all_pages: Column, saved_files: Column, all_files: Column, failed_routes: Column) -> Column:

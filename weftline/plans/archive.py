@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, urls
 from ..operators import catalog, crawl, storage, validate
 from ..sources import archives, capture
+from ..sources.tables import materialized
 from . import views
 from .traffic import _SEG
 from .views import RESPONSES, origin, path_key, pathname, search, with_
@@ -36,15 +37,15 @@ judged AS (SELECT *, CASE WHEN repeated THEN 'repeated' WHEN is_map THEN 'source
 
 
 def catalog_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog(_resources(spark, sf)).select("position", "url", "outcome")
+    return catalog.judge(_resources(spark, sf)).select("position", "url", "outcome")
 
 
 def catalog_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_stats(catalog.catalog(_resources(spark, sf)))
+    return catalog.catalog_stats(catalog.judge(_resources(spark, sf)))
 
 
 def catalog_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.aliases(catalog.catalog(_resources(spark, sf))).select("url", "kept_url")
+    return catalog.aliases(materialized(catalog.judge(_resources(spark, sf)))).select("url", "kept_url")
 
 
 def path_collisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,6 +54,20 @@ def path_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.catalog(p).select("position", "local_path")
 
 
+def _numbered_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages on one host by the first letters of their own last segment, many with numbers behind them that others' names run into."""
+    key = F.col("page_id")
+    segment = F.regexp_extract("url", r"([a-z])[a-z0-9]*[^/a-z]*$", 1)
+    first, second = F.concat(F.lit("-"), key % 13), F.concat(F.lit("-"), key % 4)
+    stem = F.concat(F.lit("https://one.test/"), segment, F.when(key % 3 > 0, first).otherwise(""), F.when(key % 5 == 1, second).otherwise(""), F.lit(".html"))
+    no_hash, one = F.lit(None).cast("string").alias("content_hash"), F.lit(1).cast("long").alias("size")
+    return capture.table(spark, sf, "pages").select(key.alias("position"), stem.alias("url"), F.lit("text/html").alias("mime_type"), no_hash, one, F.lit(True).alias("route_page"), F.concat(F.lit("r"), "page_id").alias("route_id"))
+
+
+def archive_names(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.catalog(_numbered_paths(spark, sf)).select("position", "local_path")
+
+
 def large_media(spark: SparkSession, sf: str) -> DataFrame:
     p = capture.table(spark, sf, "pages").select(F.when(F.col("page_id") % 3 == 0, "video/mp4").otherwise("text/html").alias("mime_type"), (F.octet_length("html") * 10_000).cast("long").alias("size"), F.lit("kept").alias("outcome"))
     return catalog.large_media(p)
@@ -81,7 +96,7 @@ def resource_route_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exclusion_union(spark: SparkSession, sf: str) -> DataFrame:
-    judged = catalog.catalog(_resources(spark, sf)).where("outcome = 'source-map'").select(F.lit("source-map").alias("kind"), "url", F.lit("excluded-by-default").alias("reason"), F.col("size").alias("bytes"))
+    judged = materialized(catalog.judge(_resources(spark, sf))).where("outcome = 'source-map'").select(F.lit("source-map").alias("kind"), "url", F.lit("excluded-by-default").alias("reason"), F.col("size").alias("bytes"))
     return catalog.exclusions(judged, judged)
 
 
@@ -153,7 +168,7 @@ def validation_plan(spark: SparkSession, sf: str) -> DataFrame:
 def optimization_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = capture.exchanges(spark, sf).where("content_hash is not null").select(F.col("sequence").alias("position"), F.concat(F.lit("api-snapshots/"), "sequence", F.lit(".bin")).alias("local_path"), "content_hash", "size")
     r = capture.table(spark, sf, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("position"), F.concat(F.lit("assets/"), "page_id", F.lit(".html")).alias("local_path"), paths.content_hash(F.col("html")).alias("content_hash"))
-    judged = catalog.catalog(_resources(spark, sf))
+    judged = materialized(catalog.judge(_resources(spark, sf)))
     left = judged.where("outcome = 'source-map'").select(F.lit("source-map").alias("kind"), "url", F.lit("excluded-by-default").alias("reason"), F.col("size").alias("bytes"))
     return catalog.optimization_summary(judged, left.unionByName(left), catalog.snapshot_bodies(s, r))
 
@@ -231,7 +246,7 @@ def quota_status(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "q.available", "q.checked", "q.fits")
 
 
-QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
+QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
 
 _PATH_SQL = f"s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m), ap AS (SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS path FROM h)"
 _ANCHOR_SQL = "a0 AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, i - 1 AS n, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"
@@ -251,6 +266,10 @@ ORACLE_SQL = {
     "catalog_outcomes": f"WITH {_RESOURCES_SQL} SELECT position, url, outcome FROM judged",
     "catalog_stats": f"WITH {_RESOURCES_SQL} SELECT sum(size) FILTER (WHERE outcome <> 'repeated') AS logical_bytes, sum(size) FILTER (WHERE outcome = 'kept') AS physical_bytes, coalesce(sum(size) FILTER (WHERE outcome = 'duplicate'), 0) AS deduplicated_bytes, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_bodies, coalesce(sum(size) FILTER (WHERE outcome = 'source-map'), 0) AS excluded_bytes, count(*) FILTER (WHERE outcome = 'kept') AS resources FROM judged",
     "catalog_aliases": f"WITH {_RESOURCES_SQL} SELECT d.url, k.url AS kept_url FROM judged d JOIN judged k ON d.dedup_key = k.dedup_key AND k.outcome = 'kept' AND k.dedup_key <> '' WHERE d.outcome = 'duplicate'",
+    "archive_names": """WITH RECURSIVE b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, 'assets/one.test/' || regexp_extract(url, '([a-z])[a-z0-9]*[^/a-z]*$', 1) || CASE WHEN page_id % 3 > 0 THEN '-' || (page_id % 13) ELSE '' END || CASE WHEN page_id % 5 = 1 THEN '-' || (page_id % 4) ELSE '' END AS front FROM pages),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used UNION ALL
+ SELECT b.i, list_append(w.used, list_filter(list_transform(range(1, len(w.used) + 3), lambda n: b.front || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.html'), lambda x: NOT list_contains(w.used, x))[1]) FROM w JOIN b ON b.i = w.i + 1)
+SELECT b.page_id AS position, w.used[b.i] AS local_path FROM b JOIN w ON w.i = (SELECT max(i) FROM b)""",
     "path_collisions": "SELECT page_id AS position, 'assets/one.test/p' || (page_id % 11) || CASE WHEN row_number() OVER (PARTITION BY page_id % 11 ORDER BY page_id) > 1 THEN '-' || row_number() OVER (PARTITION BY page_id % 11 ORDER BY page_id) ELSE '' END || '.html' AS local_path FROM pages",
     "large_media": "SELECT count(*) AS candidates, coalesce(sum(strlen(html) * 10000), 0) AS bytes FROM pages WHERE page_id % 3 = 0 AND strlen(html) * 10000 >= 26214400",
     "snapshot_dedup": with_(RESPONSES, ", r AS (SELECT 'sha256:' || sha256(html) AS content_hash, arg_max('/assets/' || page_id || '.html', page_id) AS path FROM pages WHERE page_id % 2 = 0 GROUP BY 1), s AS (SELECT x.sequence AS position, x.content_hash, r.path, row_number() OVER w AS n, first_value('api-snapshots/' || x.sequence || '.bin') OVER w AS first_path FROM exchanges x LEFT JOIN r ON r.content_hash = x.content_hash WHERE x.content_hash IS NOT NULL WINDOW w AS (PARTITION BY x.content_hash ORDER BY x.sequence)) SELECT position, coalesce(path, first_path) AS served_from, path IS NULL AND n = 1 AS written FROM s"),

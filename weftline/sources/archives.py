@@ -2,39 +2,27 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media, paths
+from . import zip_files
 
 TYPES = {"html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "mjs": "text/javascript", "json": "application/json", "svg": "image/svg+xml", "txt": "text/plain", "xml": "application/xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "woff2": "font/woff2", "woff": "font/woff", "wasm": "application/wasm", "webmanifest": "application/manifest+json"}
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of ZIP files as (archive, path, bytes, mime_type, text); text only where the type is text. One task for each archive."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, content in batch[["path", "content"]].itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.infolist():
-                        if not entry.is_dir():
-                            yield pd.DataFrame({"archive": [archive], "path": [entry.filename], "bytes": [z.read(entry)]})
-
-    entries = spark.read.format("binaryFile").load(path).mapInPandas(run, "archive string, path string, bytes binary")
-    return _typed(entries)
+    """Entries of the ZIP files below a path as (archive, path, bytes, mime_type, text); text only where the type is text. A large archive is read by many tasks."""
+    return _typed(zip_files.members(spark, path))
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder as (archive, path, bytes, mime_type, text)."""
+    """Files below a folder as (archive, path, bytes, mime_type, text); paths begin below the folder, whatever folders in it are called."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    top = path.rstrip("/").rsplit("/", 1)[-1]
-    return _typed(files.select(F.lit(path).alias("archive"), F.substring_index("path", f"/{top}/", -1).alias("path"), F.col("content").alias("bytes")))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    inner = F.substring("path", len(root) + 2, 1 << 30)
+    return _typed(files.select(F.lit(path).alias("archive"), inner.alias("path"), F.col("content").alias("bytes")))
 
 
 def _typed(entries: DataFrame) -> DataFrame:
@@ -44,19 +32,6 @@ def _typed(entries: DataFrame) -> DataFrame:
     return typed.withColumn("text", F.when(media.is_optimizer_text(F.col("mime_type")), F.decode("bytes", "utf-8")))
 
 
-def zipped(files: DataFrame) -> DataFrame:
-    """(archive, content): files (archive, path, bytes) of each archive as a ZIP file; an archive is a task's memory, as a browser would hold it."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-            for path, content in group.sort_values("path")[["path", "bytes"]].itertuples(index=False):
-                z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"archive": [group["archive"].iloc[0]], "content": [out.getvalue()]})
-
-    return files.select("archive", "path", "bytes").groupBy("archive").applyInPandas(run, "archive string, content binary")
-
-
 def manifest(files: DataFrame) -> DataFrame:
     """(archive, path, bytes): a manifest.json for each archive of files (archive, path, bytes), with the size and hash of each in order; to be united with the files."""
     entry = F.struct("path", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
