@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from weftline.sources import archives
 from weftline.streaming import assembly
 
 T0 = datetime(2024, 1, 1)
@@ -69,14 +68,3 @@ def test_snapshots_go_on_where_they_ended(spark, tmp_path):
         running.processAllAvailable()
         running.stop()
     assert sorted(r[0] for r in spark.read.parquet(folders[1]).collect()) == ["r0", "r1"]
-
-
-def test_zip_round_trip(spark, tmp_path):
-    files = spark.createDataFrame([("one", "index.html", b"<p>\xc3\xa9"), ("one", "a/b.png", b"\x00\x01"), ("one", "../out", b"x")], "archive string, path string, bytes binary")
-    (row,) = archives.zipped(files).collect()
-    (tmp_path / "one.zip").write_bytes(bytes(row["content"]))
-    got = {r["path"]: (bytes(r["bytes"]), r["mime_type"], r["text"]) for r in archives.read_zip(spark, str(tmp_path / "one.zip")).collect()}
-    assert got == {"index.html": (b"<p>\xc3\xa9", "text/html", "<p>é"), "a/b.png": (b"\x00\x01", "image/png", None)}
-    (tmp_path / "dir").mkdir()
-    (tmp_path / "dir" / "x.css").write_text("a{}")
-    assert archives.read_folder(spark, str(tmp_path / "dir")).select("path", "text").collect() == [("x.css", "a{}")]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, urls
 from ..operators import catalog, crawl, storage, validate
-from ..sources import archives, capture
-from ..sources.tables import materialized
+from ..sources import archives, capture, zip_files
+from ..sources.tables import materialized, shared_folder
 from . import views
 from .traffic import _SEG
 from .views import RESPONSES, origin, path_key, pathname, search, with_
@@ -114,6 +114,36 @@ def script_scan(spark: SparkSession, sf: str) -> DataFrame:
     return validate.scan_html(files).select("path", "code", "url")
 
 
+def _archived(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files of sixty archives, each under its own host and path; what is planted in script_scan stands in them too, so archives have files of one path."""
+    key = F.col("page_id")
+    script = F.concat(F.when(key % 3 == 0, '<script src="/a.js"></script>').otherwise(""), F.when(key % 4 == 0, '<script src="/a.js#x"></script>').otherwise(""), F.when(key % 5 == 0, '<script src="//x.test/b.js"></script>').otherwise(""))
+    own = capture.table(spark, sf, "pages").select(F.concat(F.lit("archive-"), key % 60).alias("archive"), F.concat(F.lit("p/"), F.floor(key / 60), F.lit(".html")).alias("path"), F.concat("html", script).alias("text"))
+    index = own.select("archive").distinct().select("archive", F.lit("index.html").alias("path"), F.lit('<script src="/a.js"></script>').alias("text"))
+    return own.unionByName(index)
+
+
+def zip_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives written by many tasks as segments and read back by ranges."""
+    folder = shared_folder(spark)
+    zip_files.write_zip(_archived(spark, sf).select("archive", "path", F.col("text").cast("binary").alias("bytes")), folder)
+    return zip_files.members(spark, folder).select("archive", "path", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+
+
+def archive_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a validator finds in the pages of sixty archives at once."""
+    return validate.scan_html(_archived(spark, sf)).select("archive", "path", "code", "url")
+
+
+def archive_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each of sixty archives what is missing of what it should have, what its pages load, and the verdict."""
+    files = _archived(spark, sf)
+    required = files.select("archive").distinct().select("archive", F.explode(F.array(F.lit("index.html"), F.lit("p/0.html"), F.lit("p/3.html"))).alias("path")).withColumn("critical", F.col("path") == "p/3.html")
+    missing = validate.missing_files(required, files.where("archive <> 'archive-7' or path <> 'index.html'"))
+    quiet = missing.where("false").select("archive", "category", "code", F.lit("info").alias("severity"), "path", "url", "message")
+    return validate.finalize(missing.unionByName(validate.scan_html(files)).unionByName(quiet), archives=files.select("archive"))
+
+
 def validation_status(spark: SparkSession, sf: str) -> DataFrame:
     pages = capture.table(spark, sf, "pages").select("page_id", "url")
     problems = validate.input_diagnostics(unresolved=pages.where("page_id % 10 = 0").select("url", F.lit(None).cast("string").alias("reason")), exclusions=pages.where("page_id % 25 = 0").select(F.col("url").alias("location")), routes=pages.select("url", F.when(F.col("page_id") % 8 == 0, "failed").otherwise("captured").alias("state"), F.lit(None).cast("string").alias("decision_reason")))
@@ -246,7 +276,7 @@ def quota_status(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "q.available", "q.checked", "q.fits")
 
 
-QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
+QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, zip_members, archive_scripts, archive_verdicts, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
 
 _PATH_SQL = f"s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m), ap AS (SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS path FROM h)"
 _ANCHOR_SQL = "a0 AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, i - 1 AS n, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"
@@ -262,7 +292,19 @@ o3 AS (SELECT *, coalesce(max(CASE WHEN accepted THEN 1 ELSE 0 END) OVER (PARTIT
 SELECT crawl, position, CASE WHEN accepted THEN 'accepted' ELSE 'skipped' END AS state, CASE WHEN accepted THEN 'same-origin-anchor' WHEN taken THEN 'duplicate-route' WHEN before >= 12 THEN 'page-budget' ELSE 'state-budget' END AS reason FROM o3
 UNION ALL SELECT crawl, position, 'skipped', fixed FROM c2 WHERE fixed IS NOT NULL"""
 
+_ARCHIVED_SQL = """a AS (SELECT 'archive-' || (page_id % 60) AS archive, 'p/' || (page_id // 60) || '.html' AS path, html || CASE WHEN page_id % 3 = 0 THEN '<script src="/a.js"></script>' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN '<script src="/a.js#x"></script>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<script src="//x.test/b.js"></script>' ELSE '' END AS text FROM pages
+ UNION ALL SELECT DISTINCT 'archive-' || (page_id % 60), 'index.html', '<script src="/a.js"></script>' FROM pages),
+tags AS (SELECT archive, path, n, trim(regexp_extract(tag, '(?i)\\bsrc\\s*=\\s*["'']([^"'']+)["'']', 1)) AS src FROM (SELECT archive, path, unnest(t) AS tag, unnest(range(1, len(t) + 1)) AS n FROM (SELECT archive, path, regexp_extract_all(text, '(?i)<script\\b([^>]*)>', 1) AS t FROM a))),
+scan AS (SELECT archive, path, 'stale-subresource-integrity' AS code, NULL AS url FROM a WHERE regexp_matches(text, '(?i)\\bintegrity\\s*=\\s*["''][^"'']+["'']')
+ UNION ALL SELECT archive, path, 'external-executable-reference', src FROM tags WHERE src <> '' AND regexp_matches(src, '(?i)^(https?:)?//')
+ UNION ALL SELECT archive, path, 'duplicate-executable-reference', src FROM (SELECT *, row_number() OVER (PARTITION BY archive, path, regexp_replace(src, '#.*$', '') ORDER BY n) AS r FROM tags WHERE src <> '') WHERE r > 1)"""
+
 ORACLE_SQL = {
+    "zip_members": f"WITH {_ARCHIVED_SQL} SELECT archive, path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM a",
+    "archive_scripts": f"WITH {_ARCHIVED_SQL} SELECT archive, path, code, url FROM scan",
+    "archive_verdicts": f"""WITH {_ARCHIVED_SQL}, lost AS (SELECT w.archive, w.path FROM (SELECT DISTINCT archive, unnest(['index.html', 'p/0.html', 'p/3.html']) AS path FROM a) w WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.archive = w.archive AND a.path = w.path) OR (w.archive = 'archive-7' AND w.path = 'index.html')),
+d AS (SELECT archive, CASE WHEN path = 'p/3.html' THEN 1 ELSE 0 END AS error FROM lost UNION ALL SELECT archive, 0 FROM scan)
+SELECT a.archive, CASE WHEN coalesce(max(error), 0) > 0 THEN 'failed' WHEN count(d.archive) > 0 THEN 'partial' ELSE 'ready' END AS status, count(d.archive) AS issue_count, 0 AS info_count, CASE WHEN count(d.archive) > 0 THEN 'rewrite-failure=' || count(d.archive) ELSE '' END AS categories FROM (SELECT DISTINCT archive FROM a) a LEFT JOIN d ON d.archive = a.archive GROUP BY a.archive""",
     "catalog_outcomes": f"WITH {_RESOURCES_SQL} SELECT position, url, outcome FROM judged",
     "catalog_stats": f"WITH {_RESOURCES_SQL} SELECT sum(size) FILTER (WHERE outcome <> 'repeated') AS logical_bytes, sum(size) FILTER (WHERE outcome = 'kept') AS physical_bytes, coalesce(sum(size) FILTER (WHERE outcome = 'duplicate'), 0) AS deduplicated_bytes, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_bodies, coalesce(sum(size) FILTER (WHERE outcome = 'source-map'), 0) AS excluded_bytes, count(*) FILTER (WHERE outcome = 'kept') AS resources FROM judged",
     "catalog_aliases": f"WITH {_RESOURCES_SQL} SELECT d.url, k.url AS kept_url FROM judged d JOIN judged k ON d.dedup_key = k.dedup_key AND k.outcome = 'kept' AND k.dedup_key <> '' WHERE d.outcome = 'duplicate'",

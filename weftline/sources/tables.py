@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,19 @@ def sendable(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir and read back: lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder in that of spark.checkpoint.dir, which all machines share; local sessions that name none get a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Written to a shared folder and read back: lineage ends, and a lost executor loses nothing."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

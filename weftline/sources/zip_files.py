@@ -176,10 +176,10 @@ SHARE_BYTES = 64 << 20
 
 
 class Share(InputPartition):
-    """The members of an archive that begin in a range of its bytes."""
+    """The members of an archive that begin in a range of its bytes; segments names what the archive is made of, or nothing if it is a file."""
 
-    def __init__(self, path: str, low: int, high: int):
-        self.path, self.low, self.high = path, low, high
+    def __init__(self, archive: str, path: str, low: int, high: int, segments: list[tuple[int, int, str]] | None = None):
+        self.archive, self.path, self.low, self.high, self.segments = archive, path, low, high, segments
 
 
 class _ZipReader(DataSourceReader):
@@ -187,28 +187,39 @@ class _ZipReader(DataSourceReader):
         self.path, self.share = path, share
 
     def partitions(self) -> list[Share]:
-        """Shares of the archives below the path, by their sizes alone; the directories are read by the tasks."""
-        from pyarrow import fs
+        """Shares of the archives below the path, by their sizes or their manifest alone; the directories are read by the tasks."""
+        from pyarrow import dataset, fs
 
         store, top = _open(self.path)
-        prefix = self.path[: len(self.path) - len(top.rstrip("/"))] if self.path.rstrip("/").endswith(top.rstrip("/")) else ""
+        if store.get_file_info(f"{top}/manifest/_SUCCESS").type == fs.FileType.File:
+            files = [f.path for f in store.get_file_info(fs.FileSelector(f"{top}/manifest")) if f.path.endswith(".parquet")]
+            made: dict[str, list[tuple[int, int, str]]] = {}
+            for r in dataset.dataset(files, filesystem=store, format="parquet").to_table().to_pylist():
+                made.setdefault(r["archive"], []).append((r["at"], r["size"], r["file"]))
+            return [Share(name, self.path, low, low + self.share, rows) for name, rows in sorted(made.items()) for low in range(0, max(at + n for at, n, _ in rows), self.share)]
         info = store.get_file_info(top)
         found = store.get_file_info(fs.FileSelector(top, recursive=True)) if info.type == fs.FileType.Directory else [info]
+        before = self.path[: len(self.path) - len(top)] if self.path.endswith(top) else ""  # scheme and host
         archives = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".zip"))
-        return [Share(prefix + path, low, low + self.share) for path, size in archives for low in range(0, max(size, 1), self.share)]
+        return [Share(before + path, before + path, low, low + self.share) for path, size in archives for low in range(0, max(size, 1), self.share)]
 
     def read(self, partition: Share) -> Iterator[tuple]:
         import zipfile
 
-        store, path = _open(partition.path)
-        with store.open_input_file(path) as raw, zipfile.ZipFile(raw) as archive:
+        if partition.segments:
+            raw = io.BufferedReader(Segments(partition.path, [dict(zip(("at", "size", "file"), r, strict=True)) for r in partition.segments]), 1 << 20)
+        else:
+            store, path = _open(partition.path)
+            raw = store.open_input_file(path)
+        with raw, zipfile.ZipFile(raw) as archive:
             for member in archive.infolist():
                 if partition.low <= member.header_offset < partition.high and not member.is_dir():
-                    yield partition.path, member.filename, archive.read(member)
+                    yield partition.archive, member.filename, archive.read(member)
 
 
 class ZipSource(DataSource):
-    """format("zip_members"): the members of all .zip files below a path as (archive, path, bytes), each archive read by as many tasks as it has shares of option share bytes."""
+    """format("zip_members"): the members of all .zip files below a path, or of the archives that write_zip left there, as (archive, path, bytes); each archive is read by
+    as many tasks as it has shares of option share bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -222,6 +233,6 @@ class ZipSource(DataSource):
 
 
 def members(spark: SparkSession, path: str, share: int = SHARE_BYTES) -> DataFrame:
-    """(archive, path, bytes) of the members of ZIP files, by ranges."""
+    """(archive, path, bytes) of the members of ZIP files below a path, or of archives written by write_zip, by ranges."""
     spark.dataSource.register(ZipSource)
     return spark.read.format("zip_members").option("share", str(share)).load(path)
