@@ -83,8 +83,8 @@ def route_key(url: Column, transition: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def resolved(raw: pd.Series, base: pd.Series) -> pd.Series:
-    """The URL that a reference means beside its base, relative ones and dot segments included; null for what is no URL."""
+def _parsed(raw: pd.Series, base: pd.Series) -> pd.Series:
+    """What the parser makes of a reference beside its base; null for what is no URL."""
 
     def one(value: str | None, beside: str | None) -> str | None:
         try:
@@ -95,6 +95,37 @@ def resolved(raw: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(v, b) for v, b in zip(raw, base, strict=True)], dtype=object)
 
 
+#: Characters that stay as they are anywhere in a URL, a host that is normal, and segments that mean folders.
+_PLAIN, _HOST = r"[A-Za-z0-9._~!$&()*+,;=:@%/-]", "[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
+_DOTS = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|[?#]|$)"
+
+
+def resolved(raw: Column, base: Column) -> Column:
+    """The URL that a reference means beside its base, relative ones and dot segments included; null for what is no URL.
+
+    Normal references beside normal bases are put together by expressions; only others go to the parser in Python: ports, credentials, dot segments, odd characters.
+    """
+    raw, base = (F.col(x) if isinstance(x, str) else x for x in (raw, base))
+    rest = rf"(?:{_PLAIN}*)(?:\?(?:{_PLAIN}|\?)*)?(?:#(?:{_PLAIN}|\?)*)?"
+    normal_base = F.rlike(base, F.lit(rf"^https?://{_HOST}(?:/{rest})?$")) & ~F.rlike(base, F.lit(_DOTS))
+    plain = F.rlike(raw, F.lit(f"^{rest}$")) & ~F.rlike(raw, F.lit(_DOTS))
+    absolute = F.rlike(raw, F.lit(rf"^https?://{_HOST}(?:[/?#]|$)"))
+    named = F.rlike(raw, F.lit("^[^/?#]*:"))
+    bare = F.regexp_replace(base, "[?#].*$", "")
+    without_fragment = F.regexp_replace(base, "#.*$", "")
+    slashed = lambda url: F.regexp_replace(url, r"^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
+    folder = F.regexp_extract(slashed(bare), "^(.*/)", 1)
+    made = (
+        F.when(absolute, slashed(raw))
+        .when(F.startswith(raw, F.lit("/")) & ~F.startswith(raw, F.lit("//")), F.concat(origin(base), raw))
+        .when(F.startswith(raw, F.lit("?")), F.concat(slashed(bare), raw))
+        .when(F.startswith(raw, F.lit("#")), F.concat(slashed(without_fragment), raw))
+        .when((raw != "") & ~named & ~F.startswith(raw, F.lit("/")), F.concat(folder, raw))
+    )
+    made = F.when(F.coalesce(normal_base & plain, F.lit(False)), F.regexp_replace(F.regexp_replace(made, r"^([^?#]*)\?(?=#|$)", "$1"), "#$", ""))
+    return F.coalesce(made, _parsed(F.when(made.isNull(), raw), base))
+
+
 def reference_kind(raw: Column) -> Column:
     """fragment, embedded, non-fetch or network; null for blank references."""
     scheme = F.lower(F.regexp_extract(raw, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))

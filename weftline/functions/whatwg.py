@@ -3,21 +3,49 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
+from urllib.parse import quote, urlsplit, urlunsplit
 
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
 _DEFAULT_PORTS = {"http": 80, "https": 443}
 
 
+#: What a URL may have around it: controls and blanks.
+_BLANKS = "".join(map(chr, range(0x21)))
+
+
+def _forward(url: str) -> str:
+    """Backslashes before the query are slashes."""
+    end = re.search(r"[?#]|$", url).start()
+    return url[:end].replace("\\", "/") + url[end:]
+
+
+def _joined(value: str, base: str | None) -> str:
+    """A reference put behind what its base gives it; dot segments stay."""
+    scheme, colon, rest = value.partition(":") if _SCHEME.match(value) else ("", "", value)
+    if colon and (base is None or scheme.lower() != base.partition(":")[0].lower() or rest.startswith("/")):
+        return f"{scheme}://{rest.lstrip('/')}"
+    if base is None:
+        raise ValueError(f"no base: {value[:80]}")
+    own, _, after = base.partition(":")
+    place, path, query = re.match(r"/*([^/?#]*)([^?#]*)(\?[^#]*)?", after).groups()
+    if rest.startswith("//"):
+        return f"{own}://{rest.lstrip('/')}"
+    if rest.startswith("/"):
+        return f"{own}://{place}{rest}"
+    if rest[:1] in ("", "#"):
+        return f"{own}://{place}{path}{query or ''}{rest}"
+    return f"{own}://{place}{path if rest[:1] == '?' else (path or '/').rpartition('/')[0] + '/'}{rest}"
+
+
 def parsed(value: str, base: str | None = None) -> str:
     """The absolute URL with its fragment; ValueError if there is none."""
-    value = re.sub(r"[\t\n\r]", "", value.strip("\x00-\x20 "))
+    value = re.sub(r"[\t\n\r]", "", value.strip(_BLANKS))
     if not _SCHEME.match(value) and not base:
         raise ValueError(f"not a URL: {value[:80]}")
-    if re.match(r"^[a-z][a-z0-9+.\-]*:", value, re.I) and not re.match(r"^https?:", value, re.I):
+    if _SCHEME.match(value) and not re.match(r"^https?:", value, re.I):
         scheme, rest = value.split(":", 1)
         return f"{scheme.lower()}:{rest}"
-    full = urljoin(base, value.replace("\\", "/")) if base else value.replace("\\", "/")
+    full = _joined(_forward(value), _forward(base.strip(_BLANKS)) if base else None)
     parts = urlsplit(full)
     host, port = (parts.hostname or "").lower(), parts.port
     if not host:

@@ -6,7 +6,7 @@ import itertools
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -22,6 +22,26 @@ class Policy:
     max_duration_ms: int = 120_000
 
 
+def shaped(candidates: DataFrame, seed_url: Column) -> DataFrame:
+    """Candidates (base_url, url, element_kind, target, download, form_action, transition_kind) with route_url, transition_kind, key, and fixed: why one is refused whatever came before."""
+    raw = F.coalesce("url", F.lit(""))
+    base = F.coalesce(F.col("base_url"), seed_url)
+    c = candidates.withColumn("seed_", urls.resolved(seed_url, seed_url)).withColumn("route_url", urls.resolved(raw, base)).withColumn("base_", urls.resolved(base, F.col("seed_")))
+    history = (urls.fragment(F.col("route_url")) != "") & (urls.normalized(F.col("route_url")) == urls.normalized(F.col("base_")))
+    c = c.withColumn("transition_kind", F.coalesce("transition_kind", F.when(history, "history").otherwise("document")))
+    fixed = (
+        F.when(F.coalesce("element_kind", F.lit("anchor")) != "anchor", "not-ordinary-anchor")
+        .when(F.coalesce("download", F.lit(False)), "download-link")
+        .when(F.coalesce("form_action", F.lit(False)), "form-navigation")
+        .when(~F.lower(F.coalesce("target", F.lit(""))).isin("", "_self"), "non-self-target")
+        .when(F.trim(raw) == "", "empty-url")
+        .when(F.col("route_url").isNull(), "invalid-url")
+        .when(~F.rlike(F.lower("route_url"), F.lit("^https?:")), "non-http")
+        .when(urls.origin(F.col("route_url")) != urls.origin(F.col("seed_")), "cross-origin")
+    )
+    return c.withColumn("key", urls.route_key(F.col("route_url"), F.col("transition_kind"))).withColumn("fixed", fixed).drop("seed_", "base_")
+
+
 def decide(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
     """(crawl, position, route_url, transition_kind, state, reason) for candidates of each crawl in the order of position.
 
@@ -35,25 +55,8 @@ def decide(candidates: DataFrame, policy: Policy = Policy()) -> DataFrame:  # no
             c = c.withColumn(name, F.lit(None).cast(kind))
     order = Window.partitionBy("crawl").orderBy("position")
     c = c.withColumn("n", F.row_number().over(order)).where(F.col("n") <= policy.max_candidates + 1)
-    raw = F.coalesce("url", F.lit(""))
-    base = F.coalesce("base_url", "seed_url")
-    c = c.withColumn("route_url", urls.resolved(raw, base)).withColumn("seed_url", urls.resolved("seed_url", "seed_url"))
-    base = urls.resolved(base, F.col("seed_url"))
-    history = (urls.fragment(F.col("route_url")) != "") & (urls.normalized(F.col("route_url")) == urls.normalized(base))
-    c = c.withColumn("transition_kind", F.coalesce("transition_kind", F.when(history, "history").otherwise("document")))
-    c = c.withColumn("key", urls.route_key(F.col("route_url"), F.col("transition_kind")))
-    fixed = (
-        F.when(F.col("n") > policy.max_candidates, "candidate-budget")
-        .when(F.coalesce("element_kind", F.lit("anchor")) != "anchor", "not-ordinary-anchor")
-        .when(F.coalesce("download", F.lit(False)), "download-link")
-        .when(F.coalesce("form_action", F.lit(False)), "form-navigation")
-        .when(~F.lower(F.coalesce("target", F.lit(""))).isin("", "_self"), "non-self-target")
-        .when(F.trim(raw) == "", "empty-url")
-        .when(F.col("route_url").isNull(), "invalid-url")
-        .when(~F.rlike(F.lower("route_url"), F.lit("^https?:")), "non-http")
-        .when(urls.origin(F.col("route_url")) != urls.origin(F.col("seed_url")), "cross-origin")
-    )
-    c = c.withColumn("fixed", fixed)
+    c = shaped(c, F.col("seed_url"))
+    c = c.withColumn("fixed", F.when(F.col("n") > policy.max_candidates, "candidate-budget").otherwise(F.col("fixed")))
     ended = F.when(F.coalesce("elapsed_ms", F.lit(0)) >= policy.max_duration_ms, "time-budget").when(F.coalesce("captured_bytes", F.lit(0)) >= policy.max_bytes, "byte-budget")
     c = c.withColumn("ended", ended)
     open_ = c.where("fixed is null")

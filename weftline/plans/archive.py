@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, urls
-from ..operators import catalog, crawl, storage, validate
+from ..operators import catalog, crawl, planner, storage, validate
 from ..sources import archives, capture, zip_files
 from ..sources.tables import materialized, shared_folder
 from . import views
@@ -168,6 +168,31 @@ def route_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.decide(c, crawl.Policy(max_pages=12, max_candidates=60, max_history_states=2)).select("crawl", "position", "state", "reason")
 
 
+def crawl_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawls of ten pages each, by the links of the pages that are visited; some redirect, name another canonical page or fail."""
+    anchors = materialized(capture.anchors(spark, sf).select("page_id", "position", "href"))
+    size = materialized(capture.table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes")))
+    home = F.concat(F.lit("https://site"), F.col("crawl").cast("string"), F.lit(".test"))
+
+    def visit(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        number = F.regexp_extract("route_url", r"/r([0-9]+)", 1).cast("long")
+        seen = routes.withColumn("k", F.coalesce(number, F.lit(0).cast("long"))).withColumn("page_id", F.col("crawl") * 10 + F.col("k") % 10)
+        k = F.col("k")
+        page = lambda n: F.concat(home, F.lit("/r"), n.cast("string"))
+        results = seen.join(size, "page_id").select(
+            "crawl", "n", F.when(k % 7 == 3, page(k + 1)).alias("final_url"), F.when(k % 11 == 5, F.concat(page(k - 1), F.lit("#top"))).alias("canonical_url"), "bytes",
+            (F.col("n") * 1000).cast("long").alias("elapsed_ms"), F.when(k % 13 == 6, "navigation-timeout").alias("failed"),
+        )
+        n = F.col("position")
+        url = F.when((k + n) % 17 == 0, F.concat(F.lit("#s"), n)).when((k + n) % 19 == 0, "https://other.test/x").when((k + n) % 23 == 0, "").otherwise(F.concat(F.lit("../r"), (F.col("page_id") * 7 + n) % 29))
+        found = seen.join(anchors, "page_id").select("crawl", "position", url.alias("url"), page(k).alias("base_url"), F.lit(None).cast("string").alias("element_kind"), F.when((k + n) % 31 == 0, "_blank").alias("target"), F.lit(False).alias("download"), F.lit(False).alias("form_action"), F.lit(None).cast("string").alias("transition_kind"))
+        return results, found
+
+    seeds = size.select(F.floor(F.col("page_id") / 10).alias("crawl")).distinct().withColumn("seed_url", F.concat(home, F.lit("/r0")))
+    policy = crawl.Policy(max_pages=6, max_candidates=30, max_history_states=1, max_bytes=60_000, max_duration_ms=25_000)
+    return planner.planned(seeds, visit, policy).select("crawl", "n", "route_url", "transition_kind", "state", "reason", "alias_of", "turn")
+
+
 def crawl_completed(spark: SparkSession, sf: str) -> DataFrame:
     """Ten accepted routes to a crawl; of every ten the third redirects to the fifth, and the seventh says that the second is its canonical form."""
     p = capture.table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("crawl"), (F.col("page_id") % 10).alias("position"))
@@ -276,7 +301,7 @@ def quota_status(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "q.available", "q.checked", "q.fits")
 
 
-QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, zip_members, archive_scripts, archive_verdicts, validation_status, user_status, route_decisions, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
+QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, zip_members, archive_scripts, archive_verdicts, validation_status, user_status, route_decisions, crawl_rounds, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
 
 _PATH_SQL = f"s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m), ap AS (SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS path FROM h)"
 _ANCHOR_SQL = "a0 AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, i - 1 AS n, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"

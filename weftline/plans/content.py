@@ -9,11 +9,17 @@ from ..functions import privacy, urls
 from ..operators import privacy as artifacts
 from ..operators import references
 from ..sources import capture
+from ..sources.tables import dealt
 from .views import REQUESTS, with_
 
 
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A whole table, dealt to all cores if it has few splits: what these queries do with a row costs far more than sending it."""
+    return dealt(capture.table(spark, sf, name))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return capture.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("owner"), F.col("url").alias("base_url"), F.col("html").alias("text"))
+    return _table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("owner"), F.col("url").alias("base_url"), F.col("html").alias("text"))
 
 
 def html_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +86,7 @@ def _planted(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit(" Bearer abcdef"), k + 10_000_000)).when(k % 5 == 1, F.concat(F.lit(" AKIAABCDEFGH"), F.lpad(k.cast("string"), 8, "0"))).when(k % 5 == 2, F.concat(F.lit(" eyJabcdefgh.eyJabcdefgh.sig"), k + 10_000_000))
         .when(k % 5 == 3, F.concat(F.lit(" password=abcdefgh1"), k + 10_000)).otherwise("")
     )
-    return capture.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" note"), secret, F.lit(" end.")).alias("text"))
+    return _table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" note"), secret, F.lit(" end.")).alias("text"))
 
 
 def secret_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +100,7 @@ def redacted_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """What the detectors find in whole documents, by category."""
-    found = capture.table(spark, sf, "documents").select("doc_id", F.explode(privacy.findings(F.col("text"), F.lit("text"))).alias("f"))
+    found = _table(spark, sf, "documents").select("doc_id", F.explode(privacy.findings(F.col("text"), F.lit("text"))).alias("f"))
     return found.groupBy("doc_id", F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -102,7 +108,7 @@ def sanitized_headers(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     referer = F.concat(F.lit("https://u:p@h.test/?token=abcd1234&q="), k)
     headers = F.create_map(F.lit("Cookie"), F.concat(F.lit("sid="), k), F.lit("X-Session-Token"), F.lit("abc"), F.lit("Accept"), F.lit("text/html"), F.lit("X-Note"), F.concat(F.lit("Basic abcdefgh"), k), F.lit("Referer"), referer)
-    h = capture.table(spark, sf, "events").select("event_id", privacy.sanitized_headers(headers).alias("h"))
+    h = _table(spark, sf, "events").select("event_id", privacy.sanitized_headers(headers).alias("h"))
     names = {"cookie": "Cookie", "session": "X-Session-Token", "accept": "Accept", "note": "X-Note", "referer": "Referer"}
     return h.select("event_id", *[F.col("h.headers")[name].alias(column) for column, name in names.items()], F.size("h.findings").alias("found"))
 
@@ -112,7 +118,7 @@ def sanitized_urls(spark: SparkSession, sf: str) -> DataFrame:
     k, plain = F.col("page_id"), urls.normalized(F.col("url"))
     named = F.when(k % 3 == 0, F.regexp_replace(plain, "^([a-z]+://)", "$1me:secret@")).otherwise(plain)
     url = F.concat(named, F.when(F.contains(plain, F.lit("?")), "&").otherwise("?"), F.lit("token=abc"), k, F.lit("&code=x"), F.when(k % 4 == 0, "#access_token=1").otherwise("#top"))
-    s = capture.table(spark, sf, "pages").select("page_id", privacy.sanitized_url(url).alias("s"))
+    s = _table(spark, sf, "pages").select("page_id", privacy.sanitized_url(url).alias("s"))
     return s.select("page_id", "s.url", F.size("s.findings").alias("found"))
 
 
@@ -120,12 +126,12 @@ def sanitized_bodies(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("page_id")
     kind = F.when(k % 3 == 0, "application/json").when(k % 3 == 1, "application/x-www-form-urlencoded").otherwise("text/plain")
     body = F.when(k % 3 == 0, F.concat(F.lit('{"user":{"password":"p'), k, F.lit('","name":"n"},"list":[1,"Bearer abcdefgh1"]}'))).when(k % 3 == 1, F.concat(F.lit("name=n&api_key=k"), k)).otherwise(F.when(k % 2 == 0, "plain").otherwise("token: abcdefgh12345"))
-    s = capture.table(spark, sf, "pages").select("page_id", privacy.sanitized_body(body, kind).alias("s"))
+    s = _table(spark, sf, "pages").select("page_id", privacy.sanitized_body(body, kind).alias("s"))
     return s.select("page_id", "s.body", "s.safe", F.size("s.findings").alias("found"))
 
 
 def sanitized_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    s = capture.table(spark, sf, "events").select("event_id", privacy.sanitized_metadata(F.concat(F.lit('{"session":"s","props":'), "props", F.lit(',"at":"https://u:p@h.test/?key=abcdefghijklmnop"}'))).alias("s"))
+    s = _table(spark, sf, "events").select("event_id", privacy.sanitized_metadata(F.concat(F.lit('{"session":"s","props":'), "props", F.lit(',"at":"https://u:p@h.test/?key=abcdefghijklmnop"}'))).alias("s"))
     return s.select("event_id", F.get_json_object("s.json", "$.session").alias("session"), F.get_json_object("s.json", "$.at").alias("at"), F.size("s.findings").alias("found"))
 
 
@@ -143,7 +149,7 @@ _BROKEN = "page_id % 11 = 0"
 
 def _typed_resources(spark: SparkSession, sf: str) -> DataFrame:
     """Whole pages as they are and in style sheets, scripts and glTF documents around them; every eleventh breaks off."""
-    p = capture.table(spark, sf, "pages")
+    p = _table(spark, sf, "pages")
     k, broken = F.col("page_id"), F.expr(_BROKEN)
     kinds = ("text/html", "text/css", "text/javascript", "model/gltf+json", "text/plain")
     kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 5 + 1).cast("int"))
@@ -167,7 +173,7 @@ def rewritten_resources(spark: SparkSession, sf: str) -> DataFrame:
 def marked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Whole pages with the marker of their route; every third without a head."""
     text = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<head>"), F.lit(""))).otherwise(F.col("html"))
-    return capture.table(spark, sf, "pages").select("page_id", F.sha2(references.with_marker(text, F.concat(F.lit('page:"'), "page_id")), 256).alias("sha"))
+    return _table(spark, sf, "pages").select("page_id", F.sha2(references.with_marker(text, F.concat(F.lit('page:"'), "page_id")), 256).alias("sha"))
 
 
 def rewrite_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +182,7 @@ def rewrite_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_privacy(spark: SparkSession, sf: str) -> DataFrame:
     """Records of eleven families with URLs, texts, headers and bodies that hold secrets; what is found in each."""
-    k, p = F.col("page_id"), capture.table(spark, sf, "pages")
+    k, p = F.col("page_id"), _table(spark, sf, "pages")
     url = F.concat(F.lit("https://g.test/?token=abc"), k)
     own = p.select(F.concat(F.lit("r-"), k).alias("id"), url.alias("original_url"), F.when(k % 2 == 0, "password=abcdefgh12345").otherwise("fine").alias("note"))
     headers = p.select(F.concat(F.lit("r-"), k).alias("id"), F.create_map(F.lit("Cookie"), F.lit("a"), F.lit("Referer"), url).alias("headers"), F.when(k % 3 == 0, F.concat(F.lit('{"password":"x'), k, F.lit('"}'))).alias("request_body"), F.lit("application/json").alias("content_type"), F.lit("sha256:x").alias("request_body_hash"))
@@ -192,14 +198,14 @@ def sensitive_parameters(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (e % len(names) + 1).cast("int"))
     value = F.repeat(F.lit("x"), (e % 20).cast("int"))
-    return capture.table(spark, sf, "events").select("event_id", privacy.is_sensitive_parameter(name, value).alias("parameter"), privacy.is_sensitive_name(name).alias("name"))
+    return _table(spark, sf, "events").select("event_id", privacy.is_sensitive_parameter(name, value).alias("parameter"), privacy.is_sensitive_name(name).alias("name"))
 
 
 def private_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Form fields of four sorts by page_id."""
     pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("page_id") % len(x) + 1).cast("int"))
     field = privacy.is_sensitive_field(pick("text", "PASSWORD", "email", None), pick("", "name", "off cc-number"), pick("q", "user_pin box", "shopping", "spinning", "csrf"), F.when(F.col("page_id") % 7 == 0, F.array(F.lit("data-private"))))
-    return capture.table(spark, sf, "pages").select("page_id", field.alias("private"))
+    return _table(spark, sf, "pages").select("page_id", field.alias("private"))
 
 
 QUERIES = {f.__name__: f for f in (html_references, page_links, css_references, js_references, srcset_candidates, svg_references, resolved_references, reference_diagnostics, rewritten_html, secret_findings, redacted_texts, document_secrets, sanitized_headers, sanitized_urls, sanitized_bodies, sanitized_metadata, sanitized_requests, private_artifacts, rewritten_resources, marked_pages, rewrite_diagnostics, graph_privacy, private_fields, sensitive_parameters)}

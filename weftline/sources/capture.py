@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, urls
+from .tables import dealt
 
 PROVENANCES = ("observed", "refetched", "derived", "inferred", "user-supplied")
 
@@ -65,7 +66,7 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages in order: (page_id, position, base_url, href)."""
     hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("base_url"), F.posexplode(hrefs).alias("position", "href"))
+    return dealt(table(spark, sf_dir, "pages")).select("page_id", F.col("url").alias("base_url"), F.posexplode(hrefs).alias("position", "href"))
 
 
 def child_targets(attached: DataFrame, roots: DataFrame) -> DataFrame:

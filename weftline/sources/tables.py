@@ -31,3 +31,9 @@ def materialized(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer splits than the session has cores, dealt to all of them before costly steps; a table of more splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
