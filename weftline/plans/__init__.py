@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, content, graph, integrity, reports, traffic
+from . import archive, content, graph, integrity, reports, streams, traffic
 
-_MODULES = (graph, integrity, traffic, archive, content, reports)
+_MODULES = (graph, integrity, traffic, archive, content, reports, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Network events: requestWillBeSent, responseReceived, dataReceived, loadingFinished, loadingFailed.
 EVENTS = T.StructType(
@@ -19,27 +19,24 @@ EXCHANGES = "session string, request_id string, hop int, predecessor string, url
 _STATE = "hop int, url string, method string, status int, size long, started timestamp"
 
 
-def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One request's events in order; a redirect ends a hop and begins the next under the same id; a timeout ends what never finished."""
-    session, request_id = key
-    held = list(state.get) if state.exists else None
-    out = []
-
-    def emit(ended: pd.Timestamp | None, body_state: str) -> None:
-        hop, url, method, status, size, started = held
-        out.append((session, request_id, hop, f"{request_id}#{hop - 1}" if hop else None, url, method, status, size, started, ended, body_state))
-
-    if state.hasTimedOut:
-        if held:
-            emit(None, "unavailable")
-        state.remove()
-    else:
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for e in rows.itertuples(index=False):
+class _Assembly(StatefulProcessor):
+    """One request's events in order; a redirect ends a hop and begins the next under the same id, a timer ends what never finished."""
+
+    def __init__(self, grace_ms: int):
+        self.grace_ms = grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
+        held, out = list(self.held.get()) if self.held.exists() else None, []
+        events = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        for e in events.itertuples(index=False):
             if e.event == "requestWillBeSent":
                 hop = 0
                 if held and e.redirect:
-                    emit(e.ts, "not-applicable")
+                    out.append(_exchange(key, held, e.ts, "not-applicable"))
                     hop = held[0] + 1
                 held = [hop, e.url, e.method, None, 0, e.ts]
             elif held is None:
@@ -49,19 +46,37 @@ def _walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
             elif e.event == "dataReceived":
                 held[4] += 0 if pd.isna(e.size) else int(e.size)
             elif e.event in ("loadingFinished", "loadingFailed"):
-                emit(e.ts, "stored" if e.event == "loadingFinished" else "unavailable")
+                out.append(_exchange(key, held, e.ts, "stored" if e.event == "loadingFinished" else "unavailable"))
                 held = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if held is None:
-            if state.exists:
-                state.remove()
+            self.held.clear()
         else:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + GRACE_MS)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in EXCHANGES.split(", ")])
+            self.held.update(tuple(held))
+            self.handle.registerTimer(int(events["ts"].max().timestamp() * 1000) + self.grace_ms)
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
+        out = [_exchange(key, list(self.held.get()), None, "unavailable")] if self.held.exists() else []
+        self.held.clear()
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
-#: How long a body may take after the last event of its request before it counts as unavailable.
-GRACE_MS = 10_000
+    def close(self) -> None:
+        pass
+
+
+_COLUMNS = [c.split()[0] for c in EXCHANGES.split(", ")]
+
+
+def _exchange(key: tuple, held: list, ended: pd.Timestamp | None, body_state: str) -> tuple:
+    session, request_id = key
+    hop, url, method, status, size, started = held
+    return session, request_id, hop, f"{request_id}#{hop - 1}" if hop else None, url, method, status, size, started, ended, body_state
+
+
+#: The state store that keeps timers.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def network_events(spark: SparkSession, path: str, *, files_at_once: int = 100) -> DataFrame:
@@ -70,10 +85,14 @@ def network_events(spark: SparkSession, path: str, *, files_at_once: int = 100)
     return lines.where("session is not null and request_id is not null and ts is not null")
 
 
-def exchanges(events: DataFrame, *, late: str = "10 seconds") -> DataFrame:
-    """Finished exchanges of a stream of EVENTS, keyed by (session, request_id); events later than ``late`` are dropped by the watermark."""
+def exchanges(events: DataFrame, *, late: str = "10 seconds", grace_ms: int = 10_000) -> DataFrame:
+    """Finished exchanges of a stream of EVENTS, keyed by (session, request_id); events later than ``late`` are dropped by the watermark.
+
+    grace_ms: how long a body may take after the last event of its request before it counts as unavailable, by event time. Needs a state store that keeps timers, which is set.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     keyed = events.withWatermark("ts", late).groupBy("session", "request_id")
-    return keyed.applyInPandasWithState(_walk, EXCHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.transformWithStateInPandas(_Assembly(grace_ms), EXCHANGES, "Append", "EventTime")
 
 
 def idle_periods(events: DataFrame, *, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -82,9 +101,14 @@ def idle_periods(events: DataFrame, *, gap: str = "500 milliseconds", late: str
     return bursts.select("session", F.col("burst.start").alias("started"), F.col("burst.end").alias("ended"), "events")
 
 
-def before_closing(bodies: DataFrame, closings: DataFrame, *, late: str = "10 seconds") -> DataFrame:
-    """Bodies (mission_id, ts, ...) of a stream that come before their mission's evidence was closed (mission_id, closed)."""
-    return bodies.withWatermark("ts", late).join(closings, "mission_id").where(F.col("ts") <= F.col("closed")).drop("closed")
+def before_closing(bodies: DataFrame, closings: DataFrame, *, late: str = "10 seconds", told: str = "closing") -> DataFrame:
+    """Bodies (mission_id, ts, ...) of a stream that come before their mission's evidence was closed (mission_id, closed).
+
+    What came later is counted in the stream's progress: observed metrics of the name told, taken and late.
+    """
+    joined = bodies.withWatermark("ts", late).join(closings, "mission_id")
+    kept = F.col("ts") <= F.col("closed")
+    return joined.observe(told, F.count_if(kept).alias("taken"), F.count_if(~kept).alias("late")).where(kept).drop("closed")
 
 
 def snapshots(stream: DataFrame, path: str, checkpoint: str, *, every: str = "100 milliseconds"):  # noqa: ANN201
@@ -92,6 +116,13 @@ def snapshots(stream: DataFrame, path: str, checkpoint: str, *, every: str = "10
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).outputMode("append").start()
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a stream over all that is there and ends."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+def drained(stream: DataFrame, path: str, checkpoint: str) -> dict[str, int]:
+    """Runs a stream over all that is there and ends; what it observed, summed over its batches."""
+    running = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+    running.awaitTermination()
+    sums: dict[str, int] = {}
+    for batch in running.recentProgress:
+        for metrics in batch.observedMetrics.values():
+            for name, n in metrics.asDict().items():
+                sums[name] = sums.get(name, 0) + n
+    return sums
