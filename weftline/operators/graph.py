@@ -32,9 +32,14 @@ def api_snapshots(exchanges: DataFrame) -> DataFrame:
     return good.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def by_language(text: str) -> Column:
+    """A text in the order of languages: letters before case and accents, which only tell equal ones apart."""
+    return F.collate(F.col(text), "UNICODE")
+
+
 def replay_exchanges(exchanges: DataFrame) -> DataFrame:
-    """Exchanges as they are replayed, in the order of (sequence, exchange id); an absent request body has the hash of the empty one."""
-    return exchanges.orderBy("sequence", "exchange_id").select(
+    """Exchanges as they are replayed, in the order of (sequence, exchange id), ids as languages order them; an absent request body has the hash of the empty one."""
+    return exchanges.orderBy("sequence", by_language("exchange_id"), "exchange_id").select(
         "exchange_id", "sequence", "method", F.col("normalized_url").alias("url"), "content_type", F.coalesce("request_body_hash", F.lit(paths.EMPTY_HASH)).alias("request_body_hash"),
         F.coalesce("request_body", F.lit("")).alias("post_data"), "status", "mime_type", "content_hash", F.col("body_id").isNotNull().alias("body_available"), "provenance",
     )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, content, graph, integrity, reports, streams, traffic
+from . import archive, content, graph, integrity, reports, streams, surface, traffic
 
-_MODULES = (graph, integrity, traffic, archive, content, reports, streams)
+_MODULES = (graph, integrity, traffic, archive, content, reports, streams, surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

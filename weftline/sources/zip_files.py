@@ -30,7 +30,7 @@ _VERSION, _VERSION64 = 20, 45
 MANIFEST = "archive string, at long, size long, file string"
 
 
-def _open(path: str):  # noqa: ANN202
+def opened(path: str):  # noqa: ANN201
     """The file system of a path and the path in it; object stores go by other names in Hadoop."""
     from pyarrow import fs
 
@@ -75,7 +75,7 @@ def _written(rows: DataFrame, folder: str, piece) -> DataFrame:  # noqa: ANN001
     """The manifest of rows (archive, at, ...), which are written one after another as piece makes bytes of each; a file for each archive in a task."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _open(folder)
+        store, top = opened(folder)
         store.create_dir(top, recursive=True)
         own, sink, done = None, None, []
 
@@ -133,7 +133,7 @@ class Segments(io.RawIOBase):
     """The segments of an archive as one file that can be read anywhere."""
 
     def __init__(self, folder: str, rows: list):
-        self.store, self.top = _open(folder)
+        self.store, self.top = opened(folder)
         self.rows = sorted((r["at"], r["size"], r["file"]) for r in rows)
         self.starts = [r[0] for r in self.rows]
         self.size, self.place, self.held = max((at + n for at, n, _ in self.rows), default=0), 0, (None, None)
@@ -190,7 +190,7 @@ class _ZipReader(DataSourceReader):
         """Shares of the archives below the path, by their sizes or their manifest alone; the directories are read by the tasks."""
         from pyarrow import dataset, fs
 
-        store, top = _open(self.path)
+        store, top = opened(self.path)
         if store.get_file_info(f"{top}/manifest/_SUCCESS").type == fs.FileType.File:
             files = [f.path for f in store.get_file_info(fs.FileSelector(f"{top}/manifest")) if f.path.endswith(".parquet")]
             made: dict[str, list[tuple[int, int, str]]] = {}
@@ -209,7 +209,7 @@ class _ZipReader(DataSourceReader):
         if partition.segments:
             raw = io.BufferedReader(Segments(partition.path, [dict(zip(("at", "size", "file"), r, strict=True)) for r in partition.segments]), 1 << 20)
         else:
-            store, path = _open(partition.path)
+            store, path = opened(partition.path)
             raw = store.open_input_file(path)
         with raw, zipfile.ZipFile(raw) as archive:
             for member in archive.infolist():
