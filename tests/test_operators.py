@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import media, paths, privacy
+from weftline.plans import traffic
 from weftline.operators import catalog, crawl, graph, replay, storage, validate
 
 REPLAY = "request_id string, position long, client string, method string, url string, content_type string, body_hash string, unsupported string"
@@ -40,7 +41,7 @@ def _paths_in_order(asked, recorded, runtime):
             out.add((request, None, unsupported))
             continue
         path = url.split("/", 3)[3].rstrip("/")
-        same = sorted((e for e in recorded if e[2] == method and e[3].split("/", 3)[3].rstrip("/") == path and e[4] == kind), key=lambda e: (e[1], e[0]))
+        same = sorted((e for e in recorded if e[2] == method and e[3].split("/", 3)[3].rstrip("/") == path and e[4] == kind and (e[5] or "") == (body or "")), key=lambda e: (e[1], e[0]))
         exact = [e for e in same if e[3] == url]
         fits = exact or (same if url.startswith(runtime) else [])
         if not exact and len({e[3].split("/", 3)[2] for e in fits}) > 1:
@@ -70,6 +71,17 @@ def test_path_matching_against_a_walk(spark, seed):
     assert {r[2] for r in got} == {"", "ambiguous", "not-found", "repeat-exhausted", "sse"}
 
 
+def test_walked_query(spark, sf):
+    """The registered query, whole, against a walk of its requests."""
+    asked, recorded = traffic._slashed(spark, sf)
+    rows = [tuple(r) for r in asked.select("request_id", "position", "client", "method", "url", "content_type", "body_hash", "unsupported").collect()]
+    held = [tuple(r) for r in recorded.select("exchange_id", "sequence", "method", "url", "content_type", "body_hash").collect()]
+    got = {tuple(r) for r in traffic.replay_match_walked(spark, sf).select("request_id", "exchange_id", "reason_code").collect()}
+    assert got == _paths_in_order(rows, held, "https://runtime.test")
+    by_path = {q[0] for q in rows if q[4].startswith("https://runtime.test")}
+    assert sum(r[2] == "" for r in got if r[0] in by_path) > 20  # the walk is reached
+
+
 CANDIDATES = "crawl int, seed_url string, base_url string, position int, url string, element_kind string, target string, download boolean, form_action boolean"
 
 

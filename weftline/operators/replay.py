@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import media, paths, urls
+from ..sources.tables import materialized
 
 POSTED_TYPES = ("application/json", "application/x-www-form-urlencoded", "multipart/form-data")
 
@@ -70,15 +71,17 @@ def match_by_path(requests: DataFrame, recordings: DataFrame, runtime_origin: st
     path of one origin has several URLs do exact and path requests share recordings that can't be ranked apart: those of a client are walked in order.
     """
     shaped = lambda df: df.withColumn("body_hash", F.coalesce("body_hash", F.lit(paths.EMPTY_HASH))).withColumn("path_key", urls.path_key(F.col("url"))).withColumn("origin", urls.origin(F.col("url")))
-    asked, held = shaped(requests.where("unsupported = ''")), shaped(recordings)
+    requests = materialized(requests)
+    asked, held = shaped(requests.where("unsupported = ''")), materialized(shaped(recordings))
     by_path = held.groupBy(*_PATH_KEY).agg(F.count_distinct("origin").alias("origins"), F.count_distinct("url").alias("n_urls"), F.min("url").alias("only_url"))
     exact = held.select(*_PATH_KEY, "url").distinct().withColumn("exact", F.lit(True))
     asked = asked.join(exact, [*_PATH_KEY, "url"], "left").join(by_path, _PATH_KEY, "left")
     loose = F.col("exact").isNull() & (F.col("origin") == runtime_origin) & F.col("origins").isNotNull()
     unsure = asked.where(loose & (F.col("origins") > 1)).select("request_id", F.lit(None).cast("string").alias("exchange_id"), F.lit("ambiguous").alias("reason_code"))
     rest = asked.where(~(loose & (F.col("origins") > 1))).withColumn("shared", loose & (F.col("n_urls") > 1)).withColumn("url", F.when(loose & (F.col("n_urls") == 1), F.col("only_url")).otherwise(F.col("url")))
-    walked = rest.where("shared").select("client", *_PATH_KEY).distinct()
-    ranked = match_in_order(rest.join(walked, ["client", *_PATH_KEY], "left_anti"), recordings, client="client")
+    rest = materialized(rest.select("request_id", "position", "client", "url", *_PATH_KEY, "unsupported", "shared"))
+    walked = materialized(rest.where("shared").select("client", *_PATH_KEY).distinct())
+    ranked = match_in_order(rest.join(walked, ["client", *_PATH_KEY], "left_anti"), held, client="client")
     refused = requests.where("unsupported <> ''").select("request_id", F.lit(None).cast("string").alias("exchange_id"), F.col("unsupported").alias("reason_code"))
     return ranked.unionByName(unsure).unionByName(_walked(rest.join(walked, ["client", *_PATH_KEY], "left_semi"), held.join(walked, _PATH_KEY))).unionByName(refused)
 

@@ -138,6 +138,21 @@ def replay_match_by_path(spark: SparkSession, sf: str) -> DataFrame:
     return replay.match_by_path(asked, recorded, "https://runtime.test")
 
 
+def _slashed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and recordings as above, with a slash behind the path of every second recording and every fifth request."""
+    asked, recorded = _replayed(spark, sf)
+    slashed = lambda url: F.when(~F.contains(url, F.lit("?")), F.concat(F.regexp_replace(url, "/$", ""), F.lit("/"))).otherwise(url)
+    recorded = recorded.withColumn("url", F.when(F.col("sequence") % 2 == 0, slashed(F.col("url"))).otherwise(F.col("url")))
+    asked = asked.withColumn("url", F.when(F.col("position.event_id") % 5 == 0, slashed(F.col("url"))).otherwise(F.col("url")))
+    away = F.concat(F.lit("https://runtime.test"), urls.resource_key(F.col("url")))
+    return asked.withColumn("url", F.when(F.col("client").cast("long") % 3 == 0, away).otherwise(F.col("url"))), recorded
+
+
+def replay_match_walked(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of one origin have two URLs, between which requests to the runtime choose in order."""
+    return replay.match_by_path(*_slashed(spark, sf), "https://runtime.test")
+
+
 def replay_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     """Every exchange answered by its own origin and, for every third page, by a mirror of the same path."""
     x = capture.exchanges(spark, sf).select("exchange_id", "method", F.col("normalized_url").alias("url"), "content_type", F.coalesce("request_body_hash", F.lit(paths.EMPTY_HASH)).alias("request_body_hash"), "user_id", "sequence")
@@ -181,7 +196,7 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     return capture.table(spark, sf, "events").select("event_id", "user_id", F.max("value").over(w).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_urls, canonical_urls, path_keys, resolved_links, same_origin_links, short_hash, body_hashes, mime_class, eligible_responses, tracker_filter, archive_paths, request_policy, byte_sizes, unsupported_reasons, replay_match, replay_match_per_client, replay_match_by_path, replay_ambiguity, replay_coverage, idle_sessions, late_bodies, repeated_actions, progress)}
+QUERIES = {f.__name__: f for f in (normalized_urls, canonical_urls, path_keys, resolved_links, same_origin_links, short_hash, body_hashes, mime_class, eligible_responses, tracker_filter, archive_paths, request_policy, byte_sizes, unsupported_reasons, replay_match, replay_match_per_client, replay_match_by_path, replay_match_walked, replay_ambiguity, replay_coverage, idle_sessions, late_bodies, repeated_actions, progress)}
 
 
 def _match_sql(client: str) -> str:
