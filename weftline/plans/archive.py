@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, urls
-from ..operators import catalog, crawl, planner, storage, validate
+from ..operators import body_store, catalog, crawl, planner, storage, validate
 from ..sources import archives, capture, zip_files
 from ..sources.tables import materialized, shared_folder
 from . import views
@@ -296,12 +296,35 @@ def mission_recovery(spark: SparkSession, sf: str) -> DataFrame:
     return storage.recovered(storage.latest_missions(states)).select("mission_id", "state", "recovery", "ts")
 
 
+def stored_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of whole pages and documents after four batches: pages of missions by their id, documents and pages again for others, that batch sent twice, one broken off, and a mission removed."""
+    pages = capture.table(spark, sf, "pages").select(F.col("page_id").alias("k"), F.col("html").alias("text"))
+    documents = capture.table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    k = F.col("k")
+
+    def writes(rows: DataFrame, name: str, mission: Column, expected: Column) -> DataFrame:
+        return rows.select(F.concat(F.lit(f"{name}-"), k).alias("write_id"), mission.cast("long").alias("mission_id"), k.alias("position"), expected.cast("long").alias("expected_size"), F.lit("text/html").alias("mime_type"), F.col("text").cast("binary").alias("body"))
+
+    size, none = F.octet_length("text"), F.lit(None)
+    store = body_store.BodyStore(spark, shared_folder(spark), chunk=4096)
+    store.commit(0, writes(pages, "page", k % 5, F.when(k % 11 == 0, size + 1).otherwise(none)))
+    second = writes(documents, "document", 5 + k % 3, none).unionByName(writes(pages.where("k % 4 = 0"), "again", F.lit(6), size))
+    store.commit(1, second)
+    store.commit(1, second)
+    store.stage(2, writes(pages, "lost", F.lit(9), none))
+    store.remove_mission(2)
+    held = store.chunk_rows().groupBy("content_hash").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("bytes")).alias("bytes"))
+    owners = store.table("owners").groupBy("content_hash").agg(F.count(F.lit(1)).alias("owners"), F.min("mission_id").alias("first_owner"))
+    bodies = store.table("bodies").select("content_hash", "size", "chunk_count", "batch_id")
+    return bodies.join(owners, "content_hash", "left").join(held, "content_hash", "left").select("content_hash", "size", "chunk_count", "batch_id", "owners", "first_owner", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
 def quota_status(spark: SparkSession, sf: str) -> DataFrame:
     d = capture.table(spark, sf, "documents").select("doc_id", storage.quota(F.lit(64 << 20), F.col("doc_id") * 100_000, F.col("n_chars") * 10_000).alias("q"))
     return d.select("doc_id", "q.available", "q.checked", "q.fits")
 
 
-QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, zip_members, archive_scripts, archive_verdicts, validation_status, user_status, route_decisions, crawl_rounds, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, quota_status)}
+QUERIES = {f.__name__: f for f in (catalog_outcomes, catalog_stats, catalog_aliases, path_collisions, archive_names, large_media, snapshot_dedup, archive_estimate, page_route_map, resource_route_map, exclusion_union, missing_files, script_scan, zip_members, archive_scripts, archive_verdicts, validation_status, user_status, route_decisions, crawl_rounds, crawl_completed, fetch_frontier, validation_plan, optimization_summary, deflated_archive, hydrated_bodies, mission_records, archive_manifests, byte_budget, crawl_reachable, body_chunks, committed_bodies, orphan_bodies, mission_recovery, stored_bodies, quota_status)}
 
 _PATH_SQL = f"s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m), ap AS (SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS path FROM h)"
 _ANCHOR_SQL = "a0 AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs FROM pages), anchors AS (SELECT page_id, i - 1 AS n, hs[i] AS href FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a0))"
@@ -325,6 +348,11 @@ scan AS (SELECT archive, path, 'stale-subresource-integrity' AS code, NULL AS ur
  UNION ALL SELECT archive, path, 'duplicate-executable-reference', src FROM (SELECT *, row_number() OVER (PARTITION BY archive, path, regexp_replace(src, '#.*$', '') ORDER BY n) AS r FROM tags WHERE src <> '') WHERE r > 1)"""
 
 ORACLE_SQL = {
+    "stored_bodies": """WITH w AS (SELECT page_id % 5 AS mission, html AS text, 0 AS batch FROM pages WHERE page_id % 11 <> 0 UNION ALL SELECT 5 + doc_id % 3, coalesce(text, ''), 1 FROM documents UNION ALL SELECT 6, html, 1 FROM pages WHERE page_id % 4 = 0),
+o AS (SELECT DISTINCT 'sha256:' || sha256(text) AS content_hash, mission FROM w WHERE mission <> 2),
+b AS (SELECT 'sha256:' || sha256(text) AS content_hash, max(strlen(text)) AS size, min(batch) AS batch_id FROM w GROUP BY 1)
+SELECT b.content_hash, CAST(size AS BIGINT) AS size, CAST(ceil(size / 4096) AS INTEGER) AS chunk_count, batch_id, n.owners, n.first_owner, CAST(ceil(size / 4096) AS BIGINT) AS chunks, CAST(size AS BIGINT) AS bytes
+FROM b JOIN (SELECT content_hash, count(*) AS owners, min(mission) AS first_owner FROM o GROUP BY 1) n ON n.content_hash = b.content_hash""",
     "zip_members": f"WITH {_ARCHIVED_SQL} SELECT archive, path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM a",
     "archive_scripts": f"WITH {_ARCHIVED_SQL} SELECT archive, path, code, url FROM scan",
     "archive_verdicts": f"""WITH {_ARCHIVED_SQL}, lost AS (SELECT w.archive, w.path FROM (SELECT DISTINCT archive, unnest(['index.html', 'p/0.html', 'p/3.html']) AS path FROM a) w WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.archive = w.archive AND a.path = w.path) OR (w.archive = 'archive-7' AND w.path = 'index.html')),
