@@ -105,11 +105,12 @@ def document_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sanitized_headers(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id")
-    referer = F.concat(F.lit("https://u:p@h.test/?token=abcd1234&q="), k)
-    headers = F.create_map(F.lit("Cookie"), F.concat(F.lit("sid="), k), F.lit("X-Session-Token"), F.lit("abc"), F.lit("Accept"), F.lit("text/html"), F.lit("X-Note"), F.concat(F.lit("Basic abcdefgh"), k), F.lit("Referer"), referer)
-    h = _table(spark, sf, "events").select("event_id", privacy.sanitized_headers(headers).alias("h"))
-    names = {"cookie": "Cookie", "session": "X-Session-Token", "accept": "Accept", "note": "X-Note", "referer": "Referer"}
+    """Headers of every request: where it comes from, with credentials and a token planted in the page's own URL, what it posts, and secrets of three kinds."""
+    k, plain = F.col("event_id"), F.col("normalized_url")
+    referer = F.concat(F.regexp_replace(plain, "^([a-z]+://)", "$1me:secret@"), F.when(F.contains(plain, F.lit("?")), "&").otherwise("?"), F.lit("token=abcd1234"), k)
+    headers = F.create_map(F.lit("Cookie"), F.concat(F.lit("sid="), k), F.lit("X-Session-Token"), F.lit("abc"), F.lit("Accept"), F.col("content_type"), F.lit("X-Note"), F.concat(F.lit("Basic abcdefgh"), k), F.lit("Referer"), referer, F.lit("X-Body"), F.coalesce("request_body", F.lit("")))
+    h = dealt(capture.requests(spark, sf)).select("event_id", privacy.sanitized_headers(headers).alias("h"))
+    names = {"cookie": "Cookie", "session": "X-Session-Token", "accept": "Accept", "note": "X-Note", "referer": "Referer", "posted": "X-Body"}
     return h.select("event_id", *[F.col("h.headers")[name].alias(column) for column, name in names.items()], F.size("h.findings").alias("found"))
 
 
@@ -123,11 +124,14 @@ def sanitized_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sanitized_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("page_id")
+    """Bodies with secrets planted: JSON that names the page's URL, forms that name letters of it, and whole pages as text."""
+    k, plain = F.col("page_id"), urls.normalized(F.col("url"))
     kind = F.when(k % 3 == 0, "application/json").when(k % 3 == 1, "application/x-www-form-urlencoded").otherwise("text/plain")
-    body = F.when(k % 3 == 0, F.concat(F.lit('{"user":{"password":"p'), k, F.lit('","name":"n"},"list":[1,"Bearer abcdefgh1"]}'))).when(k % 3 == 1, F.concat(F.lit("name=n&api_key=k"), k)).otherwise(F.when(k % 2 == 0, "plain").otherwise("token: abcdefgh12345"))
+    as_json = F.concat(F.lit('{"user":{"password":"p'), k, F.lit('","name":"'), plain, F.lit('"},"list":[1,"Bearer abcdefgh1"]}'))
+    form = F.concat(F.lit("name="), F.regexp_replace(plain, "[^a-z]", ""), F.lit("&api_key=k"), k)
+    body = F.when(k % 3 == 0, as_json).when(k % 3 == 1, form).otherwise(F.concat("html", F.when(k % 2 == 0, "").otherwise(" token: abcdefgh12345")))
     s = _table(spark, sf, "pages").select("page_id", privacy.sanitized_body(body, kind).alias("s"))
-    return s.select("page_id", "s.body", "s.safe", F.size("s.findings").alias("found"))
+    return s.select("page_id", F.sha2("s.body", 256).alias("body"), "s.safe", F.size("s.findings").alias("found"))
 
 
 def sanitized_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,9 +263,9 @@ UNION ALL SELECT CAST(page_id AS VARCHAR), 1, '/i' || page_id || '.png', CASE WH
     "secret_findings": f"WITH {_PLANTED}, f AS ({_FOUND}) SELECT doc_id, category, confidence, '<redacted:' || {_BUCKET} || ' chars>' AS masked FROM f",
     "redacted_texts": f"WITH {_PLANTED} SELECT doc_id, t AS text FROM t5",
     "document_secrets": f"WITH {_scan_sql('documents', 'text')}, f AS ({_FOUND}) SELECT doc_id, category, count(*) AS n FROM f GROUP BY 1, 2",
-    "sanitized_headers": "SELECT event_id, '[REDACTED]' AS cookie, '[REDACTED]' AS session, 'text/html' AS accept, '[REDACTED]' AS note, 'https://%5BREDACTED%5D:%5BREDACTED%5D@h.test/?token=%5BREDACTED%5D&q=' || event_id AS referer, 6 AS found FROM events",
+    "sanitized_headers": with_(REQUESTS, "SELECT event_id, '[REDACTED]' AS cookie, '[REDACTED]' AS session, content_type AS accept, '[REDACTED]' AS note, regexp_replace(normalized_url, '^([a-z]+://)', '\\1%5BREDACTED%5D:%5BREDACTED%5D@') || CASE WHEN contains(normalized_url, '?') THEN '&' ELSE '?' END || 'token=%5BREDACTED%5D' AS referer, coalesce(request_body, '') AS posted, 6 AS found FROM requests"),
     "sanitized_urls": "WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS plain FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(plain, '^([a-z]+://)', '\\1%5BREDACTED%5D:%5BREDACTED%5D@') ELSE plain END || CASE WHEN contains(plain, '?') THEN '&' ELSE '?' END || 'token=%5BREDACTED%5D&code=x' || CASE WHEN page_id % 4 = 0 THEN '' ELSE '#top' END AS url, 1 + CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS found FROM p",
-    "sanitized_bodies": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{\"user\":{\"password\":\"[REDACTED]\",\"name\":\"n\"},\"list\":[1,\"[REDACTED]\"]}' WHEN page_id % 3 = 1 THEN 'name=n&api_key=%5BREDACTED%5D' WHEN page_id % 2 = 0 THEN 'plain' ELSE '[REDACTED]' END AS body, page_id % 3 < 2 OR page_id % 2 = 0 AS safe, CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN 1 WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS found FROM pages",
+    "sanitized_bodies": "WITH p AS (SELECT *, regexp_replace(url, '#.*$', '') AS plain FROM pages) SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN '{\"user\":{\"password\":\"[REDACTED]\",\"name\":\"' || plain || '\"},\"list\":[1,\"[REDACTED]\"]}' WHEN page_id % 3 = 1 THEN 'name=' || regexp_replace(plain, '[^a-z]', '', 'g') || '&api_key=%5BREDACTED%5D' WHEN page_id % 2 = 0 THEN html ELSE '[REDACTED]' END) AS body, page_id % 3 < 2 OR page_id % 2 = 0 AS safe, CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN 1 WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS found FROM p",
     "sanitized_metadata": "SELECT event_id, '[REDACTED]' AS session, 'https://%5BREDACTED%5D:%5BREDACTED%5D@h.test/?key=%5BREDACTED%5D' AS at, 4 AS found FROM events",
     "sanitized_requests": with_(REQUESTS, "SELECT id, original_url, CAST(json(request_body) AS VARCHAR) AS request_body, request_body_hash, 0 AS redactions FROM requests"),
     "private_artifacts": f"WITH {_scan_sql('documents', 'text')} SELECT doc_id, text || ' note end. see https://a.test/?token=%5BREDACTED%5D' AS text, CAST(NULL AS VARCHAR) AS content_hash, true AS sanitized FROM t5 WHERE doc_id % 5 = 4 AND len(m1) + len(m2) + len(m3) + len(m4) + len(m5) = 0",

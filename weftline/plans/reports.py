@@ -133,8 +133,8 @@ def cache_exchanges(spark: SparkSession, sf: str) -> DataFrame:
 def header_maps(spark: SparkSession, sf: str) -> DataFrame:
     """Headers as lists with a repeated name, as maps."""
     h = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
-    m = capture.table(spark, sf, "events").select("event_id", media.header_map(F.array(h("Accept", F.lit("a")), h("X-N", F.col("event_id")), h("Accept", F.col("user_id")), h("Empty", F.lit(None)))).alias("m"))
-    return m.select("event_id", F.col("m")["Accept"].alias("accept"), F.col("m")["X-N"].alias("n"), F.col("m")["Empty"].alias("empty"), F.size("m").alias("names"))
+    m = capture.requests(spark, sf).select("event_id", media.header_map(F.array(h("Referer", F.lit("a")), h("X-Body", F.col("request_body")), h("Referer", F.col("original_url")), h("Content-Type", F.col("content_type")))).alias("m"))
+    return m.select("event_id", F.col("m")["Referer"].alias("referer"), F.col("m")["X-Body"].alias("posted"), F.col("m")["Content-Type"].alias("type"), F.size("m").alias("names"))
 
 
 def state_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,7 +186,7 @@ ORACLE_SQL = {
     "form_snapshots": "SELECT page_id AS id, '{\"redactedFields\":' || (page_id % 3) || ',\"password\":\"[REDACTED]\"}' AS json, CASE WHEN page_id % 3 > 0 THEN 2 ELSE 1 END AS found, CASE WHEN page_id % 3 > 0 THEN '<redacted:' || (page_id % 3) || ' fields>' END AS masked FROM pages",
     "child_targets": "SELECT page_id % 20 AS mission_id, 'target-' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'iframe' ELSE 'worker' END AS target_type, 's-' || page_id AS session_id, CASE WHEN page_id % 4 > 0 THEN url ELSE '' END AS original_url, CASE WHEN page_id % 10 <> 9 THEN 'root-' || (page_id % 20) END AS parent_target_id, 'observed' AS provenance FROM pages",
     "cache_exchanges": f"SELECT 'exchange-' || k AS exchange_id, 'request-' || k AS request_id, 'response-' || k AS response_id, 'GET' AS method, {normal('url')} AS normalized_url, 200 + page_id % 4 * 50 AS status, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size, 'CacheStorage' AS resource_type, 'browser-cache' AS classification FROM (SELECT *, (page_id % 5) || '-' || page_id AS k FROM pages) WHERE page_id % 9 <> 0 AND page_id % 4 < 2",
-    "header_maps": "SELECT event_id, CAST(user_id AS VARCHAR) AS accept, CAST(event_id AS VARCHAR) AS n, '' AS empty, 3 AS names FROM events",
+    "header_maps": with_(REQUESTS, "SELECT event_id, original_url AS referer, coalesce(request_body, '') AS posted, content_type AS type, 3 AS names FROM requests"),
     "state_fingerprints": "SELECT page_id, CAST(list_reduce(list_prepend(5381::BIGINT, [ord(c)::BIGINT FOR c IN string_split(substr(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g'), 1, 200), '')]), lambda h, c: xor((h * 33) & 4294967295, c)) AS VARCHAR) AS fingerprint FROM pages",
     "runtime_texts": "SELECT page_id, sha256(replace(replace(replace(replace(replace(html || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped, '{\"a\":\"\\u003c/script>\\u0060\",\"page_id\":' || page_id || '}' AS json, false AS open FROM pages",
     "shown_sizes": "WITH n AS (SELECT page_id, strlen(html) * [0, 1, 300, 300000, 300000000][page_id % 5 + 1] AS n FROM pages), u AS (SELECT page_id, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM n), t AS (SELECT *, (n * 20 + CAST(pow(1024, k) AS BIGINT)) // (2 * CAST(pow(1024, k) AS BIGINT)) AS tenths FROM u) SELECT page_id, CASE WHEN k = 0 THEN n || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS shown FROM t",
