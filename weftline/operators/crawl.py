@@ -112,11 +112,16 @@ def frontier(found: DataFrame, held: DataFrame, max_resources: int = MAX_RESOURC
 
     Each URL once, where it stands first. Pages beyond max_pages of a capture aren't queued, nor is anything once max_resources are; queued tells.
     """
-    first = found.withColumn("url", urls.normalized(F.col("url"))).groupBy("capture", "url").agg(F.min_by(F.struct("kind", "position"), "position").alias("first")).select("capture", "url", "first.*")
-    new = first.join(held.select("capture", urls.normalized(F.col("url")).alias("url")).distinct(), ["capture", "url"], "left_anti")
-    so_far = Window.partitionBy("capture").orderBy("position", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = (F.col("kind") != "page") | (F.sum((F.col("kind") == "page").cast("int")).over(so_far) <= max_pages)
-    return new.withColumn("fits", fits).withColumn("queued", F.col("fits") & (F.sum(F.col("fits").cast("int")).over(so_far) <= max_resources)).drop("fits")
+    normal = found.withColumn("url", urls.normalized(F.col("url")))
+    first = normal.groupBy("capture", "url").agg(F.min_by(F.struct("kind", "position"), "position").alias("first")).select("capture", "url", "first.*")
+    new = materialized(first.join(held.select("capture", urls.normalized(F.col("url")).alias("url")).distinct(), ["capture", "url"], "left_anti"))
+    # what can be queued is few rows of a capture, cut off by rank before they meet; the rest is marked without being sorted
+    page = F.col("kind") == "page"
+    place = F.row_number().over(Window.partitionBy("capture", "page").orderBy("position", "url"))
+    few = new.withColumn("page", page).withColumn("place", place).where(F.col("place") <= max(max_pages, max_resources))
+    few = few.where(~F.col("page") | (F.col("place") <= max_pages))
+    queued = few.withColumn("n", F.row_number().over(Window.partitionBy("capture").orderBy("position", "url"))).where(F.col("n") <= max_resources)
+    return new.join(queued.select("capture", "url", F.lit(True).alias("queued")), ["capture", "url"], "left").withColumn("queued", F.coalesce("queued", F.lit(False)))
 
 
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
