@@ -80,8 +80,15 @@ def record_counts(families: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).withColumn("family", F.lit(name)) for name, df in families.items()]).select("family", "n")
 
 
+def variant_rows(requests: DataFrame) -> DataFrame:
+    """Requests (normalized_url, sequence, id, method, request_body_hash, provenance) of URLs that were requested more than once, a row each: (url, n, place, id, method, ...). A URL of many requests is many tasks."""
+    rows = materialized(requests.select(F.col("normalized_url").alias("url"), "sequence", "id", "method", "request_body_hash", "provenance").where("url is not null"))
+    several = materialized(rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("asked", F.col("n")))
+    return ranks.ranked(ranks.joined(rows, several, ["url"], "asked"), ["url"], ["sequence", "id"], "place").drop("sequence")
+
+
 def request_variants(requests: DataFrame) -> DataFrame:
-    """URLs that were requested more than once, with their variants in order."""
+    """URLs that were requested more than once, with their variants in order, as a report lists them; variant_rows has no list in a row."""
     variants = F.array_sort(F.collect_list(F.struct("sequence", "id", "method", "request_body_hash", "provenance")))
     return requests.groupBy(F.col("normalized_url").alias("url")).agg(F.count(F.lit(1)).alias("n"), variants.alias("variants")).where("n > 1")
 

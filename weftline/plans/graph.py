@@ -49,6 +49,10 @@ def request_variants(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("url", "n", F.to_json(F.transform("variants", lambda x: F.concat_ws("|", x["id"], x["method"], F.coalesce(x["request_body_hash"], F.lit("-")), x["provenance"]))).alias("variants"))
 
 
+def request_variant_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.variant_rows(capture.requests(spark, sf))
+
+
 def redirect_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return capture.redirects(spark, sf).select(F.col("id").alias("request_id"), "predecessor_id", "predecessor_url", "original_url", "normalized_url")
 
@@ -93,7 +97,7 @@ def completeness(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("discovered", "saved", (n - saved).alias("unresolved"), F.when(n > 0, F.floor((2000 * saved + n) / (2 * n)) / 10).otherwise(100.0).cast("double").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (first_body_per_url, api_snapshots, replay_exchanges, replay_misses, provenance_counts, body_provenance, record_counts, request_variants, redirect_pairs, redirect_closure, body_aliases, rendered_pages, graph_violations, completeness)}
+QUERIES = {f.__name__: f for f in (first_body_per_url, api_snapshots, replay_exchanges, replay_misses, provenance_counts, body_provenance, record_counts, request_variants, request_variant_rows, redirect_pairs, redirect_closure, body_aliases, rendered_pages, graph_violations, completeness)}
 
 _COUNT_FAMILIES = " UNION ALL ".join(f"SELECT '{f}' AS family, provenance FROM {t}" for f, t in (("requests", "requests"), ("responses", "responses"), ("api_exchanges", "exchanges")))
 _PROVENANCES = ", ".join(f"('{p}')" for p in capture.PROVENANCES)
@@ -107,6 +111,7 @@ ORACLE_SQL = {
     "body_provenance": with_(RESPONSES, "SELECT provenance, count(DISTINCT body_id) AS bodies FROM responses WHERE body_id IS NOT NULL GROUP BY 1"),
     "record_counts": with_(RESPONSES, "SELECT 'requests' AS family, count(*) AS n FROM requests UNION ALL SELECT 'responses', count(*) FROM responses UNION ALL SELECT 'bodies', count(DISTINCT body_id) FROM responses UNION ALL SELECT 'api_exchanges', count(*) FROM exchanges"),
     "request_variants": with_(REQUESTS, "SELECT normalized_url AS url, count(*) AS n, '[' || string_agg('\"' || concat_ws('|', id, method, coalesce(request_body_hash, '-'), provenance) || '\"', ',' ORDER BY sequence) || ']' AS variants FROM requests GROUP BY 1 HAVING count(*) > 1"),
+    "request_variant_rows": with_(REQUESTS, "SELECT * FROM (SELECT normalized_url AS url, count(*) OVER u AS n, row_number() OVER (PARTITION BY normalized_url ORDER BY sequence) AS place, id, method, request_body_hash, provenance FROM requests WINDOW u AS (PARTITION BY normalized_url)) WHERE n > 1"),
     "redirect_pairs": with_(REDIRECTS, "SELECT id AS request_id, predecessor_id, predecessor_url, original_url, normalized_url FROM redirects"),
     "redirect_closure": f"WITH RECURSIVE p AS (SELECT page_id, 'https://p.test/' || page_id AS url FROM pages), walk AS (SELECT page_id AS start, page_id AS here, 0 AS hops FROM p UNION ALL SELECT start, here // 2, hops + 1 FROM walk WHERE here % 5 <> 0 AND here > 1) SELECT a.url, b.url AS resource, w.hops FROM p a LEFT JOIN (SELECT * FROM (SELECT start, CASE WHEN here % 5 <> 0 AND here = 1 THEN 0 ELSE here END AS here, CASE WHEN here % 5 <> 0 AND here = 1 THEN hops + 1 ELSE hops END AS hops FROM walk WHERE here % 5 = 0 OR here = 1)) w ON w.start = a.page_id LEFT JOIN p b ON b.page_id = w.here",
     "body_aliases": with_(RESPONSES, "SELECT body_id, any_value(content_hash) AS content_hash, any_value(size) AS size, count(*) AS n_responses, count(DISTINCT normalized_url) AS n_urls, min(sequence) AS first_sequence FROM responses WHERE body_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
