@@ -662,3 +662,37 @@ def test_words_and_hashes():
     assert (h[0] == h[2], h[1] == h[4], len(set(h.tolist()))) == (True, True, 3)
     assert [len(p) for p in slices(pa.array(["x" * 50] * 4), 60)] == [1, 1, 1, 1]
     assert list(slices(pa.array([], pa.string()))) == []
+
+
+# long texts -------------------------------------------------------------------------------------------------------
+
+
+def test_texts_of_megabytes(spark, tokenizer):
+    """Whole texts of two megabytes, near copies, one word of a hundred thousand letters, other scripts: through every operator on documents."""
+    import random
+
+    random.seed(6)
+    words = ["".join(random.choices(string.ascii_lowercase, k=random.randint(2, 9))) for _ in range(5000)]
+    first = random.choices(words, k=330_000)
+    second = list(first)
+    for at in random.sample(range(len(first)), 300):
+        second[at] = "other"
+    texts = {1: " ".join(first), 2: " ".join(second), 3: "".join(random.choices(string.ascii_lowercase, k=100_000)), 4: "日本語 テスト\n" * 80_000 + "Apache License."}
+    assert len(texts[1].encode()) > 2_000_000
+    docs = spark.createDataFrame([(i, t, "en" if i < 3 else "ja", "s", i) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {i: len(WORD.findall(t)) for i, t in texts.items()}
+    near = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in minhash.near_duplicates(docs, minhash.Settings(words=4)).collect()}
+    assert near == {i: (1 if i == 2 else i, len(shingle_set(t, 4))) for i, t in texts.items()}
+    ids = {i: ids_of(tokenizer, t) for i, t in texts.items()}
+    pieces = packing.pack_documents(docs).collect()
+    assert Counter({i: len(x) for i, x in ids.items()}) == sum((Counter({r["doc_id"]: r["length"]}) for r in pieces), Counter())
+    assert {(r["doc_id"], r["ids_crc32"]) for r in pieces} == {(i, crc(x[a:b])) for i, x in ids.items() for a, b in zip([0, *range((len(x) - 1) % 1024 + 1, len(x), 1024)], [*range((len(x) - 1) % 1024 + 1, len(x) + 1, 1024)], strict=True)}
+    assert {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.token_file(docs, with_ids=False).collect()} == {(i, len(x), crc(x)) for i, x in ids.items()}
+    scanned = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert scanned[4]["base_labels"] == "apache"
+    assert scanned[1]["n_words"] == 330_000
+    told = {r["doc_id"]: r for r in langid.predict(docs).collect()}
+    assert {i: r["lang_pred"] for i, r in told.items() if not r["held_out"]} == {i: "en" if i < 3 else "ja" for i, r in told.items() if not r["held_out"]}
+    scores = toxicity.predict(docs, spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert all(0 <= r["score"] <= 1 for r in scores)
+    assert len(scores) == 4

@@ -117,6 +117,7 @@ def balanced_centroids(sample: np.ndarray, n: int, *, seed: int = 5) -> np.ndarr
 
 
 def centroid_graph(sample: np.ndarray, n: int, degree: int, *, seed: int = 5) -> CentroidGraph:
+    """The centroids of a sample of one vector or more, each linked to its degree nearest and to two anywhere."""
     centroids = balanced_centroids(sample, n).astype(np.float32)
     total = len(centroids)
     random = np.random.default_rng(seed)
@@ -173,15 +174,22 @@ def _nearest_of_all(vectors: DataFrame, ids: np.ndarray, v: np.ndarray, k: int)
     asked = vectors.sparkSession.sparkContext.broadcast((ids, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's k best for each query, given once at its end."""
         ids, queries = asked.value
+        held = [(np.zeros(0), np.zeros(0, np.int64), []) for _ in ids]
         for batch in batches:
-            theirs, x = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f8").reshape(batch.num_rows, -1)
-            for own, q in zip(ids, queries, strict=True):
+            theirs, vs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            x = np.frombuffer(b"".join(vs), "<f8").reshape(batch.num_rows, -1)
+            for n, (own, q) in enumerate(zip(ids, queries, strict=True)):
                 score = np.sqrt(((x - q) ** 2).sum(1))
                 score[theirs == own] = np.inf
                 few = np.lexsort((theirs, score))[:k]
                 few = few[np.isfinite(score[few])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(few), own)), batch.column(0).take(pa.array(few)), batch.column(1).take(pa.array(few)), pa.array(score[few])], names=["query_id", "vec_id", "v", "score"])
+                scores, found, kept = np.concatenate([held[n][0], score[few]]), np.concatenate([held[n][1], theirs[few]]), held[n][2] + [vs[i] for i in few]
+                best = np.lexsort((found, scores))[:k]
+                held[n] = (scores[best], found[best], [kept[i] for i in best])
+        for own, (scores, found, kept) in zip(ids, held, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), own)), pa.array(found), pa.array(kept, pa.binary()), pa.array(scores)], names=["query_id", "vec_id", "v", "score"])
 
     found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, v binary, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

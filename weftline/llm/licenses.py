@@ -133,6 +133,7 @@ def spaces(text: Column) -> Column:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
+    """The signature rules as rows, of a fixed number."""
     return spark.createDataFrame(signature_rules(), RULES_SCHEMA)
 
 

@@ -16,42 +16,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicates, by shingles of four words."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=4)).drop("row_no", "root")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the token files."""
     return tokenfile.token_file(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest found of every vector whose id is divisible by 100."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives."""
     return warc.archive_and_read(table(spark, sf_dir, "pages")).withColumnRenamed("record_id", "page_id")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest inner products of every vector whose id is divisible by 100."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, learned from those that aren't held out."""
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, learned from labels that aren't held out."""
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licenses."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 

@@ -258,7 +258,8 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
 def token_file(docs: DataFrame, *, path: str | None = None, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Writes documents as a token file, reads it back: (doc_id, start, n_tokens, ids_crc32[, ids]).
 
-    start counts the ids of all documents before it in the file.
+    start counts the ids of all documents before it in the file. A null or empty text is the end id alone; repeated rows are documents of their own, one after another; rows without id come
+    first. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark)

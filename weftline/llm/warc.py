@@ -243,7 +243,10 @@ def read_back(spark: SparkSession, path: str, *, chunk: int = CHUNK) -> DataFram
 
 
 def archive_and_read(pages: DataFrame, *, path: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes the archives below path (a new shared folder without one) and reads them back: (record_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Writes the archives below path (a new shared folder without one) and reads them back: (record_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    A null payload is empty; a null URL isn't written; repeated rows are records of their own, of which one is the response. An empty table gives an empty result.
+    """
     path = path or shared_dir(pages.sparkSession)
     archive(pages, path, least_bytes=least_bytes, id_col=id_col, url_col=url_col, payload_col=payload_col)
     return read_back(pages.sparkSession, path)
