@@ -359,18 +359,34 @@ FROM b JOIN (SELECT content_hash, count(*) AS owners, min(mission) AS first_owne
 d AS (SELECT archive, CASE WHEN path = 'p/3.html' THEN 1 ELSE 0 END AS error FROM lost UNION ALL SELECT archive, 0 FROM scan)
 SELECT a.archive, CASE WHEN coalesce(max(error), 0) > 0 THEN 'failed' WHEN count(d.archive) > 0 THEN 'partial' ELSE 'ready' END AS status, count(d.archive) AS issue_count, 0 AS info_count, CASE WHEN count(d.archive) > 0 THEN 'rewrite-failure=' || count(d.archive) ELSE '' END AS categories FROM (SELECT DISTINCT archive FROM a) a LEFT JOIN d ON d.archive = a.archive GROUP BY a.archive""",
     "catalog_outcomes": f"WITH {_RESOURCES_SQL} SELECT position, url, outcome FROM judged",
-    "catalog_stats": f"WITH {_RESOURCES_SQL} SELECT sum(size) FILTER (WHERE outcome <> 'repeated') AS logical_bytes, sum(size) FILTER (WHERE outcome = 'kept') AS physical_bytes, coalesce(sum(size) FILTER (WHERE outcome = 'duplicate'), 0) AS deduplicated_bytes, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_bodies, coalesce(sum(size) FILTER (WHERE outcome = 'source-map'), 0) AS excluded_bytes, count(*) FILTER (WHERE outcome = 'kept') AS resources FROM judged",
+    "catalog_stats":
+        f"WITH {_RESOURCES_SQL} "
+        f"SELECT sum(size) FILTER (WHERE outcome <> 'repeated') AS logical_bytes, sum(size) FILTER (WHERE outcome = 'kept') AS physical_bytes, coalesce(sum(size) FILTER (WHERE outcome = 'duplicate'), 0) AS deduplicated_bytes, count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_bodies, coalesce(sum(size) FILTER (WHERE outcome = 'source-map'), 0) AS excluded_bytes, count(*) FILTER (WHERE outcome = 'kept') AS resources "
+        f"FROM judged",
     "catalog_aliases": f"WITH {_RESOURCES_SQL} SELECT d.url, k.url AS kept_url FROM judged d JOIN judged k ON d.dedup_key = k.dedup_key AND k.outcome = 'kept' AND k.dedup_key <> '' WHERE d.outcome = 'duplicate'",
     "archive_names": """WITH RECURSIVE b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, 'assets/one.test/' || regexp_extract(url, '([a-z])[a-z0-9]*[^/a-z]*$', 1) || CASE WHEN page_id % 3 > 0 THEN '-' || (page_id % 13) ELSE '' END || CASE WHEN page_id % 5 = 1 THEN '-' || (page_id % 4) ELSE '' END AS front FROM pages),
 w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used UNION ALL
  SELECT b.i, list_append(w.used, list_filter(list_transform(range(1, len(w.used) + 3), lambda n: b.front || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.html'), lambda x: NOT list_contains(w.used, x))[1]) FROM w JOIN b ON b.i = w.i + 1)
 SELECT b.page_id AS position, w.used[b.i] AS local_path FROM b JOIN w ON w.i = (SELECT max(i) FROM b)""",
-    "path_collisions": "SELECT page_id AS position, 'assets/one.test/p' || (page_id % 11) || CASE WHEN row_number() OVER (PARTITION BY page_id % 11 ORDER BY page_id) > 1 THEN '-' || row_number() OVER (PARTITION BY page_id % 11 ORDER BY page_id) ELSE '' END || '.html' AS local_path FROM pages",
+    "path_collisions":
+        "SELECT page_id AS position, 'assets/one.test/p' || (page_id % 11) || CASE WHEN row_number() OVER (PARTITION BY page_id % 11 "
+        "ORDER BY page_id) > 1 THEN '-' || row_number() OVER (PARTITION BY page_id % 11 ORDER BY page_id) ELSE '' END || '.html' AS local_path FROM pages",
     "large_media": "SELECT count(*) AS candidates, coalesce(sum(strlen(html) * 10000), 0) AS bytes FROM pages WHERE page_id % 3 = 0 AND strlen(html) * 10000 >= 26214400",
-    "snapshot_dedup": with_(RESPONSES, ", r AS (SELECT 'sha256:' || sha256(html) AS content_hash, arg_max('/assets/' || page_id || '.html', page_id) AS path FROM pages WHERE page_id % 2 = 0 GROUP BY 1), s AS (SELECT x.sequence AS position, x.content_hash, r.path, row_number() OVER w AS n, first_value('api-snapshots/' || x.sequence || '.bin') OVER w AS first_path FROM exchanges x LEFT JOIN r ON r.content_hash = x.content_hash WHERE x.content_hash IS NOT NULL WINDOW w AS (PARTITION BY x.content_hash ORDER BY x.sequence)) SELECT position, coalesce(path, first_path) AS served_from, path IS NULL AND n = 1 AS written FROM s"),
-    "archive_estimate": "WITH f AS (SELECT 'assets/' || page_id || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.html' ELSE '.bin' END AS path, strlen(html) AS size, CASE page_id % 4 WHEN 0 THEN 99 WHEN 1 THEN 52 ELSE 82 END AS ratio FROM pages) SELECT count(*) AS file_count, sum(size) AS physical_bytes, sum((size * ratio + 99) // 100) + sum(92 + 2 * strlen(path)) + 22 AS estimated_archive_bytes, greatest(0, sum(size) - sum((size * ratio + 99) // 100)) AS estimated_bytes_saved FROM f",
+    "snapshot_dedup": with_(RESPONSES,
+        ", r AS (SELECT 'sha256:' || sha256(html) AS content_hash, arg_max('/assets/' || page_id || '.html', page_id) AS path FROM pages WHERE page_id % 2 = 0 "
+        "GROUP BY 1), s AS (SELECT x.sequence AS position, x.content_hash, r.path, row_number() OVER w AS n, first_value('api-snapshots/' || x.sequence || '.bin') "
+        "OVER w AS first_path FROM exchanges x LEFT JOIN r ON r.content_hash = x.content_hash WHERE x.content_hash IS NOT NULL WINDOW w AS (PARTITION BY x.content_hash "
+        "ORDER BY x.sequence)) SELECT position, coalesce(path, first_path) AS served_from, path IS NULL AND n = 1 AS written FROM s"),
+    "archive_estimate":
+        "WITH f AS (SELECT 'assets/' || page_id || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.html' ELSE '.bin' END AS path, strlen(html) AS size, CASE page_id % 4 WHEN 0 THEN 99 WHEN 1 THEN 52 ELSE 82 END AS ratio "
+        "FROM pages) "
+        "SELECT count(*) AS file_count, sum(size) AS physical_bytes, sum((size * ratio + 99) // 100) + sum(92 + 2 * strlen(path)) + 22 AS estimated_archive_bytes, greatest(0, sum(size) - sum((size * ratio + 99) // 100)) AS estimated_bytes_saved "
+        "FROM f",
     "page_route_map": f"SELECT {path_key('url')} AS path_key, arg_max('/assets/' || page_id, page_id) AS local_path FROM pages WHERE {path_key('url')} <> '/' GROUP BY 1",
-    "resource_route_map": f"WITH k AS (SELECT {pathname('url')} || {search('url')} AS path_key, {origin('url')} AS origin, page_id, '/assets/' || page_id AS local_path FROM pages), e AS (SELECT * FROM k UNION ALL SELECT path_key, 'https://mirror.test', page_id, '/assets/mirror' FROM k WHERE page_id % 3 = 0) SELECT path_key, arg_max(local_path, page_id) AS local_path FROM e GROUP BY 1 HAVING count(DISTINCT origin) = 1",
+    "resource_route_map":
+        f"WITH k AS (SELECT {pathname('url')} || {search('url')} AS path_key, {origin('url')} AS origin, page_id, '/assets/' || page_id AS local_path FROM pages), e AS (SELECT * "
+        f"FROM k UNION ALL SELECT path_key, 'https://mirror.test', page_id, '/assets/mirror' FROM k WHERE page_id % 3 = 0) "
+        f"SELECT path_key, arg_max(local_path, page_id) AS local_path FROM e GROUP BY 1 HAVING count(DISTINCT origin) = 1",
     "exclusion_union": f"WITH {_RESOURCES_SQL} SELECT 'source-map' AS kind, url, 'excluded-by-default' AS reason, min(size) AS bytes FROM judged WHERE outcome = 'source-map' GROUP BY url",
     "missing_files": f"WITH {_PATH_SQL} SELECT DISTINCT path, CASE WHEN page_id % 2 = 0 THEN 'error' ELSE 'warning' END AS severity FROM ap WHERE path NOT IN (SELECT path FROM ap WHERE page_id % 9 <> 0)",
     "script_scan": """WITH f AS (SELECT 'p/' || page_id || CASE WHEN page_id % 7 = 0 THEN '.txt' ELSE '.html' END AS path, html || CASE WHEN page_id % 3 = 0 THEN '<script src="https://x.test/a.js"></script>' ELSE '' END || CASE WHEN page_id % 4 = 0 THEN '<SCRIPT defer src=''/b.js#1''></SCRIPT><script src="/b.js">' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<link integrity = "sha256-x">' ELSE '' END AS text FROM pages),
@@ -379,7 +395,11 @@ s AS (SELECT path, i, trim(regexp_extract(tags[i], '(?i)\\bsrc\\s*=\\s*["'']([^"
 SELECT path, 'stale-subresource-integrity' AS code, NULL AS url FROM h WHERE regexp_matches(text, '(?i)\\bintegrity\\s*=\\s*["''][^"'']+["'']')
 UNION ALL SELECT path, 'external-executable-reference', src FROM s WHERE regexp_matches(src, '(?i)^(https?:)?//')
 UNION ALL (SELECT path, 'duplicate-executable-reference', src FROM s WHERE src <> '' QUALIFY row_number() OVER (PARTITION BY path, regexp_replace(src, '#.*$', '') ORDER BY i) > 1)""",
-    "crawl_completed": "SELECT page_id // 10 AS crawl, page_id % 10 AS position, CASE WHEN page_id % 10 IN (2, 5) AND page_id // 10 * 10 + CASE page_id % 10 WHEN 2 THEN 7 ELSE 3 END < (SELECT count(*) FROM pages) THEN 'skipped' ELSE 'captured' END AS state, CASE page_id % 10 WHEN 2 THEN 'canonical-alias' WHEN 5 THEN 'redirect-alias' ELSE 'rendered-captured' END AS reason, CASE page_id % 10 WHEN 2 THEN 7 WHEN 5 THEN 3 END AS alias_of FROM pages",
+    "crawl_completed":
+        "SELECT page_id // 10 AS crawl, page_id % 10 AS position, CASE WHEN page_id % 10 IN (2, 5) "
+        "AND page_id // 10 * 10 + CASE page_id % 10 WHEN 2 THEN 7 ELSE 3 END < (SELECT count(*) "
+        "FROM pages) THEN 'skipped' ELSE 'captured' END AS state, CASE page_id % 10 WHEN 2 THEN 'canonical-alias' WHEN 5 THEN 'redirect-alias' ELSE 'rendered-captured' END AS reason, CASE page_id % 10 WHEN 2 THEN 7 WHEN 5 THEN 3 END AS alias_of "
+        "FROM pages",
     "fetch_frontier": f"""WITH {_ANCHOR_SQL}, u AS (SELECT page_id // 10 AS capture, 'https://f.test/' || ((page_id * 5 + n) % 41) AS url, page_id * 1000 + n AS position FROM anchors),
 f AS (SELECT capture, url, min(position) AS position FROM u WHERE url <> 'https://f.test/7' GROUP BY 1, 2), k AS (SELECT *, CASE WHEN position % 3 = 0 THEN 'page' ELSE 'resource' END AS kind FROM f),
 g AS (SELECT *, kind <> 'page' OR sum(CASE WHEN kind = 'page' THEN 1 ELSE 0 END) OVER (PARTITION BY capture ORDER BY position ROWS UNBOUNDED PRECEDING) <= 3 AS fits FROM k)
@@ -400,13 +420,25 @@ SELECT archive, CAST(place AS INTEGER) AS place, url, 'assets/' || page_id || '.
     "archive_manifests": """WITH f AS (SELECT page_id // 50 AS archive, 'assets/' || page_id || '.html' AS path, strlen(html) AS size, sha256(html) AS sha FROM pages)
 SELECT archive, sha256('{"schemaVersion":1,"fileCount":' || count(*) || ',"files":[' || string_agg('{"path":"' || path || '","size":' || size || ',"sha256":"' || sha || '"}', ',' ORDER BY path) || ']}') AS sha FROM f GROUP BY 1""",
     "byte_budget": with_(RESPONSES, "SELECT id, sum(size) OVER w AS so_far, sum(size) OVER w - size < 300000 AS kept FROM responses WHERE size IS NOT NULL WINDOW w AS (PARTITION BY mission_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)"),
-    "validation_status": "WITH n AS (SELECT count(*) FILTER (WHERE page_id % 10 = 0) + count(*) FILTER (WHERE page_id % 8 = 0) AS c, count(*) FILTER (WHERE page_id % 25 = 0) AS v FROM pages) SELECT 'partial' AS status, c + v AS issue_count, 0 AS info_count, 'capture-miss=' || c || ',privacy-risk=' || v AS categories FROM n",
+    "validation_status":
+        "WITH n AS (SELECT count(*) FILTER (WHERE page_id % 10 = 0) + count(*) FILTER (WHERE page_id % 8 = 0) AS c, count(*) FILTER (WHERE page_id % 25 = 0) AS v FROM pages) "
+        "SELECT 'partial' AS status, c + v AS issue_count, 0 AS info_count, 'capture-miss=' || c || ',privacy-risk=' || v AS categories FROM n",
     "user_status": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ready' WHEN page_id % 5 >= 3 AND page_id % 7 >= 4 AND page_id % 2 = 0 THEN 'partial' WHEN page_id % 3 = 1 THEN 'failed' ELSE 'partial' END AS status FROM pages",
     "route_decisions": f"WITH {_DECIDE_SQL}",
-    "crawl_reachable": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), w AS (SELECT 1::BIGINT AS p, 0 AS depth UNION SELECT CASE WHEN s = 0 THEN (2 * p + 1) % n.n ELSE (3 * p + 2) % n.n END, depth + 1 FROM w, n, (VALUES (0), (1)) v(s) WHERE depth < 24) SELECT CAST(p AS VARCHAR) AS url, min(depth) AS depth FROM w GROUP BY 1",
+    "crawl_reachable":
+        "WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), w AS (SELECT 1::BIGINT AS p, 0 AS depth UNION SELECT "
+        "CASE WHEN s = 0 THEN (2 * p + 1) % n.n ELSE (3 * p + 2) % n.n END, depth + 1 FROM w, n, (VALUES (0), (1)) v(s) WHERE depth < 24) "
+        "SELECT CAST(p AS VARCHAR) AS url, min(depth) AS depth FROM w GROUP BY 1",
     "body_chunks": "SELECT CAST(page_id AS VARCHAR) AS storage_key, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS sha, true AS complete FROM pages",
-    "committed_bodies": "SELECT CAST(doc_id AS VARCHAR) AS write_id, 'sha256:' || sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate FROM documents WHERE doc_id % 10 <> 0",
-    "orphan_bodies": with_(RESPONSES, ", o AS (SELECT mission_id, content_hash FROM responses WHERE content_hash IS NOT NULL UNION ALL SELECT (mission_id + 1) % 20, content_hash FROM responses WHERE content_hash IS NOT NULL AND event_id % 50 = 0) SELECT DISTINCT content_hash FROM o WHERE mission_id = 3 AND content_hash NOT IN (SELECT content_hash FROM o WHERE mission_id <> 3)"),
+    "committed_bodies":
+        "SELECT CAST(doc_id AS VARCHAR) AS write_id, 'sha256:' || sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY text "
+        "ORDER BY doc_id) > 1 AS duplicate FROM documents WHERE doc_id % 10 <> 0",
+    "orphan_bodies": with_(RESPONSES,
+        ", o AS (SELECT mission_id, content_hash FROM responses WHERE content_hash IS NOT NULL UNION ALL SELECT (mission_id + 1) % 20, content_hash FROM responses "
+        "WHERE content_hash IS NOT NULL AND event_id % 50 = 0) SELECT DISTINCT content_hash FROM o WHERE mission_id = 3 AND content_hash NOT IN (SELECT content_hash FROM o "
+        "WHERE mission_id <> 3)"),
     "mission_recovery": with_(views.REQUESTS, f", m AS (SELECT user_id AS mission_id, max(ts) AS ts, {list(_STATES)}[user_id % 6 + 1] AS s FROM requests GROUP BY user_id) SELECT mission_id, CASE WHEN s IN ('starting', 'capturing', 'finalizing', 'building') THEN 'interrupted' ELSE s END AS state, CASE WHEN s IN ('starting', 'capturing', 'finalizing', 'building') THEN 'recoverable' ELSE 'none' END AS recovery, ts FROM m"),
-    "quota_status": "SELECT doc_id, greatest(0, 67108864 - doc_id * 100000 - 16777216) AS available, n_chars * 10000 >= 16777216 AS checked, n_chars * 10000 < 16777216 OR n_chars * 10000 <= greatest(0, 67108864 - doc_id * 100000 - 16777216) AS fits FROM documents",
+    "quota_status":
+        "SELECT doc_id, greatest(0, 67108864 - doc_id * 100000 - 16777216) AS available, n_chars * 10000 >= 16777216 AS checked, n_chars * 10000 < 16777216 OR n_chars * 10000 <= greatest(0, 67108864 - doc_id * 100000 - 16777216) AS fits "
+        "FROM documents",
 }

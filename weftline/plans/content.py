@@ -250,7 +250,10 @@ def _values(rows: list[tuple]) -> str:
 
 ORACLE_SQL = {
     "page_links": "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS raw_value FROM pages",
-    "html_references": f"WITH {_LINKS} SELECT owner, CAST(i - 1 AS INTEGER) AS n, 'svg-href' AS syntax, 'navigation' AS role, raw AS raw_value, {_ENC.format(_HOME + ' || raw')} AS resolved_url, 'preserve-navigation' AS policy, start, CAST(start + length(raw) AS INTEGER) AS end FROM links",
+    "html_references":
+        f"WITH {_LINKS} "
+        f"SELECT owner, CAST(i - 1 AS INTEGER) AS n, 'svg-href' AS syntax, 'navigation' AS role, raw AS raw_value, {_ENC.format(_HOME + ' || raw')} AS resolved_url, 'preserve-navigation' AS policy, start, CAST(start + length(raw) AS INTEGER) AS end "
+        f"FROM links",
     "css_references": _values([("0 AS n", "'css-import' AS syntax", "'css-import' AS role", "'base' || page_id || '.css' AS raw_value"), ("1", "'css-url'", "'image'", "'i' || page_id || '.png'"), ("2", "'css-url'", "'font'", "'f.woff2'"), ("3", "'css-image-set'", "'image'", "'s.png'"), ("4", "'css-image-set'", "'image'", "'t.png'")]),
     "js_references": _values([("0 AS n", "'javascript-import-from' AS syntax", "'module' AS role", "'./m' || page_id || '.js' AS raw_value", "'block-unresolved-executable' AS policy"), ("1", "'javascript-dynamic-import'", "'module'", "'/d.js'", "'block-unresolved-executable'"), ("2", "'javascript-src-assignment'", "'script'", "'/e.js'", "'block-unresolved-executable'"), ("3", "'javascript-setattribute-src'", "'script'", "'/f.js'", "'block-unresolved-executable'"), ("4", "'javascript-static-asset-url'", "'image'", "'https://h.test/i.png'", "'localize-if-captured'")]),
     "svg_references": _values([("0 AS n", "'svg-xlink:href' AS syntax", "'resource' AS role", "'#g' || page_id AS raw_value"), ("1", "'svg-href'", "'image'", "'i.png'"), ("2", "'svg-fill'", "'image'", "'p.svg#a'")]),
@@ -263,12 +266,24 @@ UNION ALL SELECT CAST(page_id AS VARCHAR), 1, '/i' || page_id || '.png', CASE WH
     "secret_findings": f"WITH {_PLANTED}, f AS ({_FOUND}) SELECT doc_id, category, confidence, '<redacted:' || {_BUCKET} || ' chars>' AS masked FROM f",
     "redacted_texts": f"WITH {_PLANTED} SELECT doc_id, t AS text FROM t5",
     "document_secrets": f"WITH {_scan_sql('documents', 'text')}, f AS ({_FOUND}) SELECT doc_id, category, count(*) AS n FROM f GROUP BY 1, 2",
-    "sanitized_headers": with_(REQUESTS, "SELECT event_id, '[REDACTED]' AS cookie, '[REDACTED]' AS session, content_type AS accept, '[REDACTED]' AS note, regexp_replace(normalized_url, '^([a-z]+://)', '\\1%5BREDACTED%5D:%5BREDACTED%5D@') || CASE WHEN contains(normalized_url, '?') THEN '&' ELSE '?' END || 'token=%5BREDACTED%5D' AS referer, coalesce(request_body, '') AS posted, 6 AS found FROM requests"),
-    "sanitized_urls": "WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS plain FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(plain, '^([a-z]+://)', '\\1%5BREDACTED%5D:%5BREDACTED%5D@') ELSE plain END || CASE WHEN contains(plain, '?') THEN '&' ELSE '?' END || 'token=%5BREDACTED%5D&code=x' || CASE WHEN page_id % 4 = 0 THEN '' ELSE '#top' END AS url, 1 + CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS found FROM p",
-    "sanitized_bodies": "WITH p AS (SELECT *, regexp_replace(url, '#.*$', '') AS plain FROM pages) SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN '{\"user\":{\"password\":\"[REDACTED]\",\"name\":\"' || plain || '\"},\"list\":[1,\"[REDACTED]\"]}' WHEN page_id % 3 = 1 THEN 'name=' || regexp_replace(plain, '[^a-z]', '', 'g') || '&api_key=%5BREDACTED%5D' WHEN page_id % 2 = 0 THEN html ELSE '[REDACTED]' END) AS body, page_id % 3 < 2 OR page_id % 2 = 0 AS safe, CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN 1 WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS found FROM p",
+    "sanitized_headers": with_(REQUESTS,
+        "SELECT event_id, '[REDACTED]' AS cookie, '[REDACTED]' AS session, content_type AS accept, '[REDACTED]' AS note, regexp_replace(normalized_url, '^([a-z]+://)', '\\1%5BREDACTED%5D:%5BREDACTED%5D@') || "
+        "CASE WHEN contains(normalized_url, '?') THEN '&' ELSE '?' END || 'token=%5BREDACTED%5D' AS referer, coalesce(request_body, '') AS posted, 6 AS found FROM requests"),
+    "sanitized_urls":
+        "WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS plain FROM pages) SELECT page_id, "
+        "CASE WHEN page_id % 3 = 0 THEN regexp_replace(plain, '^([a-z]+://)', '\\1%5BREDACTED%5D:%5BREDACTED%5D@') ELSE plain END || "
+        "CASE WHEN contains(plain, '?') THEN '&' ELSE '?' END || 'token=%5BREDACTED%5D&code=x' || CASE WHEN page_id % 4 = 0 THEN '' ELSE '#top' END AS url, 1 + "
+        "CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS found FROM p",
+    "sanitized_bodies":
+        "WITH p AS (SELECT *, regexp_replace(url, '#.*$', '') AS plain FROM pages) "
+        "SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN '{\"user\":{\"password\":\"[REDACTED]\",\"name\":\"' || plain || '\"},\"list\":[1,\"[REDACTED]\"]}' WHEN page_id % 3 = 1 THEN 'name=' || regexp_replace(plain, '[^a-z]', '', 'g') || '&api_key=%5BREDACTED%5D' WHEN page_id % 2 = 0 THEN html ELSE '[REDACTED]' END) AS body, page_id % 3 < 2 OR page_id % 2 = 0 AS safe, "
+        "CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN 1 WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS found FROM p",
     "sanitized_metadata": "SELECT event_id, '[REDACTED]' AS session, 'https://%5BREDACTED%5D:%5BREDACTED%5D@h.test/?key=%5BREDACTED%5D' AS at, 4 AS found FROM events",
     "sanitized_requests": with_(REQUESTS, "SELECT id, original_url, CAST(json(request_body) AS VARCHAR) AS request_body, request_body_hash, 0 AS redactions FROM requests"),
-    "private_artifacts": f"WITH {_scan_sql('documents', 'text')} SELECT doc_id, text || ' note end. see https://a.test/?token=%5BREDACTED%5D' AS text, CAST(NULL AS VARCHAR) AS content_hash, true AS sanitized FROM t5 WHERE doc_id % 5 = 4 AND len(m1) + len(m2) + len(m3) + len(m4) + len(m5) = 0",
+    "private_artifacts":
+        f"WITH {_scan_sql('documents', 'text')} "
+        f"SELECT doc_id, text || ' note end. see https://a.test/?token=%5BREDACTED%5D' AS text, CAST(NULL AS VARCHAR) AS content_hash, true AS sanitized FROM t5 "
+        f"WHERE doc_id % 5 = 4 AND len(m1) + len(m2) + len(m3) + len(m4) + len(m5) = 0",
     "marked_pages": """WITH m AS (SELECT page_id, html, '<script>document.documentElement.dataset.validationMarker="page:\\"' || page_id || '";</script>' AS s FROM pages) SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN s || replace(html, '<head>', '') ELSE replace(html, '<head>', '<head>' || s) END) AS sha FROM m""",
     "rewrite_diagnostics": f"""SELECT 'resource-parser-html-rewrite-failed' AS code, 'warning' AS severity, 'resource-rewrite' AS phase, count(*) AS n FROM pages WHERE page_id % 5 = 0 AND {_BROKEN} UNION ALL SELECT 'resource-parser-rewrite-failed', 'warning', 'resource-rewrite', count(*) FROM pages WHERE page_id % 5 IN (1, 2) AND {_BROKEN}
 UNION ALL SELECT 'unresolved-subresource', 'warning', 'resource-rewrite', count(*) FROM pages WHERE page_id % 5 IN (0, 1) AND NOT ({_BROKEN}) UNION ALL SELECT 'unresolved-executable', 'error', 'resource-rewrite', count(*) FROM pages WHERE page_id % 5 = 2 AND NOT ({_BROKEN})""",
@@ -278,7 +293,11 @@ t AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN broken THEN '<img src="/i.png">' ||
  WHEN 2 THEN CASE WHEN broken THEN 'import "/m.js"; import "/known.css"; /* ' || html ELSE 'import "data:text/javascript,export%20{{}}"; import "/assets/known.css"; /* ' || html || ' */ ' END
  WHEN 3 THEN '{{"title":' || CAST(to_json({{'h': html}}) AS VARCHAR) || ',"buffers":[{{"uri":"/assets/known.css"}},{{"uri":"data:x"}}]}}' ELSE html END AS text FROM r)
 SELECT owner, CASE k WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'javascript' WHEN 3 THEN 'gltf' END AS kind, sha256(CASE WHEN k = 0 AND route THEN regexp_replace(text, '(<head>)', '\\1<script src=/b.js></script>') ELSE text END) AS sha, k IN (0, 3) OR (k IN (1, 2) AND NOT broken) AS artifact, CASE WHEN k = 3 THEN 1 WHEN broken OR k = 4 THEN 0 WHEN k = 0 THEN 1 ELSE 2 END AS replaced FROM t""",
-    "graph_privacy": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE page_id % 2 = 0) AS even, count(*) FILTER (WHERE page_id % 3 = 0) AS third FROM pages), f AS (SELECT unnest(['missions', 'targets', 'bodies', 'documents', 'routes', 'dependency_edges', 'api_exchanges', 'derived_artifacts', 'diagnostics', 'responses', 'requests']) AS family) SELECT family, n AS records, CASE family WHEN 'responses' THEN 2 * n + n WHEN 'requests' THEN 3 * n + third ELSE 2 * n + even END AS redactions, CASE WHEN family = 'requests' THEN third END AS without_hash, CASE WHEN family = 'requests' THEN '{\"password\":\"[REDACTED]\"}' END AS body FROM c, f",
+    "graph_privacy":
+        "WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE page_id % 2 = 0) AS even, count(*) FILTER (WHERE page_id % 3 = 0) AS third "
+        "FROM pages), f AS (SELECT unnest(['missions', 'targets', 'bodies', 'documents', 'routes', 'dependency_edges', 'api_exchanges', 'derived_artifacts', 'diagnostics', 'responses', 'requests']) AS family) "
+        "SELECT family, n AS records, CASE family WHEN 'responses' THEN 2 * n + n WHEN 'requests' THEN 3 * n + third ELSE 2 * n + even END AS redactions, "
+        "CASE WHEN family = 'requests' THEN third END AS without_hash, CASE WHEN family = 'requests' THEN '{\"password\":\"[REDACTED]\"}' END AS body FROM c, f",
     "sensitive_parameters": "SELECT event_id, CASE event_id % 7 WHEN 1 THEN event_id % 20 >= 12 WHEN 2 THEN event_id % 20 >= 12 ELSE event_id % 7 IN (0, 4, 5) END AS parameter, event_id % 7 IN (0, 4, 5) AS name FROM events",
     "private_fields": "SELECT page_id, page_id % 4 = 1 OR page_id % 3 = 2 OR page_id % 5 IN (1, 4) OR page_id % 7 = 0 AS private FROM pages",
 }

@@ -168,28 +168,65 @@ def fetchable_references(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (edge_targets, route_recovery, body_parity, snapshot_parity, entry_documents, merged_diagnostics, report_lists, run_stability, normal_diagnostics, persisted_bodies, latest_routes, source_maps, import_maps, gltf_files, hydration, form_snapshots, child_targets, cache_exchanges, header_maps, state_fingerprints, runtime_texts, shown_sizes, pending_work, fetchable_references)}
 
 ORACLE_SQL = {
-    "edge_targets": with_(RESPONSES, ", p AS (SELECT normalized_url, min(user_id) AS page_id FROM requests GROUP BY 1), f AS (SELECT normalized_url, arg_min(id, sequence) AS id FROM responses WHERE provenance = 'refetched' GROUP BY 1) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'known' ELSE f.id END AS target_evidence_id, CASE WHEN page_id % 2 <> 0 AND f.id IS NOT NULL THEN 'refetched' ELSE 'unresolved' END AS disposition FROM p LEFT JOIN f ON f.normalized_url = p.normalized_url"),
-    "route_recovery": "SELECT 'route-' || page_id AS id, CASE WHEN page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'failed' ELSE 'captured' END AS state, CASE WHEN page_id % 6 = 0 THEN 'https://r.test/' || page_id || '/final' END AS final_url, CASE WHEN page_id % 6 = 0 THEN 'document-' || page_id END AS document_id FROM pages",
+    "edge_targets": with_(RESPONSES,
+        ", p AS (SELECT normalized_url, min(user_id) AS page_id FROM requests GROUP BY 1), f AS (SELECT normalized_url, arg_min(id, sequence) AS id FROM responses "
+        "WHERE provenance = 'refetched' GROUP BY 1) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'known' ELSE f.id END AS target_evidence_id, CASE WHEN page_id % 2 <> 0 "
+        "AND f.id IS NOT NULL THEN 'refetched' ELSE 'unresolved' END AS disposition FROM p LEFT JOIN f ON f.normalized_url = p.normalized_url"),
+    "route_recovery":
+        "SELECT 'route-' || page_id AS id, CASE WHEN page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'failed' ELSE 'captured' END AS state, "
+        "CASE WHEN page_id % 6 = 0 THEN 'https://r.test/' || page_id || '/final' END AS final_url, CASE WHEN page_id % 6 = 0 THEN 'document-' || page_id END AS document_id "
+        "FROM pages",
     "body_parity": with_(RESPONSES, "SELECT normalized_url AS url FROM responses WHERE body_id IS NOT NULL GROUP BY 1 HAVING CAST(regexp_extract(arg_min(request_id, (ts, sequence)), '([0-9]+)$', 1) AS INTEGER) % 7 = 0"),
     "snapshot_parity": with_(RESPONSES, "SELECT sequence AS position FROM exchanges WHERE sequence % 10 = 0 OR sequence % 7 = 0"),
-    "entry_documents": "SELECT 'https://e.test/' || page_id || '#x' AS page_url, CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND regexp_matches(html, '<html') THEN 'network-document-v1' ELSE 'live-dom-state-v1' END AS method, CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND regexp_matches(html, '<html') THEN length(html) ELSE 7 END AS length FROM pages",
+    "entry_documents":
+        "SELECT 'https://e.test/' || page_id || '#x' AS page_url, CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 "
+        "AND regexp_matches(html, '<html') THEN 'network-document-v1' ELSE 'live-dom-state-v1' END AS method, CASE WHEN page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 5 <> 0 "
+        "AND regexp_matches(html, '<html') THEN length(html) ELSE 7 END AS length FROM pages",
     "merged_diagnostics": "SELECT event_type AS code, CAST(user_id % 3 AS VARCHAR) AS reason, sum(event_id % 4) AS count FROM events GROUP BY 1, 2",
-    "report_lists": with_(REQUESTS, ", f AS (SELECT mission_id AS report, event_type AS type, normalized_url AS item, min(sequence) AS position FROM requests GROUP BY 1, 2, 3) SELECT report, type, item, position, count(*) OVER (PARTITION BY report, type) > 5 AS truncated FROM f QUALIFY row_number() OVER (PARTITION BY report, type ORDER BY position) <= 5"),
-    "run_stability": "WITH r AS (SELECT user_id % 50 AS fixture, event_id AS run, CASE WHEN event_id % 701 = 0 THEN 'odd' ELSE 'even' END AS signature FROM events), m AS (SELECT *, signature <> first_value(signature) OVER (PARTITION BY fixture ORDER BY run) AS differs FROM r) SELECT fixture, count(*) AS runs, count(*) FILTER (WHERE differs) AS divergent, min(run % 97) AS min_ms, max(run % 97) AS max_ms, min(run % 89) AS min_size, max(run % 89) AS max_size, count(*) FILTER (WHERE differs) = 0 AS stable FROM m GROUP BY 1",
+    "report_lists": with_(REQUESTS,
+        ", f AS (SELECT mission_id AS report, event_type AS type, normalized_url AS item, min(sequence) AS position FROM requests GROUP BY 1, 2, 3) "
+        "SELECT report, type, item, position, count(*) OVER (PARTITION BY report, type) > 5 AS truncated FROM f QUALIFY row_number() OVER (PARTITION BY report, type "
+        "ORDER BY position) <= 5"),
+    "run_stability":
+        "WITH r AS (SELECT user_id % 50 AS fixture, event_id AS run, CASE WHEN event_id % 701 = 0 THEN 'odd' ELSE 'even' END AS signature "
+        "FROM events), m AS (SELECT *, signature <> first_value(signature) OVER (PARTITION BY fixture ORDER BY run) AS differs FROM r) "
+        "SELECT fixture, count(*) AS runs, count(*) FILTER (WHERE differs) AS divergent, min(run % 97) AS min_ms, max(run % 97) AS max_ms, min(run % 89) AS min_size, max(run % 89) AS max_size, count(*) FILTER (WHERE differs) = 0 AS stable "
+        "FROM m GROUP BY 1",
     "normal_diagnostics": "SELECT page_id, 'TypeError at (<origin>' || regexp_replace(url, '^https?://[^/]+', '') || ':<line>:<column>)' AS text FROM pages",
     "persisted_bodies": with_(RESPONSES, "SELECT count(*) AS bodies, sum(size) AS bytes, max(size) AS peak FROM (SELECT DISTINCT body_id, size FROM responses WHERE body_id IS NOT NULL)"),
     "latest_routes": "SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_type <> 'view') AS state, arg_max('error-' || event_id, event_id) FILTER (WHERE event_type = 'error') AS reason FROM events GROUP BY 1",
     "source_maps": "SELECT CAST(page_id AS VARCHAR) AS owner, CASE WHEN page_id % 3 = 1 THEN 'https://m.test/maps/' || page_id || '.map' ELSE 'https://m.test/js/' || page_id || '.map' END AS url FROM pages WHERE page_id % 3 <> 0",
     "import_maps": "SELECT CAST(page_id AS VARCHAR) AS owner, 'https://m.test/p/a' || page_id || '.js' AS url FROM pages UNION ALL SELECT CAST(page_id AS VARCHAR), 'https://m.test/b.js' FROM pages",
     "gltf_files": "SELECT CAST(page_id AS VARCHAR) AS owner, 'https://m.test/g/b' || page_id || '.bin' AS url FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT CAST(page_id AS VARCHAR), 'https://m.test/i.png' FROM pages WHERE page_id % 5 <> 0",
-    "hydration": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<body>' || CASE WHEN page_id % 2 = 0 THEN '<script>self.$R=1</script>' ELSE '' END || '<script type=\"module\" src=\"/m.js\"></script></body>' ELSE '<body><p>' || CASE WHEN page_id % 2 = 0 THEN '<script>self.$R=1</script>' ELSE '' END || '</BODY>' END AS html FROM pages",
-    "form_snapshots": "SELECT page_id AS id, '{\"redactedFields\":' || (page_id % 3) || ',\"password\":\"[REDACTED]\"}' AS json, CASE WHEN page_id % 3 > 0 THEN 2 ELSE 1 END AS found, CASE WHEN page_id % 3 > 0 THEN '<redacted:' || (page_id % 3) || ' fields>' END AS masked FROM pages",
-    "child_targets": "SELECT page_id % 20 AS mission_id, 'target-' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'iframe' ELSE 'worker' END AS target_type, 's-' || page_id AS session_id, CASE WHEN page_id % 4 > 0 THEN url ELSE '' END AS original_url, CASE WHEN page_id % 10 <> 9 THEN 'root-' || (page_id % 20) END AS parent_target_id, 'observed' AS provenance FROM pages",
-    "cache_exchanges": f"SELECT 'exchange-' || k AS exchange_id, 'request-' || k AS request_id, 'response-' || k AS response_id, 'GET' AS method, {normal('url')} AS normalized_url, 200 + page_id % 4 * 50 AS status, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size, 'CacheStorage' AS resource_type, 'browser-cache' AS classification FROM (SELECT *, (page_id % 5) || '-' || page_id AS k FROM pages) WHERE page_id % 9 <> 0 AND page_id % 4 < 2",
+    "hydration":
+        "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<body>' || "
+        "CASE WHEN page_id % 2 = 0 THEN '<script>self.$R=1</script>' ELSE '' END || '<script type=\"module\" src=\"/m.js\"></script></body>' ELSE '<body><p>' || "
+        "CASE WHEN page_id % 2 = 0 THEN '<script>self.$R=1</script>' ELSE '' END || '</BODY>' END AS html FROM pages",
+    "form_snapshots":
+        "SELECT page_id AS id, '{\"redactedFields\":' || (page_id % 3) || ',\"password\":\"[REDACTED]\"}' AS json, CASE WHEN page_id % 3 > 0 THEN 2 ELSE 1 END AS found, "
+        "CASE WHEN page_id % 3 > 0 THEN '<redacted:' || (page_id % 3) || ' fields>' END AS masked FROM pages",
+    "child_targets":
+        "SELECT page_id % 20 AS mission_id, 'target-' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'iframe' ELSE 'worker' END AS target_type, 's-' || page_id AS session_id, "
+        "CASE WHEN page_id % 4 > 0 THEN url ELSE '' END AS original_url, "
+        "CASE WHEN page_id % 10 <> 9 THEN 'root-' || (page_id % 20) END AS parent_target_id, 'observed' AS provenance FROM pages",
+    "cache_exchanges":
+        f"SELECT 'exchange-' || k AS exchange_id, 'request-' || k AS request_id, 'response-' || k AS response_id, 'GET' AS method, {normal('url')} AS normalized_url, 200 + page_id % 4 * 50 AS status, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size, 'CacheStorage' AS resource_type, 'browser-cache' AS classification "
+        f"FROM (SELECT *, (page_id % 5) || '-' || page_id AS k FROM pages) WHERE page_id % 9 <> 0 AND page_id % 4 < 2",
     "header_maps": with_(REQUESTS, "SELECT event_id, original_url AS referer, coalesce(request_body, '') AS posted, content_type AS type, 3 AS names FROM requests"),
-    "state_fingerprints": "SELECT page_id, CAST(list_reduce(list_prepend(5381::BIGINT, [ord(c)::BIGINT FOR c IN string_split(substr(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g'), 1, 200), '')]), lambda h, c: xor((h * 33) & 4294967295, c)) AS VARCHAR) AS fingerprint FROM pages",
-    "runtime_texts": "SELECT page_id, sha256(replace(replace(replace(replace(replace(html || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped, '{\"a\":\"\\u003c/script>\\u0060\",\"page_id\":' || page_id || '}' AS json, false AS open FROM pages",
-    "shown_sizes": "WITH n AS (SELECT page_id, strlen(html) * [0, 1, 300, 300000, 300000000][page_id % 5 + 1] AS n FROM pages), u AS (SELECT page_id, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM n), t AS (SELECT *, (n * 20 + CAST(pow(1024, k) AS BIGINT)) // (2 * CAST(pow(1024, k) AS BIGINT)) AS tenths FROM u) SELECT page_id, CASE WHEN k = 0 THEN n || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS shown FROM t",
+    "state_fingerprints":
+        "SELECT page_id, CAST(list_reduce(list_prepend(5381::BIGINT, [ord(c)::BIGINT FOR c IN string_split(substr(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g'), 1, 200), '')]), lambda h, c: xor((h * 33) & 4294967295, c)) AS VARCHAR) AS fingerprint "
+        "FROM pages",
+    "runtime_texts":
+        "SELECT page_id, sha256(replace(replace(replace(replace(replace(html || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS escaped, '{\"a\":\"\\u003c/script>\\u0060\",\"page_id\":' || page_id || '}' AS json, false AS open "
+        "FROM pages",
+    "shown_sizes":
+        "WITH n AS (SELECT page_id, strlen(html) * [0, 1, 300, 300000, 300000000][page_id % 5 + 1] AS n FROM pages), u AS (SELECT page_id, n, "
+        "CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k "
+        "FROM n), t AS (SELECT *, (n * 20 + CAST(pow(1024, k) AS BIGINT)) // (2 * CAST(pow(1024, k) AS BIGINT)) AS tenths FROM u) SELECT page_id, "
+        "CASE WHEN k = 0 THEN n || ' B' ELSE (tenths // 10) || '.' || (tenths % 10) || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS shown FROM t",
     "pending_work": "SELECT page_id, 'page' AS kind FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0",
-    "fetchable_references": f"SELECT CAST(page_id AS VARCHAR) AS owner, 0 AS n, {origin('url')} || CASE WHEN len(string_split({pathname('url')}, '/')) > 3 THEN array_to_string(string_split({pathname('url')}, '/')[1:len(string_split({pathname('url')}, '/')) - 2], '/') || '/' ELSE '/' END || 'i.png' AS resolved_url FROM pages",
+    "fetchable_references":
+        f"SELECT CAST(page_id AS VARCHAR) AS owner, 0 AS n, {origin('url')} || "
+        f"CASE WHEN len(string_split({pathname('url')}, '/')) > 3 THEN array_to_string(string_split({pathname('url')}, '/')[1:len(string_split({pathname('url')}, '/')) - 2], '/') || '/' ELSE '/' END || 'i.png' AS resolved_url "
+        f"FROM pages",
 }

@@ -222,17 +222,29 @@ _MIRRORED = f", x AS (SELECT method, normalized_url AS url, content_type, coales
 ORACLE_SQL = {
     "normalized_urls": f"SELECT page_id, {normal('url')} AS normalized_url, regexp_matches(lower(url), '^https?://.') AS is_http, {origin('url')} AS origin, regexp_extract(url, '(#.+)$', 1) AS fragment FROM pages",
     "canonical_urls": f"SELECT page_id, CASE WHEN page_id % 9 > 0 THEN {origin('url')} || {pathname('url')} || {search('url')} END AS canonical_url FROM pages",
-    "path_keys": f"SELECT page_id, {path_key('url')} AS path_key, {path_key('url')} || regexp_extract(url, '(#.+)$', 1) AS validation_key, {pathname('url')} || {search('url')} AS resource_key, CASE WHEN page_id % 2 = 0 THEN 'document:' || {normal('url')} ELSE 'history:' || url END AS route_key FROM pages",
+    "path_keys":
+        f"SELECT page_id, {path_key('url')} AS path_key, {path_key('url')} || regexp_extract(url, '(#.+)$', 1) AS validation_key, {pathname('url')} || {search('url')} AS resource_key, "
+        f"CASE WHEN page_id % 2 = 0 THEN 'document:' || {normal('url')} ELSE 'history:' || url END AS route_key FROM pages",
     "resolved_links": f"WITH {_ANCHORS} SELECT page_id, position, CASE WHEN href LIKE '#%' THEN 'fragment' ELSE 'network' END AS kind, {_ENCODED.format(_RESOLVED)} AS resolved_url FROM anchors",
-    "same_origin_links": f"WITH {_ANCHORS}, t AS (SELECT page_id, base_url, regexp_replace({_ENCODED.format(_RESOLVED)}, '#.*$', '') AS target FROM anchors) SELECT DISTINCT page_id, target FROM t WHERE target LIKE 'http%' AND {origin('target')} = {origin('base_url')}",
+    "same_origin_links":
+        f"WITH {_ANCHORS}, t AS (SELECT page_id, base_url, regexp_replace({_ENCODED.format(_RESOLVED)}, '#.*$', '') AS target FROM anchors) SELECT DISTINCT page_id, target FROM t "
+        f"WHERE target LIKE 'http%' AND {origin('target')} = {origin('base_url')}",
     "short_hash": f"SELECT page_id, {views.SHORT_HASH.format('url')} AS hash FROM pages",
     "body_hashes": "SELECT page_id, 'sha256:' || sha256(html) AS content_hash, CAST(strlen(html) AS BIGINT) AS size FROM pages",
-    "mime_class": f"WITH {_TYPED_SQL} SELECT page_id, {_KIND} AS type, mime_type LIKE 'text/%' OR regexp_matches(lower(mime_type), '(java|ecma)script|json|xml|gltf\\+json') OR regexp_matches(url, '\\.gltf($|[?#])') AS catalog_text, {_KIND} LIKE 'text/%' OR regexp_matches({_KIND}, '(java|ecma)script|json|xml|svg|gltf') AS optimizer_text, regexp_matches(url, '\\.gltf($|[?#])') OR contains(lower(mime_type), 'model/gltf+json') AS gltf, regexp_matches(url, '\\.map($|[?#])') AS source_map, regexp_matches({_KIND}, '^(audio|video)/') AND size >= 5000 AS large_media, {views.EXTENSION.format(_KIND)} AS extension FROM t",
+    "mime_class":
+        f"WITH {_TYPED_SQL} "
+        f"SELECT page_id, {_KIND} AS type, mime_type LIKE 'text/%' OR regexp_matches(lower(mime_type), '(java|ecma)script|json|xml|gltf\\+json') OR regexp_matches(url, '\\.gltf($|[?#])') AS catalog_text, {_KIND} LIKE 'text/%' OR regexp_matches({_KIND}, '(java|ecma)script|json|xml|svg|gltf') AS optimizer_text, regexp_matches(url, '\\.gltf($|[?#])') OR contains(lower(mime_type), 'model/gltf+json') AS gltf, regexp_matches(url, '\\.map($|[?#])') AS source_map, regexp_matches({_KIND}, '^(audio|video)/') "
+        f"AND size >= 5000 AS large_media, {views.EXTENSION.format(_KIND)} AS extension FROM t",
     "eligible_responses": f"WITH {_TYPED_SQL} SELECT page_id, url, mime_type FROM t WHERE NOT (page_id % 2 = 0 AND page_id % 3 <> 0) AND (mime_type <> '' OR regexp_matches(url, '\\.(gltf|png|js)($|[?#])'))",
-    "tracker_filter": f"WITH t AS (SELECT page_id, 'https://' || ['cdn.example', 'www.Google-Analytics.test', 'mc.yandex.test', 'app.sentry.test'][page_id % 4 + 1] || {pathname('url')} AS url FROM pages) SELECT page_id, url FROM t WHERE regexp_matches(lower(url), '{_TRACKERS}')",
+    "tracker_filter":
+        f"WITH t AS (SELECT page_id, 'https://' || ['cdn.example', 'www.Google-Analytics.test', 'mc.yandex.test', 'app.sentry.test'][page_id % 4 + 1] || {pathname('url')} AS url "
+        f"FROM pages) SELECT page_id, url FROM t WHERE regexp_matches(lower(url), '{_TRACKERS}')",
     "archive_paths": f"WITH s AS (SELECT page_id, url, {_SEG.format(pathname('url'))} AS seg, {search('url')} AS search FROM pages), n AS (SELECT *, CASE WHEN len(seg) = 0 THEN 'index' ELSE seg[-1] END AS name, CASE WHEN len(seg) > 1 THEN seg[1:len(seg) - 1] ELSE [] END AS dirs FROM s), m AS (SELECT *, CASE WHEN regexp_matches(lower(name), '\\.[a-z0-9]{{1,10}}$') THEN name ELSE name || '.html' END AS fname FROM n), h AS (SELECT *, {views.SHORT_HASH.format("CASE WHEN search = '' THEN '?' ELSE search END")} AS mark FROM m) SELECT page_id, array_to_string(list_concat(['assets', regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)], dirs, [CASE WHEN search = '' THEN fname WHEN regexp_matches(fname, '^.+\\.[^.]*$') THEN regexp_extract(fname, '^(.+)\\.[^.]*$', 1) || '.' || mark || regexp_extract(fname, '(\\.[^.]*)$', 1) ELSE fname || '.' || mark END]), '/') AS archive_path, 'api-snapshots/' || {views.SHORT_HASH.format(chr(39) + 'exchange-' + chr(39) + ' || page_id || chr(10) || page_id || chr(10) || ' + chr(39) + '0' + chr(39))} || CASE WHEN page_id % 2 = 0 THEN '.json' ELSE '.bin' END AS snapshot_path FROM h",
     "request_policy": with_(RESPONSES, "SELECT id, status IN (408, 425, 429, 500, 502, 503, 504) AS retried, CASE WHEN event_id % 2 = 0 THEN 'include' ELSE 'omit' END AS credentials FROM responses"),
-    "byte_sizes": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS plain_size, CAST(strlen(html) AS BIGINT) AS decoded_size, CASE WHEN strlen(html) * 300 < 1024 THEN (strlen(html) * 300) || ' B' WHEN strlen(html) * 300 < 1048576 THEN ((strlen(html) * 6000 + 1024) // 2048 // 10) || '.' || ((strlen(html) * 6000 + 1024) // 2048 % 10) || ' KB' ELSE ((strlen(html) * 6000 + 1048576) // 2097152 // 10) || '.' || ((strlen(html) * 6000 + 1048576) // 2097152 % 10) || ' MB' END AS shown FROM pages",
+    "byte_sizes":
+        "SELECT page_id, CAST(strlen(html) AS BIGINT) AS plain_size, CAST(strlen(html) AS BIGINT) AS decoded_size, "
+        "CASE WHEN strlen(html) * 300 < 1024 THEN (strlen(html) * 300) || ' B' WHEN strlen(html) * 300 < 1048576 THEN ((strlen(html) * 6000 + 1024) // 2048 // 10) || '.' || ((strlen(html) * 6000 + 1024) // 2048 % 10) || ' KB' ELSE ((strlen(html) * 6000 + 1048576) // 2097152 // 10) || '.' || ((strlen(html) * 6000 + 1048576) // 2097152 % 10) || ' MB' END AS shown "
+        "FROM pages",
     "unsupported_reasons": with_(views.REQUESTS, f"SELECT id, {_URL31} AS reason FROM requests"),
     "replay_match": _match_sql(""),
     "replay_match_per_client": _match_sql("user_id, "),
@@ -247,10 +259,24 @@ ORACLE_SQL = {
  LEFT JOIN rec x ON x.method = a.method AND x.normalized_url = a.url AND x.content_type = a.content_type AND x.h = a.h AND x.r = a.r
  UNION ALL SELECT id, NULL, 'ambiguous' FROM m WHERE unsure
  UNION ALL SELECT id, NULL, 'unknown-mutation' FROM requests WHERE ts >= TIMESTAMP '{SPLIT}' AND event_type <> 'view' AND method = 'PUT'"""),
-    "replay_ambiguity": with_(RESPONSES, f"{_MIRRORED} SELECT method, {path_key('url')} AS path_key, content_type, request_body_hash, count(DISTINCT {origin('url')}) AS origins, count(*) AS candidates FROM e GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT {origin('url')}) > 1"),
-    "replay_coverage": with_(RESPONSES, f"{_MIRRORED}, amb AS (SELECT 1 FROM e GROUP BY method, {path_key('url')}, content_type, request_body_hash HAVING count(DISTINCT {origin('url')}) > 1), a AS (SELECT count(*) AS n FROM amb) SELECT count(*) AS recorded, count(*) FILTER (WHERE method <> 'PUT') AS supported, count(*) FILTER (WHERE body_id IS NOT NULL) AS locally_fulfillable, CAST(((2000 * count(*) FILTER (WHERE method <> 'PUT') + count(*)) // (2 * count(*))) / 10.0 AS DOUBLE) AS coverage, any_value(a.n) AS ambiguities, 'ambiguous=' || any_value(a.n) || ',unknown-mutation=' || count(*) FILTER (WHERE method = 'PUT') AS misses FROM exchanges, a"),
-    "idle_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS begins FROM events), s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT user_id, min(ts) AS started, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY user_id, burst",
-    "late_bodies": with_(RESPONSES, ", c AS (SELECT mission_id, max(ts) - INTERVAL 2 DAYS AS closed FROM requests GROUP BY 1) SELECT r.mission_id, count(*) FILTER (WHERE ts + to_minutes(event_id % 50) <= closed) AS held, count(*) FILTER (WHERE ts + to_minutes(event_id % 50) > closed) AS dropped FROM responses r JOIN c ON c.mission_id = r.mission_id WHERE body_state = 'stored' GROUP BY 1"),
-    "repeated_actions": "WITH b AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) AS actions FROM b WHERE before IS NULL OR before <> event_type GROUP BY 1",
+    "replay_ambiguity": with_(RESPONSES,
+        f"{_MIRRORED} SELECT method, {path_key('url')} AS path_key, content_type, request_body_hash, count(DISTINCT {origin('url')}) AS origins, count(*) AS candidates FROM e "
+        f"GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT {origin('url')}) > 1"),
+    "replay_coverage": with_(RESPONSES,
+        f"{_MIRRORED}, amb AS (SELECT 1 FROM e GROUP BY method, {path_key('url')}, content_type, request_body_hash "
+        f"HAVING count(DISTINCT {origin('url')}) > 1), a AS (SELECT count(*) AS n FROM amb) "
+        f"SELECT count(*) AS recorded, count(*) FILTER (WHERE method <> 'PUT') AS supported, count(*) FILTER (WHERE body_id IS NOT NULL) AS locally_fulfillable, CAST(((2000 * count(*) FILTER (WHERE method <> 'PUT') + count(*)) // (2 * count(*))) / 10.0 AS DOUBLE) AS coverage, any_value(a.n) AS ambiguities, 'ambiguous=' || any_value(a.n) || ',unknown-mutation=' || count(*) FILTER (WHERE method = 'PUT') AS misses "
+        f"FROM exchanges, a"),
+    "idle_sessions":
+        "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS begins "
+        "FROM events), s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g) "
+        "SELECT user_id, min(ts) AS started, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY user_id, burst",
+    "late_bodies": with_(RESPONSES,
+        ", c AS (SELECT mission_id, max(ts) - INTERVAL 2 DAYS AS closed FROM requests GROUP BY 1) "
+        "SELECT r.mission_id, count(*) FILTER (WHERE ts + to_minutes(event_id % 50) <= closed) AS held, count(*) FILTER (WHERE ts + to_minutes(event_id % 50) > closed) AS dropped "
+        "FROM responses r JOIN c ON c.mission_id = r.mission_id WHERE body_state = 'stored' GROUP BY 1"),
+    "repeated_actions":
+        "WITH b AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) AS actions "
+        "FROM b WHERE before IS NULL OR before <> event_type GROUP BY 1",
     "progress": "SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS shown FROM events",
 }
