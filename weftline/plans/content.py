@@ -197,11 +197,11 @@ def graph_privacy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sensitive_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    """Parameters of seven names with values of up to nineteen characters."""
+    """Parameters of seven names with up to nineteen characters of what events carry."""
     names = ("token", "Code", "key", "page", "session_id", "api-key", "ref")
     e = F.col("event_id")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (e % len(names) + 1).cast("int"))
-    value = F.repeat(F.lit("x"), (e % 20).cast("int"))
+    value = F.substring(F.concat("props", "props"), F.lit(1), (e % 20).cast("int"))
     return _table(spark, sf, "events").select("event_id", privacy.is_sensitive_parameter(name, value).alias("parameter"), privacy.is_sensitive_name(name).alias("name"))
 
 
