@@ -30,7 +30,8 @@ class _Assembly(StatefulProcessor):
         self.held = handle.getValueState("held", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
-        held, out = list(self.held.get()) if self.held.exists() else None, []
+        waiting = self.held.exists()  # each question to the store is a call to the JVM; a request that comes whole asks one
+        held, out = list(self.held.get()) if waiting else None, []
         events = pd.concat(list(rows)).sort_values("ts", kind="stable")
         for e in events.itertuples(index=False):
             if e.event == "requestWillBeSent":
@@ -48,11 +49,11 @@ class _Assembly(StatefulProcessor):
             elif e.event in ("loadingFinished", "loadingFailed"):
                 out.append(_exchange(key, held, e.ts, "stored" if e.event == "loadingFinished" else "unavailable"))
                 held = None
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if waiting else ():
             self.handle.deleteTimer(timer)
-        if held is None:
+        if held is None and waiting:
             self.held.clear()
-        else:
+        elif held is not None:
             self.held.update(tuple(held))
             self.handle.registerTimer(int(events["ts"].max().timestamp() * 1000) + self.grace_ms)
         yield pd.DataFrame(out, columns=_COLUMNS)
