@@ -68,3 +68,24 @@ def test_snapshots_go_on_where_they_ended(spark, tmp_path):
         running.processAllAvailable()
         running.stop()
     assert sorted(r[0] for r in spark.read.parquet(folders[1]).collect()) == ["r0", "r1"]
+
+
+def test_requests_of_one_bucket(spark, tmp_path):
+    """Requests that share state stay apart; one ends when the watermark reaches its last event and the grace, another a millisecond later doesn't."""
+    first = [event(s, r, "requestWillBeSent", url=f"https://h/{r}", method="GET") for s, r in ((0, "r1"), (0.001, "r2"), (5, "r3"))]
+    second = [event(6, "r3", "dataReceived", size=2), event(7, "r3", "loadingFinished"), event(20, "r4", "requestWillBeSent", url="https://h/r4", method="GET")]
+    stream = stream_of(spark, str(tmp_path / "in"), first, second)
+    assembly.drained(assembly.exchanges(stream, buckets=1), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = sorted((r["request_id"], r["size"], r["started"], r["body_state"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("r1", 0, T0, "unavailable"), ("r3", 2, T0 + timedelta(seconds=5), "stored")]
+
+
+def test_exchanges_to_the_millisecond(spark, sf):
+    """Times as the SQL rounds them, compared whole."""
+    from weftline import plans
+
+    from .oracle import database
+
+    want = database(sf).execute(f"SELECT request_id, hop, started, ended FROM ({plans.oracle_sql()['streamed_exchanges']})").fetchall()
+    got = [tuple(r) for r in plans.queries()["streamed_exchanges"](spark, sf).select("request_id", "hop", "started", "ended").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))

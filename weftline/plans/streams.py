@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import capture
-from ..sources.tables import shared_folder
+from ..sources.tables import dealt, shared_folder
 from ..streaming import assembly
 from .views import RESPONSES, with_
 
@@ -15,8 +15,8 @@ _RESTART = "2024-01-16 00:00:00"
 
 
 def _network(spark: SparkSession, sf: str) -> DataFrame:
-    """Network events of each event: its request, for some a redirect, response, data, and for most an end."""
-    e, k = capture.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    """Network events of each event, at whole milliseconds (halves up) as a recorder tells them: its request, for some a redirect, response, data, and for most an end."""
+    e, k = dealt(capture.table(spark, sf, "events")).withColumn("ts", F.timestamp_millis(F.expr("floor((unix_micros(cast(ts as timestamp)) + 500) / 1000)").cast("long"))), F.col("event_id")
     sent = lambda name, ms, holds, **more: F.when(holds, F.struct(F.lit(name).alias("event"), F.lit(ms).alias("ms"), *[more.get(n, F.lit(None).cast(t)).alias(n) for n, t in (("url", "string"), ("method", "string"), ("status", "int"), ("size", "long"), ("redirect", "boolean"))]))
     url = F.concat(F.lit("https://n.test/"), "event_type", F.lit("?"), k)
     rows = F.array(
