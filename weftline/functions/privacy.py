@@ -296,8 +296,9 @@ def sanitized_body(bodies: pd.Series, kinds: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_row(json=T.StringType()))
 def sanitized_metadata(texts: pd.Series) -> pd.DataFrame:
-    """JSON text of nested metadata, names and values."""
-    return pd.DataFrame([_metadata_row(t) for t in texts], columns=["json", "findings"])
+    """JSON text of nested metadata, names and values; equal texts of a batch are cleaned once."""
+    cleaned = {t: _metadata_row(t) for t in texts.unique()}
+    return pd.DataFrame([cleaned[t] for t in texts], columns=["json", "findings"])
 
 
 def runnable(mime: Column, cleaned: Column) -> Column:
