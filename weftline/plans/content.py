@@ -109,7 +109,8 @@ def sanitized_headers(spark: SparkSession, sf: str) -> DataFrame:
     k, plain = F.col("event_id"), F.col("normalized_url")
     referer = F.concat(F.regexp_replace(plain, "^([a-z]+://)", "$1me:secret@"), F.when(F.contains(plain, F.lit("?")), "&").otherwise("?"), F.lit("token=abcd1234"), k)
     headers = F.create_map(F.lit("Cookie"), F.concat(F.lit("sid="), k), F.lit("X-Session-Token"), F.lit("abc"), F.lit("Accept"), F.col("content_type"), F.lit("X-Note"), F.concat(F.lit("Basic abcdefgh"), k), F.lit("Referer"), referer, F.lit("X-Body"), F.coalesce("request_body", F.lit("")))
-    h = dealt(capture.requests(spark, sf)).select("event_id", privacy.sanitized_headers(headers).alias("h"))
+    asked = capture.requests(spark, sf).select("event_id", "normalized_url", "content_type", "request_body").repartition(4 * spark.sparkContext.defaultParallelism)
+    h = asked.select("event_id", privacy.sanitized_headers(headers).alias("h"))
     names = {"cookie": "Cookie", "session": "X-Session-Token", "accept": "Accept", "note": "X-Note", "referer": "Referer", "posted": "X-Body"}
     return h.select("event_id", *[F.col("h.headers")[name].alias(column) for column, name in names.items()], F.size("h.findings").alias("found"))
 
