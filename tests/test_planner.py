@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import whatwg
 from weftline.operators import crawl, planner
@@ -129,3 +131,14 @@ def test_crawls_in_rounds(spark):
 def test_no_crawls(spark):
     seeds = spark.createDataFrame([(1, None)], "crawl long, seed_url string")
     assert planner.planned(seeds, lambda routes: (routes, routes)).count() == 0
+
+
+def test_a_round_takes_many_crawls_at_once():
+    """Crawls come in batches of rows, not a group of its own each; one without candidates goes on too."""
+    stored = T.StructType([T.StructField("crawl", T.LongType()), *planner._STATE_FIELDS])
+    first = dict.fromkeys(planner._COLUMNS) | {"n": 0, "route_url": "https://h.test/", "transition_kind": "document", "state": "visiting", "keys": ["document:https://h.test/"], "bytes": 0, "elapsed_ms": 0, "turn": 0, "taken": True}
+    record = first | {"final_": None, "canonical_": None, "bytes_": 10, "elapsed_": 5, "failed": None}
+    offered = {"position": 1, "route_url": "https://h.test/a", "transition_kind": "document", "key": "document:https://h.test/a", "fixed": None}
+    batch = pa.RecordBatch.from_pylist([{"crawl": 1, "records": [record], "found": [offered]}, {"crawl": 2, "records": [record], "found": None}])
+    (done,) = planner._rounds(crawl.Policy(), 1, stored)(iter([batch]))
+    assert [(r["crawl"], r["n"], r["state"], r["bytes"]) for r in done.to_pylist()] == [(1, 0, "captured", 10), (1, 1, "visiting", 0), (2, 0, "captured", 10)]
