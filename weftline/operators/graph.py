@@ -149,17 +149,23 @@ def violations(families: dict[str, DataFrame], provenances: tuple[str, ...], *,
     record, hashes have their form, sizes aren't negative, bodies are stored or inline, states, transitions and snapshot versions are known, and skipped routes have a
     reason. No reference is one that is null or empty; an empty entry in a list of evidence is a lost one. Columns that a family doesn't have aren't asked about.
 
-    Each family is read once, for its ids, references and faults as rows of one stored table. Of an id that many records lead to, one row is held against the ids that are
-    there; what is lost is joined back to its records, frequent ids by sending them to all tasks.
+    Each family is read once, for its ids, references and faults as rows of one stored table. Ids and what leads to them meet in one aggregation of bits and counts; what is
+    lost is joined back to its records, frequent ids by sending them to all tasks.
     """
-    found = [_facts(name, df, provenances, graph_col) for name, df in families.items()]
+    order = sorted({*families, *(t for _, _, t in REFERENCES), *(t for _, t in COMMON_REFERENCES)} - {"any"})  # a family is its bit here; the last is any
+    found = [_facts(name, df, provenances, graph_col, order) for name, df in families.items()]
     facts = materialized(functools.reduce(DataFrame.unionByName, found))
-    there = facts.where("kind = 'id'").groupBy("graph", "ref").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"), F.collect_set("family").alias("families"))
-    repeated = there.where("n > 1").select("graph", F.lit("duplicate-id").alias("rule"), "family", F.col("ref").alias("id"), F.col("n").cast("string").alias("detail"))
-    wanted = facts.where("kind = 'reference'").groupBy("graph", "ref", "wants").agg(F.count(F.lit(1)).alias("asked"))
-    held = wanted.join(there.select("graph", "ref", "families"), ["graph", "ref"], "left")
-    lost = materialized(held.where(F.col("families").isNull() | ((F.col("wants") != "any") & ~F.array_contains("families", F.col("wants")))).select("graph", "ref", "wants", "asked"))
-    dangling = ranks.joined(facts.where("kind = 'reference'"), lost, ["graph", "ref", "wants"], "asked").select("graph", "rule", "family", "id", F.col("ref").alias("detail"))
+    is_id = F.col("kind") == "id"
+    known = facts.where("kind <> 'fault'").groupBy("graph", "ref").agg(
+        F.count_if(is_id).alias("n"), F.min(F.when(is_id, F.col("place"))).alias("first"), F.coalesce(F.bit_or(F.when(is_id, F.expr("shiftleft(1L, place)"))), F.lit(0)).alias("there"),
+        F.coalesce(F.bit_or(F.when(~is_id, F.expr("shiftleft(1L, place)"))), F.lit(0)).alias("wanted"), F.count_if(~is_id).alias("asked"),
+    )
+    lost = F.expr(f"if(n = 0, wanted, wanted & ~there & ~shiftleft(1L, {len(order)}))")
+    known = materialized(known.withColumn("lost", lost).where("n > 1 or lost <> 0"))
+    family = F.element_at(F.array(*[F.lit(f) for f in order]), F.col("first") + 1)
+    repeated = known.where("n > 1").select("graph", F.lit("duplicate-id").alias("rule"), family.alias("family"), F.col("ref").alias("id"), F.col("n").cast("string").alias("detail"))
+    every_lost = known.where("lost <> 0").select("graph", "ref", F.explode(F.expr(f"filter(sequence(0, {len(order)}), w -> (shiftright(lost, w) & 1) = 1)")).alias("place"), "asked")
+    dangling = ranks.joined(facts.where("kind = 'reference'"), every_lost.hint("shuffle_hash"), ["graph", "ref", "place"], "asked").select("graph", "rule", "family", "id", F.col("ref").alias("detail"))
     faults = facts.where("kind = 'fault'").select("graph", "rule", "family", "id", "detail")
     every = repeated.unionByName(dangling).unionByName(faults)
     return every.withColumnRenamed("graph", graph_col) if graph_col else every.drop("graph")
@@ -174,32 +180,36 @@ def header_violations(graphs: DataFrame, schema_name: str) -> DataFrame:
     return graphs.select("graph", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("fault")).select("graph", "fault.*")
 
 
-def _facts(family: str, rows: DataFrame, provenances: tuple[str, ...], graph_col: str | None) -> DataFrame:
-    """(graph, family, id, kind, rule, ref, wants, detail): the ids, references and faults of a family's rows, in one pass."""
+def _facts(family: str, rows: DataFrame, provenances: tuple[str, ...], graph_col: str | None, order: list[str]) -> DataFrame:
+    """(graph, family, id, kind, rule, ref, place, detail): the ids, references and faults of a family's rows, in one pass; place: an id's own family in the order, or the one a reference wants."""
     none = F.lit(None).cast("string")
-    fact = lambda kind, rule, ref, wants, detail: F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), ref.cast("string").alias("ref"), F.lit(wants).alias("wants"), detail.cast("string").alias("detail"))
+    at = lambda wanted: len(order) if wanted == "any" else order.index(wanted)
+    fact = lambda kind, rule, ref, wants, detail: F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), ref.cast("string").alias("ref"), F.lit(at(wants)).alias("place"), detail.cast("string").alias("detail"))
     reference = lambda rule, target, x: fact("reference", rule, F.coalesce(x, F.lit("")), target, none)
-    lists = [F.array(F.when(F.coalesce(F.col("id"), F.lit("")) != "", fact("id", "", F.col("id"), "", none)))]
-    faults = [F.when(holds, fact("fault", rule, none, "", detail)) for rule, holds, detail in _row_rules(family, rows, provenances)]
-    lists.append(F.array(*faults))
+    own = [F.when(F.coalesce(F.col("id"), F.lit("")) != "", fact("id", "", F.col("id"), family, none))]
+    own += [F.when(holds, fact("fault", rule, none, family, detail)) for rule, holds, detail in _row_rules(family, rows, provenances)]
+    lists = []
     mentioned = [*COMMON_REFERENCES[family == "missions" :], *((column, target) for owner, column, target in REFERENCES if owner == family)]
     for column, target in mentioned:
         if (refs := _references(rows, column)) is None:
             continue
         rule = f"dangling-{column.replace('_', '-').replace('.', '-')}"
         told, is_list = refs
+        if told is None:
+            own.append(F.when(F.coalesce(F.col(column).cast("string"), F.lit("")) != "", reference(rule, target, F.col(column))))
+            continue
         there = (lambda x: F.lit(True)) if is_list and target == "any" else (lambda x: F.coalesce(x, F.lit("")) != "")
         lists.append(F.transform(F.filter(told, there), functools.partial(reference, rule, target)))
     if family == "bodies" and "acquisitions" in rows.columns:
         unknown = F.filter(F.coalesce("acquisitions", F.array()), lambda a: ~F.coalesce(a["provenance"], F.lit("")).isin(*provenances))
-        lists.append(F.transform(unknown, lambda a: fact("fault", "acquisition-provenance", none, "", a["provenance"])))
-    every = F.filter(F.concat(*lists), lambda x: x.isNotNull())
+        lists.append(F.transform(unknown, lambda a: fact("fault", "acquisition-provenance", none, family, a["provenance"])))
+    every = F.concat(F.array(*own), *lists)
     graph = F.col(graph_col).cast("string") if graph_col else F.lit("")
-    return rows.select(F.coalesce(graph, F.lit("")).alias("graph"), F.lit(family).alias("family"), F.col("id").cast("string").alias("id"), F.explode(every).alias("fact")).select("graph", "family", "id", "fact.*")
+    return rows.select(F.coalesce(graph, F.lit("")).alias("graph"), F.lit(family).alias("family"), F.col("id").cast("string").alias("id"), F.explode(every).alias("fact")).where("fact is not null").select("graph", "family", "id", "fact.*")
 
 
-def _references(rows: DataFrame, column: str) -> tuple[Column, bool] | None:
-    """The ids in a column as a list, and whether it holds lists; none if the rows have no such column."""
+def _references(rows: DataFrame, column: str) -> tuple[Column | None, bool] | None:
+    """The ids in a column as a list (None for a column of single ids), and whether it holds lists; none if the rows have no such column."""
     name, _, inner = column.partition(".")
     if name not in rows.columns:
         return None
@@ -213,7 +223,7 @@ def _references(rows: DataFrame, column: str) -> tuple[Column, bool] | None:
         return (F.flatten(F.transform(ids, lambda x: F.coalesce(x, F.array()))) if listed else ids), listed
     if isinstance(kind, T.ArrayType):
         return F.coalesce(name, F.array().cast(kind)), True
-    return F.array(F.col(name).cast("string")), False
+    return None, False
 
 
 def _row_rules(family: str, rows: DataFrame, provenances: tuple[str, ...]) -> list[tuple[str, Column, Column]]:
