@@ -103,6 +103,12 @@ def test_each_family_is_read_once(spark, sf):
     assert plan.count("Relation") <= 8
 
 
+def test_ids_and_references_are_aggregated_once(spark, sf):
+    """What the report reads of them is stored: no aggregation of all ids is left to be made again with it."""
+    plan = integrity.graph_integrity(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_graphs_are_apart(spark):
     """The same ids in two graphs are no repeats, and a record of another graph is no answer."""
     requests = spark.createDataFrame([("g1", "r1", "observed", "t1"), ("g2", "r1", "observed", "t1"), ("g2", "r2", "observed", None), ("g2", "r2", "observed", "")], "graph string, id string, provenance string, target_id string")
