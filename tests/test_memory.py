@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weftline.functions import privacy
+from weftline.operators import references
 from weftline.session import batches
 from weftline.sources.tables import dealt
 
@@ -41,3 +42,26 @@ def test_equal_metadata_is_cleaned_alike(spark):
     rows = [r["s"] for r in got]
     assert rows[0] == rows[3] and rows[1] == rows[4]
     assert rows[1]["json"] is None and len(rows[0]["findings"]) == 2 and rows[2]["findings"]
+
+
+def test_large_rows_come_to_python_by_bytes(spark, sf):
+    """Rows of 200,000 bytes: all 100 came at once when only rows were counted."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    batches(spark, None)
+    before = spark.conf.get(name)
+    entry.queries()["resolved_references"](spark, sf)
+    texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("t"))
+    most = texts.mapInPandas(lambda parts: (pd.DataFrame({"n": [len(p)]}) for p in parts), "n long").agg(F.max("n"), F.sum("n")).first()
+    assert most[0] <= 25 and most[1] == 100
+    batches(spark, None)
+    assert spark.conf.get(name) == before
+
+
+def test_references_of_one_text_go_back_in_parts(spark):
+    text = "".join(f'<a href="/{n}">' for n in range(12_000))
+    frame = pd.DataFrame({"owner": ["a", "b"], "base_url": ["https://h.test/"] * 2, "text": [text, "<!-- breaks off"], "syntax": ["html"] * 2})
+    parts = list(references._discovered(iter([frame])))
+    assert [len(p) for p in parts] == [5000, 5000, 2001]
+    rows = pd.concat(parts)
+    assert list(rows["n"]) == [*range(12_000), -1] and list(rows["raw_value"][:12_000]) == [f"/{n}" for n in range(12_000)]
+    assert rows["fault"].iloc[-1] and references.discover(spark.createDataFrame(frame)).count() == 12_001

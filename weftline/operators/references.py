@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,23 +18,30 @@ SOURCE_MAP_COMMENT = r"(?i)(?://[#@]\s*sourceMappingURL=[^\r\n]*|/\*[#@]\s*sourc
 
 _FOUND = "owner string, base_url string, n int, syntax string, role string, raw_value string, resolved_url string, normalized_url string, kind string, policy string, start int, end int, quote string, tag string, attribute string, fault string"
 
+#: References that go back to Spark at once: a text may have any number.
+_AT_ONCE = 5000
+
 
 def discover(texts: DataFrame, syntax: str | None = None) -> DataFrame:
     """References of texts (owner, base_url, text[, syntax, where each has its own]) in order; a text that breaks off has only the row of its fault (n = -1)."""
     if syntax:
         texts = texts.withColumn("syntax", F.lit(syntax))
+    return texts.select("owner", "base_url", "text", "syntax").mapInPandas(_discovered, _FOUND)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for owner, base, text, kind in batch[["owner", "base_url", "text", "syntax"]].itertuples(index=False):
-                try:
-                    rows += [_row(owner, base, n, r) for n, r in enumerate(markup.READERS[kind](text or ""))]
-                except ValueError as e:
-                    rows.append((owner, base, -1, kind, "", "", None, None, "", "", 0, 0, "", "", "", str(e)))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _FOUND.split(", ")])
-
-    return texts.select("owner", "base_url", "text", "syntax").mapInPandas(run, _FOUND)
+
+def _discovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    texts = (text for batch in batches for text in batch[["owner", "base_url", "text", "syntax"]].itertuples(index=False))
+    rows = itertools.chain.from_iterable(_read(*text) for text in texts)
+    while part := list(itertools.islice(rows, _AT_ONCE)):
+        yield pd.DataFrame(part, columns=[f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _read(owner: str, base: str, text: str | None, kind: str) -> Iterator[tuple]:
+    try:
+        found = list(markup.READERS[kind](text or ""))
+    except ValueError as e:
+        return iter([(owner, base, -1, kind, "", "", None, None, "", "", 0, 0, "", "", "", str(e))])
+    return (_row(owner, base, n, r) for n, r in enumerate(found))
 
 
 def _row(owner: str, base: str, n: int, r: markup.Reference) -> tuple:
