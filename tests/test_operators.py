@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from weftline.functions import media, paths, privacy
 from weftline.plans import traffic
 from weftline.operators import catalog, crawl, graph, replay, storage, validate
@@ -188,6 +189,12 @@ def test_crawl_budgets_that_run_out(spark):
     assert [r["reason"] for r in crawl.decide(c, crawl.Policy(max_bytes=100)).orderBy("position").collect()] == ["same-origin-anchor", "same-origin-anchor", "byte-budget", "duplicate-route", "duplicate-route"]
 
 
+def test_links_are_parsed_once_for_decisions(spark, sf):
+    """Candidates that are refused anyway were parsed a second time apart, and those left a second time for the filter."""
+    plan = entry.queries()["route_decisions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2 and plan.count("FileScan") == 1
+
+
 def test_closure(spark):
     links = spark.createDataFrame([("a", "b", "redirect"), ("b", "c", "redirect"), ("x", "y", "redirect"), ("y", "x", "redirect"), ("d", "e", "redirect"), ("m", "c", "alias"), ("m", "x", "redirect")], "url string, target string, kind string")
     got = {(r["url"], r["resource"], r["hops"]) for r in graph.closure(links, spark.createDataFrame([("c",)], "url string")).collect()}
