@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weftline.functions import privacy
-from weftline.operators import references
+from weftline.operators import references, reports
 from weftline.session import batches
 from weftline.sources.tables import dealt
 
@@ -65,3 +65,11 @@ def test_references_of_one_text_go_back_in_parts(spark):
     rows = pd.concat(parts)
     assert list(rows["n"]) == [*range(12_000), -1] and list(rows["raw_value"][:12_000]) == [f"/{n}" for n in range(12_000)]
     assert rows["fault"].iloc[-1] and references.discover(spark.createDataFrame(frame)).count() == 12_001
+
+
+def test_urls_of_documents_are_resolved_once(spark, sf):
+    """The filter on the resolved URL called the function below the one that gives it as well."""
+    plan = entry.queries()["gltf_files"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInPandas") == 2
+    texts = spark.createDataFrame([("a", "https://h.test/g/x.gltf", '{"b":[{"uri":"m.bin"},{"uri":"./m.bin"},{"uri":"http://"},{"uri":"mailto:x"}]}'), ("b", "https://h.test/", "no json")], "owner string, base_url string, text string")
+    assert [tuple(r) for r in reports.gltf_urls(texts).collect()] == [("a", "https://h.test/g/m.bin")]

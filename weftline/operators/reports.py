@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,18 +133,21 @@ def import_map_urls(texts: DataFrame) -> DataFrame:
 
 
 def _absolute(raw: DataFrame) -> DataFrame:
-    @F.pandas_udf("string")
-    def joined(values: pd.Series, bases: pd.Series) -> pd.Series:
-        def one(value: str, base: str) -> str | None:
-            try:
-                url = whatwg.normalized(value, base)
-            except ValueError:
-                return None
-            return url if url.startswith(("http:", "https:")) else None
-
-        return pd.Series([one(v, b) for v, b in zip(values, bases, strict=True)], dtype=object)
-
-    return raw.select("owner", joined("raw", "base_url").alias("url")).where("url is not null").distinct()
+    """(owner, url) of references (owner, base_url, raw), each once; a step that gives rows, as a filter on a function's result would have it called twice."""
+
+    def one(value: str, base: str) -> str | None:
+        try:
+            url = whatwg.normalized(value, base)
+        except ValueError:
+            return None
+        return url if url.startswith(("http:", "https:")) else None
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"owner": batch["owner"], "url": pd.Series([one(v, b) for v, b in zip(batch["raw"], batch["base_url"], strict=True)], index=batch.index, dtype=object)}).dropna(subset="url")
+
+    kind = raw.schema["owner"].dataType.simpleString()
+    return raw.select("owner", "base_url", "raw").mapInPandas(joined, f"owner {kind}, url string").distinct()
 
 
 def gltf_urls(texts: DataFrame) -> DataFrame:
