@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from weftline.functions import media, privacy
+from weftline.functions import discovery, media, privacy
 from weftline.operators import references, reports
 from weftline.session import batches
 from weftline.sources.tables import dealt
@@ -69,6 +73,34 @@ def test_references_of_one_text_go_back_in_parts(spark):
     assert rows["fault"].iloc[-1] and references.discover(spark.createDataFrame(frame)).count() == 12_001
 
 
+def test_large_references_go_back_by_characters(spark):
+    """60 files of 200,000 characters inside their pages: all came back in one part when only references were counted."""
+    texts = [(str(n), "https://h.test/", f'<img src="data:image/png;base64,{"A" * 200_000}"><img src="/{n}.png">', "html") for n in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts, strict=True)], list(discovery.TEXT))
+    found = list(discovery.in_arrow(iter([batch])))
+    assert max(part.nbytes for part in found) < 6 << 20
+    assert [(r["owner"], r["n"], len(r["raw_value"])) for part in found for r in part.to_pylist()] == [(t[0], n, size) for t in texts for n, size in ((0, 200_022), (1, len(t[0]) + 5))]
+    frame = spark.createDataFrame(pd.DataFrame(texts, columns=list(discovery.TEXT)))
+    assert references.discover(frame).agg(F.count("n"), F.sum(F.length("raw_value"))).first() == (120, sum(200_022 + len(t[0]) + 5 for t in texts))
+
+
+def test_references_are_found_without_pandas(spark, sf):
+    """It was more than a third of a worker's memory, in each of them."""
+    for name in ("reference_diagnostics", "resolved_references"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan and "EvalPython" not in plan
+    code = """
+import sys, pyarrow as pa, pyspark.worker
+from weftline.functions import discovery as d
+texts = [("a", "https://h.test/", '<a href="\\u00e9?x">', "html"), ("b", None, None, "html"), ("c", None, "<!-- breaks off", "html")]
+batch = pa.RecordBatch.from_arrays([d.strings(c) for c in zip(*texts)], list(d.TEXT))
+rows = [r for part in d.in_arrow(iter([batch])) for r in part.to_pylist()]
+assert [(r["owner"], r["base_url"], r["n"], r["raw_value"], r["normalized_url"], bool(r["fault"])) for r in rows] == [("a", "https://h.test/", 0, "\\u00e9?x", "https://h.test/%C3%A9?x", False), ("c", None, -1, "", None, True)], rows
+assert "pandas" not in sys.modules
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, timeout=60, check=True)
+
+
 def test_urls_of_documents_are_resolved_once(spark, sf):
     """The filter on the resolved URL called the function below the one that gives it as well."""
     plan = entry.queries()["gltf_files"](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,46 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import gltf, markup, media, paths, urls, whatwg
+from ..functions import discovery, gltf, markup, media, paths, urls
 from ..sources.tables import materialized
 
 #: Comments of scripts and style sheets that name their source maps.
 SOURCE_MAP_COMMENT = r"(?i)(?://[#@]\s*sourceMappingURL=[^\r\n]*|/\*[#@]\s*sourceMappingURL=[^*]*\*/)"
 
-_FOUND = "owner string, base_url string, n int, syntax string, role string, raw_value string, resolved_url string, normalized_url string, kind string, policy string, start int, end int, quote string, tag string, attribute string, fault string"
-
-#: References that go back to Spark at once: a text may have any number.
-_AT_ONCE = 5000
-
-
 def discover(texts: DataFrame, syntax: str | None = None) -> DataFrame:
     """References of texts (owner, base_url, text[, syntax, where each has its own]) in order; a text that breaks off has only the row of its fault (n = -1)."""
     if syntax:
         texts = texts.withColumn("syntax", F.lit(syntax))
-    return texts.select("owner", "base_url", "text", "syntax").mapInPandas(_discovered, _FOUND)
+    return texts.select(*discovery.TEXT).mapInArrow(discovery.in_arrow, discovery.ROW)
 
 
 def _discovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    texts = (text for batch in batches for text in batch[["owner", "base_url", "text", "syntax"]].itertuples(index=False))
-    rows = itertools.chain.from_iterable(_read(*text) for text in texts)
-    while part := list(itertools.islice(rows, _AT_ONCE)):
-        yield pd.DataFrame(part, columns=[f.split()[0] for f in _FOUND.split(", ")])
-
-
-def _read(owner: str, base: str, text: str | None, kind: str) -> Iterator[tuple]:
-    try:
-        found = list(markup.READERS[kind](text or ""))
-    except ValueError as e:
-        return iter([(owner, base, -1, kind, "", "", None, None, "", "", 0, 0, "", "", "", str(e))])
-    return (_row(owner, base, n, r) for n, r in enumerate(found))
-
-
-def _row(owner: str, base: str, n: int, r: markup.Reference) -> tuple:
-    try:
-        kind, url, normal = whatwg.reference(r.raw, base) or ("", None, None)
-    except ValueError:
-        kind, url, normal = "invalid", None, None
-    return owner, base, n, r.syntax, r.role, r.raw, url, normal or None, kind, r.policy, r.start, r.end, r.quote, r.tag, r.attribute, None
+    """The same on frames, outside of Spark."""
+    texts = (text for batch in batches for text in batch[list(discovery.TEXT)].itertuples(index=False))
+    return (pd.DataFrame(part, columns=discovery.NAMES) for part in discovery.parts(texts))
 
 
 def fetchable(found: DataFrame) -> DataFrame:
